@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
         if size <= CHUNK_BYTES or batch.num_rows == 1:
             yield batch
             continue
-        lengths = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
             if i > start and total + n > CHUNK_BYTES:
