@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, media, packing
+from . import byte_bpe, chat, language, media, packing, secrets, simhash
 from .common import documents
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(documents(spark, sf_dir))
 
@@ -18,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(documents(spark, sf_dir))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components_of(spark, documents(spark, sf_dir))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -26,11 +34,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(spark, documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_media": op2_media,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
     "op9_packing": op9_packing,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
