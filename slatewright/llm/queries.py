@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, language, media, packing, secrets, simhash
+from . import byte_bpe, chat, language, media, packing, secrets, simhash, vectors
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(documents(spark, sf_dir))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(spark, documents(spark, sf_dir))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_media": op2_media,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_vectors": op4_vectors,
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
     "op9_packing": op9_packing,
