@@ -7,6 +7,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -96,29 +97,35 @@ class Chunks:
 
     MARKS = (",", ".")
 
-    def __init__(self, tokenizer, room: int = 250_000, longest: int = 48, drops_blanks: bool = False):
+    def __init__(self, tokenizer, room: int = 300_000, longest: int = 48, drops_blanks: bool = False):
         self.tokenizer, self.room, self.longest, self.drops_blanks = tokenizer, room, longest, drops_blanks
+        self.model = tokenizer.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, chunks: list[str]) -> list[bytes]:
-        """One by one in the result, together in the call: letters alone (after a blank
-        or not) are one match of the pattern each, so a line of them can be encoded at
-        once and cut by the matches' numbers."""
-        if self.drops_blanks:
-            line = [c for c in chunks if c.isalpha() and c[-1] < "\u0130"]
-        else:
-            line = [c for c in chunks if c[0] == " " and c[1:].isalpha()]
-        if len(line) < 16:
-            return self._each(chunks)
-        whole = self.tokenizer.encode((" " if self.drops_blanks else "").join(line), add_special_tokens=False)
-        cuts = np.flatnonzero(np.diff(np.asarray(whole.word_ids))) + 1
-        made = {}
-        if len(cuts) == len(line) - 1:  # else the pattern cut some word, and each is encoded by itself
-            made = dict(zip(line, [x.tobytes() for x in np.split(np.asarray(whole.ids, "<u4"), cuts)], strict=True))
-        rest = [c for c in chunks if c not in made]
-        made.update(zip(rest, self._each(rest), strict=True))
-        return [made[c] for c in chunks]
+        """Letters below U+0130 (after a blank or not) are one match of the pattern and,
+        in lower case where the tokenizer asks for it, their own normal form: such a chunk
+        goes straight to the library's model, spelt in byte characters."""
+        out: list[bytes | None] = []
+        table = byte_table()[0]
+        for c in chunks:
+            if self.drops_blanks:
+                plain = c.isalpha()
+                word = c.lower() if plain and not c.isascii() else c
+            else:
+                plain, word = c[:1] == " " and c[1:].isalpha(), c
+            if plain and word.isascii():
+                word = word.replace(" ", table[32])
+            elif plain and max(word) < "\u0130" and max(c) < "\u0130":
+                word = "".join([table[x] for x in word.encode()])
+            else:
+                out.append(None)
+                continue
+            out.append(array("I", [t.id for t in self.model.tokenize(word)]).tobytes())
+        rest = [c for c, ids in zip(chunks, out, strict=True) if ids is None]
+        made = iter(self._each(rest))
+        return [next(made) if ids is None else ids for ids in out]
 
     def _each(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
