@@ -35,7 +35,7 @@ _caches: dict[str, tokens.Chunks] = {}
 
 def _cache(path: str, pattern: str) -> tokens.Chunks:
     if path not in _caches:
-        _caches[path] = tokens.Chunks(tokens.from_json(path) if path.endswith(".json") else tokens.from_ranks(path, pattern))
+        _caches[path] = tokens.Chunks(tokens.from_json(path) if path.endswith(".json") else tokens.from_ranks(path, pattern), room=150_000)
     return _caches[path]
 
 

@@ -139,8 +139,8 @@ def grouped(corr: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def agreement(p: np.ndarray, both: np.ndarray, n: int, group: list[int]) -> np.ndarray:
-    """Estimated share of pairs within 0, 1, .. DISTANCE bits on the group.  The number of
+def agreement(p: np.ndarray, both: np.ndarray, n: int, group: list[int], distance: int = DISTANCE) -> np.ndarray:
+    """Estimated share of pairs within 0, 1, .. distance bits on the group.  The number of
     differing bits gets the mean and the variance that the bits' marginals and
     correlations imply, as a beta-binomial."""
     q = 2 * p[group] * (1 - p[group])
@@ -155,7 +155,7 @@ def agreement(p: np.ndarray, both: np.ndarray, n: int, group: list[int]) -> np.n
     from math import comb, exp, lgamma
 
     beta = lambda x, y: lgamma(x) + lgamma(y) - lgamma(x + y)
-    return np.cumsum([comb(w, d) * exp(beta(d + a, w - d + b) - beta(a, b)) for d in range(DISTANCE + 1)])
+    return np.cumsum([d <= w and comb(w, d) * exp(beta(d + a, w - d + b) - beta(a, b)) for d in range(distance + 1)])
 
 
 def lookups(w: int, t: int) -> int:
@@ -164,13 +164,13 @@ def lookups(w: int, t: int) -> int:
     return sum(comb(w, d) for d in range(t + 1))
 
 
-def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
+def allocate(costs: list[list[float]], total: int, distance: int = DISTANCE) -> tuple[float, list[int]]:
     """Thresholds, costs[i][t + 1] for t from -1, that sum to ``total`` at least cost."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for own in costs:
         step: dict[int, tuple[float, list[int]]] = {}
         for spent, (cost, chosen) in best.items():
-            for t in range(-1, DISTANCE + 1):
+            for t in range(-1, distance + 1):
                 value = (cost + own[t + 1], [*chosen, t])
                 if spent + t not in step or value < step[spent + t]:
                     step[spent + t] = value
@@ -178,18 +178,18 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan(n: int, both: np.ndarray, lookup_cost: float = 8.0) -> list[tuple[list[int], int]]:
+def plan(n: int, both: np.ndarray, distance: int = DISTANCE, lookup_cost: float = 8.0) -> list[tuple[list[int], int]]:
     """(group, threshold) of the groups to look up.  A candidate costs one unit and a row
     that is moved for a lookup ``lookup_cost``."""
     p, corr = np.diag(both) / max(n, 1), correlation(n, both)
     options = []
-    for m in range(1, DISTANCE + 3):
+    for m in range(1, distance + 2):
         groups = grouped(corr, m)
         costs = []
         for g in groups:
-            share = agreement(p, both, n, g)
-            costs.append([0.0] + [n * n * share[t] + lookup_cost * n * (1 + lookups(len(g), t)) for t in range(DISTANCE + 1)])
-        cost, chosen = allocate(costs, DISTANCE - m + 1)
+            share = agreement(p, both, n, g, distance)
+            costs.append([0.0] + [n * n * share[t] + lookup_cost * n * (1 + lookups(len(g), t)) for t in range(distance + 1)])
+        cost, chosen = allocate(costs, distance - m + 1, distance)
         options.append((cost, [(g, t) for g, t in zip(groups, chosen, strict=True) if t >= 0]))
     return min(options, key=lambda x: x[0])[1]
 
@@ -205,127 +205,118 @@ def _key(x: np.ndarray, group: list[int]) -> np.ndarray:
 
 
 def _rows(search: list[tuple[list[int], int]], index: bool):
-    """For each fingerprint its key in each group (index), or every key within the
-    group's threshold but its own (probes)."""
+    """For each node (node, fp, check) its key in each group (index), or every key within
+    the group's threshold but its own (probes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                x = whole.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).view(np.uint64)
+                own = [c.to_numpy(zero_copy_only=False) for c in whole.slice(at, 4096).columns]
+                x = own[1].view(np.uint64)
                 for k, (group, t) in enumerate(search):
                     key = _key(x, group)
                     masks = [0] if index else [sum(1 << b for b in c) for d in range(1, t + 1) for c in combinations(range(len(group)), d)]
                     for some in range(0, len(masks), 64):
                         part = np.array(masks[some : some + 64], np.uint64)
                         keys = (key[:, None] ^ part).ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.repeat(x, len(part)).view(np.int64))], names=["g", "key", "fp"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys.view(np.int64)), *[pa.array(np.repeat(c, len(part))) for c in own]], names=["g", "key", "node", "fp", "check"])
 
     return run
 
 
-class Forest:
-    """Union of positions by root; small, in memory, for one bucket."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = int(self.up[i])
-        return i
-
-
-def forest(index: np.ndarray, probes: np.ndarray) -> list[tuple[int, int]]:
+def forest(node: np.ndarray, fp: np.ndarray, check: np.ndarray, probe: np.ndarray, distance: int, check_distance: int) -> list[tuple[int, int]]:
     """Edges that connect what the verified pairs of a bucket (index with index, probe
     with index) connect; at most one for each member."""
-    if len(index) + len(probes) < 2 or not len(index):
+    near = lambda i, j: (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (np.bitwise_count(check[i] ^ check[j]) <= check_distance)
+    index = np.flatnonzero(~probe)
+    if len(index) == 0:
         return []
-    if len(index) == 1 and len(probes) <= 1:  # most buckets
-        if len(probes) and int(index[0] ^ probes[0]).bit_count() <= DISTANCE:
-            return [(int(index[0]), int(probes[0]))]
-        return []
-    both, where = np.unique(np.concatenate([index, probes]), return_inverse=True)
-    first, trees = where[: len(index)], Forest(len(both))
+    label = np.arange(len(node))
     out = []
-    for k in range(len(both)):
-        near = first[np.bitwise_count(index ^ both[k]) <= DISTANCE]
-        for j in near.tolist():
-            a, b = trees.root(k), trees.root(j)
-            if a != b:
-                trees.up[max(a, b)] = min(a, b)
-                out.append((int(both[k]), int(both[j])))
+    step = max(1, (1 << 20) // len(index))
+    for at in range(0, len(node), step):
+        rows = np.arange(at, min(len(node), at + step))
+        hit = near(rows[:, None], index[None, :]) & (node[rows][:, None] != node[index][None, :])
+        for r in np.flatnonzero(hit.any(axis=1)).tolist():
+            cols = index[hit[r]]
+            labels, first = np.unique(label[cols], return_index=True)
+            own = label[at + r]
+            if len(labels) > 1 or labels[0] != own:
+                out += [(int(node[at + r]), int(node[c])) for c, l in zip(cols[first], labels, strict=True) if l != own]
+                label[np.isin(label, np.append(labels, own))] = own
     return out
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _join(distance: int, check_distance: int):
     """Buckets stream by in order of (g, key, salt); a bucket ends where they change."""
-    held: list[np.ndarray] = []
 
     def edges(block: np.ndarray) -> list[tuple[int, int]]:
-        out = []
-        if len(block) < 2:
-            return out
-        change = np.flatnonzero((block[1:, 0] != block[:-1, 0]) | (block[1:, 1] != block[:-1, 1]) | (block[1:, 2] != block[:-1, 2])) + 1
+        out: list[tuple[int, int]] = []
+        change = np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1)) + 1
         bounds = np.concatenate([[0], change, [len(block)]])
         for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
             part = block[bounds[i] : bounds[i + 1]]
-            fps, probe = part[:, 3].view(np.uint64), part[:, 4] != 0
-            out += forest(fps[~probe], fps[probe])
+            out += forest(part[:, 3], part[:, 4].copy().view(np.uint64), part[:, 5].copy().view(np.uint64), part[:, 6] != 0, distance, check_distance)
         return out
 
     def emit(rows: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         if rows:
-            pairs = np.array(rows, np.uint64).view(np.int64)
+            pairs = np.array(rows, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        block = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
-        if held and not (held[-1][-1, :3] == block[0, :3]).all():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            if held and not (held[-1][-1, :3] == block[0, :3]).all():
+                yield from emit(edges(np.concatenate(held)))
+                held = []
+            last = np.flatnonzero((block[:, :3] != block[-1, :3]).any(axis=1))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from emit(edges(np.concatenate([*held, block[:cut]])))
+                held = []
+            held.append(block[cut:])
+        if held:
             yield from emit(edges(np.concatenate(held)))
-            held = []
-        last = np.flatnonzero((block[:, :3] != block[-1, :3]).any(axis=1))
-        cut = int(last[-1]) + 1 if len(last) else 0
-        if cut:
-            yield from emit(edges(np.concatenate([*held, block[:cut]])))
-            held = []
-        held.append(block[cut:])
-    if held:
-        yield from emit(edges(np.concatenate(held)))
-
-
-def links(spark: SparkSession, fps: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints ``fps(fp)`` whose components are those of
-    all links."""
-    n, both = bit_counts(fps)
+
+    return run
+
+
+def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, check_distance: int = BITS, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) over ``nodes(node, fp, check)`` whose components are those of all
+    links.  Where a second fingerprint, check, is given, links must agree on it too."""
+    n, both = bit_counts(nodes)
     if n < 2:
         return spark.createDataFrame([], "a long, b long")
-    search = plan(n, both)
-    index = fps.select("fp").mapInArrow(_rows(search, True), "g int, key long, fp long")
-    probes = fps.select("fp").mapInArrow(_rows(search, False), "g int, key long, fp long")
+    search = plan(n, both, distance)
+    own = nodes.select("node", "fp", "check")
+    index = own.mapInArrow(_rows(search, True), "g int, key long, node long, fp long, check long")
+    probes = own.mapInArrow(_rows(search, False), "g int, key long, node long, fp long, check long")
     # Large buckets only; their number is at most the index rows over the bucket size.
     hot = index.groupBy("g", "key").count().where(F.col("count") > bucket).select("g", "key", F.ceil(F.col("count") / bucket).cast("int").alias("salts"))
     hot = table(spark, hot, "hot")
-    none = F.lit(0)
+    zero, one = F.lit(0), F.lit(1)
+    cols = ["node", "fp", "check"]
     if hot.take(1):
         lone = lambda df: df.join(hot, ["g", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        every = F.explode(F.sequence(none, F.col("salts") - 1)).alias("salt")
-        own = lone(index).select("g", "key", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int").alias("salt"), "fp", none.alias("probe"), "salts")
+        every = F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt")
+        dealt = lone(index).select("g", "key", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), *cols, zero.alias("probe"), "salts")
         # A split bucket's members look each other up across its parts as probes do.
-        across = own.where("salts > 1").select("g", "key", "fp", "salts").select("g", "key", every, "fp", F.lit(1).alias("probe"))
-        rows = own.drop("salts").union(lone(probes).select("g", "key", every, "fp", F.lit(1).alias("probe"))).union(across)
+        across = dealt.where("salts > 1").select("g", "key", *cols, "salts").select("g", "key", every, *cols, one.alias("probe"))
+        rows = dealt.drop("salts").union(lone(probes).select("g", "key", every, *cols, one.alias("probe"))).union(across)
     else:
-        rows = index.select("g", "key", none.alias("salt"), "fp", none.alias("probe")).union(probes.select("g", "key", none.alias("salt"), "fp", F.lit(1).alias("probe")))
-    return rows.repartition("g", "key", "salt").sortWithinPartitions("g", "key", "salt").mapInArrow(_join, "a long, b long")
+        rows = index.select("g", "key", zero.alias("salt"), *cols, zero.alias("probe")).union(probes.select("g", "key", zero.alias("salt"), *cols, one.alias("probe")))
+    return rows.repartition("g", "key", "salt").sortWithinPartitions("g", "key", "salt").mapInArrow(_join(distance, check_distance), "a long, b long")
 
 
 def groups(spark: SparkSession, prints: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
     """(fp, component_id) for each fingerprint of ``prints(doc_id, fp)``."""
-    nodes = table(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    nodes = table(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumns({"node": F.col("fp"), "check": F.lit(0).cast("long")}), "fingerprints")
     found = components(spark, links(spark, nodes, bucket=bucket))
-    roots = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = nodes.join(found, "node", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     return roots.join(ids, "root").select("fp", "component_id")
 
@@ -335,3 +326,30 @@ def components_of(spark: SparkSession, df: DataFrame, *, words: int = WORDS, buc
     prints = table(spark, fingerprint(df, words=words), "prints")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(groups(spark, prints, bucket=bucket), "fp").select("doc_id", hexed, "component_id")
+
+
+def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int = 8, check_distance: int = 14) -> DataFrame:
+    """The rows but for near copies: of each group the row of the smallest doc_id stays.
+
+    Near copies have a similarity of about 0.8 or more on shingles of ``words`` words.
+    Candidates are within ``distance`` bits by fingerprints of WORDS-word shingles, which
+    edits touch less, and are verified by a second fingerprint of ``words``-word shingles:
+    at a similarity of 0.8 an angle of about 27 degrees turns 10 of 64 bits on average.
+    Rows with equal fingerprints that have no doc_id, or the same one, are all but one
+    dropped as well."""
+    names = df.columns
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = utf8(batch.column(1))
+        made = [pa.array(fingerprints(texts, w).view(np.int64)) for w in (WORDS, words)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *made], names=["row", "fp", "check"])
+
+    tagged = table(spark, df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    prints = arrow_map(tagged.select(F.col("__row").alias("row"), "text"), work, "row long, fp long, check long")
+    prints = table(spark, prints.join(tagged.select(F.col("__row").alias("row"), "doc_id"), "row"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    nodes = prints.groupBy("fp", "check").agg(first).withColumn("node", F.col("first.row"))
+    nodes = table(spark, nodes, "fingerprints")
+    found = components(spark, links(spark, nodes, distance=distance, check_distance=check_distance))
+    best = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    return tagged.join(best.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*names)
