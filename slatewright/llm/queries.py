@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, language, media, packing, secrets, simhash, substrings, vectors
+from . import byte_bpe, chat, language, licenses, media, packing, secrets, simhash, substrings, vectors
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(documents(spark, sf_dir))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(spark, documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_vectors": op4_vectors,
     "op5_simhash": op5_simhash,
     "op6_chat": op6_chat,
+    "op7_licenses": op7_licenses,
     "op8_substrings": op8_substrings,
     "op9_packing": op9_packing,
     "op10_language": op10_language,
