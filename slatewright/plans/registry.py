@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import QUERIES  # noqa: F401
+from .oracle import ORACLE_SQL  # noqa: F401
