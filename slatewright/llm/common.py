@@ -30,32 +30,32 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the named string column has about CHUNK_BYTES in each
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the named string column has about ``most`` bytes in each
     piece; one longer text is a piece of its own and is never cut."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         if batch.num_rows == 0:
             continue
         size = col.nbytes
-        if size <= CHUNK_BYTES or batch.num_rows == 1:
+        if size <= most or batch.num_rows == 1:
             yield batch
             continue
         lengths = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(lengths):
-            if i > start and total + n > CHUNK_BYTES:
+            if i > start and total + n > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
         yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text") -> DataFrame:
+def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", most: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow over pieces bounded by bytes of ``column``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, column):
+        for piece in slices(batches, column, most):
             out = work(piece)
             if out is not None and out.num_rows:
                 yield out

@@ -35,9 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, arrow_map, need, slices, table, utf8
+from .common import arrow_map, need, slices, table, utf8
 
 WINDOW = 35
+#: Bytes of text worked on at a time; arrays of a few hundred bytes a word go with it.
+CHUNK_BYTES = 2 << 20
 ROUNDS = 5
 LONGEST = 16
 
@@ -54,7 +56,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 class _Names(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word)
         return out
@@ -167,14 +169,14 @@ def measure(df: DataFrame) -> DataFrame:
         cols = [*batch.columns[:3], pa.array(made.count), pa.array(sha), cut(doc[new], names[new]), cut(doc[firsts], names[firsts]), pa.array(loose)]
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "t1", "t2", "n_words", "whole_sha256", "anchors", "twice", "loose"])
 
-    return arrow_map(df.select("doc_id", "t1", "t2", "text"), work, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n_words long, whole_sha256 string, anchors array<long>, twice array<long>, loose boolean")
+    return arrow_map(df.select("doc_id", "t1", "t2", "text"), work, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n_words long, whole_sha256 string, anchors array<long>, twice array<long>, loose boolean", most=CHUNK_BYTES)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, text, shared) -> windows to compare: (k1, k2, rid, pos, known), known if an
     equal one is in the same batch; and (null, null, rid, pos, true) for the others that
     are known."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", CHUNK_BYTES):
         made = Batch(utf8(batch.column(1)))
         best, name, _ = made.anchors()
         rid = batch.column(0).to_numpy(zero_copy_only=False)
@@ -226,7 +228,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(t1, t2, text, positions) -> what is left of the text."""
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", CHUNK_BYTES):
         rows = []
         for text, starts in zip(utf8(batch.column(2)), batch.column(3), strict=True):
             words = text.split()
