@@ -1,0 +1,523 @@
+"""Training-data operators against brute force, round trips and held-out accuracy; and
+nulls, empties, very long texts, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from slatewright.llm import byte_bpe, chat, language, licenses, media, packing, secrets, simhash, substrings, tokens, vectors
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_frame(spark, texts, start=0):
+    return spark.createDataFrame([(start + i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+ODD = [None, "", " \t\n", "one", "one two", "É漢字🎉 ß", "same text here", "same text here", "x" * 300_000, "word " * 60_000, "a\0b", "<|im_end|>", "‍ 　\x1c"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Awkward texts; a row whose doc_id is null, a repeated row, and columns whose names
+    operators use inside."""
+    rows = [(i, t, "en", "s", 0, "k", 1) for i, t in enumerate(ODD)]
+    rows += [(None, "same text here", None, None, None, None, None), (6, "same text here", "en", "s", 0, "k", 1)]
+    return spark.createDataFrame(rows, DOCS + ", kept string, t1 long")
+
+
+DOC_REPORTS = {
+    "secrets": lambda spark, df: secrets.report(df),
+    "media": lambda spark, df: media.media(df),
+    "bpe": lambda spark, df: byte_bpe.report(df),
+    "simhash": lambda spark, df: simhash.components_of(spark, df),
+    "licenses": lambda spark, df: licenses.report(df),
+    "substrings": lambda spark, df: substrings.report(spark, df),
+    "packing": lambda spark, df: packing.pack(spark, df),
+    "language": lambda spark, df: language.report(spark, df),
+}
+
+
+@pytest.mark.parametrize("name", DOC_REPORTS)
+def test_odd_rows(spark, odd, name):
+    rows = DOC_REPORTS[name](spark, odd).collect()
+    assert sorted(str(r["doc_id"]) for r in rows if r.asDict().get("piece", 0) == 0) == sorted(str(r["doc_id"]) for r in odd.select("doc_id").collect())
+    same = [tuple(v for k, v in r.asDict().items() if k not in ("doc_id", "held_out", "sequence_id", "offset")) for r in rows if r["doc_id"] in (6, 7)]
+    assert len(set(same)) == 1
+
+
+@pytest.mark.parametrize("name", DOC_REPORTS)
+def test_empty_table(spark, name):
+    assert DOC_REPORTS[name](spark, spark.createDataFrame([], DOCS)).collect() == []
+
+
+# ------------------------------------------------------------------ 1
+
+
+def brute_findings(t):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_secrets_base_findings():
+    rng = random.Random(1)
+    bits = ["token", "Secret", "api_key", "apiKEY", "passwd", "é", "=", ":", " ", "'", '"', "abc", "123456", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "漢", "-", "\n", "ſecret"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(800)] + ["secret=token=abcdef", 'secret="token": abcdef']
+    for found, t in zip(secrets.find([t.encode() for t in texts], secrets.trained()), texts, strict=True):
+        assert [(s, k, e) for s, e, k, _ in found if k < 3] == brute_findings(t)
+
+
+def test_secrets_network():
+    net = secrets.trained()
+    x, y = secrets.labelled(1500, 99)
+    hit = net.score(x) >= net.threshold
+    assert hit[y > 0].mean() > 0.93 and hit[y == 0].mean() < 0.05
+    rng = np.random.default_rng(0)
+    small, at = secrets.Network(3), 0
+    xs, ys = x[:6], y[:6]
+    loss = lambda: float(np.mean(np.logaddexp(0, np.where(ys > 0, -1, 1) * small.forward(xs)[0].astype(float))))
+    grads = small.gradients(xs, ys)
+    for p, g in zip(small.parameters()[1:], grads[1:], strict=True):
+        at = rng.integers(p.size)
+        p.flat[at] += 1e-2
+        up = loss()
+        p.flat[at] -= 2e-2
+        down = loss()
+        p.flat[at] += 1e-2
+        assert (up - down) / 2e-2 == pytest.approx(g.flat[at], abs=2e-3)
+
+
+def test_secrets_redact(spark):
+    t = "Ünder token = 'abcdef123' and https://bob:hunter22@host.example end"
+    row = secrets.redact(docs_frame(spark, [t, None, "clean text"])).orderBy("doc_id").collect()
+    assert "abcdef123" not in row[0]["text"] and row[0]["text"].startswith("Ünder [assign]") and row[1]["text"] is None and row[2]["text"] == "clean text"
+
+
+# ------------------------------------------------------------------ 2
+
+
+def bitwise_crc(data):
+    r = 0
+    for x in data:
+        r ^= x << 24
+        for _ in range(8):
+            r = (r << 1 ^ 0x04C11DB7 if r & 0x80000000 else r << 1) & 0xFFFFFFFF
+    return r
+
+
+def test_media_round_trip():
+    rng = random.Random(2)
+    assert media.checksum(b"hello") == bitwise_crc(b"hello")
+    for n in (0, 1, 575, 576, 577, 1153, 49_000, 200_000):
+        text = rng.randbytes(n)
+        payload, data = media.store(text)
+        back, facts = media.read(data)
+        assert back == payload and payload[:n] == text and set(payload[n:]) <= {255} and len(payload) % 576 == 0 and len(payload) > 0
+        assert facts["streams"] == 2 and facts["duration"] == len(payload) / media.RATE
+
+
+def test_media_rejects_damage():
+    _, data = media.store(bytes(range(256)) * 500)
+    starts = [m.start() for m in re.finditer(b"OggS", data)]
+    flipped = bytearray(data)
+    flipped[starts[3] + 100] ^= 1
+    for bad in (bytes(flipped), data[:-7], data[: starts[3]] + data[starts[4] :], data[: starts[-1]]):
+        with pytest.raises(media.OggError):
+            media.read(bad)
+
+
+# ------------------------------------------------------------------ 3
+
+
+def test_bpe_equals_tiktoken():
+    import public_tokenizers
+    import tiktoken
+
+    path = tokens.vocabulary(byte_bpe.FILE)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.ranks(path), special_tokens={})
+    rng = random.Random(5)
+    alphabet = "aaabc éñ漢字🎉\n\t  '’s'll12٣.,! 　\x1c\x85́‍"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [" the  theory, of it.\n\n The", "ab " * 500]
+    for t, ids in zip(texts, byte_bpe.encode_texts(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(t) and byte_bpe.decode_ids(ids).decode() == t
+
+
+def test_bpe_offsets(spark):
+    t = "naïve 漢字🎉 ok"
+    row = byte_bpe.encode(docs_frame(spark, [t]), with_offsets=True).first()
+    spans = list(zip(row["char_starts"], row["char_ends"], strict=True))
+    assert spans[0][0] == 0 and spans[-1][1] == len(t) and all(a < b for a, b in spans)
+    table, raw = tokens.token_bytes(tokens.vocabulary(byte_bpe.FILE)), t.encode()
+    at = 0
+    for i, (a, b) in zip(np.frombuffer(row["ids"], "<u4").tolist(), spans, strict=True):
+        at += len(table[i])
+        assert raw[at - len(table[i]) : at] in t[a:b].encode()
+
+
+# ------------------------------------------------------------------ 4
+
+
+def brute_vectors(rows, cosine=0.9):
+    good = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links, near = defaultdict(int), defaultdict(set)
+    for a, (i, x) in enumerate(good):
+        for j, y in good[a + 1 :]:
+            if len(x) == len(y) and x @ y / np.sqrt((x @ x) * (y @ y)) >= cosine:
+                links[i] += 1
+                links[j] += 1
+                near[i].add(j)
+                near[j].add(i)
+    out = {}
+    for i, _ in rows:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        out[i] = (links[i], min(seen), i == min(seen))
+    return out
+
+
+def test_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 40)
+    monkeypatch.setattr(vectors, "LEAF", 8)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6))
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=6) * 0.25]) for i in range(150)]
+    rows += [(200, None), (201, [0.0] * 6), (202, [float("nan")] + [1.0] * 5), (203, [None] + [1.0] * 5), (204, []), (205, rows[3][1]), (206, [2 * x for x in rows[3][1]]), (207, rows[3][1][:5]), (208, [1e200] * 6), (209, [1e-200] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumnRenamed("x", "x")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near(spark, df).collect()}
+    want = brute_vectors([(i, None if v is None or 1e200 in v or 1e-200 in v else v) for i, v in rows if i < 208])
+    assert {k: v for k, v in got.items() if k < 208 and v[1] < 208} == {k: v for k, v in want.items() if got[k][1] < 208}
+    assert got[208][1] == got[209][1]
+    assert vectors.near(spark, spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_vectors_repeated_rows(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (None, [1.0, 0.1], 1), (9, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, node int")
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in vectors.near(spark, df).collect())
+    assert got == [("5", 2, 5, True), ("5", 2, 5, True), ("9", 0, 9, True), ("None", 2, 5, False)]
+
+
+# ------------------------------------------------------------------ 5
+
+
+def brute_fingerprint(t, words=3):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in ([" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] or [" ".join(w)])]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def brute_components(fps, distance=3):
+    up = list(range(len(fps)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= distance and root(i) != root(j):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_simhash(spark, bucket):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(200)] + ["Éa", "THE"]
+    base = [[rng.choice(vocabulary) for _ in range(60)] for _ in range(12)]
+    texts = [None, "", "THE w1", "the W1"]
+    for k in range(120):
+        w = list(base[k % 12])
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(60)] = rng.choice(vocabulary)
+        texts.append(" ".join(w))
+    got = sorted(simhash.components_of(spark, docs_frame(spark, texts), bucket=bucket).collect())
+    fps = [brute_fingerprint(t) for t in texts]
+    assert [r["fingerprint"] for r in got] == [f"{f:016x}" for f in fps]
+    assert [r["component_id"] for r in got] == brute_components(fps)
+
+
+@pytest.mark.parametrize("distance", [3, 5])
+def test_simhash_search_is_exact(spark, distance):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 15, dtype=np.uint64)
+    fps = {int(b) for b in base}
+    for _ in range(250):
+        x = int(base[rng.integers(15)])
+        for k in rng.choice(64, rng.integers(1, 8), replace=False):
+            x ^= 1 << int(k)
+        fps.add(x)
+    fps = sorted(fps)
+    rows = [(i, int(np.uint64(f).view(np.int64)), 0) for i, f in enumerate(fps)]
+    edges = [(r["a"], r["b"]) for r in simhash.links(spark, spark.createDataFrame(rows, "node long, fp long, check long"), distance=distance).collect()]
+    assert all((fps[a] ^ fps[b]).bit_count() <= distance for a, b in edges)
+    up = list(range(len(fps)))
+    for _ in range(len(fps)):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    assert up == brute_components(fps, distance)
+
+
+def test_simhash_plan():
+    both = np.full((64, 64), 2500.0) + np.eye(64) * 2500
+    for n in (10, 10_000, 10**8):
+        for distance in (3, 8):
+            plan = simhash.plan(n, both * n / 10_000, distance)
+            t = [x for _, x in plan]
+            groups = 64 // len(plan[0][0]) if plan else 0
+            assert sum(len(g) for g, _ in plan) <= 64 and all(x >= 0 for x in t) and groups
+
+
+def test_kept_drops_near_copies(spark):
+    rng = random.Random(3)
+    a = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+    b = list(a)
+    b[150] = "changed"
+    clean = [" ".join(f"v{rng.randint(0, 5000)}" for _ in range(200)) for _ in range(20)]
+    df = docs_frame(spark, [" ".join(a), " ".join(b), " ".join(a), *clean])
+    got = simhash.kept(spark, df)
+    assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [0, *range(3, 23)]
+
+
+# ------------------------------------------------------------------ 6
+
+
+def test_chat(spark):
+    rows = [(1, 1, "assistant", "b <|im_start|> <\\| <\\\\|"), (1, 0, "user", "a\n\nx"), (2, 0, None, None), (2, 0, "assistant", ""), (None, None, "tool\nuser \\n <|", "é漢🎉"), (3, 5, "assistant", "same"), (3, 5, "assistant", "same")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", chat.F.lit(1))
+    got = {r["conv_id"]: r for r in chat.report(spark, df).collect()}
+    order = defaultdict(list)
+    for c, t, r, x in sorted([*rows, (-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], key=lambda r: (r[0] or -9, -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        order[c].append((r or "", x or ""))
+    assert set(got) == set(order)
+    for c, turns in order.items():
+        loss = "".join(x for r, x in turns if r == "assistant")
+        assert got[c]["n_turns"] == len(turns) and got[c]["loss_chars"] == len(loss)
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+        assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_chat_escape():
+    rng = random.Random(1)
+    for _ in range(2000):
+        t = "".join(rng.choice("<|\\nim_end>\n") for _ in range(rng.randint(0, 14)))
+        assert chat.unescape(chat.escape(t)) == t and "<|" not in chat.escape(t)
+        assert chat.unescape_role(chat.escape_role(t)) == t and "\n" not in chat.escape_role(t)
+
+
+def test_chat_reserved_ids_only_where_spliced():
+    ((ids, mask),) = chat.assemble([("assistant", chat.PROBE)])
+    assert (ids >= chat.START_ID).sum() == 2 and ids[0] == chat.START_ID and not mask[ids >= chat.START_ID].any()
+
+
+# ------------------------------------------------------------------ 7
+
+
+def brute_licenses(text, m):
+    out = []
+    for i, p in enumerate((text or "").lower().split("\n")):
+        if not licenses.stemmed(" ".join(licenses.words(p))):
+            continue
+        z = m.bias + sum((m.weights[m.features.index(g)] for g in licenses.grams(p) if g in m.features), np.zeros(len(m.bias)))
+        e = np.exp((z - z.max()) / m.temperature)
+        family = m.families[int(e.argmax())]
+        if family != licenses.UNKNOWN:
+            two = set(licenses.grams_two(p))
+            share = max(len(two & set(licenses.grams_two(t))) / len(licenses.grams_two(t)) for t in licenses.TEMPLATES[family])
+            out.append((i, family, float(e.max() / e.sum()), share))
+    return out
+
+
+def test_licenses(spark):
+    m = licenses.trained()
+    rng = random.Random(2)
+    texts = [None, "", "the license plate of the car", "mit der bahn", "public-domain\nCreative Commons"]
+    want = ["none"] * 5
+    for name, notices in licenses.TEMPLATES.items():
+        for t in notices:
+            texts.append("some words first\n" + " ".join(rng.choice(["foo", "bar"]) for _ in range(4)) + " " + t.upper() + ".\nmore")
+            want.append(name)
+    found = {r["doc_id"]: r["findings"] for r in licenses.paragraphs(docs_frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        got, expected = [(r["paragraph"], r["family"], r["probability"], r["similarity"]) for r in found[i]], brute_licenses(t, m)
+        assert [g[:2] for g in got] == [e[:2] for e in expected] and np.allclose([g[2:] for g in got], [e[2:] for e in expected])
+    report = {r["doc_id"]: r["license"] for r in licenses.report(docs_frame(spark, texts)).collect()}
+    assert sum(report[i] == w for i, w in enumerate(want)) >= len(want) - 1 and [report[i] for i in range(5)] == ["none"] * 5
+
+
+def test_licenses_held_out():
+    m = licenses.trained()
+    made = licenses.examples(800, 77)
+    hits = 0
+    for text, family in made:
+        z = m.bias + sum((m.weights[m.features.index(g)] for g in licenses.grams(text) if g in m.features), np.zeros(len(m.bias)))
+        hits += m.families[int(z.argmax())] == family
+    assert hits / len(made) > 0.95
+
+
+def test_licenses_run_no_python(spark):
+    plan = licenses.report(docs_frame(spark, ["x"]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# ------------------------------------------------------------------ 8
+
+
+def brute_repeats(rows, window=35):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    seen = defaultdict(int)
+    for w in words:
+        for i in range(len(w) - window + 1):
+            seen[tuple(w[i : i + window])] += 1
+    out = []
+    for (d, _), w in zip(rows, words, strict=True):
+        gone = [False] * len(w)
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone[i : i + window] = [True] * window
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((d, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return out
+
+
+def repeat_rows():
+    rng = random.Random(4)
+    few = ["a", "b", "c", "dd", "é", "the"]
+    base = [" ".join(rng.choice(few) for _ in range(60)) for _ in range(3)]
+    rows = []
+    for i in range(250):
+        t = " ".join(rng.choice([*few, f"w{rng.randint(0, 50)}"]) for _ in range(rng.randint(0, 80)))
+        k = rng.randint(0, 6)
+        if k == 0:
+            w = rng.choice(base).split(" ")
+            a = rng.randint(0, 25)
+            t = f"{t} {' '.join(w[a : a + rng.randint(33, 37)])} {t}"
+        if k == 1:
+            t = " ".join(["x"] * rng.randint(30, 45) + ["y"] * rng.randint(1, 45) + ["z"] * rng.randint(0, 5))
+        if k == 2:
+            t = rng.choice(base) + rng.choice("\n\t \x0b") + rng.choice(base)
+        if k == 3:
+            t = " ".join((["p", "q", "s"] * 30)[: rng.randint(30, 60)])
+        rows.append((i, t))
+    return [*rows, (1000, None), (1001, ""), (1002, rows[5][1]), (None, base[0]), (1002, rows[5][1])]
+
+
+def test_substrings(spark):
+    rows = repeat_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (str(r[0]), r[3])
+    want = brute_repeats(rows)
+    assert sorted(map(tuple, substrings.report(spark, df).collect()), key=key) == sorted((w[:4] for w in want), key=key)
+    kept = {(r["doc_id"]): r["text"] for r in substrings.trim(spark, df).collect()}
+    for (d, t), w in zip(rows, want, strict=True):
+        assert kept[d] == (t if not w[2] else w[4])
+
+
+def test_recompression_is_consistent():
+    """Equal windows have equal anchors, wherever they stand."""
+    rng = random.Random(5)
+    core = " ".join(rng.choice("abcdef") for _ in range(90))
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))) + " " + core + " " + " ".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(30)]
+    b = substrings.Batch([t.encode() for t in texts])
+    best, name, _ = b.anchors()
+    content = b.content(substrings._R2, b.start, b.start + substrings.WINDOW)
+    of: dict[int, set] = defaultdict(set)
+    for c, a in zip(content.tolist(), best.tolist(), strict=True):
+        of[c].add(int(name[a]) if a >= 0 else -1)
+    assert all(len(x) == 1 for x in of.values()) and max(len(w) for w in b.words) > 90
+
+
+# ------------------------------------------------------------------ 9
+
+
+def test_packing(spark):
+    rng = random.Random(7)
+    texts = [None, "", "İ é.", *(" ".join(rng.choice(["word", "Long,", "x.", "naïve"]) for _ in range(rng.randint(0, 900))) for _ in range(120)), "tok " * 9000]
+    rows = packing.pack(spark, docs_frame(spark, texts), with_ids=True, shard=40).collect()
+    tok = tokens.from_json(tokens.vocabulary(packing.FILE))
+    by = defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+    total = 0
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        total += len(ids)
+        own = sorted(by[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(len(own))) and len(own) == -(-len(ids) // 4096)
+        for r in own:
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+            assert r["start"] == 4096 * r["piece"] and r["ids_crc32"] == zlib.crc32(part) and bytes(r["ids"]) == part
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for o, n in sorted(b):
+            assert o == at
+            at += n
+        assert at <= 4096
+    assert len(bins) <= -(-total // 4096) + 1
+    packed = spark.createDataFrame(rows)
+    assert sum(len(r["ids"]) for r in packing.sequences(packed).collect()) == 4 * total
+
+
+def test_packing_genetics():
+    rng = random.Random(1)
+    lengths = [rng.choice([2100, 1400, 700, 650, 1999, 2047]) for _ in range(120)]
+    people = packing.evolve(lengths, 4096, 3, [], 5, 12)
+    plain = packing.best_fit(sorted(range(120), key=lambda i: -lengths[i]), lengths, 4096)
+    for p in people:
+        assert sorted(i for b in p for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 4096 for b in p)
+    assert packing.fitness(people[0], lengths, 4096) >= packing.fitness(plain, lengths, 4096)
+    assert packing.evolve(lengths, 4096, 3, [], 5, 12) == people
+
+
+# ------------------------------------------------------------------ 10
+
+
+def language_rows():
+    rng = random.Random(9)
+    parts = {"aa": ["tion", "the", "ing", "wh"], "bb": ["schö", "ung", "ein", "ge"], "cc": ["ción", "que", "ñ", "los"]}
+    rows = []
+    for i in range(400):
+        lang = rng.choice(list(parts))
+        rows.append((i, " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(3, 40))), lang))
+    return rows
+
+
+def test_language(spark):
+    rows = [*language_rows(), (900, None, "aa"), (901, "123 ...", "aa"), (902, "漢字", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.report(spark, df).collect()}
+    held = [r for r in rows[:400] if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert all(got[r[0]]["held_out"] for r in held) and sum(r["held_out"] for r in got.values()) >= len(held)
+    assert sum(got[r[0]]["lang_pred"] == r[2] for r in held) / len(held) > 0.97
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] != "und" and all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_language_never_learns_from_held_out_rows(spark):
+    rows = language_rows()
+    spoiled = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 3 == 1 else lang) for i, t, lang in rows]
+    a, b = (sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in language.report(spark, spark.createDataFrame(x, "doc_id long, text string, lang string")).collect()) for x in (rows, spoiled))
+    assert a == b
+
+
+def test_language_folding_is_the_kernel_machine():
+    rows = language_rows()[:60]
+    m = language.train([t for _, t, _ in rows], [x for _, _, x in rows], landmarks=20)
+    points = [language.letters(t) for _, t, _ in rows]
+    direct = sum(language.Model.unit(m.presence(points, n)) @ m.folded[n - 1] for n in range(1, language.ORDERS + 1))
+    assert np.allclose(direct, m.values(points), atol=1e-5)
