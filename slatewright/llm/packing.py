@@ -40,12 +40,14 @@ SHARD, ISLANDS, ROUNDS, POPULATION, CHILDREN = 4096, 2, 2, 4, 6
 _caches: dict[str, tokens.Chunks] = {}
 
 
-def encode_texts(texts: list[str], path: str | None = None, end_id: int = END_ID) -> list[bytes]:
+def encode_texts(texts: pa.Array, path: str | None = None, end_id: int = END_ID) -> list[bytes]:
+    """Ids of each text and the end id, little-endian unsigned 32-bit."""
     path = path or tokens.vocabulary(FILE)
     if path not in _caches:
         _caches[path] = tokens.Chunks(tokens.from_json(path), drops_blanks=True)
+    ids, at = tokens.encode_words(texts, _caches[path])
     end = np.asarray([end_id], "<u4").tobytes()
-    return [x + end for x in _caches[path].of([tokens.word_chunks(t) for t in texts])]
+    return [ids[a:b].tobytes() + end for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def pieces(df: DataFrame, *, path: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -55,7 +57,7 @@ def pieces(df: DataFrame, *, path: str | None = None, end_id: int = END_ID, capa
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs = batch.column(0)
         at, rows = [], []
-        for i, ids in enumerate(encode_texts([t or "" for t in batch.column(1).to_pylist()], path, end_id)):
+        for i, ids in enumerate(encode_texts(batch.column(1), path, end_id)):
             step = 4 * capacity
             for k, start in enumerate(range(0, len(ids), step)):
                 part = ids[start : start + step]

@@ -11,6 +11,8 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
 
@@ -90,74 +92,82 @@ def token_bytes(path: str) -> tuple[bytes, ...]:
     return tuple(out)
 
 
-class Chunks:
-    """Ids of chunks as little-endian unsigned 32-bit integers.  Chunks are encoded by
-    the library in batches; those of up to ``longest`` characters are remembered in two
-    generations of ``room`` entries, so memory is bounded while frequent ones stay."""
+_LATIN = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+
+
+@lru_cache(maxsize=1)
+def _latin_spelling() -> dict[int, str]:
+    """Byte characters of the letters of _LATIN beyond ASCII."""
+    table = byte_table()[0]
+    return {ord(c): "".join(table[x] for x in c.encode()) for c in _LATIN if not c.isascii()}
+
+
+class Chunks(dict):
+    """Ids of chunks as little-endian unsigned 32-bit integers, encoded by the library
+    when first met.  Two generations of up to ``room`` chunks are kept, so memory is
+    bounded while frequent ones stay; chunks over ``longest`` characters are not kept."""
 
     MARKS = (",", ".")
 
     def __init__(self, tokenizer, room: int = 300_000, longest: int = 48, drops_blanks: bool = False):
+        super().__init__()
         self.tokenizer, self.room, self.longest, self.drops_blanks = tokenizer, room, longest, drops_blanks
-        self.model = tokenizer.model
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
+        self.model, self.old = tokenizer.model, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk)
+        if len(chunk) <= self.longest:
+            if len(self) >= self.room:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def encode(self, chunk: str) -> bytes:
         """Letters below U+0130 (after a blank or not) are one match of the pattern and,
         in lower case where the tokenizer asks for it, their own normal form: such a chunk
-        goes straight to the library's model, spelt in byte characters."""
-        out: list[bytes | None] = []
-        table = byte_table()[0]
-        for c in chunks:
-            if self.drops_blanks:
-                plain = c.isalpha()
-                word = c.lower() if plain and not c.isascii() else c
-            else:
-                plain, word = c[:1] == " " and c[1:].isalpha(), c
-            if plain and word.isascii():
+        goes straight to the library's model, spelt in byte characters.  So does one with
+        a comma or full stop after it, which is a second match; any other goes through
+        the whole tokenizer."""
+        body, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in self.MARKS else (chunk, "")
+        letters = body if self.drops_blanks or body[:1] != " " else body[1:]
+        if letters.isalpha() and (self.drops_blanks or body is not letters) and (letters.isascii() or max(letters) < "\u0130"):
+            if mark:
+                return self[body] + self[mark]
+            word = letters.lower() if self.drops_blanks else body
+            table = byte_table()[0]
+            if letters.isascii():
                 word = word.replace(" ", table[32])
-            elif plain and max(word) < "\u0130" and max(c) < "\u0130":
-                word = "".join([table[x] for x in word.encode()])
             else:
-                out.append(None)
-                continue
-            out.append(array("I", [t.id for t in self.model.tokenize(word)]).tobytes())
-        rest = [c for c, ids in zip(chunks, out, strict=True) if ids is None]
-        made = iter(self._each(rest))
-        return [next(made) if ids is None else ids for ids in out]
-
-    def _each(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+                word = "".join([table[x] for x in word.encode()])
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words of lower-case Latin letters, for tokenizers that drop
+        blanks: encode() without its tests."""
+        out = []
+        get, old, put = self.get, self.old.get, self.__setitem__
+        tokenize, spell = self.model.tokenize, _latin_spelling()
+        for w in words:
+            ids = get(w)
+            if ids is None:
+                ids = old(w)
+                if ids is None:
+                    ids = array("I", [t.id for t in tokenize(w if w.isascii() else w.translate(spell))]).tobytes()
+                if len(w) <= self.longest:
+                    put(w, ids)
+            out.append(ids)
+        if len(self) >= self.room:
+            self.old = dict(self)
+            self.clear()
+        return out
 
     def of(self, texts: list[list[str]]) -> list[bytes]:
         """The ids of each text, given as chunks that are encoded apart."""
-        seen: set[str] = set().union(*texts) if texts else set()
-        young, old = self.young, self.old
-        new = seen.difference(young)
-        if new:
-            again = new.intersection(old)
-            young.update([(c, old[c]) for c in again])
-            new -= again
-        # A word and the one mark after it are two matches of the pattern: most new
-        # chunks are known words before a comma or a full stop.  Letters from U+0130 on
-        # are left alone: normalised, some end in a mark that is no letter.
-        cut = {c: c[:-1] for c in new if c[-1:] in self.MARKS and c[:-1].strip(" ").isalpha() and c[-2] < "\u0130"}
-        words = (new - cut.keys()) | {w for w in cut.values() if w not in young} | ({c[-1] for c in cut} - young.keys())
-        short = [w for w in words if len(w) <= self.longest]
-        for i in range(0, len(short), 4096):
-            some = short[i : i + 4096]
-            young.update(zip(some, self.encode(some), strict=True))
-        long = {w: self.encode([w])[0] for w in words if len(w) > self.longest}
-        for c, w in cut.items():
-            (young if len(c) <= self.longest else long)[c] = (young[w] if w in young else long[w]) + young[c[-1]]
-        if long:
-            out = [b"".join([young[c] if c in young else long[c] for c in t]) for t in texts]
-        else:
-            out = [b"".join(map(young.__getitem__, t)) for t in texts]
-        if len(young) > self.room:
-            self.old, self.young = young, {}
-        return out
+        return [b"".join(map(self.__getitem__, t)) for t in texts]
 
 
 #: White space besides the ASCII blanks, and separators that some engines count as it.
@@ -179,11 +189,55 @@ def spaced_chunks(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
 
-def word_chunks(text: str) -> list[str]:
-    """Cut at blanks, for tokenizers that drop white space between words and case; A-Z
-    become lower case here, so that fewer chunks differ."""
-    if not text:
+#: Bytes that an ODD_SPACE character has in UTF-8 (and some others have too).
+_MAYBE_ODD = np.zeros(256, bool)
+_MAYBE_ODD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """A list of the strings, none of which has a newline; quicker than one by one."""
+    if not len(words):
         return []
-    if ODD_SPACE.search(text):
-        return [text]
-    return text.replace("\n", " ").encode().lower().decode().split(" ")
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string()))
+    return pc.binary_join(whole, "\n")[0].as_py().split("\n")
+
+
+def encode_words(column: pa.Array, cache: Chunks) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where each text's begin and end, for tokenizers that
+    drop white space between words and case.  A-Z become lower case first, so that fewer
+    words differ.  Arrow cuts the texts and numbers their distinct words; the cache is asked once for
+    each of those, and ids are gathered by number."""
+    n = len(column)
+    raw = pc.fill_null(column.take(pa.array(np.arange(n))).cast(pa.large_string()), "")  # copied: no slice
+    bounds = np.frombuffer(raw.buffers()[1], np.int64, n + 1, raw.offset * 8)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    odd = np.zeros(n, bool)
+    for i in np.unique(np.searchsorted(bounds - bounds[0], np.flatnonzero(_MAYBE_ODD[data]), "right") - 1).tolist():
+        odd[i] = ODD_SPACE.search(raw[i].as_py()) is not None
+    plain = pc.if_else(pa.array(odd), "", pc.replace_substring(pc.ascii_lower(raw), "\n", " "))
+    parts = pc.split_pattern(plain, " ")
+    first = np.asarray(parts.offsets)
+    numbered = parts.flatten().dictionary_encode()
+    number = np.array(numbered.indices)
+    words = numbered.dictionary
+    # Lower-case Latin letters, and perhaps one mark after them (a match of its own).
+    simple = pc.match_substring_regex(words, "^[a-z\u00df-\u00f6\u00f8-\u00ff]+[,.]?$")
+    bodies = pc.utf8_rtrim(words.filter(simple), ",.").dictionary_encode()
+    known = cache.letters(_strings(bodies.dictionary))
+    marks = (b"", cache[","], cache["."])
+    tail = np.asarray(pc.ends_with(words, ",")) + 2 * np.asarray(pc.ends_with(words, "."))
+    easy = np.asarray(simple)
+    ids: list[bytes] = [b""] * len(words)
+    for i, body, m in zip(np.flatnonzero(easy).tolist(), np.asarray(bodies.indices).tolist(), tail[easy].tolist(), strict=True):
+        ids[i] = known[body] + marks[m]
+    for i, w in zip(np.flatnonzero(~easy).tolist(), _strings(words.filter(pc.invert(simple))), strict=True):
+        ids[i] = cache[w]
+    for i in np.flatnonzero(odd).tolist():  # encoded whole, as one more word of their own
+        ids.append(cache[raw[i].as_py()])
+        number[first[i]] = len(ids) - 1
+    size = np.array([len(x) // 4 for x in ids], np.int64)
+    flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+    count = size[number]
+    end = np.cumsum(count)
+    out = flat[np.repeat(start[number] - (end - count), count) + np.arange(int(end[-1]) if len(end) else 0)]
+    return out, np.concatenate([[0], end])[first]
