@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import FeedConfig
-from ..functions.scalars import jaccard
-
 SMOOTHING = 0.01
 
 
@@ -41,28 +39,41 @@ def _topic_share(reader: Column, topics: Column) -> Column:
 
 
 def build(scored: DataFrame, config: FeedConfig, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    """(keys, picks): picks is an array of id, total, topics, source in rank order."""
-    item = F.struct("id", "total", "topics", "source")
+    """(keys, picks): picks is an array of id, total, topics, source in rank order.
+
+    The fold's state holds the picks, the candidates left with their redundancy so far, and the slate's
+    mass on each reader topic.  A value used twice is bound once, by a transform over an
+    array of one: lambdas have no common subexpressions."""
+    item = F.struct("id", "total", "topics", "source", F.lit(0.0).alias("red"))
     users = contenders(scored, config).groupBy(*keys).agg(F.collect_list(item).alias("pool"), F.first("weights").alias("weights"))
     users = users.withColumn("reader", reader_distribution(F.col("weights")))
     kind = "array<struct<id:string,total:double,topics:array<string>,source:string>>"
-    start = F.struct(F.expr(f"cast(array() as {kind})").alias("picks"), F.transform("reader", lambda r: F.lit(0.0)).alias("mass"))
+    start = F.struct(F.expr(f"cast(array() as {kind})").alias("picks"), F.col("pool").alias("left"), F.transform("reader", lambda r: F.lit(0.0)).alias("mass"))
+    calibrated = config.rerank_strategy == "calibrated"
 
     def value(x: Column, state: Column) -> Column:
-        if config.rerank_strategy == "calibrated":
+        if calibrated:
             n = F.size(state["picks"]) + 1
             grown = F.zip_with(state["mass"], _topic_share(F.col("reader"), x["topics"]), lambda m, s: (m + s) / n)
             return (1.0 - config.calibration_weight) * x["total"] - config.calibration_weight * divergence(F.col("reader"), grown)
-        redundancy = F.coalesce(F.array_max(F.transform(state["picks"], lambda p: jaccard(x["topics"], p["topics"]))), F.lit(0.0))
-        return config.mmr_lambda * x["total"] - (1.0 - config.mmr_lambda) * redundancy
+        return config.mmr_lambda * x["total"] - (1.0 - config.mmr_lambda) * x["red"]
 
-    def pick(state: Column, _: Column) -> Column:
-        left = F.filter("pool", lambda x: ~F.exists(state["picks"], lambda p: p["id"] == x["id"]) & (F.size(F.filter(state["picks"], lambda p: p["source"] == x["source"])) < config.max_per_source))
-        rated = F.transform(left, lambda x: F.struct(value(x, state).alias("value"), x["total"].alias("total"), x["id"].alias("id"), x["topics"].alias("topics"), x["source"].alias("source")))
-        best = F.array_max(rated)
+    def after(state: Column, best: Column) -> Column:
         chosen = F.struct(best["id"].alias("id"), best["total"].alias("total"), best["topics"].alias("topics"), best["source"].alias("source"))
-        grown = F.struct(F.concat(state["picks"], F.array(chosen)).alias("picks"), F.zip_with(state["mass"], _topic_share(F.col("reader"), best["topics"]), lambda m, s: m + s).alias("mass"))
-        return F.when(F.size(left) == 0, state).otherwise(grown)
+        full = F.size(F.filter(state["picks"], lambda p: p["source"] == best["source"])) + 1 >= config.max_per_source
+        left = F.filter(state["left"], lambda x: (x["id"] != best["id"]) & ~(full & (x["source"] == best["source"])))
+        if not calibrated:
+            shared = lambda x: F.size(F.array_intersect(x["topics"], best["topics"])).cast("double")
+            alike = lambda x: F.element_at(F.transform(F.array(shared(x)), lambda c: c / (F.size(x["topics"]) + F.size(best["topics"]) - c)), 1)
+            left = F.transform(left, lambda x: F.struct(x["id"].alias("id"), x["total"].alias("total"), x["topics"].alias("topics"), x["source"].alias("source"), F.greatest(x["red"], alike(x)).alias("red")))
+            mass = state["mass"]
+        else:
+            mass = F.zip_with(state["mass"], _topic_share(F.col("reader"), best["topics"]), lambda m, s: m + s)
+        return F.struct(F.concat(state["picks"], F.array(chosen)).alias("picks"), left.alias("left"), mass.alias("mass"))
+
+    def pick(state: Column, _: Column) -> Column:
+        rated = F.transform(state["left"], lambda x: F.struct(value(x, state).alias("value"), x["total"].alias("total"), x["id"].alias("id"), x["topics"].alias("topics"), x["source"].alias("source")))
+        return F.element_at(F.transform(F.array(F.array_max(rated)), lambda best: F.when(best.isNull(), state).otherwise(after(state, best))), 1)
 
     made = F.aggregate(F.sequence(F.lit(1), F.lit(config.size)), start, pick)
     return users.select(*keys, made["picks"].alias("picks"), "reader")

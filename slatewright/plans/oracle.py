@@ -153,7 +153,7 @@ ORACLE_SQL: dict[str, str] = {
         " FROM parts p LEFT JOIN (SELECT t.user_id, t.id, string_agg(t.topic, ', ' ORDER BY t.topic) AS matched FROM (SELECT user_id, id, unnest(topics) AS topic FROM pairs) t JOIN readers r ON r.user_id = t.user_id AND r.topic = t.topic AND r.weight > 0 GROUP BY t.user_id, t.id) m ON m.user_id = p.user_id AND m.id = p.id",
         *FEED,
     ),
-    "p17_features": q("SELECT user_id, id, 7 AS n, round(1 + interest + freshness + quality + novelty + popularity + exploration, 6) AS sum FROM parts", *FEED),
+    "p17_features": q("SELECT user_id, id, CAST(7 AS BIGINT) AS n, round(1 + interest + freshness + quality + novelty + popularity + exploration, 6) AS sum FROM parts", *FEED),
     "j01_events_with_topics": q("SELECT c.topics[1] AS topic, e.kind, count(*) AS n FROM interactions e JOIN catalog c ON c.id = e.article_id GROUP BY c.topics[1], e.kind", CATALOG, EVENTS),
     "j02_unseen": q("SELECT user_id, id FROM pairs", *FEED),
     "j03_dangling": q(f"SELECT event_id FROM interactions WHERE article_id NOT IN (SELECT id FROM catalog WHERE published_us <= {AS_OF})", CATALOG, EVENTS),
@@ -167,7 +167,7 @@ ORACLE_SQL: dict[str, str] = {
     "j09_coverage": q("SELECT (SELECT count(*) FROM impressions i WHERE NOT EXISTS (SELECT 1 FROM impressions s WHERE s.score > 0.01 AND s.impression_id = i.impression_id AND s.article_id = i.article_id)) AS missing, (SELECT count(*) FROM impressions WHERE score > 0.09) AS extra", IMPRESSIONS),
     "j10_cohorts": q("SELECT cohort, count(*) AS users FROM cohorts GROUP BY cohort", EVENTS, COHORTS),
     "j13_known_terms": q("SELECT t.id, count(*) AS terms, CAST(sum(t.n) AS BIGINT) AS tokens FROM terms t JOIN vocabulary v ON v.feature = t.feature GROUP BY t.id", *TEXT),
-    "j14_merge": "SELECT 1 AS versions, count(DISTINCT doc_id) AS n FROM documents",
+    "j14_merge": "SELECT CAST(1 AS BIGINT) AS versions, count(DISTINCT doc_id) AS n FROM documents",
     "j15_history": q("SELECT DISTINCT i.impression_id, coalesce(h.clicks, 0) AS clicks FROM impressions i LEFT JOIN (SELECT user_id, count(*) AS clicks FROM impressions WHERE clicked = 1 GROUP BY user_id) h ON h.user_id = i.user_id", IMPRESSIONS),
     "a01_strengths": q("SELECT user_id, topic, round(total, 6) AS total FROM totals", CATALOG, EVENTS, profile_views()),
     "a02_weights": q("SELECT user_id, topic, round(weight, 6) AS weight FROM readers", CATALOG, EVENTS, profile_views()),
@@ -202,7 +202,7 @@ ORACLE_SQL: dict[str, str] = {
     "w03_counts_before": q("SELECT e.event_id, count(h.event_id) AS before FROM interactions e LEFT JOIN interactions h ON h.user_id = e.user_id AND h.occurred_us < e.occurred_us GROUP BY e.event_id", EVENTS),
     "w04_prior_clicks": q("SELECT e.event_id, count(h.event_id) AS clicks, max_by(h.article_id, h.occurred_us) AS last_click FROM interactions e LEFT JOIN interactions h ON h.user_id = e.user_id AND h.occurred_us < e.occurred_us AND h.kind = 'click' GROUP BY e.event_id", EVENTS),
     "w05_ranks": q("SELECT impression_id, article_id, row_number() OVER (PARTITION BY impression_id ORDER BY score DESC, pos) AS rank FROM impressions", IMPRESSIONS),
-    "w06_watermark": q("SELECT event_id, mark, occurred_us < mark AS late FROM (SELECT event_id, occurred_us, max(occurred_us) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000000 AS mark FROM interactions) x", EVENTS),
+    "w06_watermark": q("SELECT event_id, coalesce(mark, 0) AS mark, coalesce(occurred_us < mark, FALSE) AS late FROM (SELECT event_id, occurred_us, max(occurred_us) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 3600000000 AS mark FROM interactions) x", EVENTS),
     "w10_sortedness": q("SELECT user_id, count(*) FILTER (WHERE back) AS steps_back FROM (SELECT user_id, occurred_us < lag(occurred_us) OVER (PARTITION BY user_id ORDER BY event_id) AS back FROM interactions) x GROUP BY user_id", EVENTS),
     "w12_mid_ranks": q("SELECT impression_id, article_id, round(rank() OVER (PARTITION BY impression_id ORDER BY score) + (count(*) OVER (PARTITION BY impression_id, score) - 1) / CAST(2 AS DOUBLE), 6) AS mid_rank FROM impressions", IMPRESSIONS),
     "o01_order": q("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY occurred_us, event_id) AS place FROM interactions", EVENTS),
@@ -213,7 +213,7 @@ ORACLE_SQL: dict[str, str] = {
     "u02_differences": q("SELECT id, 'never seen' AS side FROM (SELECT id FROM catalog EXCEPT SELECT article_id FROM interactions) a UNION ALL SELECT article_id, 'unknown' FROM (SELECT article_id FROM interactions EXCEPT SELECT id FROM catalog) b", CATALOG, EVENTS),
     "u03_overlap": q(f"SELECT article_id FROM interactions WHERE occurred_us < {AS_OF} INTERSECT SELECT article_id FROM interactions WHERE occurred_us >= {AS_OF}", EVENTS),
     "u04_duplicates": q("SELECT user_id, article_id, count(*) AS n FROM interactions GROUP BY user_id, article_id HAVING count(*) > 1", EVENTS),
-    "u05_equality": "SELECT 0 AS missing, 0 AS extra, 0 AS twice",
+    "u05_equality": "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS twice",
     "f02_exploration": q("SELECT event_id, round(CAST(CAST('0x' || substr(sha256(user_id || chr(0) || article_id), 1, 16) AS UBIGINT) AS DOUBLE) / CAST(18446744073709551616 AS DOUBLE), 9) AS value FROM interactions", EVENTS),
     "f05_sigmoid": "SELECT event_id, round(1 / (1 + exp(-(value - 250) / 10)), 9) AS p FROM events",
     "f07_softmax": q("SELECT impression_id, article_id, round(exp(score) / sum(exp(score)) OVER (PARTITION BY impression_id), 9) AS p FROM impressions", IMPRESSIONS),

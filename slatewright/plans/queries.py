@@ -154,7 +154,7 @@ def p16_reasons(spark, d):
 
 
 def p17_features(spark, d):
-    return scoring.features(_scored(spark, d)).select("user_id", "id", F.size("features").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("sum"))
+    return scoring.features(_scored(spark, d)).select("user_id", "id", F.size("features").cast("long").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("sum"))
 
 
 def p18_constraints(spark, d):
@@ -357,13 +357,13 @@ def w04_prior_clicks(spark, d):
 
 
 def w05_ranks(spark, d):
-    return impressions.ranks(B.impressions(spark, d)).select("impression_id", "article_id", "rank")
+    return impressions.ranks(B.impressions(spark, d)).select("impression_id", "article_id", F.col("rank").cast("long").alias("rank"))
 
 
 def w06_watermark(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     e = B.interactions(spark, d).withColumn("mark", F.max("occurred_us").over(w) - F.lit(3_600_000_000))
-    return e.select("event_id", "mark", (F.col("occurred_us") < F.col("mark")).alias("late"))
+    return e.select("event_id", F.coalesce("mark", F.lit(0)).alias("mark"), F.coalesce(F.col("occurred_us") < F.col("mark"), F.lit(False)).alias("late"))
 
 
 def w10_sortedness(spark, d):
@@ -381,13 +381,13 @@ def w12_mid_ranks(spark, d):
 
 def o01_order(spark, d):
     w = Window.partitionBy("user_id").orderBy("occurred_us", "event_id")
-    return B.interactions(spark, d).select("event_id", F.row_number().over(w).alias("place"))
+    return B.interactions(spark, d).select("event_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 def o02_top_k(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("total"), "id")
     s = _scored(spark, d).select("user_id", "id", F.round("total", 6).alias("total"))
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("user_id", "id", "rank")
+    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("user_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 def o04_best(spark, d):
@@ -397,7 +397,7 @@ def o04_best(spark, d):
 
 def o05_vocabulary(spark, d):
     terms = _terms(spark, d)
-    return _vocabulary(spark, d, terms).select("feature", F.row_number().over(Window.orderBy("feature")).alias("position"))
+    return _vocabulary(spark, d, terms).select("feature", F.row_number().over(Window.orderBy("feature")).cast("long").alias("position"))
 
 
 def u01_union(spark, d):
@@ -442,7 +442,7 @@ def f07_softmax(spark, d):
 
 
 def f08_tokens(spark, d):
-    return B.read(spark, d, "documents").select("doc_id", F.size(S.tokens(F.col("text"))).alias("n"), F.size(F.array_distinct(S.tokens(F.col("text")))).alias("distinct_n"))
+    return B.read(spark, d, "documents").select("doc_id", F.size(S.tokens(F.col("text"))).cast("long").alias("n"), F.size(F.array_distinct(S.tokens(F.col("text")))).cast("long").alias("distinct_n"))
 
 
 def f10_vectors(spark, d):
@@ -477,7 +477,7 @@ def f21_digests(spark, d):
 
 
 def r01_profiles(spark, d):
-    return _profiles(spark, d).select("user_id", F.size("weights").alias("topics"), F.size("seen").alias("seen"), "event_count")
+    return _profiles(spark, d).select("user_id", F.size("weights").cast("long").alias("topics"), F.size("seen").cast("long").alias("seen"), "event_count")
 
 
 def r02_candidates(spark, d):
@@ -485,11 +485,11 @@ def r02_candidates(spark, d):
 
 
 def r05_feeds_mmr(spark, d):
-    return slates.feeds(_scored(spark, d), CONFIG).select("user_id", "rank", "article_id", *r6("score"))
+    return slates.feeds(_scored(spark, d), CONFIG).select("user_id", F.col("rank").cast("long").alias("rank"), "article_id", *r6("score"))
 
 
 def r04_feeds_calibrated(spark, d):
-    return slates.feeds(_scored(spark, d), CONFIG.with_(rerank_strategy="calibrated")).select("user_id", "rank", "article_id", *r6("score"))
+    return slates.feeds(_scored(spark, d), CONFIG.with_(rerank_strategy="calibrated")).select("user_id", F.col("rank").cast("long").alias("rank"), "article_id", *r6("score"))
 
 
 def m06_leave_last_out(spark, d):
@@ -532,7 +532,7 @@ def l02_predict(spark, d):
     coef = F.array(*[F.lit(x) for x in (-1.0, 1.2, 0.3, 0.8, 0.1, 0.6, 0.0)])
     p = scoring.features(_scored(spark, d)).select("user_id", "id", F.round(S.sigmoid(S.dot(F.col("features"), coef)), 6).alias("p"))
     w = Window.partitionBy("user_id").orderBy(F.desc("p"), "id")
-    return p.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    return p.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
 
 
 def l07_affinity(spark, d):
