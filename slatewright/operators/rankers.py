@@ -184,7 +184,8 @@ def slate_features(candidates: DataFrame, catalog: DataFrame, config: FeedConfig
     return e.select("impression_id", "user_id", "id", "occurred_us", "clicked", F.array(F.lit(1.0), *[F.col(c) for c in COMPONENTS]).alias("features"))
 
 
-def _slates(featured: DataFrame) -> list[list]:
+def slates(featured: DataFrame) -> list[list]:
+    """Features and labels of impressions with both labels, in order of time."""
     rows = _limit(featured, "training").orderBy("occurred_us", "impression_id", "id").collect()
     out: dict[object, list] = {}
     for r in rows:
@@ -193,12 +194,11 @@ def _slates(featured: DataFrame) -> list[list]:
 
 
 def fit_pairwise(featured: DataFrame, **how) -> Ranker:
-    slates = _slates(featured)
-    return Ranker("pairwise", **how).fit_pairs([([v for v, c in s if c], [v for v, c in s if not c]) for s in slates])
+    return Ranker("pairwise", **how).fit_pairs([([v for v, c in s if c], [v for v, c in s if not c]) for s in slates(featured)])
 
 
 def fit_listwise(featured: DataFrame, **how) -> Ranker:
-    return Ranker("listwise", **how).fit_lists([([v for v, _ in s], [c for _, c in s]) for s in _slates(featured)])
+    return Ranker("listwise", **how).fit_lists([([v for v, _ in s], [c for _, c in s]) for s in slates(featured)])
 
 
 def check_disjoint(train: DataFrame, held_out: DataFrame, key: str = "impression_id") -> None:
