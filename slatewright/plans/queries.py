@@ -103,12 +103,15 @@ def p05_eligible(spark, d):
 
 
 def p06_available(spark, d):
+    """Articles published by each holdout: whole earlier days by a running sum over days,
+    the holdout's own day by an equi-join; no theta join over the catalog."""
     held, c = _holdouts(spark, d), B.catalog(spark, d)
-    # Articles published by a time: a rank in the sorted union of both, no theta join.
-    both = c.select(F.col("published_us").alias("t"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("user_id")).union(held.select("holdout_us", F.lit(1), "user_id"))
-    upto = Window.orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0)
-    daily = both.withColumn("n", F.count_if(F.col("k") == 0).over(upto))
-    return daily.where("k = 1").select("user_id", "n")
+    day = lambda t: F.floor(F.col(t) / 86_400_000_000).alias("day")
+    daily = c.select(day("published_us"), F.lit(1).alias("one")).union(held.select(day("holdout_us"), F.lit(0))).groupBy("day").agg(F.sum("one").alias("n"))
+    before = daily.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = held.select("user_id", "holdout_us", day("holdout_us"))
+    same = own.join(c.select(day("published_us"), "published_us"), "day").where("published_us <= holdout_us").groupBy("user_id").agg(F.count("*").alias("same"))
+    return own.join(before, "day").join(same, "user_id", "left").select("user_id", (F.col("before") + F.coalesce("same", F.lit(0))).alias("n"))
 
 
 def p07_positives(spark, d):
