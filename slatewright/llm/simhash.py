@@ -328,13 +328,13 @@ def components_of(spark: SparkSession, df: DataFrame, *, words: int = WORDS, buc
     return prints.join(groups(spark, prints, bucket=bucket), "fp").select("doc_id", hexed, "component_id")
 
 
-def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int = 8, check_distance: int = 14) -> DataFrame:
+def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int = 8, check_distance: int = 12) -> DataFrame:
     """The rows but for near copies: of each group the row of the smallest doc_id stays.
 
     Near copies have a similarity of about 0.8 or more on shingles of ``words`` words.
     Candidates are within ``distance`` bits by fingerprints of WORDS-word shingles, which
-    edits touch less, and are verified by a second fingerprint of ``words``-word shingles:
-    at a similarity of 0.8 an angle of about 27 degrees turns 10 of 64 bits on average.
+    edits touch less, and are verified by a second fingerprint of ``words``-word shingles,
+    that a similarity of 0.8 (an angle of about 27 degrees) moves by 10 of 64 bits on average.
     Rows with equal fingerprints that have no doc_id, or the same one, are all but one
     dropped as well."""
     names = df.columns
