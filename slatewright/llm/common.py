@@ -60,9 +60,18 @@ def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], s
             if out is not None and out.num_rows:
                 yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB where the session has Spark's default of 64: rows of text
+    pass through buffers of the JVM and of Python, several at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") in ("67108864", "64m"):
+        spark.conf.set(name, "8m")
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
@@ -83,6 +92,7 @@ def shared_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, the rows
     survive the loss of any executor, and each is computed once.  Removed at exit."""
+    small_batches(spark)
     path = f"{shared_dir(spark)}/slatewright/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
