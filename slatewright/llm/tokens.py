@@ -171,7 +171,7 @@ class Chunks(dict):
 
 
 #: White space besides the ASCII blanks, and separators that some engines count as it.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 DOUBLE_SPACE = re.compile(r"[ \t-\r][ \t-\r]")
 RUNS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
