@@ -242,4 +242,26 @@ ORACLE_SQL: dict[str, str] = {
     "t04_late": q("SELECT e.user_id, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM interactions h WHERE h.user_id = e.user_id AND h.event_id < e.event_id AND h.occurred_us - 86400000000 > e.occurred_us)) AS late FROM interactions e GROUP BY e.user_id", EVENTS),
     "t09_profile_at": q("SELECT user_id, topic, round(weight, 6) AS weight FROM readers", CATALOG, EVENTS, profile_views(str(AS_OF + 5 * 86_400_000_000))),
     "x_hourly_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY date_trunc('hour', ts), event_type",
+    "a23_row_digests": q("SELECT impression_id, article_id, sha256(CAST(impression_id AS VARCHAR) || ':' || CAST(article_id AS VARCHAR) || ':' || CAST(clicked AS VARCHAR)) AS digest FROM impressions", IMPRESSIONS),
+    "a25_active_users": q(f"SELECT DISTINCT user_id FROM interactions WHERE occurred_us <= {AS_OF}", EVENTS),
+    "f01_decay": q(f"SELECT event_id, round(pow(CAST(0.5 AS DOUBLE), ({AS_OF} - occurred_us) / CAST(86400000000 AS DOUBLE) / 30), 9) AS decay FROM interactions WHERE occurred_us <= {AS_OF}", EVENTS),
+    "f04_jaccard": "SELECT doc_id, round(CASE WHEN doc_id % 7 = doc_id % 5 THEN 2 / CAST(3 AS DOUBLE) ELSE 1 / CAST(4 AS DOUBLE) END, 9) AS similarity FROM documents",
+    "f16_utc_text": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS text FROM events",
+    "f18_us_times": "SELECT event_id, epoch_us(date_trunc('second', ts)) + 28800000000 AS at_us FROM events",
+    "f25_maps": q("SELECT user_id, kind, CASE WHEN kind = 'hide' THEN count(*) ELSE 2 * count(*) END AS n FROM interactions GROUP BY user_id, kind", EVENTS),
+    "l04_slate_features": q(
+        """SELECT i.impression_id, CAST(i.article_id AS VARCHAR) AS id, round((coalesce(sum(m.total / m.scale) / 2, 0) + 1) / 2, 6) AS interest,
+  CASE WHEN EXISTS (SELECT 1 FROM clicks k WHERE k.user_id = i.user_id AND k.article_id = i.article_id AND k.t < i.occurred_us) THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS novelty
+FROM impressions i JOIN tops c ON c.article_id = i.article_id LEFT JOIN merits m ON m.user_id = i.user_id AND m.t = i.occurred_us AND list_contains(c.topics, m.topic) GROUP BY i.impression_id, i.article_id, i.user_id, i.occurred_us""",
+        IMPRESSIONS,
+        "tops AS (SELECT p_partkey AS article_id, [p_brand, split_part(p_type, ' ', 1)] AS topics FROM part)",
+        "clicks AS (SELECT i.user_id, i.article_id, i.occurred_us AS t, c.topics FROM impressions i JOIN tops c ON c.article_id = i.article_id WHERE clicked = 1)",
+        "moments AS (SELECT DISTINCT user_id, occurred_us AS t FROM impressions)",
+        "sums AS (SELECT m.user_id, m.t, k.topic, sum(CAST(0.7 AS DOUBLE) / 2 * pow(CAST(0.5 AS DOUBLE), (m.t - k.t) / CAST(86400000000 AS DOUBLE) / 30)) AS total FROM moments m JOIN (SELECT user_id, t, unnest(topics) AS topic FROM clicks) k ON k.user_id = m.user_id AND k.t < m.t GROUP BY m.user_id, m.t, k.topic)",
+        "merits AS (SELECT user_id, t, topic, total, max(total) OVER (PARTITION BY user_id, t) AS scale FROM sums)",
+    ),
+    "l08_text_history": q(
+        "SELECT user_id, count(*) AS features, round(sum(weight), 5) AS sum, round(sqrt(sum(weight * weight)), 5) AS norm FROM history GROUP BY user_id",
+        CATALOG, EVENTS, profile_views(), *TEXT, VECTORS, "named AS (SELECT 'd' || lpad(CAST(id AS VARCHAR), 12, '0') AS id, feature, weight FROM vectors)", f"history AS (SELECT e.user_id, v.feature, sum(({SIGNAL}) * e.weight * v.weight) AS weight FROM visible e JOIN named v ON v.id = e.article_id GROUP BY e.user_id, v.feature)",
+    ),
 }

@@ -579,4 +579,70 @@ def x_hourly_windows(spark, d):
     return e.groupBy("w", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")).select(F.unix_micros("w.start").alias("start_us"), "event_type", "n", "value")
 
 
+# ------------------------------------------------------------------ single functions and parts
+
+
+def a23_row_digests(spark, d):
+    return B.impressions(spark, d).select("impression_id", "article_id", F.sha2(F.concat_ws(":", F.col("impression_id").cast("string"), F.col("article_id").cast("string"), F.col("clicked").cast("string")), 256).alias("digest"))
+
+
+def a25_active_users(spark, d):
+    return B.interactions(spark, d).where(F.col("occurred_us") <= AS_OF).select("user_id").distinct()
+
+
+def f01_decay(spark, d):
+    age = (F.lit(AS_OF) - F.col("occurred_us")) / S.MICROS_PER_DAY
+    return B.interactions(spark, d).where(F.col("occurred_us") <= AS_OF).select("event_id", F.round(S.exponential_decay(age, 30.0), 9).alias("decay"))
+
+
+def f04_jaccard(spark, d):
+    n = F.col("doc_id")
+    a, b = F.array("lang", F.concat(F.lit("t"), (n % 7).cast("string"))), F.array("lang", F.concat(F.lit("t"), (n % 5).cast("string")), F.lit("x"))
+    return B.read(spark, d, "documents").select("doc_id", F.round(S.jaccard(a, b), 9).alias("similarity"))
+
+
+def f16_utc_text(spark, d):
+    return B.read(spark, d, "events").select("event_id", S.utc_text(F.col("ts").cast("timestamp")).alias("text"))
+
+
+def f18_us_times(spark, d):
+    text = F.date_format(F.col("ts").cast("timestamp"), "M/d/yyyy h:mm:ss a")
+    return B.read(spark, d, "events").select("event_id", F.unix_micros(S.behavior_timestamp(text, "-08:00")).alias("at_us"))
+
+
+def f25_maps(spark, d):
+    """Merge-add of two maps, as a long-form sum."""
+    e = B.interactions(spark, d).groupBy("user_id", "kind").agg(F.count("*").alias("n"))
+    maps = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("m"))
+    twice = F.map_zip_with("m", F.map_filter("m", lambda k, v: k != "hide"), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return maps.select("user_id", F.explode(twice).alias("kind", "n"))
+
+
+def l04_slate_features(spark, d):
+    """Features of logged slates over a catalog made of the candidates' parts."""
+    from ..operators import rankers
+
+    p = B.read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.array("p_brand", F.element_at(F.split("p_type", " "), 1)).alias("topics"), F.col("p_brand").alias("source"), F.lit(0).cast("long").alias("published_us"), F.lit(0.5).alias("quality"), (F.col("p_size") / 50.0).alias("popularity"))
+    shown = B.impressions(spark, d).withColumn("article_id", F.col("article_id").cast("string")).withColumn("user_id", F.col("user_id").cast("string"))
+    made = rankers.slate_features(shown, p, CONFIG)
+    return made.select("impression_id", "id", F.round(F.element_at("features", 2), 6).alias("interest"), F.element_at("features", 5).alias("novelty"))
+
+
+def l08_text_history(spark, d):
+    terms = _terms(spark, d)
+    v = text.vectors(terms, _vocabulary(spark, d, terms)).withColumn("id", B.article_id(F.col("id")))
+    h = text.history(_visible(spark, d), v, profiles.signal(F.col("kind"), CONFIG))
+    return h.groupBy("user_id").agg(F.count("*").alias("features"), F.round(F.sum("weight"), 5).alias("sum"), F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 5).alias("norm"))
+
+
+def m07_interval(spark, d):
+    r = logged.interval(spark, logged.observations(B.interactions(spark, d)), resamples=200)
+    return spark.createDataFrame([(r["users"], r["estimate"], r["lower"], r["upper"], r["reason"])], "users long, estimate double, lower double, upper double, reason string")
+
+
+def m10_resampled(spark, d):
+    made = logged.resampled(spark, logged.user_totals(logged.observations(B.interactions(spark, d))), 50, 7)
+    return made.select("draw", *r6("estimate"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and not n.startswith("_") and n[0] in "spjawoufrmltx" and "_" in n and getattr(f, "__module__", "") == __name__}
