@@ -69,6 +69,24 @@ def slate_views(source: str = "scored", size: int = 10, cap: int = 2, lam: float
 final AS (SELECT s.* FROM slates s JOIN (SELECT user_id, max(step) AS step FROM slates GROUP BY user_id) m ON m.user_id = s.user_id AND m.step = s.step)"""
 
 
+def calibrated_views(size: int = 10, cap: int = 2, weight: float = 0.5) -> str:
+    """Greedy slates by relevance less divergence; mass runs along the reader's topics."""
+    share = "(CASE WHEN list_contains(c.topics, s.rt[j]) THEN 1 / CAST(len(c.topics) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
+    kl = f"greatest(CAST(0 AS DOUBLE), coalesce(list_sum(list_transform(range(1, len(s.rt) + 1), lambda j: s.rs[j] * ln(s.rs[j] / ({lit(0.99)} * ((s.mass[j] + {share}) / (s.step + 1)) + {lit(0.01)} * s.rs[j])))), 0))"
+    grown = "list_transform(range(1, len(rt) + 1), lambda j: mass[j] + CASE WHEN list_contains(topics, rt[j]) THEN 1 / CAST(len(topics) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
+    return f"""positive AS (SELECT user_id, topic, weight / sum(weight) OVER (PARTITION BY user_id) AS share FROM readers WHERE weight > 0),
+tastes AS (SELECT u.user_id, coalesce(t.rt, CAST([] AS VARCHAR[])) AS rt, coalesce(t.rs, CAST([] AS DOUBLE[])) AS rs FROM users u LEFT JOIN (SELECT user_id, list(topic ORDER BY topic) AS rt, list(share ORDER BY topic) AS rs FROM positive GROUP BY user_id) t ON t.user_id = u.user_id),
+slates AS (
+  SELECT user_id, 0 AS step, rt, rs, list_transform(rs, lambda x: CAST(0 AS DOUBLE)) AS mass, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS sources, CAST([] AS DOUBLE[]) AS scores FROM tastes
+  UNION ALL
+  SELECT user_id, step + 1, rt, rs, {grown}, list_append(ids, id), list_append(sources, source), list_append(scores, total) FROM (
+    SELECT s.user_id, s.step, s.rt, s.rs, s.mass, s.ids, s.sources, s.scores, c.id, c.topics, c.source, c.total,
+           row_number() OVER (PARTITION BY s.user_id ORDER BY {lit(1 - weight)} * c.total - {lit(weight)} * {kl} DESC, c.total DESC, c.id DESC) AS n
+    FROM slates s JOIN scored c ON c.user_id = s.user_id
+    WHERE s.step < {size} AND NOT list_contains(s.ids, c.id) AND len(list_filter(s.sources, lambda x: x = c.source)) < {cap}) picks WHERE n = 1),
+final AS (SELECT s.* FROM slates s JOIN (SELECT user_id, max(step) AS step FROM slates GROUP BY user_id) m ON m.user_id = s.user_id AND m.step = s.step)"""
+
+
 def loo_views(config: FeedConfig = C) -> str:
     """Leave-last-out: holdouts, strict histories and scores as of each holdout."""
     w = config.weights()
@@ -226,6 +244,7 @@ ORACLE_SQL: dict[str, str] = {
     "r01_profiles": q("SELECT v.user_id, (SELECT count(*) FROM readers r WHERE r.user_id = v.user_id) AS topics, count(DISTINCT v.article_id) AS seen, count(*) AS event_count FROM visible v GROUP BY v.user_id", CATALOG, EVENTS, profile_views()),
     "r02_candidates": q("SELECT user_id, count(*) AS n, round(avg(total), 6) AS mean, round(max(total), 6) AS best FROM scored GROUP BY user_id", *FEED),
     "r05_feeds_mmr": q("SELECT f.user_id, i.i AS rank, f.ids[i.i] AS article_id, round(f.scores[i.i], 6) AS score FROM final f, range(1, 11) i(i) WHERE i.i <= len(f.ids)", *FEED, slate_views(), recursive=True),
+    "r04_feeds_calibrated": q("SELECT f.user_id, i.i AS rank, f.ids[i.i] AS article_id, round(f.scores[i.i], 6) AS score FROM final f, range(1, 11) i(i) WHERE i.i <= len(f.ids)", *FEED, calibrated_views(), recursive=True),
     "m06_leave_last_out": q("SELECT user_id, holdout_id, array_to_string(ids, ',') AS ranked_ids, " + ", ".join(f"round({m}, 6) AS {m}" for m in MEANS) + " FROM samples", *LOO, recursive=True),
     "m06_macro": q(f"SELECT count(*) AS users, {AVERAGES} FROM samples", *LOO, recursive=True),
     "m09_policies": _policy_sql(policies(C, 10, 10**9)),
