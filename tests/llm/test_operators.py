@@ -368,6 +368,13 @@ def test_licenses_held_out():
     assert hits / len(made) > 0.95
 
 
+def test_licenses_families_and_unknown(spark):
+    texts = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under the Eclipse Public License, Version 2.0.", "Licensed under the Frobnicator Terms of 1999.", "a driving licence is required", "Licensed under CC BY-NC-SA 4.0."]
+    got = {r["doc_id"]: r for r in licenses.report(docs_frame(spark, texts)).collect()}
+    assert [got[i]["license"] for i in range(6)] == ["CC-BY-NC", "CC-BY-SA", "EPL", "unknown", "none", "CC-BY-NC-SA"]
+    assert (got[3]["n_paragraphs"], got[3]["paragraph"], got[4]["paragraph"]) == (0, 0, -1)
+
+
 def test_licenses_run_no_python(spark):
     plan = licenses.report(docs_frame(spark, ["x"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
