@@ -1,6 +1,6 @@
 """Operator 7: licence scans, in DataFrame functions alone.
 
-A paragraph (a line) is classified by sparse multinomial logistic regression on the
+A paragraph (a line, alone and joined with the words after it, as notices are wrapped) is classified by sparse multinomial logistic regression on the
 presence of word one- and two-grams: a licence family, or unknown.  The model is fitted
 on the driver, in numpy, on a bounded set of paragraphs made from templates and counter-examples by
 a seed; it never sees the corpus.  Probabilities are calibrated by a temperature.  A
@@ -12,6 +12,7 @@ Every feature holds one of STEMS, or of MARKS, which count beside a stem only; a
 paragraph without any stem is unknown by the intercepts (checked when fitting); such paragraphs are not cut in words.
 Weights travel as one literal map, features times families: no join and no shuffle.
 
+A wrapped notice that is repeated within the length of the longest template counts once.
 Null and empty texts have no paragraphs and licence ``none``.  Ties go to the earlier
 paragraph, then to the alphabetically first family.  Repeated rows give equal rows; an
 empty table gives an empty table; extra columns are ignored.  Texts are read whole.
@@ -194,9 +195,10 @@ def paragraphs(df: DataFrame, *, model: Model | None = None, probability: float
         return F.struct(s["at"].alias("at"), i.alias("place"), s["line"].alias("line"), rest.alias("rest"))
 
     def units(s: Column) -> Column:
-        """The line alone."""
+        """The line alone, and joined with the words after it."""
         own = F.struct(s["at"].alias("at"), s["place"].alias("place"), s["line"].alias("line"), F.lit("").alias("rest"), F.lit(False).alias("joined"))
-        return F.array(own)
+        both = F.struct(s["at"].alias("at"), s["place"].alias("place"), F.concat_ws(" ", s["line"], s["rest"]).alias("line"), s["rest"].alias("rest"), F.lit(True).alias("joined"))
+        return F.array(own, both)
 
     def two_grams(w: Column) -> Column:
         return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))

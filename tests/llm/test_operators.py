@@ -375,6 +375,16 @@ def test_licenses_families_and_unknown(spark):
     assert (got[3]["n_paragraphs"], got[3]["paragraph"], got[4]["paragraph"]) == (0, 0, -1)
 
 
+def test_licenses_wrapped(spark):
+    bsd = "Some file\n\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n"
+    gpl = "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    narrow = "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy of this\nsoftware and associated\ndocumentation files"
+    texts = [bsd, gpl, narrow, "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."]
+    got = {r["doc_id"]: r for r in licenses.report(docs_frame(spark, texts)).collect()}
+    assert [(got[i]["licenses"], got[i]["n_paragraphs"]) for i in range(4)] == [("BSD", 1), ("GPL-3.0", 1), ("MIT", 1), ("Apache-2.0,MIT", 2)]
+    assert [got[i]["paragraph"] for i in range(3)] == [2, 0, 0]
+
+
 def test_licenses_run_no_python(spark):
     plan = licenses.report(docs_frame(spark, ["x"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
