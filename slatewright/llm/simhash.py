@@ -22,6 +22,7 @@ empty table; extra columns are ignored; texts are read whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,6 +40,8 @@ WORDS = 3
 SEED = 42
 #: Members of a bucket that one task joins; a larger bucket is split.
 BUCKET = 4096
+#: Similarity of near copies; bucket size up to which all its pairs are compared.
+SIMILAR, EVERY = 0.8, 32
 
 _BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
@@ -61,16 +64,20 @@ def hashes(text: bytes, words: int = WORDS) -> list[int]:
 
 def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
     """Unsigned fingerprints."""
-    each = [hashes(t, words) for t in texts]
+    return majority([hashes(t, words) for t in texts])
+
+
+def majority(each: list[list[int]]) -> np.ndarray:
+    """Unsigned fingerprints of lists of hashes."""
     counts = np.array([len(x) for x in each], np.int64)
     flat = np.fromiter((x for one in each for x in one), np.uint64, int(counts.sum()))
-    ones = np.zeros((len(texts), BITS), np.int64)
-    doc = np.repeat(np.arange(len(texts)), counts)
+    ones = np.zeros((len(each), BITS), np.int64)
+    doc = np.repeat(np.arange(len(each)), counts)
     lanes = flat.view(np.uint8).reshape(-1, 8)
     step = 256  # documents at a time, which bounds the histograms
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    for i in range(0, len(texts), step):
-        j = min(len(texts), i + step)
+    for i in range(0, len(each), step):
+        j = min(len(each), i + step)
         part = slice(bounds[i], bounds[j])
         base = (doc[part] - i) * 256
         for lane in range(8):
@@ -247,7 +254,21 @@ def forest(node: np.ndarray, fp: np.ndarray, check: np.ndarray, probe: np.ndarra
     return out
 
 
-def _join(distance: int, check_distance: int):
+def closest(node: np.ndarray, fp: np.ndarray, check: np.ndarray, probe: np.ndarray, distance: int, check_distance: int) -> list[tuple[int, int]]:
+    """Pairs of a bucket to compare exactly: every one where few members meet, else the
+    edges of spanning forests by rising distance of the second fingerprint."""
+    index = np.flatnonzero(~probe)
+    if len(node) <= EVERY:
+        near = (np.bitwise_count(fp[:, None] ^ fp[index]) <= distance) & (np.bitwise_count(check[:, None] ^ check[index]) <= check_distance)
+        rows, cols = np.nonzero(near & (node[:, None] != node[index]))
+        return list(zip(node[rows].tolist(), node[index[cols]].tolist(), strict=True))
+    out: list[tuple[int, int]] = []
+    for level in range(0, check_distance + 1, 4):
+        out += forest(node, fp, check, probe, distance, level)
+    return out
+
+
+def _join(distance: int, check_distance: int, pairs=forest):
     """Buckets stream by in order of (g, key, salt); a bucket ends where they change."""
 
     def edges(block: np.ndarray) -> list[tuple[int, int]]:
@@ -256,13 +277,13 @@ def _join(distance: int, check_distance: int):
         bounds = np.concatenate([[0], change, [len(block)]])
         for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
             part = block[bounds[i] : bounds[i + 1]]
-            out += forest(part[:, 3], part[:, 4].copy().view(np.uint64), part[:, 5].copy().view(np.uint64), part[:, 6] != 0, distance, check_distance)
+            out += pairs(part[:, 3], part[:, 4].copy().view(np.uint64), part[:, 5].copy().view(np.uint64), part[:, 6] != 0, distance, check_distance)
         return out
 
     def emit(rows: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         if rows:
-            pairs = np.array(rows, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            made = np.array(rows, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -285,15 +306,19 @@ def _join(distance: int, check_distance: int):
     return run
 
 
-def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, check_distance: int = BITS, bucket: int = BUCKET) -> DataFrame:
+def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, check_distance: int = BITS, bucket: int = BUCKET, pairs=forest, more: DataFrame | None = None, within: int | None = None) -> DataFrame:
     """Edges (a, b) over ``nodes(node, fp, check)`` whose components are those of all
-    links.  Where a second fingerprint, check, is given, links must agree on it too."""
+    links.  Where a second fingerprint, check, is given, links must agree on it too.
+    ``more`` are further buckets (g, key, node, fp, check); rows that meet in a bucket
+    link at ``within`` bits, if given, instead of ``distance``."""
     n, both = bit_counts(nodes)
     if n < 2:
         return spark.createDataFrame([], "a long, b long")
     search = plan(n, both, distance)
     own = nodes.select("node", "fp", "check")
     index = own.mapInArrow(_rows(search, True), "g int, key long, node long, fp long, check long")
+    if more is not None:
+        index = index.union(more.select("g", "key", "node", "fp", "check"))
     probes = own.mapInArrow(_rows(search, False), "g int, key long, node long, fp long, check long")
     # Large buckets only; their number is at most the index rows over the bucket size.
     hot = index.groupBy("g", "key").count().where(F.col("count") > bucket).select("g", "key", F.ceil(F.col("count") / bucket).cast("int").alias("salts"))
@@ -309,7 +334,7 @@ def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, ch
         rows = dealt.drop("salts").union(lone(probes).select("g", "key", every, *cols, one.alias("probe"))).union(across)
     else:
         rows = index.select("g", "key", zero.alias("salt"), *cols, zero.alias("probe")).union(probes.select("g", "key", zero.alias("salt"), *cols, one.alias("probe")))
-    return rows.repartition("g", "key", "salt").sortWithinPartitions("g", "key", "salt").mapInArrow(_join(distance, check_distance), "a long, b long")
+    return rows.repartition("g", "key", "salt").sortWithinPartitions("g", "key", "salt").mapInArrow(_join(distance if within is None else within, check_distance, pairs), "a long, b long")
 
 
 def groups(spark: SparkSession, prints: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
@@ -328,28 +353,55 @@ def components_of(spark: SparkSession, df: DataFrame, *, words: int = WORDS, buc
     return prints.join(groups(spark, prints, bucket=bucket), "fp").select("doc_id", hexed, "component_id")
 
 
-def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int = 8, check_distance: int = 12) -> DataFrame:
+def similar(spark: SparkSession, edges: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The ``edges(a, b)`` whose ``texts(row, text)`` have a Jaccard similarity of at least
+    ``least`` on the sets of their shingles."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(np.array(hashes(t, words), np.uint64)).view(np.int64) for t in utf8(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "set"])
+
+    edges = table(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    some = edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct()
+    sets = table(spark, arrow_map(texts.join(some, "row", "left_semi").select("row", "text"), work, "row long, set array<long>"), "sets")
+    both = edges.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    shared = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
+    return shared.where(F.col("shared") >= F.lit(least) * (F.col("m") + F.col("n") - F.col("shared")) - 1e-9).select("a", "b")
+
+
+def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int = DISTANCE, within: int = 24, least: float = SIMILAR) -> DataFrame:
     """The rows but for near copies: of each group the row of the smallest doc_id stays.
 
-    Near copies have a similarity of about 0.8 or more on shingles of ``words`` words.
-    Candidates are within ``distance`` bits by fingerprints of WORDS-word shingles, which
-    edits touch less, and are verified by a second fingerprint of ``words``-word shingles,
-    that a similarity of 0.8 (an angle of about 27 degrees) moves by 10 of 64 bits on average.
-    Rows with equal fingerprints that have no doc_id, or the same one, are all but one
+    Near copies have a Jaccard similarity of ``least`` or more on the sets of their shingles
+    of ``words`` words, which is measured exactly for every candidate.  Candidates meet in
+    a bucket of the pigeonhole search at ``distance`` bits, or share one of the n -
+    ceil(least n) + 1 smallest hashes of their n shingles, as any two sets with such a
+    similarity do.  Of these, pairs within ``within`` bits by both fingerprints (of WORDS and
+    of ``words`` words) are measured: a similarity of 0.8 is an angle of about 27 degrees
+    and moves 10 of 64 bits on average, with a deviation of 3.  A bucket of over EVERY rows
+    gives the closest pairs that connect it, not all.
+    Rows with equal sets of shingles that have no doc_id, or the same one, are all but one
     dropped as well."""
     names = df.columns
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column(1))
-        made = [pa.array(fingerprints(texts, w).view(np.int64)) for w in (WORDS, words)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *made], names=["row", "fp", "check"])
+        long = [hashes(t, words) for t in texts]
+        made = [pa.array(x.view(np.int64)) for x in (fingerprints(texts, WORDS), majority(long))]
+        sets = [np.unique(np.array(x, np.uint64)) for x in long]
+        same = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
+        start = [x[: len(x) - math.ceil(least * len(x) - 1e-9) + 1].view(np.int64) for x in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(same.view(np.int64)), pa.array(start, pa.list_(pa.int64()))], names=["row", "fp", "check", "same", "start"])
 
     tagged = table(spark, df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    prints = arrow_map(tagged.select(F.col("__row").alias("row"), "text"), work, "row long, fp long, check long")
+    texts = tagged.select(F.col("__row").alias("row"), "text")
+    prints = arrow_map(texts, work, "row long, fp long, check long, same long, start array<long>")
     prints = table(spark, prints.join(tagged.select(F.col("__row").alias("row"), "doc_id"), "row"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    nodes = prints.groupBy("fp", "check").agg(first).withColumn("node", F.col("first.row"))
+    nodes = prints.groupBy("fp", "check", "same").agg(first).withColumn("node", F.col("first.row"))
     nodes = table(spark, nodes, "fingerprints")
-    found = components(spark, links(spark, nodes, distance=distance, check_distance=check_distance))
+    shared = nodes.select("node", "fp", "check").join(prints.select(F.col("row").alias("node"), "start"), "node").select(F.lit(-1).alias("g"), F.explode("start").alias("key"), "node", "fp", "check")
+    found = links(spark, nodes, distance=distance, check_distance=within, pairs=closest, more=shared, within=within)
+    found = components(spark, similar(spark, found, texts, words, least))
     best = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     return tagged.join(best.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*names)

@@ -292,6 +292,24 @@ def test_kept_drops_near_copies(spark):
     assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == [0, *range(3, 23)]
 
 
+def test_kept_measures_similarity(spark):
+    """By exact Jaccard: near copies at 0.8 or more go, documents between 0.5 and 0.8 stay."""
+    rng = random.Random(12)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts = []
+    for _ in range(20):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+        other = list(base)
+        for at in rng.sample(range(0, 300, 15), 9):
+            other[at] = "changed"
+        nearly = [*base[:285], *(f"x{rng.randint(0, 5000)}" for _ in range(15))]
+        texts += [base, other, nearly]
+    share = lambda x, y: len(shingles(x) & shingles(y)) / len(shingles(x) | shingles(y))
+    assert all(0.5 < share(texts[i], texts[i + 1]) < 0.8 < share(texts[i], texts[i + 2]) for i in range(0, 60, 3))
+    got = {r["doc_id"] for r in simhash.kept(spark, docs_frame(spark, [" ".join(w) for w in texts])).collect()}
+    assert got == {i for i in range(60) if i % 3 < 2}
+
+
 # ------------------------------------------------------------------ 6
 
 
