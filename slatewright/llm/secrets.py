@@ -1,12 +1,13 @@
 """Operator 1: secret scans with a character convolutional network.
 
 Three kinds of finding are fixed by pattern.  Every candidate (those, and every long
-run of token characters that holds digits, every user and password in a URL, every
+run of token characters, every user and password in a URL, every
 private key header) is scored, with the characters around it, by a small network in numpy: characters are
 embedded, convolved, max-pooled apart over left context, candidate and right context,
 and combined by one logistic unit.  It is trained here on labelled findings that are made
 by rule from a seed; scores are calibrated by Platt's method on findings kept apart, and the threshold is the
-highest whose calibrated recall is at least RECALL.  Pattern findings always stay; other
+highest whose recall is at least RECALL, measured on the spans that the search for
+candidates gives for them; a finding that it does not give counts as lost.  Pattern findings always stay; other
 candidates are added when their score reaches the threshold and they touch no pattern
 finding.
 
@@ -40,7 +41,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 URL = re.compile(rb"[a-z][a-z0-9+]{1,12}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@")
 PEM = re.compile(rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_TOKEN, MIN_DIGITS = 6, 20, 24, 16, 3
+MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 16
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -51,7 +52,6 @@ def _class(chars: bytes) -> np.ndarray:
 
 _HEX = _class(b"0123456789abcdef")
 _TOKEN = _class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-_DIGIT = _class(b"0123456789")
 
 
 def _runs(mask: np.ndarray, least: int) -> np.ndarray:
@@ -91,9 +91,7 @@ def candidates(texts: list[bytes]) -> tuple[bytes, np.ndarray, list[tuple[int, i
     found = [(s, e, 0) for s, e in _leftmost(data, [p for w in KEYWORDS for p in _all(lower, w)], ASSIGN, lambda m: len(m[2]) >= MIN_VALUE)]
     found += [(s, e, 1) for s, e in _leftmost(data, _all(data, b"AKIA"), ACCESS, lambda m: len(m[0]) >= MIN_ACCESS)]
     found += [(int(s), int(e), 2) for s, e in _runs(_HEX[raw], MIN_HEX)]
-    for s, e in _runs(_TOKEN[raw], MIN_TOKEN):
-        if np.count_nonzero(_DIGIT[raw[s:e]]) >= MIN_DIGITS:
-            found.append((int(s), int(e), 3))
+    found += [(int(s), int(e), 3) for s, e in _runs(_TOKEN[raw], MIN_TOKEN)]
     free = 0
     for at in _all(data, b"://"):
         m = URL.search(data, max(free, at - 13), at + 160)
@@ -191,8 +189,9 @@ class Network:
                     b += 0.001 * (g * g - b)
                     p -= 0.005 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling by Newton's method, then the highest threshold with the recall."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, lost: int = 0, sure: int = 0) -> None:
+        """Platt scaling by Newton's method, then the highest threshold with the recall
+        where ``lost`` more findings never have a score and ``sure`` more need none."""
         z = self.logits(x).astype(np.float64)
         pos, neg = y.sum(), len(y) - y.sum()
         target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
@@ -206,11 +205,11 @@ class Network:
                 break
         self.slope, self.offset = float(w[0]), float(w[1])
         good = np.sort(self.score(x[y > 0]))
-        self.threshold = float(good[int(np.floor((1 - recall) * len(good)))])
+        self.threshold = float(good[min(max(int(np.floor((1 - recall) * (len(good) + lost + sure))) - lost, 0), len(good) - 1)])
 
 
-def labelled(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled findings by rule: secrets of many forms in the places where they stand,
+def made(rows: int, seed: int) -> list[tuple[bytes, int, int, int]]:
+    """(text, start, end, label) of findings by rule: secrets of many forms in the places where they stand,
     and look-alikes (card numbers, identifiers, file names, versions, dates, sums of
     files, words) where those stand."""
     rng = np.random.default_rng(seed)
@@ -229,7 +228,8 @@ def labelled(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             lambda: "AKIA" + pick(up + dig, 16),
             lambda: rng.choice(["sk", "pk", "key", "tok", "pat"]) + rng.choice(["_", "-"]) + pick(low + up + dig, rng.integers(18, 40)),
             lambda: "eyJ" + pick(low + up + dig + "_-", rng.integers(24, 60)),
-        ][rng.integers(6)]()
+            lambda: pick(low + up, rng.integers(20, 44)),
+        ][rng.integers(7)]()
 
     def harmless() -> str:
         return [
@@ -242,9 +242,14 @@ def labelled(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             lambda: "-".join(word() for _ in range(4)) + "-" + pick(dig, 3),
             lambda: word() + pick("=-_", 1) * int(rng.integers(8, 20)) + pick(dig, 4),
             lambda: pick(low, rng.integers(14, 24)) + pick(dig, rng.integers(3, 5)),
-        ][rng.integers(9)]()
-
-    data, spans, edges, y, at = [], [], [], [], 0
+            lambda: pick(low, rng.integers(16, 30)),
+            lambda: pick(up, rng.integers(16, 30)),
+            lambda: "".join(word().capitalize() for _ in range(rng.integers(3, 6))).ljust(16, "e"),
+            lambda: pick("-_/", 1).join(word() for _ in range(rng.integers(3, 6))).ljust(16, "e"),
+            lambda: pick("=-_", 1) * int(rng.integers(16, 60)),
+        ][rng.integers(14)]()
+
+    out = []
     for k in range(rows):
         kind, good = rng.integers(8), k % 2
         if kind == 7 and good:
@@ -254,25 +259,53 @@ def labelled(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         else:
             body = secret() if good else harmless()
             key = name() if good else plain()
-            left = words(2, 6) + [lambda: f" {key} = \"", lambda: f" {key}: ", lambda: f" {key}=", lambda: " "][rng.integers(4)]()
+            left = words(2, 6) + [lambda: f" {key} = \"", lambda: f" {key}: ", lambda: f" {key}=", lambda: f" {key} ", lambda: " "][rng.integers(5)]()
             right = rng.choice(["\" ", " ", "\n", ", ", ". "]) + words(1, 5)
-        one = (left + body + right).encode()
-        s = at + len(left.encode())
-        spans.append((s, s + len(body.encode())))
-        edges.append((at, at + len(one)))
-        y.append(good)
-        data.append(one)
-        at += len(one)
-    return windows(b"".join(data), spans, edges), np.array(y, np.float32)
+        start = len(left.encode())
+        out.append(((left + body + right).encode(), start, start + len(body.encode()), int(good)))
+    return out
+
+
+def labelled(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels of findings by rule."""
+    some = made(rows, seed)
+    begin = np.cumsum([0] + [len(t) for t, *_ in some]).tolist()
+    spans = [(b + s, b + e) for b, (_, s, e, _) in zip(begin, some, strict=False)]
+    return windows(b"".join(t for t, *_ in some), spans, list(zip(begin, begin[1:], strict=False))), np.array([y for *_, y in some], np.float32)
+
+
+def spotted(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the same findings: windows of the candidate that overlaps each most, their
+    labels, which findings have one, and which are found by pattern."""
+    some = made(rows, seed)
+    data, begin, found = candidates([t for t, *_ in some])
+    by: dict[int, list[tuple[int, int, int]]] = {}
+    for f, d in zip(found, np.searchsorted(begin, [f[0] for f in found], side="right") - 1, strict=True):
+        by.setdefault(int(d), []).append(f)
+    spans, edges, has, base = [], [], np.zeros(rows, bool), np.zeros(rows, bool)
+    for k, (t, s, e, _) in enumerate(some):
+        b = int(begin[k])
+        share = lambda f: min(f[1], b + e) - max(f[0], b + s)  # noqa: B023, E731
+        near = [f for f in by.get(k, []) if share(f) > 0]
+        base[k] = any(f[2] < len(BASE) for f in near)
+        best = max((f for f in near if f[2] >= len(BASE)), key=share, default=None)
+        if best and 2 * share(best) >= e - s:
+            has[k] = True
+            spans.append(best[:2])
+            edges.append((b, b + len(t)))
+    return windows(data, spans, edges), np.array([y for *_, y in some], np.float32)[has], has, base
 
 
 @lru_cache(maxsize=2)
 def trained(rows: int = TRAINING_ROWS, seed: int = 17, recall: float = RECALL) -> Network:
     x, y = labelled(rows, seed)
-    kept = len(x) * 3 // 4
+    seen, label, has, base = spotted(rows, seed)
+    kept = rows * 3 // 4
+    fit, good = np.flatnonzero(has) < kept, y[kept:] > 0
     out = Network(seed)
-    out.fit(x[:kept], y[:kept], 5, seed)
-    out.calibrate(x[kept:], y[kept:], recall)
+    out.fit(np.concatenate([x[:kept], seen[fit]]), np.concatenate([y[:kept], label[fit]]), 5, seed)
+    apart = ~fit & ~base[has]
+    out.calibrate(seen[apart], label[apart], recall, int((good & ~has[kept:] & ~base[kept:]).sum()), int((good & base[kept:]).sum()))
     return out
 
 
