@@ -188,6 +188,11 @@ def learn(spark: SparkSession, df: DataFrame, *, sample: int = SAMPLE) -> Model:
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
+def lettered(text: str) -> Column:
+    """Whether a text holds a letter, by the same rule as ``letters``."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(spark: SparkSession, df: DataFrame, *, model: Model | None = None) -> DataFrame:
     """The rows with lang_pred and lang_score."""
     shared = spark.sparkContext.broadcast(model or learn(spark, df))

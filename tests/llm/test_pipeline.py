@@ -52,6 +52,13 @@ def test_empty(spark):
     assert docs.count() == 0
 
 
+def test_language_without_labels(spark, corpus):
+    """Nothing to learn from: texts with a letter stay, their lang null."""
+    docs = spark.createDataFrame([(i, t, None, s, n) for i, t, _, s, n in corpus[0]], SCHEMA)
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert got == {r[0]: None for r in corpus[0] if r[0] not in (102, 103)}
+
+
 def test_registered():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
 
