@@ -178,12 +178,13 @@ def remainder(doc_id: Column) -> Column:
 
 
 def learn(spark: SparkSession, df: DataFrame, *, sample: int = SAMPLE) -> Model:
-    """A model from the ``sample`` rows of each language that come first by a hash of
-    doc_id.  Only doc_id and lang are ranked; texts of the chosen rows alone are read."""
+    """A model from the ``sample`` ids of each language that come first by a hash of
+    doc_id, one row of each.  Only doc_id and lang are ranked; texts of the chosen ids
+    alone are read, and of rows that share an id and a lang the least text is taken."""
     open_ = need(df, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1))
     first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = open_.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("doc_id", "lang", "place")
-    rows = open_.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "lang", "text").collect()
+    chosen = open_.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("doc_id", "lang")
+    rows = open_.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 

@@ -553,6 +553,15 @@ def test_language(spark):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] != "und" and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """A doc_id that is repeated very often takes one row of the sample."""
+    rows = [*language_rows(), *((2, f"hot row {i} the wh ing", "aa") for i in range(500))]
+    learned = []
+    monkeypatch.setattr(language, "train", lambda texts, langs: learned.extend(langs))
+    language.learn(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=30)
+    assert {x: learned.count(x) for x in ("aa", "bb", "cc")} == {"aa": 30, "bb": 30, "cc": 30}
+
+
 def test_language_never_learns_from_held_out_rows(spark):
     rows = language_rows()
     spoiled = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 3 == 1 else lang) for i, t, lang in rows]
