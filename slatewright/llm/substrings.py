@@ -1,8 +1,8 @@
 """Operator 8: substring dedup by recompression.
 
-A document's words are rewritten in rounds: maximal runs of one symbol become a symbol,
-then adjacent pairs (left class, right class) do, classes being a bit of the symbol's
-name.  Names are 64-bit functions of what they stand for, so they are the same in every
+A document's words are rewritten in rounds: adjacent pairs (left class, right class)
+become a symbol, classes being a bit of the symbol's name.  Before the pairs of the first
+round, and of that round only, maximal runs of one symbol become a symbol.  Names are 64-bit functions of what they stand for, so they are the same in every
 document and round without any exchange.  Rounds are length-restricted: a pair longer
 than LONGEST words stays apart.  With each symbol goes the interval of words that its
 being there depends on; where that interval lies inside a window of WINDOW words, every
