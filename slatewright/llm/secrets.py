@@ -1,7 +1,7 @@
 """Operator 1: secret scans with a character convolutional network.
 
 Three kinds of finding are fixed by pattern.  Every candidate (those, and every long
-run of token characters, every user and password in a URL, every
+run of token characters of mixed classes, every user and password in a URL, every
 private key header) is scored, with the characters around it, by a small network in numpy: characters are
 embedded, convolved, max-pooled apart over left context, candidate and right context,
 and combined by one logistic unit.  It is trained here on labelled findings that are made
@@ -52,6 +52,7 @@ def _class(chars: bytes) -> np.ndarray:
 
 _HEX = _class(b"0123456789abcdef")
 _TOKEN = _class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+_LOWER, _UPPER, _DIGIT = _class(b"abcdefghijklmnopqrstuvwxyz"), _class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _class(b"0123456789")
 
 
 def _runs(mask: np.ndarray, least: int) -> np.ndarray:
@@ -91,7 +92,10 @@ def candidates(texts: list[bytes]) -> tuple[bytes, np.ndarray, list[tuple[int, i
     found = [(s, e, 0) for s, e in _leftmost(data, [p for w in KEYWORDS for p in _all(lower, w)], ASSIGN, lambda m: len(m[2]) >= MIN_VALUE)]
     found += [(s, e, 1) for s, e in _leftmost(data, _all(data, b"AKIA"), ACCESS, lambda m: len(m[0]) >= MIN_ACCESS)]
     found += [(int(s), int(e), 2) for s, e in _runs(_HEX[raw], MIN_HEX)]
-    found += [(int(s), int(e), 3) for s, e in _runs(_TOKEN[raw], MIN_TOKEN)]
+    # Two of: small letters, capitals after the first character, digits; a word has one.
+    for s, e in _runs(_TOKEN[raw], MIN_TOKEN).tolist():
+        if bool(_LOWER[raw[s:e]].any()) + bool(_UPPER[raw[s + 1 : e]].any()) + bool(_DIGIT[raw[s:e]].any()) > 1:
+            found.append((s, e, 3))
     free = 0
     for at in _all(data, b"://"):
         m = URL.search(data, max(free, at - 13), at + 160)
@@ -303,7 +307,7 @@ def trained(rows: int = TRAINING_ROWS, seed: int = 17, recall: float = RECALL) -
     kept = rows * 3 // 4
     fit, good = np.flatnonzero(has) < kept, y[kept:] > 0
     out = Network(seed)
-    out.fit(np.concatenate([x[:kept], seen[fit]]), np.concatenate([y[:kept], label[fit]]), 5, seed)
+    out.fit(np.concatenate([x[:kept], seen[fit]]), np.concatenate([y[:kept], label[fit]]), 9, seed)
     apart = ~fit & ~base[has]
     out.calibrate(seen[apart], label[apart], recall, int((good & ~has[kept:] & ~base[kept:]).sum()), int((good & base[kept:]).sum()))
     return out
