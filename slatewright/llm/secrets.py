@@ -1,24 +1,31 @@
 """Operator 1: secret scans with a character convolutional network.
 
-Three kinds of finding are fixed by pattern.  Every candidate (those, and every long
-run of token characters of mixed classes, every user and password in a URL, every
-private key header) is scored, with the characters around it, by a small network in numpy: characters are
-embedded, convolved, max-pooled apart over left context, candidate and right context,
-and combined by one logistic unit.  It is trained here on labelled findings that are made
-by rule from a seed; scores are calibrated by Platt's method on findings kept apart, and the threshold is the
-highest whose recall is at least RECALL, measured on the spans that the search for
-candidates gives for them; a finding that it does not give counts as lost.  Pattern findings always stay; other
-candidates are added when their score reaches the threshold and they touch no pattern
-finding.
-
-Null and empty texts have no findings.  Texts are scanned whole.  Repeated rows give
-equal rows; an empty table gives an empty table; extra columns are ignored.
+Three kinds of finding are fixed by pattern.  Every candidate (those, every run of token
+characters of two classes or more, every URL with a user and a password, every private key
+with its body) is scored, with the characters around it, by a small network in numpy:
+characters are embedded, convolved, max-pooled apart over left context, candidate and right
+context, and combined by one logistic unit.  Pooling takes a candidate of any length whole.
+The network is trained here on labelled findings that are made by rule from a seed; scores
+are calibrated by Platt's method on findings kept apart, and each kind has the highest
+threshold whose recall is at least RECALL, measured on the spans that the search for
+candidates gives for them; a finding that it does not give counts as lost.
+
+Pattern findings always stay.  Another candidate is added when its score reaches the
+threshold of its kind, no added one before it reaches into it, and pattern findings cover
+less than half of it.
+
+Null and empty texts have no findings.  A finding lies inside one text and depends on that
+text alone, whatever bytes it holds.  Texts are scanned whole, in time in proportion to
+their length.  Of candidates that begin together the one of the earlier kind comes first.
+Repeated rows give equal rows; an empty table gives an empty table; extra columns are
+ignored (``redact`` keeps them).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -30,16 +37,22 @@ from .common import arrow_map, need, utf8
 
 KINDS = ("assign", "access", "hex", "token", "url", "pem")
 BASE = KINDS[:3]
-#: Share of the labelled secrets of the calibration set that the threshold must keep.
+#: Share of the labelled secrets of the calibration set that each threshold must keep.
 RECALL = 0.98
 TRAINING_ROWS = 6000
-CONTEXT, BODY = 24, 48
+CONTEXT = 24
 WIDTH, EMBED, FILTERS = 5, 8, 16
+#: Characters that inference convolves at a time.
+STEP = 1 << 16
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-URL = re.compile(rb"[a-z][a-z0-9+]{1,12}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@")
-PEM = re.compile(rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+LOGIN = re.compile(rb"://[^\s/:@\0]+:[^\s/:@\0]+@")
+PEM = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----")
+PEM_END = re.compile(rb"-----END [A-Z0-9 ]*PRIVATE KEY-----")
+PEM_BODY = re.compile(rb"[A-Za-z0-9+/=\s:,.-]*\Z")
+#: Lines of a key whose end is not there.
+PEM_LINES = re.compile(rb"(?:\s+[A-Za-z0-9+/=]{32,})*(?:\s+[A-Za-z0-9+/]+={1,2})?")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 16
 
@@ -53,6 +66,8 @@ def _class(chars: bytes) -> np.ndarray:
 _HEX = _class(b"0123456789abcdef")
 _TOKEN = _class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 _LOWER, _UPPER, _DIGIT = _class(b"abcdefghijklmnopqrstuvwxyz"), _class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _class(b"0123456789")
+_SCHEME = _class(b"abcdefghijklmnopqrstuvwxyz0123456789+.-")
+_FIRST_LETTER = re.compile(rb"[a-z]")
 
 
 def _runs(mask: np.ndarray, least: int) -> np.ndarray:
@@ -82,9 +97,39 @@ def _leftmost(data: bytes, starts: list[int], pattern: re.Pattern, ok) -> list[t
     return out
 
 
+def _logins(data: bytes) -> list[tuple[int, int]]:
+    """URLs up to the sign after a user and a password.  Neither goes past a delimiter, so
+    the search looks at each character a few times at most."""
+    out, free = [], 0
+    for at in _all(data, b"://"):
+        if at < free or not (m := LOGIN.match(data, at)):
+            continue
+        start = at
+        while start > free and _SCHEME[data[start - 1]]:
+            start -= 1
+        if s := _FIRST_LETTER.search(data, start, at):
+            out.append((s.start(), m.end()))
+            free = m.end()
+    return out
+
+
+def _keys(data: bytes) -> list[tuple[int, int]]:
+    """Private keys: from the header to the end mark, or, where none follows the body, the
+    lines of the body that are there."""
+    out = []
+    for m in PEM.finditer(data):
+        dashes = data.find(b"-----", m.end())
+        end = PEM_END.match(data, dashes) if dashes >= 0 else None
+        if end and PEM_BODY.match(data, m.end(), dashes):
+            out.append((m.start(), end.end()))
+        else:
+            out.append((m.start(), PEM_LINES.match(data, m.end()).end()))
+    return out
+
+
 def candidates(texts: list[bytes]) -> tuple[bytes, np.ndarray, list[tuple[int, int, int]]]:
     """The texts joined by zero bytes, where each begins, and (start, end, kind) of every
-    candidate.  No pattern matches a zero byte, so none crosses from text to text."""
+    candidate.  No pattern here matches a zero byte, so none crosses from text to text."""
     data = b"\0".join(texts)
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
     raw = np.frombuffer(data, np.uint8)
@@ -96,34 +141,41 @@ def candidates(texts: list[bytes]) -> tuple[bytes, np.ndarray, list[tuple[int, i
     for s, e in _runs(_TOKEN[raw], MIN_TOKEN).tolist():
         if bool(_LOWER[raw[s:e]].any()) + bool(_UPPER[raw[s + 1 : e]].any()) + bool(_DIGIT[raw[s:e]].any()) > 1:
             found.append((s, e, 3))
-    free = 0
-    for at in _all(data, b"://"):
-        m = URL.search(data, max(free, at - 13), at + 160)
-        if m and m.start() < at < m.end():
-            found.append((m.start(), m.end(), 4))
-            free = m.end()
-    found += [(m.start(), m.end(), 5) for m in PEM.finditer(data)]
+    found += [(s, e, 4) for s, e in _logins(data)]
+    found += [(s, e, 5) for s, e in _keys(data)]
     return data, begin, found
 
 
 # ---------------------------------------------------------------- the network
 
 
-def windows(data: bytes, spans: list[tuple[int, int]], edges: list[tuple[int, int]]) -> np.ndarray:
-    """Bytes around and inside each span, zero outside its text: CONTEXT before, BODY of
-    the candidate (a longer one keeps its two ends), CONTEXT after."""
-    out = np.zeros((len(spans), 2 * CONTEXT + BODY), np.uint8)
-    for row, (s, e), (lo, hi) in zip(out, spans, edges, strict=True):
-        left = data[max(lo, s - CONTEXT) : s]
-        body = data[s:e] if e - s <= BODY else data[s : s + BODY // 2] + data[e - BODY // 2 : e]
-        right = data[e : min(hi, e + CONTEXT)]
-        row[CONTEXT - len(left) : CONTEXT] = np.frombuffer(left, np.uint8)
-        row[CONTEXT : CONTEXT + len(body)] = np.frombuffer(body, np.uint8)
-        row[CONTEXT + BODY : CONTEXT + BODY + len(right)] = np.frombuffer(right, np.uint8)
-    return out
+class Spans:
+    """Characters of candidates one after another: CONTEXT before (zero outside the text),
+    the candidate whole, CONTEXT after; zeros keep the convolution of one from the next."""
 
+    def __init__(self, data: bytes, spans: list[tuple[int, int]], edges: list[tuple[int, int]]):
+        gap = bytes(WIDTH // 2)
+        parts, self.body = [], np.array([e - s for s, e in spans], np.int64)
+        for (s, e), (lo, hi) in zip(spans, edges, strict=True):
+            left, right = data[max(lo, s - CONTEXT) : s], data[e : min(hi, e + CONTEXT)]
+            parts += [gap, left.rjust(CONTEXT, b"\0"), data[s:e], right.ljust(CONTEXT, b"\0"), gap]
+        self.chars = np.frombuffer(b"".join(parts), np.uint8)
+        size = self.body + 2 * CONTEXT + 2 * len(gap)
+        first = np.cumsum(size) - size + len(gap)
+        #: Where the three segments of each begin, and where the last one ends.
+        self.cuts = np.stack([first, first + CONTEXT, first + CONTEXT + self.body, first + 2 * CONTEXT + self.body], axis=1)
 
-SEGMENTS = (slice(0, CONTEXT), slice(CONTEXT, CONTEXT + BODY), slice(CONTEXT + BODY, 2 * CONTEXT + BODY))
+    def __len__(self) -> int:
+        return len(self.body)
+
+    def matrix(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of some spans as rows, zeros after the shorter ones; and lengths of
+        their bodies."""
+        wide = int(self.body[at].max()) + 2 * CONTEXT
+        out = np.zeros((len(at), wide), np.uint8)
+        for row, (first, _, _, end) in zip(out, self.cuts[at].tolist(), strict=True):
+            row[: end - first] = self.chars[first:end]
+        return out, self.body[at]
 
 
 class Network:
@@ -137,30 +189,55 @@ class Network:
         self.shift = np.zeros(FILTERS, np.float32)
         self.weight = rng.normal(0, 0.1, 3 * FILTERS).astype(np.float32)
         self.bias = np.zeros(1, np.float32)
-        self.slope, self.offset, self.threshold = 1.0, 0.0, 0.5
+        self.slope, self.offset = 1.0, 0.0
+        #: A threshold for each kind beyond the base.
+        self.thresholds = dict.fromkeys(range(len(BASE), len(KINDS)), 0.5)
 
     def parameters(self) -> list[np.ndarray]:
         return [self.embedding, self.kernel, self.shift, self.weight, self.bias]
 
-    def forward(self, x: np.ndarray):
+    def forward(self, x: np.ndarray, body: np.ndarray):
+        """For training: rows of characters and lengths of their bodies."""
         n, length = x.shape
         padded = np.pad(x, ((0, 0), (WIDTH // 2, WIDTH // 2)))
         index = np.lib.stride_tricks.sliding_window_view(padded, WIDTH, axis=1)
         columns = self.embedding[index].reshape(n, length, WIDTH * EMBED)
         act = np.maximum(columns @ self.kernel + self.shift, 0)
-        at = [act[:, s].argmax(axis=1) + s.start for s in SEGMENTS]
+        place, cut = np.arange(length), CONTEXT + body[:, None]
+        inside = [place < CONTEXT + np.zeros_like(cut), (place >= CONTEXT) & (place < cut), (place >= cut) & (place < cut + CONTEXT)]
+        at = [np.where(m[:, :, None], act, np.float32(-1)).argmax(axis=1) for m in inside]
         pooled = np.concatenate([np.take_along_axis(act, a[:, None, :], axis=1)[:, 0] for a in at], axis=1)
         return pooled @ self.weight + self.bias, pooled, at, columns, index
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.forward(x[i : i + 512])[0] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0, np.float32)
-
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def logits(self, spans: Spans) -> np.ndarray:
+        """The same values for spans of any length: the convolution is a sum of one table
+        look-up for each place of the kernel, pooled piece by piece."""
+        if not len(spans):
+            return np.zeros(0, np.float32)
+        tables = [self.embedding @ self.kernel[k * EMBED : (k + 1) * EMBED] for k in range(WIDTH)]
+        pooled = np.zeros((3 * len(spans), FILTERS), np.float32)  # the rectifier's least value
+        starts, ends = spans.cuts[:, :3].ravel(), spans.cuts[:, 1:].ravel()
+        half = WIDTH // 2
+        for low in range(0, len(spans.chars), STEP):
+            high = min(low + STEP, len(spans.chars))
+            near = np.pad(spans.chars[max(low - half, 0) : high + half], (max(half - low, 0), max(high + half - len(spans.chars), 0)))
+            act = tables[0][near[: high - low]]
+            for k in range(1, WIDTH):
+                act = act + tables[k][near[k : k + high - low]]
+            act = np.maximum(act + self.shift, 0)
+            some = np.flatnonzero((starts < high) & (ends > low) & (ends > starts))
+            if len(some):
+                edges = np.stack([np.maximum(starts[some], low), np.minimum(ends[some], high)], axis=1).ravel() - low
+                tops = np.maximum.reduceat(np.concatenate([act, np.zeros((1, FILTERS), np.float32)]), edges, axis=0)[::2]
+                pooled[some] = np.maximum(pooled[some], tops)
+        return pooled.reshape(len(spans), -1) @ self.weight + self.bias
+
+    def score(self, spans: Spans) -> np.ndarray:
         """Calibrated probability."""
-        return 1 / (1 + np.exp(-(self.slope * self.logits(x).astype(np.float64) + self.offset)))
+        return 1 / (1 + np.exp(-(self.slope * self.logits(spans).astype(np.float64) + self.offset)))
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-        z, pooled, at, columns, index = self.forward(x)
+    def gradients(self, x: np.ndarray, body: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        z, pooled, at, columns, index = self.forward(x, body)
         n = len(x)
         dz = ((1 / (1 + np.exp(-z)) - y) / n).astype(np.float32)
         d_weight, d_bias = pooled.T @ dz, dz.sum(keepdims=True)
@@ -179,24 +256,25 @@ class Network:
         d_embedding[0] = 0
         return [d_embedding, d_kernel, d_shift, d_weight, d_bias]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, seed: int) -> None:
+    def fit(self, spans: Spans, y: np.ndarray, epochs: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
         params = self.parameters()
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         t = 0
         for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for i in range(0, len(x), 128):
+            # Long candidates share batches of their own; batches come in any order.
+            order = rng.permutation(len(y))
+            order = order[np.argsort(spans.body[order] > 96, kind="stable")]
+            for i in rng.permutation(np.arange(0, len(y), 128)):
                 at, t = order[i : i + 128], t + 1
-                for p, g, a, b in zip(params, self.gradients(x[at], y[at]), m, v, strict=True):
+                for p, g, a, b in zip(params, self.gradients(*spans.matrix(at), y[at]), m, v, strict=True):
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
                     p -= 0.005 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, lost: int = 0, sure: int = 0) -> None:
-        """Platt scaling by Newton's method, then the highest threshold with the recall
-        where ``lost`` more findings never have a score and ``sure`` more need none."""
-        z = self.logits(x).astype(np.float64)
+    def calibrate(self, spans: Spans, y: np.ndarray) -> None:
+        """Platt scaling by Newton's method."""
+        z = self.logits(spans).astype(np.float64)
         pos, neg = y.sum(), len(y) - y.sum()
         target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
         w = np.zeros(2)
@@ -208,8 +286,13 @@ class Network:
             if abs(step).max() < 1e-9:
                 break
         self.slope, self.offset = float(w[0]), float(w[1])
-        good = np.sort(self.score(x[y > 0]))
-        self.threshold = float(good[min(max(int(np.floor((1 - recall) * (len(good) + lost + sure))) - lost, 0), len(good) - 1)])
+
+    def choose(self, kind: int, good: np.ndarray, recall: float, lost: int) -> None:
+        """The highest threshold of a kind that keeps the recall over its secrets' scores
+        and ``lost`` more that have none."""
+        if len(good):
+            good = np.sort(good)
+            self.thresholds[kind] = float(good[min(max(int(np.floor((1 - recall) * (len(good) + lost))) - lost, 0), len(good) - 1)])
 
 
 def made(rows: int, seed: int) -> list[tuple[bytes, int, int, int]]:
@@ -258,8 +341,12 @@ def made(rows: int, seed: int) -> list[tuple[bytes, int, int, int]]:
         kind, good = rng.integers(8), k % 2
         if kind == 7 and good:
             left, body, right = words(1, 5) + " ", f"{word()}://{word()}:{pick(low + up + dig, rng.integers(6, 16))}@", word() + ".example"
+        elif kind == 7 and rng.random() < 0.3:
+            left, body, right = words(1, 5) + " ", f"{word()}://{word()}:{rng.choice(['port', 'xx', '0', 'user'])}@", word()
         elif kind == 6 and good:
-            left, body, right = words(1, 4) + "\n", f"-----BEGIN {rng.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----", "\n" + pick(low + up + dig, 20)
+            of = rng.choice(["", "RSA ", "EC "])
+            lines = "\n".join(pick(low + up + dig + "+/", 64) for _ in range(rng.integers(1, 4)))
+            left, body, right = words(1, 4) + "\n", f"-----BEGIN {of}PRIVATE KEY-----\n{lines}" + f"\n-----END {of}PRIVATE KEY-----" * int(rng.random() < 0.7), "\n" + words(1, 4)
         else:
             body = secret() if good else harmless()
             key = name() if good else plain()
@@ -270,46 +357,50 @@ def made(rows: int, seed: int) -> list[tuple[bytes, int, int, int]]:
     return out
 
 
-def labelled(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and labels of findings by rule."""
+def labelled(rows: int, seed: int) -> tuple[Spans, np.ndarray]:
+    """Spans and labels of findings by rule."""
     some = made(rows, seed)
     begin = np.cumsum([0] + [len(t) for t, *_ in some]).tolist()
     spans = [(b + s, b + e) for b, (_, s, e, _) in zip(begin, some, strict=False)]
-    return windows(b"".join(t for t, *_ in some), spans, list(zip(begin, begin[1:], strict=False))), np.array([y for *_, y in some], np.float32)
+    return Spans(b"".join(t for t, *_ in some), spans, list(zip(begin, begin[1:], strict=False))), np.array([y for *_, y in some], np.float32)
 
 
-def spotted(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the same findings: windows of the candidate that overlaps each most, their
-    labels, which findings have one, and which are found by pattern."""
-    some = made(rows, seed)
-    data, begin, found = candidates([t for t, *_ in some])
-    by: dict[int, list[tuple[int, int, int]]] = {}
-    for f, d in zip(found, np.searchsorted(begin, [f[0] for f in found], side="right") - 1, strict=True):
-        by.setdefault(int(d), []).append(f)
-    spans, edges, has, base = [], [], np.zeros(rows, bool), np.zeros(rows, bool)
-    for k, (t, s, e, _) in enumerate(some):
-        b = int(begin[k])
-        share = lambda f: min(f[1], b + e) - max(f[0], b + s)  # noqa: B023, E731
-        near = [f for f in by.get(k, []) if share(f) > 0]
-        base[k] = any(f[2] < len(BASE) for f in near)
+def spotted(some: list[tuple[bytes, int, int, int]]) -> list[tuple[int, int, int] | None]:
+    """For each finding the candidate beyond the base that overlaps it most, and by half
+    at least, as (start, end, kind); (0, 0, 0) where a pattern finds it; None else."""
+    out: list[tuple[int, int, int] | None] = []
+    for t, s, e, _ in some:
+        _, _, found = candidates([t])
+        share = lambda f: min(f[1], e) - max(f[0], s)  # noqa: B023, E731
+        near = [f for f in found if share(f) > 0]
         best = max((f for f in near if f[2] >= len(BASE)), key=share, default=None)
-        if best and 2 * share(best) >= e - s:
-            has[k] = True
-            spans.append(best[:2])
-            edges.append((b, b + len(t)))
-    return windows(data, spans, edges), np.array([y for *_, y in some], np.float32)[has], has, base
+        out.append((0, 0, 0) if any(f[2] < len(BASE) for f in near) else best if best and 2 * share(best) >= e - s else None)
+    return out
+
+
+def _joined(some: list[tuple[bytes, int, int, int]], spans: list[tuple[int, int]]) -> Spans:
+    begin = np.cumsum([0] + [len(t) for t, *_ in some]).tolist()
+    return Spans(b"".join(t for t, *_ in some), [(b + s, b + e) for b, (s, e) in zip(begin, spans, strict=False)], list(zip(begin, begin[1:], strict=False)))
 
 
 @lru_cache(maxsize=2)
 def trained(rows: int = TRAINING_ROWS, seed: int = 17, recall: float = RECALL) -> Network:
-    x, y = labelled(rows, seed)
-    seen, label, has, base = spotted(rows, seed)
+    """Fitted on three quarters of the findings, as they are and as the search gives them;
+    calibrated on the rest, as the search gives them."""
+    some = made(rows, seed)
+    seen = spotted(some)
     kept = rows * 3 // 4
-    fit, good = np.flatnonzero(has) < kept, y[kept:] > 0
+    fit = [k for k in range(kept) if seen[k] and seen[k][2]]
     out = Network(seed)
-    out.fit(np.concatenate([x[:kept], seen[fit]]), np.concatenate([y[:kept], label[fit]]), 9, seed)
-    apart = ~fit & ~base[has]
-    out.calibrate(seen[apart], label[apart], recall, int((good & ~has[kept:] & ~base[kept:]).sum()), int((good & base[kept:]).sum()))
+    both = [*some[:kept], *[some[k] for k in fit]]
+    out.fit(_joined(both, [r[1:3] for r in some[:kept]] + [seen[k][:2] for k in fit]), np.array([r[3] for r in both], np.float32), 9, seed)
+    apart = [k for k in range(kept, rows) if seen[k] and seen[k][2]]
+    spans, label, kind = _joined([some[k] for k in apart], [seen[k][:2] for k in apart]), np.array([some[k][3] for k in apart], np.float32), np.array([seen[k][2] for k in apart])
+    out.calibrate(spans, label)
+    score = out.score(spans)
+    lost = sum(1 for k in range(kept, rows) if seen[k] is None and some[k][3])
+    for k in range(len(BASE), len(KINDS)):
+        out.choose(k, score[(kind == k) & (label > 0)], recall, lost if KINDS[k] == "token" else 0)
     return out
 
 
@@ -325,21 +416,35 @@ def find(texts: list[bytes], network: Network) -> list[list[tuple[int, int, int,
     found.sort(key=lambda x: (x[0], x[2]))
     doc = np.searchsorted(begin, [f[0] for f in found], side="right") - 1
     ends = begin + [len(t) for t in texts]
-    score = network.score(windows(data, [f[:2] for f in found], [(int(begin[d]), int(ends[d])) for d in doc]))
+    score = network.score(Spans(data, [f[:2] for f in found], [(int(begin[d]), int(ends[d])) for d in doc]))
+    # Base findings as intervals apart, and how many characters those before each cover.
+    low, high, before = [], [], [0]
+    for s, e, k in found:
+        if k < len(BASE):
+            if low and s < high[-1]:
+                before[-1] += max(e - high[-1], 0)
+                high[-1] = max(high[-1], e)
+            else:
+                low.append(s)
+                high.append(e)
+                before.append(before[-1] + e - s)
+
+    def covered(at: int) -> int:
+        i = bisect_left(low, at)
+        return before[i] - max(high[i - 1] - at, 0) if i else 0
+
     by: dict[int, list[tuple[int, int, int, float]]] = {}
+    free = 0
     for (s, e, k), d, p in zip(found, doc.tolist(), score.tolist(), strict=True):
+        if k >= len(BASE):
+            if p < network.thresholds[k] or s < free or 2 * (covered(e) - covered(s)) >= e - s:
+                continue
+            free = e
         by.setdefault(d, []).append((s - int(begin[d]), e - int(begin[d]), k, p))
-    for d, rows in by.items():
-        kept = [r for r in rows if r[2] < len(BASE)]
-        free = 0
-        for r in rows:
-            if r[2] >= len(BASE) and r[3] >= network.threshold and r[0] >= free and not any(r[0] < b[1] and b[0] < r[1] for b in kept if b[2] < len(BASE)):
-                kept.append(r)
-                free = r[1]
-        kept.sort(key=lambda r: (r[0], r[2]))
+    for d, kept in by.items():
         raw = np.frombuffer(texts[d], np.uint8)
         points = np.cumsum((raw & 0xC0) != 0x80)
-        at = lambda i: int(points[i - 1]) if i else 0
+        at = lambda i: int(points[i - 1]) if i else 0  # noqa: B023, E731
         out[d] = [(at(s), at(e), k, p) for s, e, k, p in kept]
     return out
 
