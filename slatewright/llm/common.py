@@ -6,6 +6,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -30,6 +31,14 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame doesn't have, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the named string column has about ``most`` bytes in each
     piece; one longer text is a piece of its own and is never cut."""
@@ -78,10 +87,13 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.  Where it
-    is unset (tests, a laptop) a temporary folder of this machine takes its place."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.  Where it is
+    unset a temporary folder takes its place if executors are threads of this process
+    (tests, a laptop); on a cluster, whose machines share no such folder, it is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.slatewright.scratch", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder they share")
         found = tempfile.mkdtemp(prefix="slatewright-")
         spark.conf.set("spark.slatewright.scratch", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -89,15 +101,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that are there, in order of writing.
+_written: list[str] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, the rows
-    survive the loss of any executor, and each is computed once.  Removed at exit."""
+    survive the loss of any executor, and each is computed once.  Removed by ``discard``
+    or ``release``, at exit at the latest."""
     small_batches(spark)
     path = f"{shared_dir(spark)}/slatewright/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    if not _written:
+        atexit.register(release, spark, 0)
+    _written.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove tables that no later plan reads."""
+    for df in frames:
+        path = _paths.pop(df)
+        _written.remove(path)
+        _remove(spark, path)
+
+
+def mark() -> int:
+    """How many tables there are; see ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, *but: DataFrame) -> None:
+    """Remove the tables written since a mark, but for those named."""
+    kept = {_paths[df] for df in but}
+    for path in _written[since:]:
+        if path not in kept:
+            _written.remove(path)
+            _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -109,6 +153,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Rows of one key that a task may meet; keys with more at most.
+LEAST_HOT, MOST_HOT = 1000, 50_000
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, a written table whose ``weight`` is how many rows of
+    ``left`` have its key, so that no key's rows meet in one task.  Keys of much weight are
+    broadcast: weights add up to a known total, so at most MOST_HOT keys exceed the total
+    over MOST_HOT.  The others are shuffled as ever."""
+    facts = right.agg(F.sum(weight), F.max(weight)).first()
+    bound = max(LEAST_HOT, (facts[0] or 0) // MOST_HOT)
+    if (facts[1] or 0) <= bound:
+        return left.join(right.drop(weight), keys, how)
+    hot = right.where(F.col(weight) > bound).drop(weight)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.join(right.where(F.col(weight) <= bound).drop(weight), keys, how))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -123,20 +185,24 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
     node of its component.
 
     Each step is two hash exchanges whose sums are combined before the shuffle; a node
-    with very many edges is only ever a join key (split by adaptive execution), never a
-    list.  Every round is written to the shared folder, which cuts the lineage.
-    """
+    with very many edges is only ever a join key, never a list, and its edges don't meet in
+    one task (``split_join``).  Every round is written to the shared folder, which cuts the
+    lineage; the round before is removed."""
     now = table(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     if is_empty(now):
         return spark.createDataFrame([], "node long, root long")
     before = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        now = table(spark, small.union(least.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        least = table(spark, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")), "least")
+        large = split_join(both, least, ["a"], "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = table(spark, large, "large")
+        # After the large star a node has edges to smaller nodes only, and no hub is a key.
+        own = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(own, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
+        made = table(spark, small.union(own.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        discard(spark, now, least, large)
+        now = made
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -10,11 +10,14 @@ given a threshold of -1, that is, no lookups).  m and the thresholds come from d
 programming over groups on estimated costs: lookups, and candidates for this number of
 fingerprints.
 
-Equal fingerprints are one node, so copies cost nothing.  A bucket is joined inside its
-task and leaves the edges of a spanning forest, never all its pairs; large buckets are
-split by a salt, their lookups repeated for each part, which loses none.
-
-Null and empty texts have fingerprint zero and link like any other.  Rows without doc_id
+Equal fingerprints are one node, so copies cost nothing, and what is found for a fingerprint
+goes back to its copies by a join that splits frequent ones.  A bucket is joined inside its
+task and leaves the edges of a spanning forest, never all its pairs: the task holds the
+index rows and lets the lookups stream by.  The index rows of a large bucket are dealt to
+parts, its lookups too, and every part of one meets every part of the other in a task of
+its own.
+
+A bit set in exactly half the hashes is 0.  Null and empty texts have fingerprint zero and link like any other.  Rows without doc_id
 get a fingerprint and their component's smallest doc_id, but name no component (it is
 null where no row has one).  Repeated rows link with each other.  An empty table gives an
 empty table; extra columns are ignored; texts are read whole.
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, need, table, utf8
+from .common import arrow_map, components, free, need, split_join, table, utf8
 
 BITS, DISTANCE = 64, 3
 #: Words of a shingle of the contract's query; near-duplicate operators elsewhere take 5.
@@ -40,8 +43,10 @@ WORDS = 3
 SEED = 42
 #: Members of a bucket that one task joins; a larger bucket is split.
 BUCKET = 4096
-#: Similarity of near copies; bucket size up to which all its pairs are compared.
-SIMILAR, EVERY = 0.8, 32
+#: Similarity of near copies; index rows of a bucket up to which all its pairs are compared.
+SIMILAR, EVERY = 0.8, 64
+#: Keys of a set of shingles, and smallest hashes that a key stands for.
+KEYS, HASHES = 16, 4
 
 _BYTE_BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
@@ -231,84 +236,106 @@ def _rows(search: list[tuple[list[int], int]], index: bool):
     return run
 
 
-def forest(node: np.ndarray, fp: np.ndarray, check: np.ndarray, probe: np.ndarray, distance: int, check_distance: int) -> list[tuple[int, int]]:
-    """Edges that connect what the verified pairs of a bucket (index with index, probe
-    with index) connect; at most one for each member."""
-    near = lambda i, j: (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (np.bitwise_count(check[i] ^ check[j]) <= check_distance)
-    index = np.flatnonzero(~probe)
-    if len(index) == 0:
-        return []
-    label = np.arange(len(node))
-    out = []
-    step = max(1, (1 << 20) // len(index))
-    for at in range(0, len(node), step):
-        rows = np.arange(at, min(len(node), at + step))
-        hit = near(rows[:, None], index[None, :]) & (node[rows][:, None] != node[index][None, :])
-        for r in np.flatnonzero(hit.any(axis=1)).tolist():
-            cols = index[hit[r]]
-            labels, first = np.unique(label[cols], return_index=True)
-            own = label[at + r]
-            if len(labels) > 1 or labels[0] != own:
-                out += [(int(node[at + r]), int(node[c])) for c, l in zip(cols[first], labels, strict=True) if l != own]
-                label[np.isin(label, np.append(labels, own))] = own
-    return out
+class Bucket:
+    """Rows of a bucket.  Index rows are held; lookups stream by.  At each level (a distance
+    of the second fingerprint) labels tell which index rows are connected, and only pairs
+    that connect two labels become edges; where there are few index rows and ``every``
+    allows it, all pairs do."""
 
+    def __init__(self, distance: int, levels: list[int], every: int):
+        self.distance, self.levels, self.every = distance, levels, every
+        self.parts: list[np.ndarray] = []
+        self.labels: list[np.ndarray] | None = None
 
-def closest(node: np.ndarray, fp: np.ndarray, check: np.ndarray, probe: np.ndarray, distance: int, check_distance: int) -> list[tuple[int, int]]:
-    """Pairs of a bucket to compare exactly: every one where few members meet, else the
-    edges of spanning forests by rising distance of the second fingerprint."""
-    index = np.flatnonzero(~probe)
-    if len(node) <= EVERY:
-        near = (np.bitwise_count(fp[:, None] ^ fp[index]) <= distance) & (np.bitwise_count(check[:, None] ^ check[index]) <= check_distance)
-        rows, cols = np.nonzero(near & (node[:, None] != node[index]))
-        return list(zip(node[rows].tolist(), node[index[cols]].tolist(), strict=True))
-    out: list[tuple[int, int]] = []
-    for level in range(0, check_distance + 1, 4):
-        out += forest(node, fp, check, probe, distance, level)
-    return out
+    def add(self, rows: np.ndarray) -> list[tuple[int, int]]:
+        """Rows (node, fp, check, probe), index rows first -> edges."""
+        n = int(np.count_nonzero(rows[:, 3] == 0))
+        if n:
+            self.parts.append(rows[:n])
+        return self.match(rows[n:]) if n < len(rows) else []
+
+    def open(self) -> list[tuple[int, int]]:
+        """After the last index row: edges among these."""
+        index = np.concatenate(self.parts) if self.parts else np.zeros((0, 4), np.int64)
+        self.node, self.fp, self.check = index[:, 0], index[:, 1].copy().view(np.uint64), index[:, 2].copy().view(np.uint64)
+        self.labels = [np.arange(len(index)) for _ in self.levels]
+        return self._match(index, True)
 
+    def match(self, rows: np.ndarray) -> list[tuple[int, int]]:
+        return (self.open() if self.labels is None else []) + self._match(rows, False)
 
-def _join(distance: int, check_distance: int, pairs=forest):
-    """Buckets stream by in order of (g, key, salt); a bucket ends where they change."""
+    def close(self) -> list[tuple[int, int]]:
+        return self.open() if self.labels is None else []
 
-    def edges(block: np.ndarray) -> list[tuple[int, int]]:
+    def _match(self, rows: np.ndarray, own: bool) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
-        change = np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1)) + 1
-        bounds = np.concatenate([[0], change, [len(block)]])
-        for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
-            part = block[bounds[i] : bounds[i + 1]]
-            out += pairs(part[:, 3], part[:, 4].copy().view(np.uint64), part[:, 5].copy().view(np.uint64), part[:, 6] != 0, distance, check_distance)
+        if not len(self.node):
+            return out
+        step = max(1, (1 << 20) // len(self.node))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            near = np.bitwise_count(part[:, 1].copy().view(np.uint64)[:, None] ^ self.fp) <= self.distance
+            near &= part[:, 0][:, None] != self.node
+            if not near.any():
+                continue
+            apart = np.bitwise_count(part[:, 2].copy().view(np.uint64)[:, None] ^ self.check)
+            if len(self.node) <= self.every:
+                r, c = np.nonzero(near & (apart <= self.levels[-1]))
+                out += zip(part[r, 0].tolist(), self.node[c].tolist(), strict=True)
+                continue
+            for level, label in zip(self.levels, self.labels, strict=True):
+                hit = near & (apart <= level)
+                for r in np.flatnonzero(hit.any(axis=1)).tolist():
+                    cols = np.flatnonzero(hit[r])
+                    labels, first = np.unique(label[cols], return_index=True)
+                    mine = label[at + r] if own else -1
+                    if len(labels) > 1 or labels[0] != mine:
+                        out += [(int(part[r, 0]), int(self.node[c])) for c, l in zip(cols[first], labels, strict=True) if l != mine]
+                        all_ = np.append(labels, mine) if own else labels
+                        if len(all_) > 1:
+                            label[np.isin(label, all_)] = labels[0]
         return out
 
+
+def _join(distance: int, levels: list[int], every: int):
+    """Rows (g, key, tile, node, fp, check, probe) in order of (g, key, tile, probe); a
+    bucket ends where one of the first three changes."""
+
     def emit(rows: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         if rows:
             made = np.array(rows, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        now, bucket = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             block = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            if held and not (held[-1][-1, :3] == block[0, :3]).all():
-                yield from emit(edges(np.concatenate(held)))
-                held = []
-            last = np.flatnonzero((block[:, :3] != block[-1, :3]).any(axis=1))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from emit(edges(np.concatenate([*held, block[:cut]])))
-                held = []
-            held.append(block[cut:])
-        if held:
-            yield from emit(edges(np.concatenate(held)))
+            bounds = np.concatenate([[0], np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1)) + 1, [len(block)]])
+            out: list[tuple[int, int]] = []
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                key = tuple(block[i, :3].tolist())
+                if key != now:
+                    if bucket is not None:
+                        out += bucket.close()
+                    # A bucket of one row, whole in this batch, has no pair.
+                    alone = j - i == 1 and j < len(block)
+                    now, bucket = key, None if alone else Bucket(distance, levels, every)
+                if bucket is not None:
+                    out += bucket.add(block[i:j, 3:])
+            yield from emit(out)
+        if bucket is not None:
+            yield from emit(bucket.close())
 
     return run
 
 
-def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, check_distance: int = BITS, bucket: int = BUCKET, pairs=forest, more: DataFrame | None = None, within: int | None = None) -> DataFrame:
+def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, check_distance: int = BITS, bucket: int = BUCKET, step: int = BITS, every: int = 0, more: DataFrame | None = None, within: int | None = None) -> DataFrame:
     """Edges (a, b) over ``nodes(node, fp, check)`` whose components are those of all
-    links.  Where a second fingerprint, check, is given, links must agree on it too.
+    links.  Where a second fingerprint, check, is given, links must agree on it too; with
+    ``step`` there are edges of spanning forests at that many levels of agreement, and with
+    ``every`` all pairs of small buckets, for a check of edges that follows.
     ``more`` are further buckets (g, key, node, fp, check); rows that meet in a bucket
     link at ``within`` bits, if given, instead of ``distance``."""
     n, both = bit_counts(nodes)
@@ -327,30 +354,36 @@ def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, ch
     cols = ["node", "fp", "check"]
     if hot.take(1):
         lone = lambda df: df.join(hot, ["g", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        every = F.explode(F.sequence(zero, F.col("salts") - 1)).alias("salt")
-        dealt = lone(index).select("g", "key", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), *cols, zero.alias("probe"), "salts")
-        # A split bucket's members look each other up across its parts as probes do.
-        across = dealt.where("salts > 1").select("g", "key", *cols, "salts").select("g", "key", every, *cols, one.alias("probe"))
-        rows = dealt.drop("salts").union(lone(probes).select("g", "key", every, *cols, one.alias("probe"))).union(across)
+        dealt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+        every_salt = F.sequence(zero, F.col("salts") - 1)
+        # Tile i * salts + p: index rows of part i, lookups of part p.
+        rows = lone(index).withColumn("part", dealt).select("g", "key", F.explode(F.transform(every_salt, lambda p: F.col("part") * F.col("salts") + p)).alias("tile"), *cols, "salts")
+        lookups_ = lone(probes)
+        # A split bucket's members look each other up across its parts.
+        across = lone(index).where("salts > 1")
+        lookups_ = lookups_.union(across.select(*lookups_.columns)).withColumn("part", dealt).select("g", "key", F.explode(F.transform(every_salt, lambda i: i * F.col("salts") + F.col("part"))).alias("tile"), *cols)
+        rows = rows.select("g", "key", "tile", *cols, zero.alias("probe")).union(lookups_.select("g", "key", "tile", *cols, one.alias("probe")))
     else:
-        rows = index.select("g", "key", zero.alias("salt"), *cols, zero.alias("probe")).union(probes.select("g", "key", zero.alias("salt"), *cols, one.alias("probe")))
-    return rows.repartition("g", "key", "salt").sortWithinPartitions("g", "key", "salt").mapInArrow(_join(distance if within is None else within, check_distance, pairs), "a long, b long")
+        rows = index.select("g", "key", zero.alias("tile"), *cols, zero.alias("probe")).union(probes.select("g", "key", zero.alias("tile"), *cols, one.alias("probe")))
+    levels = [*range(0, check_distance, step), check_distance]
+    return rows.repartition("g", "key", "tile").sortWithinPartitions("g", "key", "tile", "probe").mapInArrow(_join(distance if within is None else within, levels, every), "a long, b long")
 
 
 def groups(spark: SparkSession, prints: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
-    """(fp, component_id) for each fingerprint of ``prints(doc_id, fp)``."""
-    nodes = table(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumns({"node": F.col("fp"), "check": F.lit(0).cast("long")}), "fingerprints")
+    """A table (fp, component_id, copies) of the fingerprints of ``prints(doc_id, fp)``."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    nodes = table(spark, nodes.withColumns({"node": F.col("fp"), "check": F.lit(0).cast("long")}), "fingerprints")
     found = components(spark, links(spark, nodes, bucket=bucket))
-    roots = nodes.join(found, "node", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return roots.join(ids, "root").select("fp", "component_id")
+    roots = table(spark, nodes.join(found, "node", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")), "roots")
+    ids = table(spark, roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "ids")
+    return table(spark, split_join(roots, ids, ["root"], "members").select("fp", "component_id", "copies"), "groups")
 
 
 def components_of(spark: SparkSession, df: DataFrame, *, words: int = WORDS, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint, component_id."""
     prints = table(spark, fingerprint(df, words=words), "prints")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(groups(spark, prints, bucket=bucket), "fp").select("doc_id", hexed, "component_id")
+    return split_join(prints, groups(spark, prints, bucket=bucket), ["fp"], "copies").select("doc_id", hexed, "component_id")
 
 
 def similar(spark: SparkSession, edges: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -369,39 +402,61 @@ def similar(spark: SparkSession, edges: DataFrame, texts: DataFrame, words: int,
     return shared.where(F.col("shared") >= F.lit(least) * (F.col("m") + F.col("n") - F.col("shared")) - 1e-9).select("a", "b")
 
 
+def shared_keys(sets: list[np.ndarray], keys: int = KEYS, of: int = HASHES) -> np.ndarray:
+    """Keys of sets of hashes, a row each: a key stands for ``of`` smallest values, each
+    under a multiplier of its own, so two sets share one with the probability that
+    their similarity to the power of ``of`` gives; of sixteen keys of four hashes, sets
+    of similarity 0.8 share at least one in 9,997 cases of 10,000.  No set may be empty."""
+    flat, starts = np.concatenate(sets), np.cumsum([0] + [len(x) for x in sets])[:-1]
+    out = np.zeros((len(sets), keys), np.uint64)
+    odd = np.random.default_rng(SEED).integers(1 << 62, size=keys * of, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
+    for k in range(keys):
+        name = np.full(len(sets), k, np.uint64)
+        for m in odd[k * of : (k + 1) * of]:
+            name = (name ^ (name >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(flat * m, starts)
+        out[:, k] = name
+    return out
+
+
 def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int = DISTANCE, within: int = 24, least: float = SIMILAR) -> DataFrame:
-    """The rows but for near copies: of each group the row of the smallest doc_id stays.
+    """The rows but for near copies: of each group the row of the smallest doc_id stays (a
+    row without one only if no other of its group has one).
 
     Near copies have a Jaccard similarity of ``least`` or more on the sets of their shingles
     of ``words`` words, which is measured exactly for every candidate.  Candidates meet in
-    a bucket of the pigeonhole search at ``distance`` bits, or share one of the n -
-    ceil(least n) + 1 smallest hashes of their n shingles, as any two sets with such a
-    similarity do.  Of these, pairs within ``within`` bits by both fingerprints (of WORDS and
-    of ``words`` words) are measured: a similarity of 0.8 is an angle of about 27 degrees
-    and moves 10 of 64 bits on average, with a deviation of 3.  A bucket of over EVERY rows
-    gives the closest pairs that connect it, not all.
-    Rows with equal sets of shingles that have no doc_id, or the same one, are all but one
-    dropped as well."""
+    a bucket of the pigeonhole search at ``distance`` bits, or share one of KEYS keys
+    (``shared_keys``), which are further buckets of the same search.  Of these, pairs within
+    ``within`` bits by both fingerprints (of WORDS and of ``words`` words) are measured: a
+    similarity of 0.8 is an angle of about 27 degrees and moves 10 of 64 bits on average,
+    with a deviation of 3.  A bucket of over EVERY rows gives the closest pairs that connect
+    it, at each of several levels, not all.
+    Rows with equal sets of shingles are one group whatever their doc_id: null and empty
+    texts are one, repeated rows are one.  An empty table stays empty; columns of any name
+    are kept; texts are read whole."""
     names = df.columns
+    row = free(df, "row")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = utf8(batch.column(1))
+        texts = utf8(batch.column(2))
         long = [hashes(t, words) for t in texts]
         made = [pa.array(x.view(np.int64)) for x in (fingerprints(texts, WORDS), majority(long))]
         sets = [np.unique(np.array(x, np.uint64)) for x in long]
         same = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
-        start = [x[: len(x) - math.ceil(least * len(x) - 1e-9) + 1].view(np.int64) for x in sets]
-        return pa.RecordBatch.from_arrays([batch.column(0), *made, pa.array(same.view(np.int64)), pa.array(start, pa.list_(pa.int64()))], names=["row", "fp", "check", "same", "start"])
-
-    tagged = table(spark, df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    texts = tagged.select(F.col("__row").alias("row"), "text")
-    prints = arrow_map(texts, work, "row long, fp long, check long, same long, start array<long>")
-    prints = table(spark, prints.join(tagged.select(F.col("__row").alias("row"), "doc_id"), "row"), "prints")
+        some = [i for i, x in enumerate(sets) if len(x)]
+        keys = shared_keys([sets[i] for i in some]).view(np.int64) if some else np.zeros((0, KEYS), np.int64)
+        counts = np.zeros(len(sets) + 1, np.int32)
+        counts[np.array(some, np.int64) + 1] = KEYS
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(keys.ravel()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], *made, pa.array(same.view(np.int64)), lists], names=["row", "doc_id", "fp", "check", "same", "keys"])
+
+    tagged = table(spark, df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    texts = tagged.select(F.col(row).alias("row"), "text")
+    prints = arrow_map(tagged.select(F.col(row).alias("row"), "doc_id", "text"), work, f"row long, doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long, check long, same long, keys array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    nodes = prints.groupBy("fp", "check", "same").agg(first).withColumn("node", F.col("first.row"))
+    nodes = prints.groupBy("fp", "check", "same").agg(first, F.first("keys").alias("keys")).withColumn("node", F.col("first.row"))
     nodes = table(spark, nodes, "fingerprints")
-    shared = nodes.select("node", "fp", "check").join(prints.select(F.col("row").alias("node"), "start"), "node").select(F.lit(-1).alias("g"), F.explode("start").alias("key"), "node", "fp", "check")
-    found = links(spark, nodes, distance=distance, check_distance=within, pairs=closest, more=shared, within=within)
+    shared = nodes.select(F.lit(-1).alias("g"), F.explode("keys").alias("key"), "node", "fp", "check")
+    found = links(spark, nodes, distance=distance, check_distance=within, step=4, every=EVERY, more=shared, within=within)
     found = components(spark, similar(spark, found, texts, words, least))
     best = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
-    return tagged.join(best.select(F.col("first.row").alias("__row")), "__row", "left_semi").select(*names)
+    return tagged.join(best.select(F.col("first.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in names])
