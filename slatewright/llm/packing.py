@@ -3,39 +3,45 @@
 A document is its token ids and an end id; only documents longer than a sequence are
 cut.  Full pieces are sequences of their own.  The rest is dealt evenly, by a hash, to
 shards of a bounded number of pieces; in each shard several islands (a Spark task each)
-evolve packings.  An individual is a list of bins.  Crossover injects the best-filled
-bins of one parent whole into the other, removes from it the bins that now hold
-duplicates and best-fits the displaced pieces.  Between rounds each island's elite
-migrates to the next island of its shard.  At the end the best island of each shard
-wins, and the worst-filled bins of all shards are dissolved and packed together once more
-in the same way, so that shards cost next to nothing.
-
-Null and empty texts are one piece that holds the end id alone.  Repeated rows are
-packed as often as they occur.  An empty table gives an empty table.  Extra columns are
-ignored.  Texts of any length are encoded whole.
+evolve packings.  An individual is a list of bins; those an island begins with best-fit
+the pieces in random orders.  Crossover injects well-filled bins of one parent whole into
+the other, removes from it the bins that now hold duplicates and best-fits the displaced
+pieces; mutation dissolves the emptiest bins and some others.  Fewer bins are fitter, then
+fuller ones.  Between rounds each island's elite migrates to the next island of its shard.
+An island makes LEAST children a round at least, and goes on while it is above the lower
+bound (of lengths, and of pieces that cannot share) until CHILDREN.  At the end the best
+island of each shard wins, and the emptiest eighth of the bins of all shards is dissolved
+and packed together once more in the same way, so that shards cost next to nothing.
+
+Null and empty texts are one piece that holds the end id alone.  Repeated rows, rows without
+doc_id among them, are packed as often as they occur.  Of equally full bins and pieces of
+equal length the order is by a seed, so results are the same from run to run.  An empty
+table gives an empty table.  Extra columns are ignored.  Texts of any length are encoded
+whole.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_map, need, parts, table
+from .common import arrow_map, need, table
 
 FILE = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of a shard (mean), islands of a shard, rounds with migration after each,
-#: individuals of an island and children per round.
-SHARD, ISLANDS, ROUNDS, POPULATION, CHILDREN = 4096, 2, 2, 4, 6
+#: individuals of an island, and children per round at least and at most.
+SHARD, ISLANDS, ROUNDS, POPULATION, LEAST, CHILDREN = 4096, 3, 3, 6, 3, 60
+#: Of the bins of a shard one in this many, the emptiest, is packed again with others.
+AGAIN = 8
 
 _caches: dict[str, tokens.Chunks] = {}
 
@@ -103,7 +109,7 @@ class Bins:
 def best_fit(order: list[int], lengths: list[int], capacity: int, start: list[list[int]] = ()) -> list[list[int]]:
     bins = Bins(capacity)
     for items in start:
-        bins.add(list(items), capacity - sum(lengths[i] for i in items))
+        bins.add(list(items), capacity - sum([lengths[i] for i in items]))
     for i in order:
         bins.fit(i, lengths[i])
     return bins.all()
@@ -111,12 +117,28 @@ def best_fit(order: list[int], lengths: list[int], capacity: int, start: list[li
 
 def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones (sum of squared fill); greater is better."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(bins), sum([(sum([lengths[i] for i in b]) / capacity) ** 2 for b in bins])
+
+
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """Bins that any packing needs.  For each size k up to half a bin: pieces over half
+    have a bin each; those of k to a half can only use the room that is left there by the
+    ones that are not over capacity - k, and bins of their own."""
+    x = np.sort(np.asarray(lengths, np.int64))
+    total = np.concatenate([[0], np.cumsum(x)])
+    if not len(x):
+        return 0
+    half = np.searchsorted(x, capacity // 2, "right")
+    k = np.unique(np.concatenate([[0], x[:half]]))
+    low, high = np.searchsorted(x, k, "left"), np.searchsorted(x, capacity - k, "right")
+    room = (high - half) * capacity - (total[high] - total[half])
+    own = np.maximum(0, -((room - (total[half] - total[low])) // capacity))
+    return int((len(x) - half + own).max())
 
 
 def crossover(giver: list[list[int]], taker: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Whole bins of ``giver``, better filled than its mean, go into ``taker``."""
-    fill = [sum(lengths[i] for i in b) for b in giver]
+    fill = [sum([lengths[i] for i in b]) for b in giver]
     mean = sum(fill) / max(1, len(fill))
     share = rng.uniform(0.3, 0.9)
     injected = [b for b, f in zip(giver, fill, strict=True) if f >= mean and rng.random() < share]
@@ -133,37 +155,37 @@ def crossover(giver: list[list[int]], taker: list[list[int]], lengths: list[int]
 
 def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Dissolve the emptiest bins and a few others, and best-fit their pieces."""
-    order = sorted(bins, key=lambda b: sum(lengths[i] for i in b))
+    order = sorted(bins, key=lambda b: sum([lengths[i] for i in b]))
     cut = max(1, len(order) // 10)
     out, kept = order[:cut], []
     for b in order[cut:]:
         (out if rng.random() < 0.05 else kept).append(b)
-    loose = sorted((i for b in out for i in b), key=lambda i: (-lengths[i], i))
+    loose = sorted([i for b in out for i in b], key=lambda i: (-lengths[i], i))
     return best_fit(loose, lengths, capacity, kept)
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int, children: int) -> list[list[list[int]]]:
-    """One round of an island; its individuals, best first.  It ends early at the bound
-    of total length over capacity, which no packing can beat."""
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int, children: int, least: int = LEAST) -> tuple[list[list[list[int]]], int]:
+    """One round of an island: its individuals, best first, and how many children were
+    made.  It ends early, after ``least`` of them, at a bound that no packing can beat."""
     rng = random.Random(seed)
-    bound = -(-sum(lengths) // capacity)
+    bound = lower_bound(lengths, capacity)
     people = [e for e in elites if e]
-    falling = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    everything = list(range(len(lengths)))
     while len(people) < population:
-        order = falling if not people else sorted(falling, key=lambda i: -lengths[i] * rng.uniform(0.9, 1.0))
-        people.append(best_fit(order, lengths, capacity))
-    rate = lambda p: fitness(p, lengths, capacity)
-    people.sort(key=rate, reverse=True)
-    for _ in range(children):
-        if len(people[0]) <= bound:
-            break
-        one, two = rng.sample(range(min(len(people), population)), 2)
-        child = mutate(crossover(people[one], people[two], lengths, capacity, rng), lengths, capacity, rng)
-        keys = [rate(p) for p in people]
-        at = len(people) - bisect_left(sorted(keys), rate(child))
-        people.insert(at, child)
-        del people[population:]
-    return people
+        rng.shuffle(everything)
+        people.append(best_fit(everything, lengths, capacity))
+    rated = sorted(((fitness(p, lengths, capacity), k, p) for k, p in enumerate(people)), key=lambda x: (x[0], -x[1]), reverse=True)
+    born = 0
+    while born < children and (born < least or -rated[0][0][0] > bound):
+        # Two parents, the better of two each, that need not be the best.
+        one, two = (min(rng.randrange(len(rated)), rng.randrange(len(rated))) for _ in range(2))
+        two += one == two
+        child = mutate(crossover(rated[one][2], rated[two % len(rated)][2], lengths, capacity, rng), lengths, capacity, rng)
+        born += 1
+        rated.append((fitness(child, lengths, capacity), population + born, child))
+        rated.sort(key=lambda x: (x[0], -x[1]), reverse=True)
+        del rated[population:]
+    return [p for *_, p in rated], born
 
 
 def _labels(bins: list[list[int]], n: int) -> np.ndarray:
@@ -181,7 +203,8 @@ def _grouped(labels) -> list[list[int]]:
 
 
 def _islands(spark: SparkSession, items: DataFrame, capacity: int, islands: int, rounds: int, population: int, children: int) -> DataFrame:
-    """items(shard, key, length) -> items with bin: each shard's best packing."""
+    """items(shard, key, length) -> items with bin, of each shard's best packing, and born,
+    the children that the shard's islands made for it."""
 
     def step(final: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,52 +214,50 @@ def _islands(spark: SparkSession, items: DataFrame, capacity: int, islands: int,
             own = elites[0]
             lengths = own["length"].tolist()
             people = [_grouped(g["bin"].tolist()) for g in elites if g["bin"].iat[0] >= 0]
+            # An island knows its own count; the last step has every island's.
+            born = sum(int(g["born"].iat[0]) for g in elites) if final else sum(int(g["born"].iat[0]) for g in elites if int(g["origin"].iat[0]) == island)
             if final:
                 best = max(people, key=lambda p: fitness(p, lengths, capacity))
             else:
-                best = evolve(lengths, capacity, (shard * 8191 + island) * 127 + last, people, population, children)[0]
-            return pd.DataFrame({"shard": own["shard"].to_numpy(), "island": island, "round": last + 1, "origin": island, "key": own["key"].to_numpy(), "length": own["length"].to_numpy(), "bin": _labels(best, len(lengths))})
+                made, more = evolve(lengths, capacity, (shard * 8191 + island) * 127 + last, people, population, children)
+                best, born = made[0], born + more
+            return pd.DataFrame({"shard": own["shard"].to_numpy(), "island": island, "round": last + 1, "origin": island, "key": own["key"].to_numpy(), "length": own["length"].to_numpy(), "bin": _labels(best, len(lengths)), "born": born})
 
         return run
 
-    schema = "shard long, island int, round int, origin int, key long, length long, bin int"
-    state = items.select("shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.lit(0).alias("round"), F.lit(0).alias("origin"), "key", "length", F.lit(-1).alias("bin"))
+    schema = "shard long, island int, round int, origin int, key long, length long, bin int, born int"
+    state = items.select("shard", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"), F.lit(0).alias("round"), F.lit(0).alias("origin"), "key", "length", F.lit(-1).alias("bin"), F.lit(0).alias("born"))
     for _ in range(rounds):
         made = state.groupBy("shard", "island").applyInPandas(step(False), schema)
         state = made.withColumn("island", F.explode(F.array(F.col("origin"), (F.col("origin") + 1) % islands)) if islands > 1 else F.col("origin"))
     last = state.where("island = origin").withColumn("island", F.lit(0))
-    return last.groupBy("shard", "island").applyInPandas(step(True), schema).select("shard", "key", "length", "bin")
+    return last.groupBy("shard", "island").applyInPandas(step(True), schema).select("shard", "key", "length", "bin", "born")
 
 
 def place(spark: SparkSession, made: DataFrame, *, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, rounds: int = ROUNDS, population: int = POPULATION, children: int = CHILDREN) -> DataFrame:
-    """pieces() rows, in a written table, plus sequence_id and offset."""
+    """pieces() rows, in a written table, plus sequence_id, offset and children, how many
+    packings the islands bred for the shard that the piece's sequence comes from."""
     full = made.where(F.col("length") >= capacity)
     small = table(spark, made.where(F.col("length") < capacity).select(F.monotonically_increasing_id().alias("key"), *made.columns), "pieces")
     n = small.count()
     shards = max(1, -(-n // shard))
     first = _islands(spark, small.select((F.pmod(F.xxhash64("key"), F.lit(shards))).alias("shard"), "key", "length"), capacity, islands, rounds, population, children)
     first = table(spark, first, "packed")
-    # The bins under the mean fill of the worst percentile are packed together again.
     fills = first.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
-    bins = fills.agg(F.count("*")).first()[0]
-    loose_shards = max(1, shards // 64)
-    ends = fills.withColumn("rank", F.row_number().over(_worst())).where(F.col("rank") <= F.lit(max(2, 8 * bins // max(1, 64 * shards)))).select("shard", "bin", F.lit(True).alias("loose"))
+    # The emptiest bins of each shard, two at least, are packed together again.
+    emptiest = Window.partitionBy("shard").orderBy("fill", "bin")
+    fills = fills.withColumns({"rank": F.row_number().over(emptiest), "bins": F.count("*").over(Window.partitionBy("shard"))})
+    ends = fills.where(F.col("rank") <= F.greatest(F.lit(2), F.col("bins") / AGAIN)).select("shard", "bin", F.lit(True).alias("loose"))
     marked = first.join(ends, ["shard", "bin"], "left")
+    loose_shards = max(1, shards // 64)
     again = _islands(spark, marked.where("loose").select((F.pmod(F.xxhash64("key", F.lit(7)), F.lit(loose_shards))).alias("shard"), "key", "length"), capacity, islands, rounds, population, children)
-    kept = marked.where("loose is null").select("key", (F.col("shard") * (1 << 24) + F.col("bin")).alias("sequence_id"))
-    redone = again.select("key", ((F.col("shard") + shards) * (1 << 24) + F.col("bin")).alias("sequence_id"))
-    from pyspark.sql import Window
-
+    kept = marked.where("loose is null").select("key", (F.col("shard") * (1 << 24) + F.col("bin")).alias("sequence_id"), "born")
+    redone = again.select("key", ((F.col("shard") + shards) * (1 << 24) + F.col("bin")).alias("sequence_id"), "born")
     order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "key")
     inside = small.join(kept.union(redone), "key").withColumn("offset", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("offset", F.coalesce("offset", F.lit(0)).cast("long"))
-    alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return inside.select(*made.columns, "sequence_id", "offset").unionByName(alone.select(*made.columns, "sequence_id", "offset"))
-
-
-def _worst():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("shard").orderBy("fill", "bin")
+    alone = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "born": F.lit(0)})
+    out = [*made.columns, "sequence_id", "offset", F.col("born").alias("children")]
+    return inside.select(*out).unionByName(alone.select(*out))
 
 
 def pack(spark: SparkSession, df: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, **how) -> DataFrame:

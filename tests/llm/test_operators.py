@@ -601,15 +601,58 @@ def test_packing(spark):
     assert sum(len(r["ids"]) for r in packing.sequences(packed).collect()) == 4 * total
 
 
+def thirds(rng, n, capacity=4096):
+    """Lengths that n full sequences of three hold."""
+    out = []
+    while len(out) < 3 * n:
+        a, b = rng.randint(capacity // 4 + 1, capacity // 2 - 1), rng.randint(capacity // 4 + 1, capacity // 2 - 1)
+        if capacity // 4 < capacity - a - b < capacity // 2:
+            out += [a, b, capacity - a - b]
+    rng.shuffle(out)
+    return out
+
+
 def test_packing_genetics():
     rng = random.Random(1)
     lengths = [rng.choice([2100, 1400, 700, 650, 1999, 2047]) for _ in range(120)]
-    people = packing.evolve(lengths, 4096, 3, [], 5, 12)
+    people, born = packing.evolve(lengths, 4096, 3, [], 5, 12)
     plain = packing.best_fit(sorted(range(120), key=lambda i: -lengths[i]), lengths, 4096)
     for p in people:
         assert sorted(i for b in p for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 4096 for b in p)
-    assert packing.fitness(people[0], lengths, 4096) >= packing.fitness(plain, lengths, 4096)
-    assert packing.evolve(lengths, 4096, 3, [], 5, 12) == people
+    assert packing.fitness(people[0], lengths, 4096)[0] >= packing.fitness(plain, lengths, 4096)[0]
+    assert born >= packing.LEAST and packing.evolve(lengths, 4096, 3, [], 5, 12) == (people, born)
+
+
+def test_packing_lower_bound():
+    """No packing of few pieces, by brute force, beats it; pieces over half are counted."""
+
+    def least(pieces, rooms):
+        if not pieces:
+            return 0
+        first, rest = pieces[0], pieces[1:]
+        best = 1 + least(rest, [*rooms, 10 - first])
+        for i, r in enumerate(rooms):
+            if r >= first and r not in rooms[:i]:
+                best = min(best, least(rest, [*rooms[:i], r - first, *rooms[i + 1 :]]))
+        return best
+
+    rng = random.Random(2)
+    for _ in range(200):
+        lengths = [rng.randint(1, 10) for _ in range(rng.randint(0, 7))]
+        assert -(-sum(lengths) // 10) <= packing.lower_bound(lengths, 10) <= least(lengths, [])
+    assert packing.lower_bound([6] * 5 + [3], 10) == 5
+
+
+def test_packing_beats_best_fit_falling(spark):
+    """Just over halves, quarters and thirds, where best fit of falling lengths misses the
+    bound: the islands' children do better, and their count is told."""
+    rng = random.Random(5)
+    lengths = [*thirds(rng, 60), *(rng.choice([2049, 1366, 683]) + rng.randint(0, 20) for _ in range(60))]
+    plain = len(packing.best_fit(sorted(range(len(lengths)), key=lambda i: -lengths[i]), lengths, 4096))
+    made = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.place(spark, made).collect()
+    assert len(rows) == len(lengths) and all(r["children"] >= packing.LEAST for r in rows)
+    assert packing.lower_bound(lengths, 4096) <= len({r["sequence_id"] for r in rows}) < plain
 
 
 # ------------------------------------------------------------------ 10
