@@ -5,15 +5,21 @@ n-grams of one to ORDERS letters (a blended spectrum; presence, not counts).  Th
 of two texts is the mean over n of the cosine of their n-gram sets.  A bounded sample of
 labelled rows is drawn by a hash; LANDMARKS of its texts span a Nyström feature space, in
 which one-versus-rest kernel ridge regression is solved.  As the kernel is a sum of inner
-products, landmarks and coefficients fold into one matrix per order, and scoring is a
-batched product of n-gram presence with these matrices: the same values, no landmark by
-landmark work.  A softmax whose temperature is fitted on sample rows kept apart turns
-values into a score.
+products, landmarks and coefficients fold into one matrix per order, with a row for each
+n-gram of a landmark; scoring is a batched product of n-gram presence with these matrices.
+That is the kernel itself: an n-gram that no landmark has adds nothing to an inner product,
+and norms count all n-grams of a text.  A softmax whose temperature is fitted on sample
+rows kept apart turns values into a score.
 
 Only rows with a language, a doc_id and crc32(doc_id) mod 3 other than 1 are ever learned
-from.  A null text or one without a letter is ``und`` with score 0, as is every text when
-there is nothing to learn from.  Ties go to the alphabetically first language.  Repeated
-rows give equal rows; an empty table gives an empty table; extra columns are ignored.
+from: of each of the LANGUAGES most frequent languages (ties by name) at most SAMPLE ids, one
+row an id, whose texts have LONGEST characters at most, and TOTAL rows in all.
+
+A null text or one without a letter is ``und`` with score 0, as is every text when
+there is nothing to learn from.  Very long texts are read whole.  Ties go to the alphabetically
+first language.  Repeated rows give equal rows; an empty table gives an empty table; extra
+columns are ignored by ``report`` and kept by ``identify``, which replaces columns that have
+the names of its own.
 """
 
 from __future__ import annotations
@@ -28,13 +34,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map, need
 
 ORDERS = 4
-#: Rows learned from for each language, landmarks in all, n-grams of each order at most.
-SAMPLE, LANDMARKS, VOCABULARY = 400, 240, 8192
+#: Rows learned from for each language and in all, languages, characters of a text that is
+#: learned from, landmarks in all.
+SAMPLE, TOTAL, LANGUAGES, LONGEST, LANDMARKS = 400, 20_000, 256, 50_000, 240
 RIDGE = 1e-2
 UNKNOWN = "und"
 
-_BITS = 18
-
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
@@ -68,49 +73,92 @@ def grams(points: np.ndarray, n: int) -> np.ndarray:
     return _mix(out + np.uint64(n))
 
 
+def gram_set(points: np.ndarray, n: int, step: int = 1 << 20) -> np.ndarray:
+    """The distinct n-grams of a text, a stretch at a time."""
+    parts = [np.unique(grams(points[i : i + step + n - 1], n)) for i in range(0, max(1, len(points) - n + 1), step)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def sets(texts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram sets of texts one after another, and the size of each."""
+    made = [gram_set(p, n) for p in texts]
+    return np.concatenate(made) if made else np.zeros(0, np.uint64), np.array([len(x) for x in made], np.int64)
+
+
+class Numbers:
+    """Numbers of known names, exactly: a table by the upper bits of a name, one by its lower
+    bits for those whose place is taken, and a sorted list for what is left."""
+
+    def __init__(self, names: np.ndarray):
+        bits = max(10, int(len(names)).bit_length() + 2)
+        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self.tables = []
+        left = np.arange(len(names))
+        for k in range(2):
+            at = self._place(names[left], k)
+            places, first = np.unique(at, return_index=True)
+            number = np.full(1 << bits, -1, np.int64)
+            number[places] = left[first]
+            name = np.zeros(1 << bits, np.uint64)
+            name[places] = names[left[first]]
+            self.tables.append((name, number))
+            left = np.delete(left, first)
+        order = left[np.argsort(names[left])]
+        self.rest, self.rest_number = names[order], order
+
+    def _place(self, names: np.ndarray, k: int) -> np.ndarray:
+        return (names & self.mask if k else names >> self.shift).astype(np.int64)
+
+    def of(self, names: np.ndarray) -> np.ndarray:
+        """A number for each name, -1 for the unknown."""
+        out = np.full(len(names), -1, np.int64)
+        for k, (name, number) in enumerate(self.tables):
+            at = self._place(names, k)
+            hit = (name[at] == names) & (number[at] >= 0)
+            out[hit] = number[at[hit]]
+        if len(self.rest):
+            at = np.minimum(np.searchsorted(self.rest, names), len(self.rest) - 1)
+            hit = self.rest[at] == names
+            out[hit] = self.rest_number[at[hit]]
+        return out
+
+
 class Model:
-    """Vocabulary tables and folded matrices."""
+    """Landmarks, their coefficients, and both folded into a matrix for each order."""
 
     def __init__(self, labels: list[str]):
         self.labels = labels
-        self.slots: list[np.ndarray] = []
-        self.checks: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.known: list[Numbers] = []
         self.folded: list[np.ndarray] = []
+        self.landmarks: list[np.ndarray] = []
+        self.coefficients = np.zeros((0, len(labels)))
         self.temperature = 1.0
 
-    def presence(self, texts: list[np.ndarray], n: int) -> np.ndarray:
-        """Texts by known n-grams, 0 or 1."""
-        out = np.zeros((len(texts), self.sizes[n - 1] + 1), np.float32)
-        slots, checks = self.slots[n - 1], self.checks[n - 1]
-        for row, points in zip(out, texts, strict=True):
-            h = grams(points, n)
-            at = h >> np.uint64(64 - _BITS)
-            row[slots[at[checks[at] == h]]] = 1
-        return out[:, :-1]
-
-    def know(self, names: np.ndarray, n: int) -> None:
-        """Names by falling importance; of those that meet in a slot the first stays."""
-        slots, checks = np.full(1 << _BITS, -1, np.int32), np.zeros(1 << _BITS, np.uint64)
-        at = (names >> np.uint64(64 - _BITS)).astype(np.int64)
-        _, first = np.unique(at, return_index=True)
-        first.sort()
-        slots[at[first]] = np.arange(len(first))
-        checks[at[first]] = names[first]
-        self.slots.append(slots)
-        self.checks.append(checks)
-        self.sizes.append(len(first))
-
-    @staticmethod
-    def unit(p: np.ndarray) -> np.ndarray:
-        return p / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+    def fold(self, landmarks: list[np.ndarray], coefficients: np.ndarray) -> None:
+        """A row of a matrix is what its n-gram adds: the coefficients of the landmarks that
+        have it, each over that landmark's norm."""
+        self.landmarks, self.coefficients = landmarks, coefficients
+        for n in range(1, ORDERS + 1):
+            names, sizes = sets(landmarks, n)
+            distinct, at = np.unique(names, return_inverse=True)
+            part = (coefficients / np.sqrt(np.maximum(sizes, 1))[:, None])[np.repeat(np.arange(len(sizes)), sizes)]
+            out = np.zeros((len(distinct), len(self.labels)))
+            np.add.at(out, at, part)
+            self.known.append(Numbers(distinct))
+            self.folded.append((out / ORDERS).astype(np.float32))
 
     def values(self, texts: list[np.ndarray]) -> np.ndarray:
-        """One-versus-rest values, a row for each text."""
+        """One-versus-rest values, a row for each text: presence of the known n-grams that
+        the texts have, times the rows of these."""
         out = np.zeros((len(texts), len(self.labels)))
         for n in range(1, ORDERS + 1):
-            p = self.presence(texts, n)
-            out += (p @ self.folded[n - 1]) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
+            names, sizes = sets(texts, n)
+            number = self.known[n - 1].of(names)
+            row = np.repeat(np.arange(len(texts)), sizes)[number >= 0]
+            used, column = np.unique(number[number >= 0], return_inverse=True)
+            presence = np.zeros((len(texts), len(used)), np.float32)
+            presence[row, column] = 1
+            out += presence @ self.folded[n - 1][used] / np.sqrt(np.maximum(sizes, 1))[:, None]
         return out
 
     def probabilities(self, values: np.ndarray) -> np.ndarray:
@@ -132,38 +180,49 @@ class Model:
         return names, scores
 
 
-def train(texts: list[str], langs: list[str], *, landmarks: int = LANDMARKS, vocabulary: int = VOCABULARY, ridge: float = RIDGE) -> Model:
-    model = Model(sorted(set(langs)))
+def kernel(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The blended-spectrum presence kernel of two lists of texts."""
+    out = np.zeros((len(a), len(b)))
+    for n in range(1, ORDERS + 1):
+        (xa, na), (xb, nb) = sets(a, n), sets(b, n)
+        distinct, at = np.unique(xb, return_inverse=True)
+        two = np.zeros((len(b), len(distinct)), np.float32)
+        two[np.repeat(np.arange(len(b)), nb), at] = 1
+        known, ends = Numbers(distinct), np.cumsum(na)
+        for i in range(0, len(a), 64):  # a batch of rows bounds the presence matrix
+            lo, hi = ends[i] - na[i], ends[min(i + 64, len(a)) - 1]
+            number = known.of(xa[lo:hi])
+            row = np.repeat(np.arange(len(na[i : i + 64])), na[i : i + 64])
+            one = np.zeros((len(na[i : i + 64]), len(distinct)), np.float32)
+            one[row[number >= 0], number[number >= 0]] = 1
+            out[i : i + 64] += one @ two.T / np.sqrt(np.maximum(na[i : i + 64, None] * nb, 1))
+    return out / ORDERS
+
+
+def train(texts: list[str], langs: list[str], *, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     points = [letters(t) for t in texts]
     rows = [i for i, p in enumerate(points) if len(p)]
+    model = Model(sorted({langs[i] for i in rows}))
     if not rows:
-        return Model([])
+        return model
     points, y = [points[i] for i in rows], np.array([model.labels.index(langs[i]) for i in rows])
-    for n in range(1, ORDERS + 1):
-        names, counts = np.unique(np.concatenate([np.unique(grams(p, n)) for p in points]), return_counts=True)
-        order = np.lexsort((names, -counts))
-        model.know(names[order][counts[order] > (1 if len(points) > 50 else 0)][:vocabulary], n)
     held = np.arange(len(points)) % 5 == 4 if len(points) >= 50 else np.zeros(len(points), bool)
-    unit = [model.unit(model.presence(points, n)) for n in range(1, ORDERS + 1)]
     fit = np.flatnonzero(~held)
     # Landmarks: each language's rows in turn, so that rare ones are spanned too.
     place = np.zeros(len(fit), np.int64)
     for c in range(len(model.labels)):
         of = np.flatnonzero(y[fit] == c)
         place[of] = np.arange(len(of))
-    marks = fit[np.lexsort((y[fit], place))][:landmarks]
-    z = [u[marks] for u in unit]
-    kernel = sum(u[fit] @ a.T for u, a in zip(unit, z, strict=True)).astype(np.float64) / ORDERS
-    own = sum(a @ a.T for a in z).astype(np.float64) / ORDERS
-    values, vectors = np.linalg.eigh(own)
+    marks = [points[i] for i in fit[np.lexsort((y[fit], place))][:landmarks]]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = kernel @ root
+    phi = kernel([points[i] for i in fit], marks) @ root
     target = np.where(y[fit][:, None] == np.arange(len(model.labels)), 1.0, -1.0)
     weight = np.linalg.solve(phi.T @ phi + ridge * len(fit) * np.eye(phi.shape[1]) / 100, phi.T @ target)
-    model.folded = [(a.T @ (root @ weight) / ORDERS).astype(np.float32) for a in z]
+    model.fold(marks, root @ weight)
     if held.any():
-        v = sum(u[held] @ f for u, f in zip(unit, model.folded, strict=True))
+        v = np.concatenate([model.values([points[i] for i in part]) for part in np.array_split(np.flatnonzero(held), -(-held.sum() // 64))])
         t = y[held]
         loss = {}
         for temperature in 2.0 ** np.arange(-5, 3, 0.25):
@@ -178,13 +237,20 @@ def remainder(doc_id: Column) -> Column:
 
 
 def learn(spark: SparkSession, df: DataFrame, *, sample: int = SAMPLE) -> Model:
-    """A model from the ``sample`` ids of each language that come first by a hash of
-    doc_id, one row of each.  Only doc_id and lang are ranked; texts of the chosen ids
-    alone are read, and of rows that share an id and a lang the least text is taken."""
-    open_ = need(df, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 1))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    chosen = open_.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample).select("doc_id", "lang")
-    rows = open_.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
+    """A model from the ids of each language that come first by a hash of doc_id, one row of
+    each (of rows that share an id and a lang the least text).  Counts of ids cut the hash's
+    range, so that few more rows than are learned from are ever sorted or sent."""
+    open_ = need(df, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= LONGEST) & (remainder(F.col("doc_id")) != 1))
+    open_ = open_.withColumn("place", F.xxhash64(F.col("doc_id").cast("string")) / float(1 << 64) + 0.5)
+    found = open_.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")).orderBy(F.desc("ids"), "lang").limit(LANGUAGES).collect()  # LANGUAGES rows
+    if not found:
+        return Model([])
+    each = min(sample, TOTAL // len(found))
+    # Twice the share that is wanted, and a few: fewer than wanted come once in an age.
+    cut = spark.createDataFrame([(r["lang"], min(1.0, (2 * each + 40) / max(r["ids"], 1))) for r in found], "lang string, cut double")
+    few = open_.join(F.broadcast(cut), "lang").where("place <= cut").groupBy("doc_id", "lang", "place").agg(F.min("text").alias("text"))
+    first = Window.partitionBy("lang").orderBy("place", "doc_id")
+    rows = few.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("doc_id", "lang", "text").collect()  # TOTAL rows of LONGEST characters
     rows.sort(key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
@@ -195,12 +261,10 @@ def lettered(text: str) -> Column:
 
 
 def identify(spark: SparkSession, df: DataFrame, *, model: Model | None = None) -> DataFrame:
-    """The rows with lang_pred and lang_score."""
+    """The rows with lang_pred and lang_score; columns of these names are replaced."""
     shared = spark.sparkContext.broadcast(model or learn(spark, df))
+    df = df.drop("lang_pred", "lang_score")
     names = df.columns
-    if {"lang_pred", "lang_score"} & set(names):
-        df = df.drop("lang_pred", "lang_score")
-        names = df.columns
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         pred, score = shared.value.predict(batch.column(names.index("text")).to_pylist())

@@ -694,9 +694,29 @@ def test_language_never_learns_from_held_out_rows(spark):
     assert a == b
 
 
-def test_language_folding_is_the_kernel_machine():
+def test_language_is_the_kernel_machine():
+    """Values against kernels of Python sets and landmark coefficients, nothing folded."""
     rows = language_rows()[:60]
     m = language.train([t for _, t, _ in rows], [x for _, _, x in rows], landmarks=20)
-    points = [language.letters(t) for _, t, _ in rows]
-    direct = sum(language.Model.unit(m.presence(points, n)) @ m.folded[n - 1] for n in range(1, language.ORDERS + 1))
-    assert np.allclose(direct, m.values(points), atol=1e-5)
+
+    def spectrum(points, n):
+        return {tuple(points[i : i + n].tolist()) for i in range(len(points) - n + 1)}
+
+    def kernel(a, b):
+        return sum(len(spectrum(a, n) & spectrum(b, n)) / (len(spectrum(a, n)) * len(spectrum(b, n)) or 1) ** 0.5 for n in range(1, language.ORDERS + 1)) / language.ORDERS
+
+    points = [language.letters(t) for t in ["", *[t for _, t, _ in rows[40:]], "漢字 unseen letters ø", "é"]]
+    k = np.array([[kernel(p, z) for z in m.landmarks] for p in points])
+    assert len(m.landmarks) == 20 and np.allclose(k, language.kernel(points, m.landmarks), atol=1e-6)
+    assert np.allclose(k @ m.coefficients, m.values(points), atol=1e-4)
+
+
+def test_language_numbers_are_exact(monkeypatch):
+    rng = np.random.default_rng(0)
+    names = np.unique(np.concatenate([rng.integers(0, 1 << 63, 3000, dtype=np.uint64), rng.integers(0, 1 << 10, 500, dtype=np.uint64) << np.uint64(20)]))
+    rng.shuffle(names)
+    known = language.Numbers(names)
+    assert len(known.rest) and (known.of(names) == np.arange(len(names))).all()
+    assert (known.of(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) | np.uint64(1 << 63)) == -1).all()
+    points = rng.integers(1, 50, 5000).astype(np.uint32)
+    assert (language.gram_set(points, 3, step=97) == language.gram_set(points, 3)).all()
