@@ -4,6 +4,7 @@ document columns and connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -136,12 +137,16 @@ def mark() -> int:
 
 
 def release(spark: SparkSession, since: int, *but: DataFrame) -> None:
-    """Remove the tables written since a mark, but for those named."""
+    """Remove the tables written since a mark, but for those named.  Spark frees the shuffle
+    files of ended queries when the driver's JVM has collected their plans; it does so now."""
     kept = {_paths[df] for df in but}
     for path in _written[since:]:
         if path not in kept:
             _written.remove(path)
             _remove(spark, path)
+    if spark.sparkContext._jsc is not None:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:

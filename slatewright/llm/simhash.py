@@ -247,28 +247,29 @@ class Bucket:
         self.parts: list[np.ndarray] = []
         self.labels: list[np.ndarray] | None = None
 
-    def add(self, rows: np.ndarray) -> list[tuple[int, int]]:
-        """Rows (node, fp, check, probe), index rows first -> edges."""
+    def add(self, rows: np.ndarray) -> list[tuple[int, int, int]]:
+        """Rows (node, fp, check, probe), index rows first -> edges and their distance by
+        the second fingerprint."""
         n = int(np.count_nonzero(rows[:, 3] == 0))
         if n:
             self.parts.append(rows[:n])
         return self.match(rows[n:]) if n < len(rows) else []
 
-    def open(self) -> list[tuple[int, int]]:
+    def open(self) -> list[tuple[int, int, int]]:
         """After the last index row: edges among these."""
         index = np.concatenate(self.parts) if self.parts else np.zeros((0, 4), np.int64)
         self.node, self.fp, self.check = index[:, 0], index[:, 1].copy().view(np.uint64), index[:, 2].copy().view(np.uint64)
         self.labels = [np.arange(len(index)) for _ in self.levels]
         return self._match(index, True)
 
-    def match(self, rows: np.ndarray) -> list[tuple[int, int]]:
+    def match(self, rows: np.ndarray) -> list[tuple[int, int, int]]:
         return (self.open() if self.labels is None else []) + self._match(rows, False)
 
-    def close(self) -> list[tuple[int, int]]:
+    def close(self) -> list[tuple[int, int, int]]:
         return self.open() if self.labels is None else []
 
-    def _match(self, rows: np.ndarray, own: bool) -> list[tuple[int, int]]:
-        out: list[tuple[int, int]] = []
+    def _match(self, rows: np.ndarray, own: bool) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
         if not len(self.node):
             return out
         step = max(1, (1 << 20) // len(self.node))
@@ -281,7 +282,7 @@ class Bucket:
             apart = np.bitwise_count(part[:, 2].copy().view(np.uint64)[:, None] ^ self.check)
             if len(self.node) <= self.every:
                 r, c = np.nonzero(near & (apart <= self.levels[-1]))
-                out += zip(part[r, 0].tolist(), self.node[c].tolist(), strict=True)
+                out += zip(part[r, 0].tolist(), self.node[c].tolist(), apart[r, c].tolist(), strict=True)
                 continue
             for level, label in zip(self.levels, self.labels, strict=True):
                 hit = near & (apart <= level)
@@ -290,7 +291,7 @@ class Bucket:
                     labels, first = np.unique(label[cols], return_index=True)
                     mine = label[at + r] if own else -1
                     if len(labels) > 1 or labels[0] != mine:
-                        out += [(int(part[r, 0]), int(self.node[c])) for c, l in zip(cols[first], labels, strict=True) if l != mine]
+                        out += [(int(part[r, 0]), int(self.node[c]), int(apart[r, c])) for c, l in zip(cols[first], labels, strict=True) if l != mine]
                         all_ = np.append(labels, mine) if own else labels
                         if len(all_) > 1:
                             label[np.isin(label, all_)] = labels[0]
@@ -301,10 +302,10 @@ def _join(distance: int, levels: list[int], every: int):
     """Rows (g, key, tile, node, fp, check, probe) in order of (g, key, tile, probe); a
     bucket ends where one of the first three changes."""
 
-    def emit(rows: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    def emit(rows: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         if rows:
             made = np.array(rows, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(made[:, 0]), pa.array(made[:, 1]), pa.array(made[:, 2].astype(np.int32))], names=["a", "b", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bucket = None, None
@@ -313,7 +314,7 @@ def _join(distance: int, levels: list[int], every: int):
                 continue
             block = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
             bounds = np.concatenate([[0], np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1)) + 1, [len(block)]])
-            out: list[tuple[int, int]] = []
+            out: list[tuple[int, int, int]] = []
             for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 key = tuple(block[i, :3].tolist())
                 if key != now:
@@ -332,15 +333,15 @@ def _join(distance: int, levels: list[int], every: int):
 
 
 def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, check_distance: int = BITS, bucket: int = BUCKET, step: int = BITS, every: int = 0, more: DataFrame | None = None, within: int | None = None) -> DataFrame:
-    """Edges (a, b) over ``nodes(node, fp, check)`` whose components are those of all
-    links.  Where a second fingerprint, check, is given, links must agree on it too; with
+    """Edges (a, b, apart) over ``nodes(node, fp, check)`` whose components are those of all
+    links; apart is the distance of the second fingerprints.  Where a second fingerprint, check, is given, links must agree on it too; with
     ``step`` there are edges of spanning forests at that many levels of agreement, and with
     ``every`` all pairs of small buckets, for a check of edges that follows.
     ``more`` are further buckets (g, key, node, fp, check); rows that meet in a bucket
     link at ``within`` bits, if given, instead of ``distance``."""
     n, both = bit_counts(nodes)
     if n < 2:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "a long, b long, apart int")
     search = plan(n, both, distance)
     own = nodes.select("node", "fp", "check")
     index = own.mapInArrow(_rows(search, True), "g int, key long, node long, fp long, check long")
@@ -366,7 +367,7 @@ def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, ch
     else:
         rows = index.select("g", "key", zero.alias("tile"), *cols, zero.alias("probe")).union(probes.select("g", "key", zero.alias("tile"), *cols, one.alias("probe")))
     levels = [*range(0, check_distance, step), check_distance]
-    return rows.repartition("g", "key", "tile").sortWithinPartitions("g", "key", "tile", "probe").mapInArrow(_join(distance if within is None else within, levels, every), "a long, b long")
+    return rows.repartition("g", "key", "tile").sortWithinPartitions("g", "key", "tile", "probe").mapInArrow(_join(distance if within is None else within, levels, every), "a long, b long, apart int")
 
 
 def groups(spark: SparkSession, prints: DataFrame, *, bucket: int = BUCKET) -> DataFrame:
@@ -387,19 +388,32 @@ def components_of(spark: SparkSession, df: DataFrame, *, words: int = WORDS, buc
 
 
 def similar(spark: SparkSession, edges: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The ``edges(a, b)`` whose ``texts(row, text)`` have a Jaccard similarity of at least
-    ``least`` on the sets of their shingles."""
+    """Of ``edges(a, b, apart)`` as many as connect what all do whose ``texts(row, text)``
+    have a Jaccard similarity of at least ``least`` on the sets of their shingles.
+
+    Each row's closest edge is measured first; of the others only those between rows that
+    these do not connect."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(np.array(hashes(t, words), np.uint64)).view(np.int64) for t in utf8(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "set"])
 
-    edges = table(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "candidates")
+    edges = table(spark, edges.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("apart").alias("apart")), "candidates")
     some = edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct()
     sets = table(spark, arrow_map(texts.join(some, "row", "left_semi").select("row", "text"), work, "row long, set array<long>"), "sets")
-    both = edges.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-    shared = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    return shared.where(F.col("shared") >= F.lit(least) * (F.col("m") + F.col("n") - F.col("shared")) - 1e-9).select("a", "b")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+        shared = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
+        return shared.where(F.col("shared") >= F.lit(least) * (F.col("m") + F.col("n") - F.col("shared")) - 1e-9).select("a", "b")
+
+    closest = edges.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    first = table(spark, measured(closest), "measured")
+    roots = components(spark, first)
+    rest = edges.join(closest, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return first.union(measured(rest.where("root_a <> root_b").select("a", "b")))
 
 
 def shared_keys(sets: list[np.ndarray], keys: int = KEYS, of: int = HASHES) -> np.ndarray:
