@@ -1,10 +1,14 @@
 """Operator 3: byte-level BPE encoding and decoding.
 
 The tokenizers library encodes; texts stream through Arrow batches.  A text is cut
-before each blank that follows a non-blank (where no match of the pattern can go on),
-so that the library meets each distinct chunk about once per worker.
-
-Nulls and empty texts give no tokens.  Texts are never cut for length.  Repeated rows
+before each blank that follows a non-blank (where no match of the published pattern can go
+on), so that the library meets each distinct chunk about once per worker; with any other
+pattern texts are encoded whole.  Ids decode by their strings in byte characters:
+joined, their characters go back to bytes by the reversed byte table, and only then are
+bytes read as text, so a character that is split among tokens comes back whole.
+
+Nulls and empty texts give no tokens.  Texts are never cut for length.  Of pairs of one
+rank, which are equal pairs, the left one is merged first.  Repeated rows
 give equal rows; an empty table gives an empty table; extra columns are ignored unless
 named in ``keep``.
 """
@@ -34,22 +38,24 @@ _caches: dict[str, tokens.Chunks] = {}
 
 
 def _cache(path: str, pattern: str) -> tokens.Chunks:
-    if path not in _caches:
-        _caches[path] = tokens.Chunks(tokens.from_json(path) if path.endswith(".json") else tokens.from_ranks(path, pattern), room=150_000)
-    return _caches[path]
+    key = path if path.endswith(".json") else f"{path}\n{pattern}"
+    if key not in _caches:
+        _caches[key] = tokens.Chunks(tokens.from_json(path) if path.endswith(".json") else tokens.from_ranks(path, pattern), room=150_000)
+    return _caches[key]
 
 
 def encode_texts(texts: list[str], path: str | None = None, pattern: str | None = None) -> list[bytes]:
     """Ids of each text, little-endian unsigned 32-bit."""
     path, pattern = path or tokens.vocabulary(FILE), pattern or _pattern()
-    return _cache(path, pattern).of([tokens.spaced_chunks(t) for t in texts])
+    # A file brings its own pattern: byte-level ones have the published kind.
+    cut = tokens.spaced_chunks if path.endswith(".json") or pattern == _pattern() else lambda t: [t] if t else []
+    return _cache(path, pattern).of([cut(t) for t in texts])
 
 
 def decode_ids(ids: bytes, path: str | None = None) -> bytes:
-    """The bytes that ids stand for; a character may be split among tokens, so ids
-    decode to bytes first and only whole sequences to text."""
-    table = tokens.token_bytes(path or tokens.vocabulary(FILE))
-    return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    """The bytes that ids stand for: their strings joined, and the byte table reversed."""
+    table = tokens.token_strings(path or tokens.vocabulary(FILE))
+    return tokens.spelt_bytes("".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]))
 
 
 def offsets(ids: bytes, path: str | None = None) -> np.ndarray:

@@ -76,22 +76,32 @@ def from_json(path: str):
 
 
 @lru_cache(maxsize=4)
-def token_bytes(path: str) -> tuple[bytes, ...]:
-    """Bytes of each id: of a rank file, or of a byte-level tokenizer file."""
-    if path.endswith(".json"):
-        back = byte_table()[1]
-        vocab = {k: v for k, v in from_json(path).get_vocab(with_added_tokens=False).items()}
-        out = [b""] * (max(vocab.values()) + 1)
-        for k, v in vocab.items():
-            out[v] = bytes(back[c] for c in k)
-        return tuple(out)
-    known = ranks(path)
-    out = [b""] * (max(known.values()) + 1)
-    for token, r in known.items():
-        out[r] = token
+def token_strings(path: str) -> tuple[str, ...]:
+    """The string of each id in byte characters, which is what the library's model has."""
+    table = byte_table()[0]
+    vocab = from_json(path).get_vocab(with_added_tokens=False) if path.endswith(".json") else {"".join(table[x] for x in t): r for t, r in ranks(path).items()}
+    out = [""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        out[i] = token
     return tuple(out)
 
 
+@lru_cache(maxsize=1)
+def _back() -> dict[int, str]:
+    return {ord(c): chr(b) for c, b in byte_table()[1].items()}
+
+
+def spelt_bytes(spelt: str) -> bytes:
+    """The bytes that byte characters stand for; one of no byte is an error."""
+    return spelt.translate(_back()).encode("latin-1")
+
+
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> tuple[bytes, ...]:
+    """Bytes of each id of a byte-level vocabulary, by the reversed byte table."""
+    return tuple(spelt_bytes(t) for t in token_strings(path))
+
+
 _LATIN = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 
 

@@ -3,18 +3,24 @@
 Unit vectors within cosine c are within eps = sqrt(2 - 2c) of each other.  Vectors are
 projected on their leading principal directions (fitted on a bounded sample; any
 directions are correct, better ones only skip more), put on a grid of cells of side eps
-there, and sorted by cell: the epsilon grid order.  The sequence is cut in blocks.  A
-recursion over intervals of the sequence finds, for each block, the blocks it can reach:
-an interval whose bounding box is further than eps away is skipped whole.  Pairs of
-blocks are halved in the same way down to leaves, whose vectors are compared by matrix
-products; what single precision cannot decide is computed again in double.
-
-Equal vectors are one node with a count.  A pair of blocks leaves each node's number of
-links and the edges of a spanning forest, never all its pairs.
+there, and sorted by cell: the epsilon grid order.  The sequence is cut in blocks, whose
+bounding boxes have the projections and, as one more coordinate, the length of what the
+projection leaves out; distances of boxes are then no greater than those of vectors.  A
+recursion over intervals of the sequence finds, for each tile of blocks, the tiles it can
+reach: an interval whose box is further than eps away is skipped whole.  A task has a pair
+of tiles; it holds the blocks of one and lets those of the other stream by, so a block is
+sent once for each tile it meets, not for each block.  Pairs of blocks are halved in the
+same way down to leaves, whose vectors are compared by matrix products; what single
+precision cannot decide is computed again in double.
+
+Equal vectors are one node with a count, and what is found for one goes back by a join that
+splits frequent ones.  A pair of blocks leaves each node's number of links and the edges of
+a spanning forest, never all its pairs.
 
 Null or empty vectors, zero vectors and those with null or non-finite components link
 with nothing.  Vectors of different lengths never link.  A row without vec_id is compared
-and counted like any other but names no component.  Repeated rows link with each other.
+and counted like any other but names no component.  Repeated rows link with each other;
+a cosine of exactly the threshold links.  Very long vectors make smaller tiles.
 An empty table gives an empty table; extra columns are ignored.
 """
 
@@ -27,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, need, table
+from .common import components, need, split_join, table
 
 COSINE = 0.9
-#: Vectors the directions are fitted on, directions, vectors of a block and of a leaf.
-SAMPLE, DIRECTIONS, BLOCK, LEAF = 4096, 6, 4096, 512
+#: Vectors the directions are fitted on, directions, those of them that the order is by,
+#: vectors of a block and of a leaf, and bytes of the blocks that a task holds.
+SAMPLE, DIRECTIONS, ORDER, BLOCK, LEAF, TILE_BYTES = 4096, 16, 6, 4096, 256, 64 << 20
 #: More than the rounding error of a product in single precision.
 SLACK = 1e-4
 
@@ -66,6 +73,13 @@ def directions(sample: np.ndarray, k: int = DIRECTIONS) -> np.ndarray:
     return vectors[:, ::-1][:, :k].copy()
 
 
+def place(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Projections of unit vectors, and the length of the rest: distances here are no
+    greater than those of the vectors."""
+    p = x @ basis
+    return np.concatenate([p, np.sqrt(np.maximum(0, 1 - (p * p).sum(axis=1, keepdims=True)))], axis=1)
+
+
 def gap(a_low, a_high, b_low, b_high) -> np.ndarray:
     """Distance of boxes."""
     d = np.maximum(0, np.maximum(a_low - b_high, b_low - a_high))
@@ -84,17 +98,17 @@ class Intervals:
             self.low.append(np.minimum(a[::2], a[1::2]))
             self.high.append(np.maximum(b[::2], b[1::2]))
 
-    def reach(self, i: int, eps: float) -> list[int]:
-        """Blocks from i on that block i can hold links with."""
-        found, n = [], len(self.low[0])
+    def reach(self, i: int, eps: float, before: bool = False) -> list[int]:
+        """Blocks from i on that block i can hold links with; or those before i."""
+        found, n = [], i if before else len(self.low[0])
         stack = [(len(self.low) - 1, 0)]
         while stack:
             level, k = stack.pop()
-            if k >= len(self.low[level]) or ((k + 1) << level) <= i or gap(self.low[0][i], self.high[0][i], self.low[level][k], self.high[level][k]) > eps:
+            if k >= len(self.low[level]) or (k << level >= i if before else (k + 1) << level <= i) or gap(self.low[0][i], self.high[0][i], self.low[level][k], self.high[level][k]) > eps:
                 continue
             if level:
                 stack += [(level - 1, 2 * k), (level - 1, 2 * k + 1)]
-            elif i <= k < n:
+            elif k < n and (before or i <= k):
                 found.append(k)
         return found
 
@@ -105,8 +119,9 @@ class Pair:
     def __init__(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, basis: np.ndarray, cosine: float, same: bool):
         self.a, self.b, self.wa, self.wb, self.cosine, self.same = a, b, wa, wb, cosine, same
         self.a32, self.b32 = a.astype(np.float32), b.astype(np.float32)
-        self.pa, self.pb = a @ basis, b @ basis
-        self.eps = (2 - 2 * cosine) ** 0.5 + 1e-9
+        self.pa, self.pb = place(a, basis), place(b, basis)
+        self.leaves = self.skipped = 0
+        self.eps = (2 - 2 * cosine) ** 0.5 + 1e-6  # more than the rounding of a rest's length
         self.na, self.nb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         self.label = np.arange(len(a) + (0 if same else len(b)))
         self.shift = 0 if same else len(a)
@@ -116,8 +131,10 @@ class Pair:
         if self.same and j.stop <= i.start:
             return  # the mirror image is joined
         if gap(self.pa[i].min(axis=0), self.pa[i].max(axis=0), self.pb[j].min(axis=0), self.pb[j].max(axis=0)) > self.eps:
+            self.skipped += -(-(i.stop - i.start) // LEAF) * -(-(j.stop - j.start) // LEAF)
             return
         if i.stop - i.start <= LEAF and j.stop - j.start <= LEAF:
+            self.leaves += 1
             self.leaf(i, j)
             return
         halves = lambda s: [s] if s.stop - s.start <= LEAF else [slice(s.start, (s.start + s.stop) // 2), slice((s.start + s.stop) // 2, s.stop)]
@@ -154,7 +171,7 @@ def _pack(basis: np.ndarray):
         names = ["part", "sub", "nodes", "counts", "raws", "low", "high"]
 
         def block(rows: list[tuple], sub: int) -> pa.RecordBatch:
-            p = units([r[3] for r in rows]) @ basis
+            p = place(units([r[3] for r in rows]), basis)
             cols = [[rows[0][0]], [sub], [np.array([r[1] for r in rows], np.int64).tobytes()], [np.array([r[2] for r in rows], np.int64).tobytes()], [b"".join(r[3] for r in rows)], [p.min(axis=0).tolist()], [p.max(axis=0).tolist()]]
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64())]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
@@ -171,83 +188,128 @@ def _pack(basis: np.ndarray):
     return run
 
 
+def _links(pair: Pair, na: np.ndarray, nb: np.ndarray) -> pa.RecordBatch:
+    both = na if pair.same else np.concatenate([na, nb])
+    counts = pair.na + pair.nb if pair.same else np.concatenate([pair.na, pair.nb])
+    some = np.flatnonzero(counts)
+    ends = np.array(pair.edges, np.int64).reshape(-1, 2)
+    cols = [np.concatenate([both[some], both[ends[:, 0]], [-1]]), [None] * len(some) + both[ends[:, 1]].tolist() + [pair.skipped], np.concatenate([counts[some], np.zeros(len(ends), np.int64), [pair.leaves]])]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
+
+
 def _compare(basis: np.ndarray, cosine: float):
+    """Rows (i, j, side, block, nodes, counts, raws) in order of (i, j, side, block): the
+    blocks of tile i, side 0, are held, and those of tile j meet them one by one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
             for k in range(batch.num_rows):
-                i, j, na, wa, ra, nb, wb, rb = [c[k].as_py() for c in batch.columns]
-                na, nb = np.frombuffer(na, np.int64), np.frombuffer(nb, np.int64)
-                a = units([ra[s : s + len(ra) // len(na)] for s in range(0, len(ra), len(ra) // len(na))])
-                b = a if i == j else units([rb[s : s + len(rb) // len(nb)] for s in range(0, len(rb), len(rb) // len(nb))])
-                pair = Pair(a, b, np.frombuffer(wa, np.int64), np.frombuffer(wb, np.int64), basis, cosine, i == j)
-                pair.run(slice(0, len(a)), slice(0, len(b)))
-                both = na if i == j else np.concatenate([na, nb])
-                counts = pair.na + pair.nb if i == j else np.concatenate([pair.na, pair.nb])
-                some = np.flatnonzero(counts)
-                ends = np.array(pair.edges, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([both[some], both[ends[:, 0]]])), pa.array([None] * len(some) + both[ends[:, 1]].tolist(), pa.int64()), pa.array(np.concatenate([counts[some], np.zeros(len(ends), np.int64)]))],
-                    names=["a", "b", "n"],
-                )
+                i, j, side, block, nodes_, counts, raws = [c[k].as_py() for c in batch.columns]
+                n, w = np.frombuffer(nodes_, np.int64), np.frombuffer(counts, np.int64)
+                x = units([raws[s : s + len(raws) // len(n)] for s in range(0, len(raws), len(raws) // len(n))])
+                if (i, j) != now:
+                    now, held = (i, j), []
+                if side == 0:
+                    held.append((block, n, w, x))
+                for other, m, v, y in held if side or i == j else ():
+                    # In one tile a block meets itself and those before it.
+                    pair = Pair(y, x, v, w, basis, cosine, other == block)
+                    pair.run(slice(0, len(y)), slice(0, len(x)))
+                    yield _links(pair, m, n)
 
     return run
 
 
-def found_links(spark: SparkSession, of: DataFrame, cosine: float) -> DataFrame:
+def found_links(spark: SparkSession, of: DataFrame, size: int, cosine: float) -> DataFrame:
     """of(node, count, raw), vectors of one length -> (a, null, n): links of node a, to be
-    summed; (a, b, 0): edges of a spanning forest."""
+    summed; (a, b, 0): edges of a spanning forest; (-1, skipped, compared): how many pairs of
+    leaves were skipped and compared."""
     sample = of.select("raw").orderBy(F.xxhash64("raw")).limit(SAMPLE).collect()  # bounded: SAMPLE vectors
     basis = directions(units([bytes(r["raw"]) for r in sample]))
     k, side = basis.shape[1], (2 - 2 * cosine) ** 0.5
-    cells = [f"c{i}" for i in range(min(3, k))]
+    cells = [f"c{i}" for i in range(min(ORDER, k))]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 c = np.floor(units(batch.column(2).to_pylist()) @ basis[:, : len(cells)] / side).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c[:, i]) for i in range(len(cells))]], names=["node", "count", "raw", *cells])
 
     n = of.count()
-    placed = table(spark, of.mapInArrow(place, "node long, count long, raw binary, " + ", ".join(f"{c} long" for c in cells)), "placed")
+    placed = table(spark, of.mapInArrow(cell, "node long, count long, raw binary, " + ", ".join(f"{c} long" for c in cells)), "placed")
     dealt = placed.repartitionByRange(max(1, -(-n // BLOCK)), *cells, "node").sortWithinPartitions(*cells, "node")
     blocks = dealt.select(F.spark_partition_id().alias("part"), "node", "count", "raw").mapInArrow(_pack(basis), "part int, sub int, nodes binary, counts binary, raws binary, low array<double>, high array<double>")
     blocks = table(spark, blocks, "blocks")
     # A box for every BLOCK vectors: a few hundred bytes, some 100 MB for a billion vectors.
     boxes = blocks.select("part", "sub", "low", "high").orderBy("part", "sub").collect()
-    number = spark.createDataFrame([(r["part"], r["sub"], i) for i, r in enumerate(boxes)], "part int, sub int, block int")
-    tree = spark.sparkContext.broadcast(Intervals(np.array([r["low"] for r in boxes]), np.array([r["high"] for r in boxes])))
-
-    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Blocks of a tile: as many as a task can hold, but tiles enough to keep all cores busy.
+    tiles = max(1, int((2 * spark.sparkContext.defaultParallelism) ** 0.5))
+    width = max(1, min(TILE_BYTES // (BLOCK * size), -(-len(boxes) // tiles)))
+    low, high = (np.array([r[c] for r in boxes]) for c in ("low", "high"))
+    cuts = np.arange(0, len(boxes), width)
+    tree = Intervals(np.minimum.reduceat(low, cuts, axis=0), np.maximum.reduceat(high, cuts, axis=0))
+    shared = spark.sparkContext.broadcast((tree, {(r["part"], r["sub"]): i for i, r in enumerate(boxes)}))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, number = shared.value
         for batch in batches:
-            for i in batch.column(0).to_pylist():
-                js = tree.value.reach(i, side + 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(js), pa.int32()), pa.array(js, pa.int32())], names=["i", "j"])
+            for k in range(batch.num_rows):
+                block = number[batch.column(0)[k].as_py(), batch.column(1)[k].as_py()]
+                own = block // width
+                met = [(own, j, 0) for j in tree.reach(own, side + 1e-6)] + [(i, own, 1) for i in tree.reach(own, side + 1e-6, before=True)]
+                for i, j, at in met:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (i, j, at, block)] + [batch.column(c).slice(k, 1) for c in (2, 3, 4)], names=["i", "j", "side", "block", "nodes", "counts", "raws"])
 
-    pairs = spark.range(len(boxes)).mapInArrow(partners, "i int, j int")
-    numbered = blocks.join(number, ["part", "sub"])
-    one = numbered.select(F.col("block").alias("i"), F.col("nodes").alias("na"), F.col("counts").alias("wa"), F.col("raws").alias("ra"))
-    two = numbered.select(F.col("block").alias("j"), F.col("nodes").alias("nb"), F.col("counts").alias("wb"), F.col("raws").alias("rb"))
-    joined = pairs.join(one, "i").join(two, "j").select("i", "j", "na", "wa", "ra", "nb", "wb", "rb")
-    return joined.mapInArrow(_compare(basis, cosine), "a long, b long, n long")
+    rows = blocks.select("part", "sub", "nodes", "counts", "raws").mapInArrow(spread, "i int, j int, side int, block int, nodes binary, counts binary, raws binary")
+    return rows.repartition("i", "j").sortWithinPartitions("i", "j", "side", "block").mapInArrow(_compare(basis, cosine), "a long, b long, n long")
 
 
 def near(spark: SparkSession, df: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
+    rows, known = _known(spark, df, cosine)
     kind = df.schema["vec_id"].dataType.simpleString()
+    alone = rows.where("raw is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if known is not None:
+        made = split_join(rows.where("raw is not null"), known, ["raw"], "count").select("vec_id", "n_links", F.col("least").cast(kind).alias("component_id"))
+        alone = made.unionByName(alone)
+    return alone.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def skipped(spark: SparkSession, df: DataFrame, *, cosine: float = COSINE) -> tuple[int, int]:
+    """Pairs of leaves of the tiles that meet which were skipped by their boxes, and which
+    were compared."""
+    rows = table(spark, nodes(df), "vectors")
+    out = np.zeros(2, np.int64)
+    for size, distinct in _by_length(spark, rows):
+        r = found_links(spark, distinct.select("node", "count", "raw"), size, cosine).where("a = -1").agg(F.sum("b"), F.sum("n")).first()
+        out += [r[0] or 0, r[1] or 0]
+    return int(out[0]), int(out[1])
+
+
+def _by_length(spark: SparkSession, rows: DataFrame) -> list[tuple[int, DataFrame]]:
+    """Distinct vectors as (node, count, least, raw), by their length in bytes."""
+    distinct = rows.where("raw is not null").groupBy("raw").agg(F.count("*").alias("count"), F.min("vec_id").alias("least"))
+    distinct = table(spark, distinct.select(F.monotonically_increasing_id().alias("node"), "count", "least", "raw", F.length("raw").alias("size")), "nodes")
+    lengths = [r["size"] for r in distinct.select("size").distinct().collect()]  # one, as a rule
+    return [(n, distinct.where(F.col("size") == n).select("node", "count", "least", "raw")) for n in lengths]
+
+
+def _known(spark: SparkSession, df: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame | None]:
+    """The rows, and a table of (raw, count, n_links, least) of each distinct vector, least
+    the smallest vec_id of its component."""
     rows = table(spark, nodes(df), "vectors")
-    distinct = rows.where("raw is not null").groupBy("raw").agg(F.count("*").alias("count"))
-    distinct = table(spark, distinct.select(F.monotonically_increasing_id().alias("node"), "count", "raw", F.length("raw").alias("size")), "nodes")
-    found = None
-    for size in [r["size"] for r in distinct.select("size").distinct().collect()]:  # lengths of vectors: one, as a rule
-        some = found_links(spark, distinct.where(F.col("size") == size).select("node", "count", "raw"), cosine)
-        found = some if found is None else found.union(some)
+    found = distinct = None
+    for size, some in _by_length(spark, rows):
+        links = found_links(spark, some.select("node", "count", "raw"), size, cosine)
+        found = links if found is None else found.union(links)
+        distinct = some if distinct is None else distinct.union(some)
     if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = table(spark, found, "links")
+        return rows, None
+    found = table(spark, found.where("a >= 0"), "links")
     links = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     roots = components(spark, found.where("b is not null").select("a", "b"))
-    known = distinct.join(links, "node", "left").join(roots, "node", "left").select("raw", (F.col("count") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    made = table(spark, rows.join(known, "raw", "left").select("vec_id", "n_links", "root"), "joined")
-    least = made.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
-    out = made.join(least, "root", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least")).cast(kind).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    joined = distinct.join(links, "node", "left").join(roots, "node", "left")
+    joined = table(spark, joined.select("raw", "count", "least", (F.col("count") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")), "joined")
+    least = table(spark, joined.groupBy("root").agg(F.min("least").alias("least"), F.count("*").alias("members")), "least")
+    return rows, table(spark, split_join(joined.drop("least"), least, ["root"], "members").select("raw", "count", "n_links", "least"), "known")

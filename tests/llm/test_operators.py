@@ -299,6 +299,22 @@ def test_vectors_repeated_rows(spark):
     assert got == [("5", 2, 5, True), ("5", 2, 5, True), ("9", 0, 9, True), ("None", 2, 5, False)]
 
 
+def test_vectors_skip_and_tiles(spark, monkeypatch):
+    """Clusters far apart: leaves are skipped, at several tiles, and no link is lost."""
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "LEAF", 16)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 24))
+    x = np.repeat(centres, 50, axis=0) + rng.normal(scale=0.15, size=(600, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near(spark, df).collect()}
+    assert [got[i] for i in range(600)] == want.tolist() and want.sum() > 1000
+    gone, compared = vectors.skipped(spark, df)
+    assert gone > 0 and compared > 0
+
+
 # ------------------------------------------------------------------ 5
 
 
