@@ -1,4 +1,5 @@
-"""Parameters of feed queries.  Their values become literals of the plans."""
+"""Parameters of feed queries.  Their values become literals of the plans.  Names and
+defaults of the fields are fixed values: configurations are exchanged by them."""
 
 from __future__ import annotations
 
@@ -43,7 +44,7 @@ class FeedConfig:
             if f.type == "bool" and not isinstance(value, bool):
                 raise ValueError(f"{f.name} must be true or false")
         if min(self.article_half_life_hours, self.profile_half_life_days) <= 0:
-            raise ValueError("half-lives must be positive")
+            raise ValueError("a half-life is greater than zero")
         for name in ("mmr_lambda", "calibration_weight", "minimum_score"):
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must lie in [0, 1]")
@@ -51,7 +52,7 @@ class FeedConfig:
         if min(weights) < 0 or not 0 < sum(weights) < math.inf:
             raise ValueError("ranking weights must be non-negative with a positive sum")
         if self.rerank_strategy not in STRATEGIES:
-            raise ValueError(f"rerank_strategy must be one of {STRATEGIES}")
+            raise ValueError(f"unknown rerank_strategy; known: {', '.join(STRATEGIES)}")
 
     def weights(self) -> dict[str, float]:
         return {c: getattr(self, f"{c}_weight") for c in COMPONENTS}
@@ -85,16 +86,16 @@ class FeedConfig:
         return json.dumps(self.to_dict(), sort_keys=True)
 
 
-def policies(config: FeedConfig, k: int, catalog_size: int) -> dict[str, FeedConfig]:
+def policies(config: FeedConfig, k: int, catalog_size: int = 0) -> dict[str, FeedConfig]:
     """The full policy and three declared baselines; slates of k at least, and for the
-    baselines a source cap that never binds."""
+    baselines a source cap that never binds (a slate's size does not)."""
     base = config.with_(size=max(config.size, k))
     free = base.with_(mmr_lambda=1.0, max_per_source=max(1, base.size, catalog_size))
     alone = lambda name: free.with_(**{f"{c}_weight": float(c == name) for c in COMPONENTS})
     return {"full": base, "relevance_only": free, "popularity": alone("popularity"), "recency": alone("freshness")}
 
 
-def ablation(config: FeedConfig, name: str, catalog_size: int) -> FeedConfig:
+def ablation(config: FeedConfig, name: str, catalog_size: int = 0) -> FeedConfig:
     """One ranking weight at zero, or slate diversity switched off."""
     if name == "slate_diversity":
         return config.with_(mmr_lambda=1.0, max_per_source=max(1, config.size, catalog_size))

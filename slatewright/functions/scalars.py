@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,14 +54,44 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Full case folding, from Python's own tables: characters that fold to one, what they
+    fold to, and those that fold to several."""
+    changed = {c: c.casefold() for c in map(chr, range(sys.maxunicode + 1)) if c.casefold() != c}
+    single = [c for c, to in changed.items() if len(to) == 1]
+    return "".join(single), "".join(changed[c] for c in single), {c: to for c, to in changed.items() if len(to) > 1}
+
+
+@lru_cache(maxsize=1)
+def _blanks() -> str:
+    return "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+
+
+def casefold(text: Column) -> Column:
+    """Full Unicode case folding: texts with only ASCII by ``lower``; others character by
+    character, those that fold to several by a literal map."""
+    of, to, several = _foldings()
+    one = F.translate(text, of, to)
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(one, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    some = "[" + "".join(several) + "]"
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), F.lower(text)).when(one.rlike(some), spelt).otherwise(one)
+
+
+def strip(text: Column) -> Column:
+    """Without white space, of any kind, at the ends."""
+    return F.trim(text, F.lit(_blanks()))
+
+
 def normalize_topics(topics: Column) -> Column:
-    """Trimmed, lower case, without empties, each once in order of first occurrence."""
-    return F.array_distinct(F.filter(F.transform(topics, lambda t: F.lower(F.trim(t))), lambda t: t != ""))
+    """Stripped, case-folded, without empties, each once in order of first occurrence."""
+    return F.array_distinct(F.filter(F.transform(topics, lambda t: casefold(strip(t))), lambda t: t != ""))
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, case-folded."""
+    return F.regexp_extract_all(casefold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def term_weight(count: Column) -> Column:
@@ -86,8 +120,9 @@ def discount(rank: Column) -> Column:
 
 
 def is_identifier(c: Column, longest: int = 256) -> Column:
-    """Non-empty, trimmed, printable and not too long."""
-    return c.isNotNull() & (F.trim(c) == c) & F.length(c).between(1, longest) & ~c.rlike(r"\p{C}")
+    """Non-empty, without white space at the ends, printable and not too long.  The blank
+    is the only separator that is printable."""
+    return c.isNotNull() & (strip(c) == c) & F.length(c).between(1, longest) & ~c.rlike(r"[\p{C}[\p{Z}&&[^ ]]]")
 
 
 def is_unit(c: Column) -> Column:
@@ -100,15 +135,46 @@ def zoned_timestamp(text: Column) -> Column:
 
 
 def utc_text(ts: Column) -> Column:
-    """UTC text with microseconds only where there are any."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.unix_micros(ts) % 1_000_000
+    """UTC text with microseconds only where there are any, in any session's zone."""
+    at = F.unix_micros(ts)
+    second = ((at - F.pmod(at, F.lit(1_000_000))) / 1_000_000).cast("long")
+    day = (second - F.pmod(second, F.lit(86_400))) / 86_400
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    of_day = F.pmod(second, F.lit(86_400))
+    clock = F.concat_ws(":", two(F.floor(of_day / 3600)), two(F.floor(of_day / 60) % 60), two(of_day % 60))
+    whole = F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"), clock)
+    micros = F.pmod(at, F.lit(1_000_000))
     return F.concat(whole, F.when(micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(F.lit("")), F.lit("+00:00"))
 
 
 def behavior_timestamp(text: Column, offset: str = "+00:00") -> Column:
-    """US-format local time at a fixed offset, as an instant."""
-    return F.to_utc_timestamp(F.to_timestamp(text, "M/d/yyyy h:mm:ss a"), offset)
+    """US-format local time at a fixed offset, as an instant: the offset is part of what is
+    parsed, so the session's zone has no say."""
+    return F.to_timestamp(F.concat(text, F.lit(" " + fixed_offset(offset))), "M/d/yyyy h:mm:ss a xxxxx")
+
+
+def fixed_offset(offset: str | float) -> str:
+    """An offset from UTC, as text or in hours: whole seconds, at most 14 hours each way."""
+    if isinstance(offset, str):
+        found = re.fullmatch(r"([+-])(\d\d):([0-5]\d)(?::([0-5]\d))?", offset)
+        if not found:
+            raise ValueError(f"no UTC offset: {offset}")
+        seconds = (int(found[2]) * 3600 + int(found[3]) * 60 + int(found[4] or 0)) * (-1 if found[1] == "-" else 1)
+    else:
+        if isinstance(offset, bool) or not -14 <= offset <= 14 or not (offset * 3600).is_integer():
+            raise ValueError("an offset is whole seconds, at most 14 hours from UTC")
+        seconds = int(offset * 3600)
+    if abs(seconds) > 14 * 3600:
+        raise ValueError("an offset is at most 14 hours from UTC")
+    minutes, rest = divmod(abs(seconds), 60)
+    return f"{'-' if seconds < 0 else '+'}{minutes // 60:02d}:{minutes % 60:02d}" + (f":{rest:02d}" if rest else "")
+
+
+def instant_us(c: Column, kind: str, zone: str) -> Column:
+    """Microseconds of a timestamp column; one without a zone is UTC, whatever the session's."""
+    if kind == "timestamp" or zone in ("UTC", "Etc/UTC", "Z", "GMT"):
+        return F.unix_micros(c.cast("timestamp"))
+    return F.unix_micros(F.to_timestamp(F.concat(c.cast("string"), F.lit("+00:00"))))
 
 
 def split_candidate(token: Column) -> tuple[Column, Column]:

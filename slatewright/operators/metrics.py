@@ -3,6 +3,8 @@ evaluation of all users in one plan."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ def holdouts(interactions: DataFrame, catalog: DataFrame, as_of: int) -> DataFra
 
 
 def slate_metrics(ranked: DataFrame, k: int) -> DataFrame:
-    """ranked(user_id, holdout_id, picks: array of id, topics, source) -> metrics at k.
+    """ranked(user_id, holdout_id, picks: array of id, topics, source, reader) -> metrics at k.
     The slate was built at its own size and is cut here."""
     cut = F.slice("picks", 1, k)
     n = F.size("top")
@@ -32,34 +34,59 @@ def slate_metrics(ranked: DataFrame, k: int) -> DataFrame:
         .withColumn("pairs", pairs)
         .withColumn("place", rank)
         .select(
-            *[c for c in ranked.columns if c != "picks"],
+            *[c for c in ranked.columns if c not in ("picks", "reader")],
             F.transform("top", lambda p: p["id"]).alias("ranked_ids"),
             F.when(F.col("place") > 0, discount(F.col("place"))).otherwise(0.0).alias("ndcg"),
             F.when(F.col("place") > 0, 1.0).otherwise(0.0).alias("hit_rate"),
             F.when(F.col("place") > 0, 1.0 / F.col("place")).otherwise(0.0).alias("reciprocal_rank"),
             F.when(n < 2, 0.0).otherwise(mean).alias("intra_list_diversity"),
             F.when(n == 0, 0.0).otherwise(F.size(F.array_distinct(F.transform("top", lambda p: p["source"]))) / n).alias("source_diversity"),
+            slates.calibration(F.col("reader"), F.col("top")).alias("topic_calibration"),
         )
     )
 
 
-def leave_last_out(interactions: DataFrame, catalog: DataFrame, config: FeedConfig, as_of: int, k: int | None = None) -> DataFrame:
-    """A row for each user with a holdout: what the engine would have shown just before it,
-    with only strictly earlier history, and the metrics of that slate."""
+def evaluate(interactions: DataFrame, catalog: DataFrame, configs: Mapping[str, FeedConfig], as_of: int, k: int | None = None) -> DataFrame:
+    """A row for each policy and user with a holdout: what the engine would have shown just
+    before it, with only strictly earlier history, the metrics of that slate, and its
+    calibration to the history (null where there is no history or no slate).
+
+    Holdouts come once; profiles, pairs and score components once for all policies that
+    agree in what these depend on."""
     held = holdouts(interactions, catalog, as_of)
+    known = catalog.where(F.col("published_us") <= as_of)  # no holdout is later
     past = interactions.join(held.select("user_id", "holdout_us"), "user_id")
-    visible = profiles.visible(past, catalog, F.col("holdout_us"), strict=True)
-    made = profiles.profiles(visible, config, F.col("holdout_us"))
-    users = held.join(made, "user_id", "left").select(
-        "user_id", "holdout_id", "holdout_us",
-        F.coalesce("weights", F.expr("cast(map() as map<string,double>)")).alias("weights"),
-        F.coalesce("seen", F.expr("cast(array() as array<string>)")).alias("seen"),
-        F.coalesce("event_count", F.lit(0)).alias("event_count"),
-    )
-    scored = scoring.score(users, catalog, config, F.col("holdout_us"))
-    built = slates.build(scored, config)
-    ranked = held.join(built.select("user_id", "picks"), "user_id", "left").withColumn("picks", F.coalesce("picks", F.expr("cast(array() as array<struct<id:string,total:double,topics:array<string>,source:string>>)")))
-    return slate_metrics(ranked, k or config.size)
+    alike: dict[tuple, dict[str, FeedConfig]] = {}
+    for name, c in configs.items():
+        alike.setdefault((c.profile_half_life_days, c.article_half_life_hours, c.exclude_seen, *c.signals().values()), {})[name] = c
+    out = None
+    for group in alike.values():
+        one = next(iter(group.values()))
+        made = profiles.profiles(profiles.visible(past, known, F.col("holdout_us"), strict=True), one, F.col("holdout_us"))
+        users = held.join(made, "user_id", "left").select(
+            "user_id", "holdout_us",
+            F.coalesce("weights", F.expr("cast(map() as map<string,double>)")).alias("weights"),
+            F.coalesce("seen", F.expr("cast(array() as array<string>)")).alias("seen"),
+            F.coalesce("event_count", F.lit(0)).alias("event_count"),
+        )
+        built = slates.build(scoring.score_policies(users, known, group, F.col("holdout_us")), group)
+        names = F.explode(F.array(*[F.lit(n) for n in group])).alias("policy")
+        ranked = held.select(names, "*").join(built, ["user_id", "policy"], "left").select(
+            "policy", "user_id", "holdout_id", "holdout_us",
+            F.coalesce("picks", F.expr(f"cast(array() as array<{slates.PICK}>)")).alias("picks"),
+            F.coalesce("reader", F.expr("cast(array() as array<struct<topic:string,share:double>>)")).alias("reader"),
+        )
+        size = k or one.size
+        if k is None and len({c.size for c in group.values()}) > 1:
+            raise ValueError("policies with slates of several sizes need k")
+        part = slate_metrics(ranked, size)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def leave_last_out(interactions: DataFrame, catalog: DataFrame, config: FeedConfig, as_of: int, k: int | None = None) -> DataFrame:
+    """``evaluate`` for one configuration."""
+    return evaluate(interactions, catalog, {"": config}, as_of, k).drop("policy")
 
 
 MEANS = ("ndcg", "hit_rate", "reciprocal_rank", "intra_list_diversity", "source_diversity")

@@ -1,5 +1,5 @@
 """Greedy slates.  Each pick depends on those before it, so a user's candidates become an
-array and one higher-order fold picks from it; no Python and one shuffle.
+array and a step in Arrow batches picks from it, with candidates by topics as a matrix.
 
 Within a class of candidates with the same topics and source, every objective here ranks
 by relevance (then id), and the source cap takes at most ``max_per_source``; so only so
@@ -9,16 +9,32 @@ the array by classes, whatever the size of the catalog.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import FeedConfig
+
 SMOOTHING = 0.01
+PICK = "struct<id:string,total:double,topics:array<string>,source:string>"
 
 
-def contenders(scored: DataFrame, config: FeedConfig) -> DataFrame:
-    order = Window.partitionBy("user_id", "topics", "source").orderBy(F.desc("total"), F.desc("id"))
-    return scored.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= min(config.size, config.max_per_source)).drop("__place")
+def contenders(scored: DataFrame, configs: Mapping[str, FeedConfig], keys: tuple[str, ...]) -> DataFrame:
+    """The best of each class that a slate can use."""
+    order = Window.partitionBy(*keys, "topics", "source").orderBy(F.desc("total"), F.desc("id"))
+    most = {name: min(c.size, c.max_per_source) for name, c in configs.items()}
+    ranked = scored.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= max(most.values()))
+    if len(set(most.values())) > 1:
+        own = F.lit(0)
+        for name, n in most.items():
+            own = F.when(F.col("policy") == name, F.lit(n)).otherwise(own)
+        ranked = ranked.where(F.col("__place") <= own)
+    return ranked.drop("__place")
 
 
 def reader_distribution(weights: Column) -> Column:
@@ -34,49 +50,82 @@ def divergence(reader: Column, shares: Column, smoothing: float = SMOOTHING) ->
     return F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t), F.lit(0.0))
 
 
-def _topic_share(reader: Column, topics: Column) -> Column:
-    return F.transform(reader, lambda r: F.when(F.array_contains(topics, r["topic"]), 1.0 / F.size(topics)).otherwise(0.0))
-
-
-def build(scored: DataFrame, config: FeedConfig, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    """(keys, picks): picks is an array of id, total, topics, source in rank order.
-
-    The fold's state holds the picks, the candidates left with their redundancy so far, and the slate's
-    mass on each reader topic.  A value used twice is bound once, by a transform over an
-    array of one: lambdas have no common subexpressions."""
-    item = F.struct("id", "total", "topics", "source", F.lit(0.0).alias("red"))
-    users = contenders(scored, config).groupBy(*keys).agg(F.collect_list(item).alias("pool"), F.first("weights").alias("weights"))
-    users = users.withColumn("reader", reader_distribution(F.col("weights")))
-    kind = "array<struct<id:string,total:double,topics:array<string>,source:string>>"
-    start = F.struct(F.expr(f"cast(array() as {kind})").alias("picks"), F.col("pool").alias("left"), F.transform("reader", lambda r: F.lit(0.0)).alias("mass"))
-    calibrated = config.rerank_strategy == "calibrated"
-
-    def value(x: Column, state: Column) -> Column:
-        if calibrated:
-            n = F.size(state["picks"]) + 1
-            grown = F.zip_with(state["mass"], _topic_share(F.col("reader"), x["topics"]), lambda m, s: (m + s) / n)
-            return (1.0 - config.calibration_weight) * x["total"] - config.calibration_weight * divergence(F.col("reader"), grown)
-        return config.mmr_lambda * x["total"] - (1.0 - config.mmr_lambda) * x["red"]
-
-    def after(state: Column, best: Column) -> Column:
-        chosen = F.struct(best["id"].alias("id"), best["total"].alias("total"), best["topics"].alias("topics"), best["source"].alias("source"))
-        full = F.size(F.filter(state["picks"], lambda p: p["source"] == best["source"])) + 1 >= config.max_per_source
-        left = F.filter(state["left"], lambda x: (x["id"] != best["id"]) & ~(full & (x["source"] == best["source"])))
-        if not calibrated:
-            shared = lambda x: F.size(F.array_intersect(x["topics"], best["topics"])).cast("double")
-            alike = lambda x: F.element_at(F.transform(F.array(shared(x)), lambda c: c / (F.size(x["topics"]) + F.size(best["topics"]) - c)), 1)
-            left = F.transform(left, lambda x: F.struct(x["id"].alias("id"), x["total"].alias("total"), x["topics"].alias("topics"), x["source"].alias("source"), F.greatest(x["red"], alike(x)).alias("red")))
-            mass = state["mass"]
+def calibration(reader: Column, picks: Column) -> Column:
+    """Divergence of a reader from the topics of a slate, each pick's split over its own;
+    null without a reader or a slate."""
+    share = F.transform(reader, lambda r: F.aggregate(picks, F.lit(0.0), lambda a, p: a + F.when(F.array_contains(p["topics"], r["topic"]), 1.0 / F.size(p["topics"])).otherwise(0.0)) / F.size(picks))
+    return F.when((F.size(reader) > 0) & (F.size(picks) > 0), divergence(reader, share))
+
+
+def greedy(total: np.ndarray, source: np.ndarray, has: np.ndarray, reader: list[tuple[int, float]], config: FeedConfig, smoothing: float = SMOOTHING) -> list[int]:
+    """Places of the picks.  Candidates come by falling (total, id), so the first of equal
+    values wins; ``has`` is candidates by topics, ``reader`` pairs of a topic's column (-1 if no
+    candidate has it) and its share."""
+    size = has.sum(axis=1)
+    alive, taken, picks = np.ones(len(total), bool), {}, []
+    redundancy, mass = np.zeros(len(total)), [0.0] * len(reader)
+    shares = [has[:, c] / size if c >= 0 else np.zeros(len(total)) for c, _ in reader]
+    while len(picks) < config.size and alive.any():
+        if config.rerank_strategy == "calibrated":
+            lost = np.zeros(len(total))
+            for m, own, (_, share) in zip(mass, shares, reader, strict=True):
+                lost += share * np.log(share / ((1.0 - smoothing) * ((m + own) / (len(picks) + 1)) + smoothing * share))
+            value = (1.0 - config.calibration_weight) * total - config.calibration_weight * np.maximum(lost, 0.0)
         else:
-            mass = F.zip_with(state["mass"], _topic_share(F.col("reader"), best["topics"]), lambda m, s: m + s)
-        return F.struct(F.concat(state["picks"], F.array(chosen)).alias("picks"), left.alias("left"), mass.alias("mass"))
-
-    def pick(state: Column, _: Column) -> Column:
-        rated = F.transform(state["left"], lambda x: F.struct(value(x, state).alias("value"), x["total"].alias("total"), x["id"].alias("id"), x["topics"].alias("topics"), x["source"].alias("source")))
-        return F.element_at(F.transform(F.array(F.array_max(rated)), lambda best: F.when(best.isNull(), state).otherwise(after(state, best))), 1)
-
-    made = F.aggregate(F.sequence(F.lit(1), F.lit(config.size)), start, pick)
-    return users.select(*keys, made["picks"].alias("picks"), "reader")
+            value = config.mmr_lambda * total - (1.0 - config.mmr_lambda) * redundancy
+        best = int(np.where(alive, value, -np.inf).argmax())
+        picks.append(best)
+        alive[best] = False
+        taken[source[best]] = taken.get(source[best], 0) + 1
+        if taken[source[best]] >= config.max_per_source:
+            alive[source == source[best]] = False
+        both = has @ has[best]
+        redundancy = np.maximum(redundancy, both / np.maximum(size + size[best] - both, 1))
+        mass = [m + own[best] for m, own in zip(mass, shares, strict=True)]
+    return picks
+
+
+def _picker(configs: Mapping[str, FeedConfig], keys: int):
+    """Rows (keys, policy, pool, reader) -> (keys, picks, reader)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            policy, pool, reader = batch.columns[keys:]
+            items, bounds = pool.flatten(), np.asarray(pool.offsets) - pool.offsets[0].as_py()
+            total, source, topics = (pc.struct_field(items, n) for n in ("total", "source", "topics"))
+            total, source = total.to_numpy(), np.asarray(pc.fill_null(source, "").dictionary_encode().indices)
+            words = topics.flatten().dictionary_encode()
+            code, first = np.asarray(words.indices), np.asarray(topics.offsets) - topics.offsets[0].as_py()
+            number = {w: i for i, w in enumerate(words.dictionary.to_pylist())}
+            chosen, ends = [], [0]
+            for k, (name, tastes) in enumerate(zip(policy.to_pylist(), reader.to_pylist(), strict=True)):
+                s, e = bounds[k], bounds[k + 1]
+                own = code[first[s] : first[e]]
+                known, column = np.unique(own, return_inverse=True)
+                has = np.zeros((e - s, len(known)))
+                has[np.repeat(np.arange(e - s), np.diff(first[s : e + 1])), column] = 1
+                place = {int(c): i for i, c in enumerate(known)}
+                tastes = [(place.get(number.get(r["topic"], -1), -1), r["share"]) for r in tastes]
+                chosen += [s + i for i in greedy(total[s:e], source[s:e], has, tastes, configs[name])]
+                ends.append(len(chosen))
+            picks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items.take(pa.array(chosen, pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keys], picks, reader], names=[*batch.schema.names[:keys], "picks", "reader"])
+
+    return run
+
+
+def build(scored: DataFrame, config: FeedConfig | Mapping[str, FeedConfig], keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """(keys, picks, reader): picks is an array of id, total, topics, source in rank order.
+    With several configs, by the column policy, which is then a key as well."""
+    many = not isinstance(config, FeedConfig)
+    configs = dict(config) if many else {"": config}
+    keys = (*keys, "policy") if many else keys
+    item = F.struct("total", "id", "topics", "source")
+    users = contenders(scored, configs, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("pool"), F.first("weights").alias("weights"))
+    pool = F.transform("pool", lambda x: F.struct(x["id"].alias("id"), x["total"].alias("total"), x["topics"].alias("topics"), x["source"].alias("source")))
+    rows = users.select(*keys, (F.col("policy") if many else F.lit("")).alias("__policy"), pool.alias("pool"), reader_distribution(F.col("weights")).alias("reader"))
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("picks", T._parse_datatype_string(f"array<{PICK}>")), rows.schema["reader"]])
+    return rows.mapInArrow(_picker(configs, len(keys)), schema)
 
 
 def feeds(scored: DataFrame, config: FeedConfig, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import instant_us
+
 #: 2024-01-10T00:00:00Z in microseconds.
 AS_OF = 1_704_844_800_000_000
 _FIRST_PUBLISHED = 1_703_462_400_000_000  # 2023-12-25T00:00:00Z
+#: Articles are published over this many hours, spread by a multiplier, so that the same
+#: share of them (384 of 888 hours) is out at AS_OF whatever the size of the catalog.
+_HOURS, _SPREAD = 888, 7919
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +31,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         article_id(n).alias("id"),
         F.array(F.coalesce("lang", F.lit("und")), F.concat(F.lit("t"), (n % 7).cast("string"))).alias("topics"),
         "source",
-        (F.lit(_FIRST_PUBLISHED) + n * F.lit(3 * 3_600_000_000)).alias("published_us"),
+        (F.lit(_FIRST_PUBLISHED) + F.pmod(n * _SPREAD, F.lit(_HOURS)) * F.lit(3_600_000_000)).alias("published_us"),
         F.coalesce(0.25 + 0.5 * F.col("quality"), F.lit(0.5)).alias("quality"),
         F.least(F.lit(1.0), F.col("n_chars") / 20000.0).alias("popularity"),
     )
@@ -35,13 +40,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, user_id, article_id, kind, occurred_us, propensity, weight."""
     e = read(spark, sf_dir, "events").where("event_type <> 'signup'")
+    zone = spark.conf.get("spark.sql.session.timeZone")
     kind = F.expr("CASE event_type WHEN 'purchase' THEN 'like' WHEN 'error' THEN 'hide' ELSE event_type END")
     return e.select(
         "event_id",
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),
         article_id(F.get_json_object("props", "$.k").cast("long")).alias("article_id"),
         kind.alias("kind"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("occurred_us"),
+        instant_us(F.col("ts"), e.schema["ts"].dataType.typeName(), zone).alias("occurred_us"),
         F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.col("value") / 500.0)).alias("propensity"),
         F.lit(1.0).alias("weight"),
     )
@@ -60,7 +66,7 @@ def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(o, lines["l_orderkey"] == o["o_orderkey"]).select(
         F.col("l_orderkey").alias("impression_id"),
         F.col("o_custkey").alias("user_id"),
-        F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("occurred_us"),
+        instant_us(F.col("o_orderdate"), o.schema["o_orderdate"].dataType.typeName(), spark.conf.get("spark.sql.session.timeZone")).alias("occurred_us"),
         F.col("l_partkey").alias("article_id"),
         F.row_number().over(order).alias("pos"),
         "clicked",

@@ -10,7 +10,7 @@ AS_OF = 1704844800000000
 C = FeedConfig()
 CATALOG = """catalog AS (
   SELECT 'd' || lpad(CAST(d.doc_id AS VARCHAR), 12, '0') AS id, [coalesce(d.lang, 'und'), 't' || CAST(d.doc_id % 7 AS VARCHAR)] AS topics, d.source,
-         1703462400000000 + d.doc_id * 10800000000 AS published_us, coalesce(CAST(0.25 AS DOUBLE) + CAST(0.5 AS DOUBLE) * l.quality, CAST(0.5 AS DOUBLE)) AS quality,
+         1703462400000000 + (d.doc_id * 7919) % 888 * 3600000000 AS published_us, coalesce(CAST(0.25 AS DOUBLE) + CAST(0.5 AS DOUBLE) * l.quality, CAST(0.5 AS DOUBLE)) AS quality,
          least(CAST(1 AS DOUBLE), d.n_chars / CAST(20000 AS DOUBLE)) AS popularity
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 EVENTS = """interactions AS (
@@ -48,10 +48,11 @@ def score_views(config: FeedConfig = C) -> str:
     return f"""users AS (SELECT user_id, count(*) AS event_count FROM visible GROUP BY user_id),
 seen AS (SELECT DISTINCT user_id, article_id AS id FROM visible),
 pairs AS (SELECT u.user_id, u.event_count, c.* FROM users u, catalog c WHERE c.published_us <= {AS_OF} AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.user_id = u.user_id AND s.id = c.id)),
-topical AS (SELECT p.user_id, p.id, sum(coalesce(r.weight, 0)) / count(*) AS raw FROM (SELECT user_id, id, unnest(topics) AS topic FROM pairs) p LEFT JOIN readers r ON r.user_id = p.user_id AND r.topic = p.topic GROUP BY p.user_id, p.id),
-parts AS (SELECT p.*, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (t.raw + 1) / 2)) AS interest, exp(-(ln(CAST(2 AS DOUBLE)) * (({AS_OF} - published_us) / CAST(3600000000 AS DOUBLE)) / CAST(72 AS DOUBLE))) AS freshness,
+known AS (SELECT user_id, list(topic ORDER BY topic) AS rt, list(weight ORDER BY topic) AS rw FROM readers GROUP BY user_id),
+topical AS (SELECT p.*, coalesce(list_sum(list_transform(p.topics, lambda t: coalesce(k.rw[list_position(k.rt, t)], CAST(0 AS DOUBLE)))), 0) / len(p.topics) AS raw FROM pairs p LEFT JOIN known k ON k.user_id = p.user_id),
+parts AS (SELECT p.*, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (p.raw + 1) / 2)) AS interest, exp(-(ln(CAST(2 AS DOUBLE)) * (({AS_OF} - published_us) / CAST(3600000000 AS DOUBLE)) / CAST(72 AS DOUBLE))) AS freshness,
   CAST(1 AS DOUBLE) AS novelty, CAST(CAST('0x' || substr(sha256(p.user_id || chr(0) || p.id), 1, 16) AS UBIGINT) AS DOUBLE) / CAST(18446744073709551616 AS DOUBLE) AS exploration
-  FROM pairs p JOIN topical t ON t.user_id = p.user_id AND t.id = p.id),
+  FROM topical p),
 scored AS (SELECT *, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), ({total}) / {lit(sum(w.values()))})) AS total FROM parts)"""
 
 
@@ -98,17 +99,21 @@ shares AS (SELECT user_id, unnest(topics) AS topic, ({SIGNAL}) * weight * exp(-(
 totals AS (SELECT user_id, topic, sum(share) AS total FROM shares GROUP BY user_id, topic),
 readers AS (SELECT user_id, topic, total / max(abs(total)) OVER (PARTITION BY user_id) AS weight FROM totals),
 pairs AS (SELECT h.user_id, h.holdout_us, c.* FROM holdouts h, catalog c WHERE c.published_us <= h.holdout_us AND NOT EXISTS (SELECT 1 FROM past s WHERE s.user_id = h.user_id AND s.article_id = c.id)),
-topical AS (SELECT p.user_id, p.id, sum(coalesce(r.weight, 0)) / count(*) AS raw FROM (SELECT user_id, id, unnest(topics) AS topic FROM pairs) p LEFT JOIN readers r ON r.user_id = p.user_id AND r.topic = p.topic GROUP BY p.user_id, p.id),
-parts AS (SELECT p.*, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (t.raw + 1) / 2)) AS interest, exp(-(ln(CAST(2 AS DOUBLE)) * ((p.holdout_us - published_us) / CAST(3600000000 AS DOUBLE)) / CAST(72 AS DOUBLE))) AS freshness,
+known AS (SELECT user_id, list(topic ORDER BY topic) AS rt, list(weight ORDER BY topic) AS rw FROM readers GROUP BY user_id),
+topical AS (SELECT p.*, coalesce(list_sum(list_transform(p.topics, lambda t: coalesce(k.rw[list_position(k.rt, t)], CAST(0 AS DOUBLE)))), 0) / len(p.topics) AS raw FROM pairs p LEFT JOIN known k ON k.user_id = p.user_id),
+parts AS (SELECT p.*, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (p.raw + 1) / 2)) AS interest, exp(-(ln(CAST(2 AS DOUBLE)) * ((p.holdout_us - published_us) / CAST(3600000000 AS DOUBLE)) / CAST(72 AS DOUBLE))) AS freshness,
   CAST(1 AS DOUBLE) AS novelty, CAST(CAST('0x' || substr(sha256(p.user_id || chr(0) || p.id), 1, 16) AS UBIGINT) AS DOUBLE) / CAST(18446744073709551616 AS DOUBLE) AS exploration
-  FROM pairs p JOIN topical t ON t.user_id = p.user_id AND t.id = p.id),
+  FROM topical p),
 scored AS (SELECT *, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), ({total}) / {lit(sum(w.values()))})) AS total FROM parts),
 {slate_views("scored", config.size, config.max_per_source, config.mmr_lambda)},
+positive AS (SELECT user_id, topic, weight / sum(weight) OVER (PARTITION BY user_id) AS share FROM readers WHERE weight > 0),
+mass AS (SELECT user_id, topic, sum(CAST(0.5 AS DOUBLE)) / max(n) AS q FROM (SELECT user_id, unnest(flatten(tops)) AS topic, CAST(len(ids) AS DOUBLE) AS n FROM final WHERE len(ids) > 0) x GROUP BY user_id, topic),
+calibrations AS (SELECT p.user_id, greatest(CAST(0 AS DOUBLE), sum(p.share * ln(p.share / (CAST(0.99 AS DOUBLE) * coalesce(m.q, 0) + CAST(0.01 AS DOUBLE) * p.share)))) AS topic_calibration FROM positive p JOIN (SELECT user_id FROM final WHERE len(ids) > 0) f ON f.user_id = p.user_id LEFT JOIN mass m ON m.user_id = p.user_id AND m.topic = p.topic GROUP BY p.user_id),
 places AS (SELECT h.user_id, h.holdout_id, h.holdout_us, coalesce(f.ids, CAST([] AS VARCHAR[])) AS ids, f.tops, f.sources, CASE WHEN list_contains(f.ids, h.holdout_id) THEN list_position(f.ids, h.holdout_id) END AS place FROM holdouts h LEFT JOIN final f ON f.user_id = h.user_id),
 spread AS (SELECT user_id, avg(1 - len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE)) AS ild FROM (
   SELECT p.user_id, p.tops[i.i] AS a, p.tops[j.i] AS b FROM places p, range(1, 11) i(i), range(1, 11) j(i) WHERE i.i < j.i AND j.i <= len(p.ids)) x GROUP BY user_id),
 samples AS (SELECT p.*, coalesce(1 / log2(CAST(place + 1 AS DOUBLE)), 0) AS ndcg, CASE WHEN place IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS hit_rate, coalesce(1 / CAST(place AS DOUBLE), 0) AS reciprocal_rank,
-  coalesce(s.ild, 0) AS intra_list_diversity, CASE WHEN len(ids) = 0 THEN CAST(0 AS DOUBLE) ELSE len(list_distinct(sources)) / CAST(len(ids) AS DOUBLE) END AS source_diversity FROM places p LEFT JOIN spread s ON s.user_id = p.user_id)"""
+  coalesce(s.ild, 0) AS intra_list_diversity, CASE WHEN len(ids) = 0 THEN CAST(0 AS DOUBLE) ELSE len(list_distinct(sources)) / CAST(len(ids) AS DOUBLE) END AS source_diversity, k.topic_calibration FROM places p LEFT JOIN spread s ON s.user_id = p.user_id LEFT JOIN calibrations k ON k.user_id = p.user_id)"""
 
 
 MEANS = ("ndcg", "hit_rate", "reciprocal_rank", "intra_list_diversity", "source_diversity")
@@ -121,7 +126,7 @@ def q(body: str, *views: str, recursive: bool = False) -> str:
 
 FEED = (CATALOG, EVENTS, profile_views(), score_views())
 LOO = (CATALOG, EVENTS, loo_views())
-TERMS = "terms AS (SELECT doc_id AS id, token AS feature, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents) t GROUP BY doc_id, token)"
+TERMS = "terms AS (SELECT doc_id AS id, token AS feature, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+')) AS token FROM documents) t GROUP BY doc_id, token)"
 VOCABULARY = "vocabulary AS (SELECT feature, count(*) AS df, ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM terms GROUP BY feature ORDER BY count(*) DESC, feature LIMIT 500)"
 TEXT = (TERMS, VOCABULARY)
 VECTORS = "tfidf AS (SELECT t.id, t.feature, (1 + ln(CAST(t.n AS DOUBLE))) * v.idf AS w FROM terms t JOIN vocabulary v ON v.feature = t.feature), vectors AS (SELECT id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM tfidf)"
@@ -139,6 +144,22 @@ mine AS (SELECT e.event_id, sum(coalesce(s.total, 0)) AS mine, count(*) AS n FRO
 INTEREST_OUT = "SELECT m.event_id, round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (coalesce(m.mine / nullif(s.scale, 0) / m.n, 0) + 1) / 2)), 6) AS interest FROM mine m LEFT JOIN scales s ON s.event_id = m.event_id"
 
 
+OBJECTIVES = ("ndcg", "worst_cohort_ndcg", "ndcg_gap", "topic_calibration", "topic_calibration_gap")
+#: Of one policy's samples: users' mean and the worst cohort for nDCG, calibration only where
+#: every cohort has some, and gaps only between two cohorts or more.
+OBJECTIVE_VIEWS = """audited AS (SELECT cohort, count(*) AS users, avg(ndcg) AS ndcg, count(topic_calibration) AS seen, avg(topic_calibration) AS calibration FROM samples JOIN cohorts USING (user_id) GROUP BY cohort),
+objectives AS (SELECT sum(users * ndcg) / sum(users) AS ndcg, min(ndcg) AS worst_cohort_ndcg, CASE WHEN count(*) > 1 THEN max(ndcg) - min(ndcg) END AS ndcg_gap,
+  CASE WHEN min(seen) > 0 THEN sum(seen * calibration) / sum(seen) END AS topic_calibration, CASE WHEN count(*) > 1 AND min(seen) > 0 THEN max(calibration) - min(calibration) END AS topic_calibration_gap FROM audited)"""
+
+
+def _frontier_sql(configs: dict[str, FeedConfig]) -> str:
+    rounded = ", ".join(f"round({n}, 6) AS {n}" for n in OBJECTIVES)
+    body = " UNION ALL ".join(f"SELECT '{n}' AS policy, * FROM ({q(f'SELECT {rounded} FROM objectives', CATALOG, EVENTS, loo_views(c), COHORTS, OBJECTIVE_VIEWS, recursive=True)}) p_{n}" for n, c in configs.items())
+    other = "a.ndcg >= b.ndcg AND a.worst_cohort_ndcg >= b.worst_cohort_ndcg AND a.ndcg_gap <= b.ndcg_gap AND a.topic_calibration <= b.topic_calibration AND a.topic_calibration_gap <= b.topic_calibration_gap"
+    better = "a.ndcg > b.ndcg OR a.worst_cohort_ndcg > b.worst_cohort_ndcg OR a.ndcg_gap < b.ndcg_gap OR a.topic_calibration < b.topic_calibration OR a.topic_calibration_gap < b.topic_calibration_gap OR a.policy < b.policy"
+    return f"WITH points AS (SELECT * FROM ({body}) x WHERE topic_calibration <= 2 AND ndcg_gap IS NOT NULL AND topic_calibration_gap IS NOT NULL) SELECT b.* FROM points b WHERE NOT EXISTS (SELECT 1 FROM points a WHERE a.policy <> b.policy AND {other} AND ({better}))"
+
+
 def _policy_sql(configs: dict[str, FeedConfig]) -> str:
     """Means of each policy; a policy's views are a query of their own."""
     body = " UNION ALL ".join(f"SELECT '{n}' AS policy, * FROM ({q(f'SELECT count(*) AS users, {AVERAGES} FROM samples', CATALOG, EVENTS, loo_views(c), recursive=True)}) p_{n}" for n, c in configs.items())
@@ -149,9 +170,9 @@ ORACLE_SQL: dict[str, str] = {
     "s03_articles": q("SELECT id, list_aggregate(topics, 'string_agg', ',') AS topics, source, published_us, round(quality, 6) AS quality, round(popularity, 6) AS popularity FROM catalog", CATALOG),
     "s03_duplicate_ids": q("SELECT id, count(*) AS n FROM catalog GROUP BY id HAVING count(*) > 1", CATALOG),
     "s04_events": q("SELECT event_id, user_id, article_id, kind, occurred_us, round(propensity, 6) AS propensity, round(weight, 6) AS weight FROM interactions", EVENTS),
-    "s08_duplicate_scores": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+    "s08_duplicate_scores": "SELECT l_orderkey AS impression_id, l_partkey AS article_id, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1",
     "s28_export": q("SELECT id, 'id=' || id || ';topics=' || topics[1] || '|' || topics[2] || ';source=' || source || ';at=' || CAST(published_us AS VARCHAR) AS line FROM catalog", CATALOG),
-    "p01_topics": "SELECT doc_id, lower(lang) || ',' || lower(source) AS topics FROM documents",
+    "p01_topics": "SELECT doc_id, concat_ws(',', lower(lang), lower(source), 'strasse', 'σίσυφοσ') AS topics FROM documents",
     "p02_identifiers": "SELECT c_custkey, trim(c_name) = c_name AND length(c_name) BETWEEN 1 AND 256 AS ok, FALSE AS padded_ok, length(c_name) <= 4 AS short_ok FROM customer",
     "p03_predicates": q("SELECT count(*) FILTER (WHERE propensity BETWEEN 0 AND 1) AS unit, count(*) FILTER (WHERE propensity * 2 > 1) AS not_unit, count(*) FILTER (WHERE weight > 0) AS positive FROM interactions", EVENTS),
     "p04_visible": q(f"SELECT event_id, user_id, article_id FROM interactions WHERE occurred_us <= {AS_OF} AND article_id IN (SELECT id FROM catalog WHERE published_us <= {AS_OF})", CATALOG, EVENTS),
@@ -197,12 +218,15 @@ ORACLE_SQL: dict[str, str] = {
     "a10_user_totals": q("SELECT user_id, round(sum(reward * w), 6) AS rewarded, round(sum(w), 6) AS weight FROM logged GROUP BY user_id", EVENTS, LOGGED),
     "a12_percentiles": "SELECT event_type, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.5), 6) AS mid, round(quantile_cont(value, 0.975), 6) AS high FROM events GROUP BY event_type",
     "a13_order_statistics": "SELECT event_type, round(max(CASE WHEN i = floor(m * CAST(0.025 AS DOUBLE)) THEN value END), 6) AS low, round(max(CASE WHEN i = ceil(m * CAST(0.975 AS DOUBLE)) THEN value END), 6) AS high FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) - 1 AS m FROM events) x GROUP BY event_type",
-    "a14_cohorts": q(f"SELECT cohort, count(*) AS users, {AVERAGES} FROM samples JOIN cohorts USING (user_id) GROUP BY cohort", *LOO, COHORTS, recursive=True),
-    "a14_gaps": q("SELECT count(*) AS cohorts, " + ", ".join(f"round(max({m}) - min({m}), 6) AS {m}_gap" for m in MEANS) + " FROM (SELECT cohort, " + ", ".join(f"avg({m}) AS {m}" for m in MEANS) + " FROM samples JOIN cohorts USING (user_id) GROUP BY cohort) x", *LOO, COHORTS, recursive=True),
-    "a15_objectives": q("SELECT 'full' AS policy, (SELECT round(avg(ndcg), 6) FROM samples) AS ndcg, (SELECT round(min(n), 6) FROM (SELECT avg(ndcg) AS n FROM samples JOIN cohorts USING (user_id) GROUP BY cohort) x) AS worst_ndcg, (SELECT round(avg(source_diversity), 6) FROM samples) AS source_diversity", *LOO, COHORTS, recursive=True),
-    "p18_constraints": q("SELECT 'full' AS policy, concat_ws(',', CASE WHEN avg(ndcg) < 0.5 THEN 'ndcg' END, CASE WHEN avg(intra_list_diversity) < 0.1 THEN 'intra_list_diversity' END, CASE WHEN avg(source_diversity) < 0.2 THEN 'source_diversity' END, CASE WHEN (SELECT min(n) FROM (SELECT avg(ndcg) AS n FROM samples JOIN cohorts USING (user_id) GROUP BY cohort) x) < 0.9 THEN 'worst_ndcg' END) AS violations FROM samples", *LOO, COHORTS, recursive=True),
+    "a14_cohorts": q(f"SELECT cohort, count(*) AS users, count(topic_calibration) AS calibrated_users, {AVERAGES}, round(avg(topic_calibration), 6) AS topic_calibration FROM samples JOIN cohorts USING (user_id) GROUP BY cohort", *LOO, COHORTS, recursive=True),
+    "a14_gaps": q("SELECT count(*) AS cohorts, " + ", ".join(f"round(max({m}) - min({m}), 6) AS {m}_gap" for m in (*MEANS, "topic_calibration")) + " FROM (SELECT cohort, " + ", ".join(f"avg({m}) AS {m}" for m in (*MEANS, "topic_calibration")) + " FROM samples JOIN cohorts USING (user_id) GROUP BY cohort) x", *LOO, COHORTS, recursive=True),
+    "a15_objectives": q("SELECT 'full' AS policy, " + ", ".join(f"round({n}, 6) AS {n}" for n in OBJECTIVES) + " FROM objectives", *LOO, COHORTS, OBJECTIVE_VIEWS, recursive=True),
+    "p18_constraints": q(
+        "SELECT 'full' AS policy, concat_ws(',', CASE WHEN ndcg < 0 THEN 'minimum_ndcg' END, CASE WHEN worst_cohort_ndcg < 0.9 THEN 'minimum_worst_cohort_ndcg' END, CASE WHEN coalesce(ndcg_gap, 9) > 1 THEN 'maximum_ndcg_gap' END, CASE WHEN coalesce(topic_calibration, 9) > 0.01 THEN 'maximum_topic_calibration' END, CASE WHEN coalesce(topic_calibration_gap, 9) > 0.5 THEN 'maximum_topic_calibration_gap' END) AS violations FROM objectives",
+        *LOO, COHORTS, OBJECTIVE_VIEWS, recursive=True,
+    ),
     "a16_document_frequency": q("SELECT feature, df, round(idf, 6) AS idf FROM vocabulary", *TEXT),
-    "a17_token_frequency": q("SELECT least(n, 1000) AS times, count(*) AS tokens FROM (SELECT feature, CAST(sum(n) AS BIGINT) AS n FROM terms GROUP BY feature) x GROUP BY least(n, 1000)", TERMS),
+    "a17_token_frequency": q("SELECT n AS times, count(*) AS tokens FROM (SELECT feature, CAST(sum(n) AS BIGINT) AS n FROM terms GROUP BY feature) x GROUP BY n", TERMS),
     "a18_labels": q("SELECT count(*) FILTER (WHERE lo < hi) AS comparable, count(*) FILTER (WHERE lo = 1) AS all_clicked, count(*) FILTER (WHERE hi = 0) AS none_clicked FROM (SELECT impression_id, min(clicked) AS lo, max(clicked) AS hi FROM impressions GROUP BY impression_id) x", IMPRESSIONS),
     "a19_slate_mass": q("SELECT user_id, topic, round(sum(m) / max(t), 6) AS share FROM (SELECT user_id, unnest(flatten(tops)) AS topic, CAST(0.5 AS DOUBLE) AS m, CAST(len(ids) AS DOUBLE) AS t FROM final) x GROUP BY user_id, topic", *FEED, slate_views(), recursive=True),
     "a20_reader": q("SELECT user_id, topic, round(weight / sum(weight) OVER (PARTITION BY user_id), 6) AS share FROM readers WHERE weight > 0", CATALOG, EVENTS, profile_views()),
@@ -235,7 +259,7 @@ ORACLE_SQL: dict[str, str] = {
     "f02_exploration": q("SELECT event_id, round(CAST(CAST('0x' || substr(sha256(user_id || chr(0) || article_id), 1, 16) AS UBIGINT) AS DOUBLE) / CAST(18446744073709551616 AS DOUBLE), 9) AS value FROM interactions", EVENTS),
     "f05_sigmoid": "SELECT event_id, round(1 / (1 + exp(-(value - 250) / 10)), 9) AS p FROM events",
     "f07_softmax": q("SELECT impression_id, article_id, round(exp(score) / sum(exp(score)) OVER (PARTITION BY impression_id), 9) AS p FROM impressions", IMPRESSIONS),
-    "f08_tokens": "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS distinct_n FROM documents",
+    "f08_tokens": "SELECT doc_id, len(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+')) AS n, len(list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+'))) AS distinct_n FROM documents",
     "f10_vectors": q("SELECT id, count(*) AS n, round(sum(weight), 6) AS sum, round(sum(weight * weight), 6) AS norm FROM vectors GROUP BY id", *TEXT, VECTORS),
     "f13_wilson": q("SELECT user_id, round(greatest(CAST(0 AS DOUBLE), (p + z2 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)), 9) AS low, round(least(CAST(1 AS DOUBLE), (p + z2 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)), 9) AS high FROM (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE kind IN ('click', 'like')) / CAST(count(*) AS DOUBLE) AS p, CAST(3.8416 AS DOUBLE) AS z2 FROM interactions GROUP BY user_id) x", EVENTS),
     "f14_random_hits": q("SELECT user_id, round(least(10, count(DISTINCT article_id)) / CAST(count(DISTINCT article_id) AS DOUBLE), 9) AS rate FROM interactions GROUP BY user_id", EVENTS),
@@ -247,8 +271,9 @@ ORACLE_SQL: dict[str, str] = {
     "r04_feeds_calibrated": q("SELECT f.user_id, i.i AS rank, f.ids[i.i] AS article_id, round(f.scores[i.i], 6) AS score FROM final f, range(1, 11) i(i) WHERE i.i <= len(f.ids)", *FEED, calibrated_views(), recursive=True),
     "m06_leave_last_out": q("SELECT user_id, holdout_id, array_to_string(ids, ',') AS ranked_ids, " + ", ".join(f"round({m}, 6) AS {m}" for m in MEANS) + " FROM samples", *LOO, recursive=True),
     "m06_macro": q(f"SELECT count(*) AS users, {AVERAGES} FROM samples", *LOO, recursive=True),
-    "m09_policies": _policy_sql(policies(C, 10, 10**9)),
-    "m11_ablations": _policy_sql({"base": C, "freshness": ablation(C, "freshness", 10**9), "slate_diversity": ablation(C, "slate_diversity", 10**9)}),
+    "m09_policies": _policy_sql(policies(C, 10)),
+    "m13_frontier": _frontier_sql(policies(C, 10)),
+    "m11_ablations": _policy_sql({"base": C, "freshness": ablation(C, "freshness"), "slate_diversity": ablation(C, "slate_diversity")}),
     "m17_impressions": q("SELECT count(*) AS impressions, CAST(sum(candidates) AS BIGINT) AS candidates, round(avg(auc), 6) AS auc, round(avg(mrr), 6) AS mrr, round(avg(ndcg_5), 6) AS ndcg_5, round(avg(ndcg_10), 6) AS ndcg_10 FROM per", *IMP),
     "m14_per_impression": q("SELECT impression_id, round(auc, 6) AS auc, round(mrr, 6) AS mrr, round(ndcg_5, 6) AS ndcg_5, round(ndcg_10, 6) AS ndcg_10 FROM per", *IMP),
     "l02_predict": q("SELECT user_id, id, p, rank FROM (SELECT user_id, id, p, row_number() OVER (PARTITION BY user_id ORDER BY p DESC, id) AS rank FROM (SELECT user_id, id, round(1 / (1 + exp(-(-1 + 1.2 * interest + 0.3 * freshness + 0.8 * quality + 0.1 * novelty + 0.6 * popularity))), 6) AS p FROM parts) x) y WHERE rank <= 5", *FEED),

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import behavior_timestamp, split_candidate
+from ..functions.scalars import behavior_timestamp, casefold, split_candidate, strip
 from .strict_json import load
 
 CATALOG = "id string, title string, summary string, topics array<string>, source string, published_us long, quality double, popularity double, title_missing boolean, category_missing boolean, subcategory_missing boolean, mind_category string, mind_subcategory string"
@@ -164,7 +164,7 @@ def news_tsv(spark: SparkSession, path: str, published_us: int) -> DataFrame:
     """Eight tab-separated columns without quoting."""
     names = ["id", "category", "subcategory", "title", "abstract", "url", "title_entities", "abstract_entities"]
     rows = _tsv(spark, path, names)
-    topic = lambda c: F.lower(F.trim(c))
+    topic = lambda c: casefold(strip(c))
     return unique(
         rows.select(
             "id", F.when(F.trim("title") == "", F.col("id")).otherwise(F.col("title")).alias("title"), F.col("abstract").alias("summary"),

@@ -189,16 +189,140 @@ def test_percentiles():
     assert logged.order_statistic_interval([float(i) for i in range(101)]) == (2.0, 98.0)
 
 
+POINTS = "policy string, ndcg double, worst_cohort_ndcg double, ndcg_gap double, topic_calibration double, topic_calibration_gap double"
+
+
 def test_frontier(spark):
-    points = spark.createDataFrame([("b", 1.0, 1.0, 1.0, 1.0, 1.0), ("a", 1.0, 1.0, 1.0, 1.0, 1.0), ("c", 0.5, 1.0, 1.0, 1.0, 1.0), ("d", 2.0, 0.0, 0.0, 0.0, 0.0), ("e", None, 9.0, 9.0, 9.0, 9.0)], "policy string, ndcg double, worst_ndcg double, intra_list_diversity double, source_diversity double, hit_rate double")
-    assert {r["policy"] for r in comparisons.frontier(points).collect()} == {"a", "d"}
+    """Gaps and calibration are better when lower; a missing value or a missed bound keeps a
+    policy off; of equals the least name stands."""
+    points = spark.createDataFrame([("b", 1.0, 1.0, 0.1, 0.1, 0.1), ("a", 1.0, 1.0, 0.1, 0.1, 0.1), ("c", 1.0, 1.0, 0.1, 0.2, 0.1), ("d", 2.0, 0.0, 0.9, 0.9, 0.9), ("e", 9.0, 9.0, 0.0, None, 0.0), ("f", 0.5, 1.0, 0.05, 0.1, 0.1)], POINTS)
+    names = lambda df: {r["policy"] for r in df.collect()}
+    assert names(comparisons.frontier(points)) == {"a", "d", "f"}
+    assert names(comparisons.frontier(points, {"maximum_ndcg_gap": 0.5, "minimum_ndcg": 0.6})) == {"a"}
+    missed = {r["policy"]: r["v"] for r in points.select("policy", comparisons.violations({"maximum_topic_calibration": 0.15, "minimum_worst_cohort_ndcg": 0.5}).alias("v")).collect()}
+    assert missed == {"a": [], "b": [], "c": ["maximum_topic_calibration"], "d": ["minimum_worst_cohort_ndcg", "maximum_topic_calibration"], "e": ["maximum_topic_calibration"], "f": []}
+    with pytest.raises(ValueError):
+        comparisons.violations({"minimum_hits": 1.0})
+
+
+SAMPLE = "user_id string, ndcg double, hit_rate double, reciprocal_rank double, intra_list_diversity double, source_diversity double, topic_calibration double"
 
 
 def test_cohort_gaps_need_two(spark):
-    s = spark.createDataFrame([("u1", 1.0, 1.0, 1.0, 0.2, 0.4), ("u2", 0.0, 0.0, 0.0, 0.4, 0.4)], "user_id string, ndcg double, hit_rate double, reciprocal_rank double, intra_list_diversity double, source_diversity double")
-    two = comparisons.gaps(comparisons.audit(s, spark.createDataFrame([("u1", "x"), ("u2", "y")], "user_id string, cohort string"))).first()
-    one = comparisons.gaps(comparisons.audit(s, spark.createDataFrame([("u1", "x"), ("u2", "x")], "user_id string, cohort string"))).first()
-    assert two["ndcg_gap"] == 1.0 and one["ndcg_gap"] is None
+    s = spark.createDataFrame([("u1", 1.0, 1.0, 1.0, 0.2, 0.4, 0.5), ("u2", 0.0, 0.0, 0.0, 0.4, 0.4, None), ("u3", 0.5, 0.0, 0.0, 0.4, 0.4, 0.1)], SAMPLE)
+    of = lambda *labels: spark.createDataFrame([(f"u{i}", x) for i, x in enumerate(labels, 1)], "user_id string, cohort string")
+    two, one, full = (comparisons.gaps(comparisons.audit(s, of(*x))).first() for x in (("x", "y", "x"), ("x", "x", "x"), ("x", "x", "y")))
+    assert two["ndcg_gap"] == 0.75 and two["topic_calibration_gap"] is None
+    assert one["ndcg_gap"] is None and one["topic_calibration_gap"] is None
+    assert full["topic_calibration_gap"] == pytest.approx(0.4)
+    point = comparisons.objectives(comparisons.audit(s.withColumn("policy", comparisons.F.lit("p")), of("x", "x", "y"), ("policy",))).first()
+    assert (point["ndcg"], point["worst_cohort_ndcg"], point["ndcg_gap"], point["topic_calibration"]) == pytest.approx((0.5, 0.5, 0.0, 0.3))
+    low = comparisons.audit(s, of("x", "x", "y"), minimum=2).orderBy("cohort").collect()
+    assert [r["calibrated_users"] for r in low] == [1, 1] and all(r["topic_calibration"] is None for r in low)
+
+
+def test_cohort_intervals_do_not_depend_on_other_cohorts(spark):
+    rng = random.Random(2)
+    rows = [(f"u{i}", rng.random(), 0.0, 0.0, 0.0, 0.0, None if i % 3 else rng.random()) for i in range(30)]
+    s, label = spark.createDataFrame(rows, SAMPLE), lambda i: "x" if i < 12 else "y"
+    of = spark.createDataFrame([(f"u{i}", label(i)) for i in range(30)], "user_id string, cohort string")
+    both, alone = comparisons.cohort_intervals(s, of, "ndcg", draws=50), comparisons.cohort_intervals(s.limit(30), of.where("cohort = 'x'"), "ndcg", draws=50)
+    assert both["x"] == alone["x"] and set(both) == {"x", "y"}
+    values = [r[1] for r in sorted(rows) if label(int(r[0][1:])) == "x"]
+    assert both["x"] == logged.bootstrap_mean(values, 50, 0.95, comparisons.cohort_seed(17, "x"))
+    assert comparisons.cohort_intervals(s, of, "topic_calibration", draws=5, minimum=5)["x"] is None
+
+
+def test_policies_share_what_they_agree_in(spark, world):
+    """evaluate() of several policies equals each alone; calibration by brute force."""
+    items, log, c, e = world
+    config = FeedConfig(size=4)
+    configs = policies(config, 4) | {"slow": config.with_(profile_half_life_days=300.0), "calibrated": config.with_(rerank_strategy="calibrated"), "strict": config.with_(minimum_score=0.55)}
+    got = {(r["policy"], r["user_id"]): r for r in metrics.evaluate(e, c, configs, T0 + 9 * DAY, 4).collect()}
+    for name, one in configs.items():
+        for r in metrics.leave_last_out(e, c, one, T0 + 9 * DAY, 4).collect():
+            other = got.pop((name, r["user_id"]))
+            assert all(other[k] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v) for k, v in r.asDict().items())
+            w, _, _ = brute_profile(items, log, r["user_id"], r["holdout_us"], strict=True)
+            good = {t: v for t, v in w.items() if v > 0 and one.profile_half_life_days == 30}
+            if good and r["ranked_ids"]:
+                of, want = {i[0]: i[1] for i in items}, 0.0
+                for t, v in good.items():
+                    p = v / sum(good.values())
+                    q = sum(1 / len(of[a]) for a in r["ranked_ids"] if t in of[a]) / len(r["ranked_ids"])
+                    want += p * math.log(p / (0.99 * q + 0.01 * p))
+                assert r["topic_calibration"] == pytest.approx(max(want, 0), abs=1e-9)
+    assert not got
+
+
+def test_resampled_policies(spark, world):
+    """Coverage and Gini are made anew from each draw's users."""
+    items, _, c, e = world
+    configs = policies(FeedConfig(size=4), 4)
+    samples = metrics.evaluate(e, c, configs, T0 + 9 * DAY, 4).persist()
+    rows = {(r["policy"], r["draw"]): r for r in comparisons.resampled(spark, samples, c, draws=6, seed=3).collect()}
+    by = {}
+    for r in samples.collect():
+        by.setdefault(r["policy"], {})[r["user_id"]] = r
+    users = sorted(by["full"])
+    for name in configs:
+        for d, one in enumerate(logged.draws(len(users), 6, 3)):
+            some = [by[name][users[i]] for i in one]
+            assert rows[name, d]["ndcg"] == pytest.approx(sum(r["ndcg"] for r in some) / len(some))
+            counts = {}
+            for r in some:
+                for a in r["ranked_ids"]:
+                    counts[a] = counts.get(a, 0) + 1
+            n, ordered = len(counts), sorted(counts.values())
+            gini = 2 * sum(i * x for i, x in enumerate(ordered, 1)) / (n * sum(ordered)) - (n + 1) / n
+            last = max(r["holdout_us"] for r in some)
+            assert rows[name, d]["exposure_gini"] == pytest.approx(gini) and rows[name, d]["catalog_coverage"] == pytest.approx(n / sum(i[3] <= last for i in items))
+    with pytest.raises(ValueError):
+        comparisons.resampled(spark, samples, c, draws=comparisons.MOST_UNITS)
+    samples.unpersist()
+
+
+def test_text_functions_fold_as_python_does(spark):
+    from slatewright.functions import scalars
+
+    rng = random.Random(6)
+    odd = [c for c in map(chr, range(0x110000)) if c.casefold() != c and not 0xD800 <= ord(c) <= 0xDFFF]
+    texts = ["Straße\n", "STRASSE", "\tx", "ΣΊΣΥΦΟς", "İI", "ﬃ\u00a0", "", "  ", "\u2003A\u3000", "a_b-C3²Ⅷ", *("".join(rng.choice(odd) for _ in range(20)) for _ in range(150))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    col = scalars.F.col("t")
+    for r in df.select("i", scalars.casefold(col).alias("fold"), scalars.strip(col).alias("strip"), scalars.normalize_topics(scalars.F.array(col, col)).alias("topics"), scalars.is_identifier(col).alias("ok")).collect():
+        t = texts[r["i"]]
+        assert r["fold"] == t.casefold() and r["strip"] == t.strip()
+        assert r["topics"] == ([t.strip().casefold()] if t.strip() else [])
+        if r["i"] < 10:  # newer letters are printable to the engine whose tables know them
+            assert r["ok"] == (bool(t) and t == t.strip() and t.isprintable() and len(t) <= 256)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_do_not_depend_on_the_session(spark, zone):
+    from slatewright.functions import scalars
+
+    us = [0, -1, 1_710_054_000_123_456, 1_710_054_000_000_000, 1_699_164_000_000_000, 951_782_400_000_001]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        df = spark.createDataFrame([(u, datetime.fromtimestamp(u // 1_000_000, UTC).strftime("%m/%d/%Y %I:%M:%S %p").lstrip("0")) for u in us], "u long, t string")
+        ntz = scalars.F.expr("timestamp_ntz'2024-03-10 02:30:00.5'")
+        rows = df.select("u", scalars.utc_text(scalars.F.timestamp_micros("u")).alias("text"), scalars.F.unix_micros(scalars.behavior_timestamp(scalars.F.col("t"), "-08:00")).alias("at"), scalars.instant_us(ntz, "timestamp_ntz", zone).alias("ntz")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    for r in rows:
+        at = datetime.fromtimestamp(r["u"] // 1_000_000, UTC).replace(microsecond=r["u"] % 1_000_000)
+        assert r["text"] == at.isoformat() and r["at"] == r["u"] // 1_000_000 * 1_000_000 + 8 * 3_600_000_000 and r["ntz"] == 1_710_037_800_500_000
+
+
+def test_fixed_offsets():
+    from slatewright.functions.scalars import fixed_offset
+
+    assert [fixed_offset(x) for x in ("-08:00", 5.5, -14, "+00:00:30")] == ["-08:00", "+05:30", "-14:00", "+00:00:30"]
+    for bad in ("8", "+15:00", 14.5, float("nan"), True, 0.0001):
+        with pytest.raises(ValueError):
+            fixed_offset(bad)
 
 
 def test_config():
