@@ -21,7 +21,9 @@ def exponential_decay(age: Column, half_life: float) -> Column:
 def exploration(user: Column, item: Column) -> Column:
     """The first 64 bits of SHA-256(user, zero byte, item) over 2**64."""
     digest = F.sha2(F.concat(user.cast("binary"), F.lit(b"\0"), item.cast("binary")), 256)
-    return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(18446744073709551616.0)
+    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long").cast("double")
+    # The upper half times 2**32 is exact, so the sum is rounded once, as the whole would be.
+    return (half(1) * F.lit(4294967296.0) + half(9)) / F.lit(18446744073709551616.0)
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:

@@ -69,7 +69,7 @@ def evaluate(interactions: DataFrame, catalog: DataFrame, configs: Mapping[str,
             F.coalesce("seen", F.expr("cast(array() as array<string>)")).alias("seen"),
             F.coalesce("event_count", F.lit(0)).alias("event_count"),
         )
-        built = slates.build(scoring.score_policies(users, known, group, F.col("holdout_us")), group)
+        built = slates.build(scoring.score_policies(users, known, group, F.col("holdout_us")), group, users)
         names = F.explode(F.array(*[F.lit(n) for n in group])).alias("policy")
         ranked = held.select(names, "*").join(built, ["user_id", "policy"], "left").select(
             "policy", "user_id", "holdout_id", "holdout_us",

@@ -26,7 +26,9 @@ PICK = "struct<id:string,total:double,topics:array<string>,source:string>"
 
 def contenders(scored: DataFrame, configs: Mapping[str, FeedConfig], keys: tuple[str, ...]) -> DataFrame:
     """The best of each class that a slate can use."""
-    order = Window.partitionBy(*keys, "topics", "source").orderBy(F.desc("total"), F.desc("id"))
+    kind = F.xxhash64("topics", "source")  # sorts quicker than what it stands for
+    scored = scored.withColumn("__kind", kind)
+    order = Window.partitionBy(*keys, "__kind", "source").orderBy(F.desc("total"), F.desc("id"))
     most = {name: min(c.size, c.max_per_source) for name, c in configs.items()}
     ranked = scored.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= max(most.values()))
     if len(set(most.values())) > 1:
@@ -34,7 +36,7 @@ def contenders(scored: DataFrame, configs: Mapping[str, FeedConfig], keys: tuple
         for name, n in most.items():
             own = F.when(F.col("policy") == name, F.lit(n)).otherwise(own)
         ranked = ranked.where(F.col("__place") <= own)
-    return ranked.drop("__place")
+    return ranked.drop("__place", "__kind")
 
 
 def reader_distribution(weights: Column) -> Column:
@@ -114,21 +116,26 @@ def _picker(configs: Mapping[str, FeedConfig], keys: int):
     return run
 
 
-def build(scored: DataFrame, config: FeedConfig | Mapping[str, FeedConfig], keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+def build(scored: DataFrame, config: FeedConfig | Mapping[str, FeedConfig], users: DataFrame | None = None, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """(keys, picks, reader): picks is an array of id, total, topics, source in rank order.
-    With several configs, by the column policy, which is then a key as well."""
+    With several configs, by the column policy, which is then a key as well.  ``users`` are
+    the profiles (user_id, weights) that were scored; with them weights need not go with
+    every candidate."""
     many = not isinstance(config, FeedConfig)
     configs = dict(config) if many else {"": config}
     keys = (*keys, "policy") if many else keys
     item = F.struct("total", "id", "topics", "source")
-    users = contenders(scored, configs, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("pool"), F.first("weights").alias("weights"))
+    needed = scored.select(*keys, "total", "id", "topics", "source", *(["weights"] if users is None else []))
+    pools = contenders(needed, configs, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("pool"), *([F.first("weights").alias("weights")] if users is None else []))
+    if users is not None:
+        pools = pools.join(users.select("user_id", "weights"), "user_id")
     pool = F.transform("pool", lambda x: F.struct(x["id"].alias("id"), x["total"].alias("total"), x["topics"].alias("topics"), x["source"].alias("source")))
-    rows = users.select(*keys, (F.col("policy") if many else F.lit("")).alias("__policy"), pool.alias("pool"), reader_distribution(F.col("weights")).alias("reader"))
+    rows = pools.select(*keys, (F.col("policy") if many else F.lit("")).alias("__policy"), pool.alias("pool"), reader_distribution(F.col("weights")).alias("reader"))
     schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("picks", T._parse_datatype_string(f"array<{PICK}>")), rows.schema["reader"]])
     return rows.mapInArrow(_picker(configs, len(keys)), schema)
 
 
-def feeds(scored: DataFrame, config: FeedConfig, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+def feeds(scored: DataFrame, config: FeedConfig, users: DataFrame | None = None, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """A row for each place of each slate: keys, rank, article_id, score, topics, source."""
-    made = build(scored, config, keys)
+    made = build(scored, config, users, keys)
     return made.select(*keys, F.posexplode("picks").alias("pos", "p")).select(*keys, (F.col("pos") + 1).alias("rank"), F.col("p.id").alias("article_id"), F.col("p.total").alias("score"), F.col("p.topics").alias("topics"), F.col("p.source").alias("source"))

@@ -194,7 +194,7 @@ def j06_point_in_time(spark, d):
 
 
 def j07_pairs(spark, d):
-    f = slates.feeds(_scored(spark, d), CONFIG)
+    f = slates.feeds(_scored(spark, d), CONFIG, _profiles(spark, d))
     a, b = f.alias("a"), f.alias("b")
     made = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.rank") < F.col("b.rank")))
     return made.groupBy(F.col("a.user_id").alias("user_id")).agg(F.count("*").alias("n"), F.round(F.avg(1.0 - S.jaccard(F.col("a.topics"), F.col("b.topics"))), 6).alias("distance"))
@@ -305,7 +305,7 @@ def a18_labels(spark, d):
 
 
 def a19_slate_mass(spark, d):
-    f = slates.feeds(_scored(spark, d), CONFIG)
+    f = slates.feeds(_scored(spark, d), CONFIG, _profiles(spark, d))
     mass = f.select("user_id", F.explode("topics").alias("topic"), (1.0 / F.size("topics")).alias("m")).groupBy("user_id", "topic").agg(F.sum("m").alias("m"))
     return mass.select("user_id", "topic", F.round(F.col("m") / F.sum("m").over(Window.partitionBy("user_id")), 6).alias("share"))
 
@@ -316,7 +316,7 @@ def a20_reader(spark, d):
 
 
 def a21_calibration(spark, d):
-    made = slates.build(_scored(spark, d), CONFIG)
+    made = slates.build(_scored(spark, d), CONFIG, _profiles(spark, d))
     return made.select("user_id", F.round(F.coalesce(slates.calibration(F.col("reader"), F.col("picks")), F.lit(0.0)), 6).alias("error"))
 
 
@@ -487,11 +487,11 @@ def r02_candidates(spark, d):
 
 
 def r05_feeds_mmr(spark, d):
-    return slates.feeds(_scored(spark, d), CONFIG).select("user_id", F.col("rank").cast("long").alias("rank"), "article_id", *r6("score"))
+    return slates.feeds(_scored(spark, d), CONFIG, _profiles(spark, d)).select("user_id", F.col("rank").cast("long").alias("rank"), "article_id", *r6("score"))
 
 
 def r04_feeds_calibrated(spark, d):
-    return slates.feeds(_scored(spark, d), CONFIG.with_(rerank_strategy="calibrated")).select("user_id", F.col("rank").cast("long").alias("rank"), "article_id", *r6("score"))
+    return slates.feeds(_scored(spark, d), CONFIG.with_(rerank_strategy="calibrated"), _profiles(spark, d)).select("user_id", F.col("rank").cast("long").alias("rank"), "article_id", *r6("score"))
 
 
 def m06_leave_last_out(spark, d):
