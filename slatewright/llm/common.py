@@ -158,6 +158,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Rows of ids that are sent to every task instead of shuffling what they are looked up in.
+FEW = 1_000_000
+
+
+def pick_rows(left: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """``left`` rows that are (left_semi) or are not (left_anti) among ``ids``, a written
+    table: broadcast up to FEW ids, which is counted first, and shuffled beyond that."""
+    return left.join(F.broadcast(ids) if ids.count() <= FEW else ids, key, how)
+
+
 #: Rows of one key that a task may meet; keys with more at most.
 LEAST_HOT, MOST_HOT = 1000, 50_000
 

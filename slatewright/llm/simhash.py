@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, free, need, split_join, table, utf8
+from .common import arrow_map, components, free, need, pick_rows, split_join, table, utf8
 
 BITS, DISTANCE = 64, 3
 #: Words of a shingle of the contract's query; near-duplicate operators elsewhere take 5.
@@ -399,8 +399,8 @@ def similar(spark: SparkSession, edges: DataFrame, texts: DataFrame, words: int,
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "set"])
 
     edges = table(spark, edges.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("apart").alias("apart")), "candidates")
-    some = edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct()
-    sets = table(spark, arrow_map(texts.join(some, "row", "left_semi").select("row", "text"), work, "row long, set array<long>"), "sets")
+    some = table(spark, edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct(), "measured-rows")
+    sets = table(spark, arrow_map(pick_rows(texts, some, "row", "left_semi").select("row", "text"), work, "row long, set array<long>"), "sets")
 
     def measured(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
@@ -465,7 +465,7 @@ def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int =
 
     tagged = table(spark, df.withColumn(row, F.monotonically_increasing_id()), "rows")
     texts = tagged.select(F.col(row).alias("row"), "text")
-    prints = arrow_map(tagged.select(F.col(row).alias("row"), "doc_id", "text"), work, f"row long, doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long, check long, same long, keys array<long>")
+    prints = table(spark, arrow_map(tagged.select(F.col(row).alias("row"), "doc_id", "text"), work, f"row long, doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long, check long, same long, keys array<long>"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     nodes = prints.groupBy("fp", "check", "same").agg(first, F.first("keys").alias("keys")).withColumn("node", F.col("first.row"))
     nodes = table(spark, nodes, "fingerprints")
@@ -473,4 +473,6 @@ def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int =
     found = links(spark, nodes, distance=distance, check_distance=within, step=4, every=EVERY, more=shared, within=within)
     found = components(spark, similar(spark, found, texts, words, least))
     best = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
-    return tagged.join(best.select(F.col("first.row").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    # The rows that go are fewer than those that stay.
+    gone = table(spark, prints.select(F.col("row").alias(row)).join(best.select(F.col("first.row").alias(row)), row, "left_anti"), "gone")
+    return pick_rows(tagged, gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in names])
