@@ -39,7 +39,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a shard (mean), islands of a shard, rounds with migration after each,
 #: individuals of an island, and children per round at least and at most.
-SHARD, ISLANDS, ROUNDS, POPULATION, LEAST, CHILDREN = 4096, 3, 3, 6, 3, 60
+SHARD, ISLANDS, ROUNDS, POPULATION, LEAST, CHILDREN = 4096, 2, 2, 5, 3, 60
 #: Of the bins of a shard one in this many, the emptiest, is packed again with others.
 AGAIN = 8
 
