@@ -102,6 +102,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Paths of the tables that are there, in order of writing.
 _written: list[str] = []
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -110,11 +113,20 @@ _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, the rows
     survive the loss of any executor, and each is computed once.  Removed by ``discard``
-    or ``release``, at exit at the latest."""
+    or ``release``, at exit at the latest.  Shuffle files of the write go with its end,
+    since nothing reads them again."""
     small_batches(spark)
     path = f"{shared_dir(spark)}/slatewright/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     if not _written:
         atexit.register(release, spark, 0)
     _written.append(path)

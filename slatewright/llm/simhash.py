@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, free, need, pick_rows, split_join, table, utf8
+from .common import arrow_map, components, free, mark, need, pick_rows, release, split_join, table, utf8
 
 BITS, DISTANCE = 64, 3
 #: Words of a shingle of the contract's query; near-duplicate operators elsewhere take 5.
@@ -470,8 +470,10 @@ def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int =
     nodes = prints.groupBy("fp", "check", "same").agg(first, F.first("keys").alias("keys")).withColumn("node", F.col("first.row"))
     nodes = table(spark, nodes, "fingerprints")
     shared = nodes.select(F.lit(-1).alias("g"), F.explode("keys").alias("key"), "node", "fp", "check")
+    since = mark()
     found = links(spark, nodes, distance=distance, check_distance=within, step=4, every=EVERY, more=shared, within=within)
-    found = components(spark, similar(spark, found, texts, words, least))
+    found = table(spark, components(spark, similar(spark, found, texts, words, least)), "near-groups")
+    release(spark, since, found)
     best = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     # The rows that go are fewer than those that stay.
     gone = table(spark, prints.select(F.col("row").alias(row)).join(best.select(F.col("first.row").alias(row)), row, "left_anti"), "gone")

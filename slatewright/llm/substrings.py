@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, free, need, slices, split_join, table, utf8
+from .common import arrow_map, discard, free, need, slices, split_join, table, utf8
 
 WINDOW = 35
 #: Bytes of text worked on at a time; arrays of a few hundred bytes a word go with it.
@@ -324,21 +324,25 @@ def keys_of(text: str) -> dict[str, Column]:
 
 
 def shrunk(spark: SparkSession, df: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """measure() of every row, and a table of (t1, t2, copies, n_removed, kept_sha256 and, if
+    """measure() of every row (gone if ``with_text``), and a table of (t1, t2, copies, n_removed, kept_sha256 and, if
     asked for, kept) of every text; the last three are null where no word goes."""
     docs = need(df, "doc_id", "text").withColumns(keys_of("text")).withColumn("text", F.coalesce("text", F.lit("")))
     facts = table(spark, measure(docs), "facts")
     texts = facts.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"), F.first("n_words").alias("n_words"), F.first("anchors").alias("anchors"), F.first("twice").alias("twice"), F.first("loose").alias("loose"))
     texts = table(spark, texts.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    if with_text:
+        discard(spark, facts)
     pairs = texts.select("rid", F.explode("anchors").alias("anchor"))
     again = texts.select(F.explode("twice").alias("anchor"), F.lit(2).alias("n"))
     shared = table(spark, pairs.select("anchor", F.lit(1).alias("n")).union(again).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"), "anchors")
     lists = split_join(pairs, shared, ["anchor"], "n").groupBy("rid").agg(F.collect_list("anchor").alias("shared"))
     found = texts.select("rid", "t1", "t2", "one", "copies", "loose").join(lists, "rid", "left").where("loose or shared is not null")
     found = table(spark, found.select("rid", F.col("t1").alias("f1"), F.col("t2").alias("f2"), "one", "copies", F.coalesce("shared", F.array().cast("array<long>")).alias("shared")), "shared")
+    discard(spark, shared)
     # By doc_id too, so that the copies of a text don't meet in one task.
     mine = docs.join(found, (F.col("t1") == F.col("f1")) & (F.col("t2") == F.col("f2")) & F.col("doc_id").eqNullSafe(F.col("one")))
     mine = table(spark, mine.select("rid", "text", "shared", "copies"), "candidates")
+    discard(spark, found)
     windows = table(spark, mine.select("rid", "text", "shared").mapInArrow(_candidates, "k1 long, k2 long, rid long, pos int, known boolean"), "windows")
     open_ = windows.where("k1 is not null").repartition("k1", "k2").sortWithinPartitions("k1", "k2")
     hits = open_.mapInArrow(_repeats, "rid long, pos int").union(windows.where("k1 is null").select("rid", "pos"))
@@ -351,7 +355,9 @@ def shrunk(spark: SparkSession, df: DataFrame, with_text: bool) -> tuple[DataFra
     if with_text:
         more["kept"] = F.when(whole, F.lit("")).otherwise(F.col("kept"))
     done = texts.select("t1", "t2", "copies", "n_words", "rid").join(left, "rid", "left").withColumns(more).drop("rid", "n_words")
-    return facts, table(spark, done, "left")
+    done = table(spark, done, "left")
+    discard(spark, texts, mine, windows)
+    return facts, done
 
 
 def report(spark: SparkSession, df: DataFrame) -> DataFrame:
