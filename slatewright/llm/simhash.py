@@ -367,7 +367,9 @@ def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, ch
     else:
         rows = index.select("g", "key", zero.alias("tile"), *cols, zero.alias("probe")).union(probes.select("g", "key", zero.alias("tile"), *cols, one.alias("probe")))
     levels = [*range(0, check_distance, step), check_distance]
-    return rows.repartition("g", "key", "tile").sortWithinPartitions("g", "key", "tile", "probe").mapInArrow(_join(distance if within is None else within, levels, every), "a long, b long, apart int")
+    # In one order on every run: which pairs connect a large bucket depends on it.
+    ordered = ["fp", "check", "node"]
+    return rows.repartition("g", "key", "tile").sortWithinPartitions("g", "key", "tile", "probe", *ordered).mapInArrow(_join(distance if within is None else within, levels, every), "a long, b long, apart int")
 
 
 def groups(spark: SparkSession, prints: DataFrame, *, bucket: int = BUCKET) -> DataFrame:

@@ -379,6 +379,20 @@ def test_simhash_search_is_exact(spark, distance):
     assert up == brute_components(fps, distance)
 
 
+def test_simhash_edges_do_not_depend_on_row_order(spark):
+    """Pairs that connect a large bucket are the same however its rows arrive."""
+    rng = random.Random(15)
+    mixed = lambda x, k: x ^ sum(1 << b for b in rng.sample(range(63), k))
+    rows = [(i, mixed(1 << 40, rng.randint(0, 3)), mixed(1 << 50, rng.randint(0, 9))) for i in range(300)]
+    more = "g int, key long, node long, fp long, check long"
+    made = []
+    for order, parts in ((rows, 1), (rows[::-1], 7), (sorted(rows, key=lambda r: r[2]), 3)):
+        nodes = spark.createDataFrame(order, "node long, fp long, check long").repartition(parts)
+        shared = spark.createDataFrame([(-1, 7, *r) for r in order], more).repartition(parts)
+        made.append(sorted(simhash.links(spark, nodes, check_distance=24, step=4, every=64, more=shared, within=24).collect()))
+    assert made[0] and made[0] == made[1] == made[2]
+
+
 def test_simhash_plan():
     both = np.full((64, 64), 2500.0) + np.eye(64) * 2500
     for n in (10, 10_000, 10**8):
