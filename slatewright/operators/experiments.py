@@ -80,15 +80,15 @@ def training(spark: SparkSession, plan: Plan, catalog: DataFrame, train: DataFra
 
 def _rows(shown: DataFrame) -> list[dict]:
     listed = F.array_sort(F.collect_list(F.struct("pos", "article_id", "clicked")))
-    made = shown.groupBy("impression_id", "user_id", "occurred_us").agg(listed.alias("c")).orderBy("occurred_us", "impression_id")
+    made = rankers._limit(shown, "impressions").groupBy("impression_id", "user_id", "occurred_us").agg(listed.alias("c")).orderBy("occurred_us", "impression_id")
     return [{"impression_id": r["impression_id"], "user_id": r["user_id"], "at": r["occurred_us"], "candidates": [(c["article_id"], bool(c["clicked"])) for c in r["c"]]} for r in made.collect()]
 
 
 def title_encoder(spark: SparkSession, catalog: DataFrame, train: DataFrame, validation: DataFrame, config: neural.NeuralConfig | None = None) -> tuple[dict[str, object], dict[str, float]]:
     """Validation metrics of a title encoder, and each impression's nDCG at 10.  Titles and
-    slates come to the driver under the encoder's work limit."""
+    slates come to the driver; either with over rankers.MAX_ROWS rows is an error."""
     rankers.check_disjoint(train, validation)
-    titles = {r["id"]: r["title"] for r in catalog.select("id", "title").collect()}
+    titles = {r["id"]: r["title"] for r in rankers._limit(catalog.select("id", "title"), "catalog").collect()}
     rows = _rows(train)
     model = neural.NeuralRanker(config).fit(titles, rows, max(r["at"] for r in rows))
     scores = model.score(titles, _rows(validation))

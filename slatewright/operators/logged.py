@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_USERS = 3
+#: Users times resamples that the driver draws.
+MOST_UNITS = 8_000_000
 
 
 def observations(interactions: DataFrame, as_of: int | None = None) -> DataFrame:
@@ -76,9 +78,13 @@ def bootstrap_mean(values: list[float], samples: int = 1000, confidence: float =
 def interval(spark: SparkSession, obs: DataFrame, *, confidence: float = 0.95, resamples: int = 1000, seed: int = 0) -> dict[str, object]:
     """Estimate with a user-clustered bootstrap interval; withheld, with a reason, below
     MIN_USERS users.  Users' totals (two numbers each) come to the driver, which makes the
-    draws: exact parity needs one sequential generator."""
+    draws: exact parity needs one sequential generator.  Users times resamples over MOST_UNITS
+    are an error."""
     facts = summary(obs).first().asDict()
-    totals = [(r["rewarded"], r["weight"]) for r in user_totals(obs).orderBy("user_id").collect()]
+    most = MOST_UNITS // max(resamples, 1)
+    totals = [(r["rewarded"], r["weight"]) for r in user_totals(obs).orderBy("user_id").limit(most + 1).collect()]
+    if len(totals) > most:
+        raise ValueError(f"over {most} users by {resamples} resamples are more than the driver draws from; see resampled()")
     out = facts | {"lower": None, "upper": None, "confidence": confidence, "resamples": resamples}
     if not totals:
         return out | {"reason": "no logged event carried a propensity"}

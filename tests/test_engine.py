@@ -180,6 +180,8 @@ def test_logged_interval(spark):
     assert r["lower"] < r["estimate"] < r["upper"] and r["upper"] - r["lower"] > 2 * (hi - lo)
     few = logged.interval(spark, logged.observations(events_frame(spark, rows[:30])))
     assert few["lower"] is None and "users" in few["reason"]
+    with pytest.raises(ValueError, match="resampled"):
+        logged.interval(spark, logged.observations(e), resamples=logged.MOST_UNITS)
     none = logged.interval(spark, logged.observations(events_frame(spark, [("u", "a", "click", T0, None, 1.0)])))
     assert none["estimate"] == 0.0 and none["lower"] is None
 
