@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, language, licenses, media, negatives, packing, secrets, simhash, substrings, vectors
+from . import byte_bpe, chat, language, licenses, media, negatives, packing, repair, secrets, simhash, substrings, vectors
 from .common import documents
 
 
@@ -54,6 +54,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.report(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_media": op2_media,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_language": op10_language,
     "op11_negatives": op11_negatives,
+    "op12_repair": op12_repair,
 }
 
 #: Operators whose whole result SQL can express; the others are tested against brute force,
@@ -102,4 +107,36 @@ pos AS (SELECT a, b, s FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a O
 neg AS (SELECT p.a, p.b AS p, p.s AS ps, n.b AS n, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS r
   FROM pos p JOIN scores n ON n.a = p.a AND NOT n.alike AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s)
 SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM neg WHERE r <= 10""",
+    "op12_repair": """WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+hit AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substring(key, CAST(i AS INTEGER), 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda z: CAST(0 AS BIGINT))), lambda u, z: xor(u >> 1, (u & 1) * 3988292384))), 4294967295) % 20 AS k FROM keyed),
+after AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hit, LATERAL (SELECT unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy) x),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, count(*) OVER (PARTITION BY conv_id) AS n, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM after),
+judged AS MATERIALIZED (SELECT conv_id, turn, role, text, p, n, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  substring(role, 1, 1) AS r, lag(substring(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS before FROM placed),
+dp AS (
+  SELECT conv_id, n AS p, {'c': 0, 'a': '', 't': ''} AS s0, {'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)} AS s1, {'c': 2, 'a': 'I', 't': 'assistant:' || chr(10)} AS s2, {'c': 0, 'a': '', 't': ''} AS s3 FROM judged WHERE p = 1
+  UNION ALL
+  SELECT conv_id, p,
+    list_sort([r0, {'c': r2.c + 2, 'a': 'I' || r2.a, 't': 'user:' || chr(10) || r2.t}, {'c': r3.c + 4, 'a': 'II' || r3.a, 't': 'user:' || chr(10) || 'assistant:' || chr(10) || r3.t}])[1],
+    list_sort([r1, {'c': r2.c + 2, 'a': 'I' || r2.a, 't': 'user:' || chr(10) || r2.t}, {'c': r3.c + 4, 'a': 'II' || r3.a, 't': 'user:' || chr(10) || 'assistant:' || chr(10) || r3.t}])[1],
+    list_sort([r2, {'c': r3.c + 2, 'a': 'I' || r3.a, 't': 'assistant:' || chr(10) || r3.t}])[1],
+    list_sort([r3, {'c': r2.c + 2, 'a': 'I' || r2.a, 't': 'user:' || chr(10) || r2.t}])[1]
+  FROM (SELECT d.conv_id, d.p - 1 AS p,
+      list_sort([{'c': d.s0.c + 3, 'a': 'D' || d.s0.a, 't': d.s0.t}, {'c': d.s2.c + 2 + j.x, 'a': 'R' || d.s2.a, 't': 'user:' || j.text || chr(10) || d.s2.t},
+        {'c': CASE j.r WHEN 's' THEN d.s1.c WHEN 'u' THEN d.s2.c ELSE 900000 END + j.x, 'a': 'K' || CASE j.r WHEN 's' THEN d.s1.a ELSE d.s2.a END, 't': j.role || ':' || j.text || chr(10) || CASE j.r WHEN 's' THEN d.s1.t ELSE d.s2.t END}])[1] AS r0,
+      list_sort([{'c': d.s1.c + 3, 'a': 'D' || d.s1.a, 't': d.s1.t}, {'c': d.s2.c + 2 + j.x, 'a': 'R' || d.s2.a, 't': 'user:' || j.text || chr(10) || d.s2.t},
+        {'c': CASE j.r WHEN 'u' THEN d.s2.c ELSE 900000 END + j.x, 'a': 'K' || d.s2.a, 't': j.role || ':' || j.text || chr(10) || d.s2.t}])[1] AS r1,
+      list_sort([{'c': d.s2.c + 3, 'a': 'D' || d.s2.a, 't': d.s2.t}, {'c': d.s3.c + 2 + j.x, 'a': 'R' || d.s3.a, 't': 'assistant:' || j.text || chr(10) || d.s3.t},
+        {'c': CASE j.r WHEN 'a' THEN d.s3.c ELSE 900000 END + j.x, 'a': 'K' || d.s3.a, 't': j.role || ':' || j.text || chr(10) || d.s3.t}])[1] AS r2,
+      list_sort([{'c': d.s3.c + 3, 'a': 'D' || d.s3.a, 't': d.s3.t}, {'c': d.s2.c + 2 + j.x, 'a': 'R' || d.s2.a, 't': 'user:' || j.text || chr(10) || d.s2.t},
+        {'c': CASE j.r WHEN 'u' THEN d.s2.c ELSE 900000 END + j.x, 'a': 'K' || d.s2.a, 't': j.role || ':' || j.text || chr(10) || d.s2.t}])[1] AS r3
+    FROM dp d JOIN (SELECT *, CASE fault WHEN 'truncated' THEN 1 WHEN '' THEN 0 ELSE 500000 END AS x FROM judged) j ON j.conv_id IS NOT DISTINCT FROM d.conv_id AND j.p = d.p) y),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE p > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(f.gaps, 0) AS BIGINT) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated, coalesce(f.illegal, 0) AS illegal,
+  CAST(coalesce(d.s0.c, 0) AS BIGINT) AS cost, coalesce(d.s0.a, '') AS audit, sha256(coalesce(CASE WHEN d.s0.t = '' THEN '' ELSE left(d.s0.t, length(d.s0.t) - 1) END, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN dp d ON d.conv_id IS NOT DISTINCT FROM o.conv_id AND d.p = 0""",
 }
