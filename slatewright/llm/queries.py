@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, language, licenses, media, negatives, packing, repair, secrets, simhash, substrings, vectors
+from . import byte_bpe, chat, extraction, language, licenses, media, negatives, packing, repair, secrets, simhash, substrings, vectors
 from .common import documents
 
 
@@ -58,6 +58,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_media": op2_media,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language": op10_language,
     "op11_negatives": op11_negatives,
     "op12_repair": op12_repair,
+    "op13_extraction": op13_extraction,
 }
 
 #: Operators whose whole result SQL can express; the others are tested against brute force,
