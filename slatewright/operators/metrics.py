@@ -5,12 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FeedConfig
 from ..functions.scalars import discount, jaccard
-from . import profiles, scoring, slates
+from . import profiles, ranks, scoring, slates
 
 
 def holdouts(interactions: DataFrame, catalog: DataFrame, as_of: int) -> DataFrame:
@@ -102,10 +102,10 @@ def exposures(samples: DataFrame) -> DataFrame:
 
 def gini(counts: DataFrame, n: str = "n") -> DataFrame:
     """Gini of exposure over the exposed items; 0 without any.  Counts are grouped before
-    they are ranked: the window runs over distinct counts, not items."""
+    they are ranked, and ranks run over distinct counts in several tasks."""
     grouped = counts.groupBy(F.col(n).alias("x")).agg(F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = grouped.withColumn("weighted", F.col("x") * (F.col("c") * before + F.col("c") * (F.col("c") + 1) / 2))
+    placed = ranks.running(grouped, [], ["x"], {"before": "c"})
+    ranked = placed.withColumn("weighted", F.col("x") * (F.col("c") * F.col("before") + F.col("c") * (F.col("c") + 1) / 2))
     m, sum_ = F.sum("c"), F.sum(F.col("x") * F.col("c"))
     return ranked.agg(F.coalesce(2.0 * F.sum("weighted") / (m * sum_) - (m + 1) / m, F.lit(0.0)).alias("exposure_gini"))
 

@@ -116,17 +116,18 @@ def _picker(configs: Mapping[str, FeedConfig], keys: int):
     return run
 
 
-def build(scored: DataFrame, config: FeedConfig | Mapping[str, FeedConfig], users: DataFrame | None = None, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+def build(scored: DataFrame, config: FeedConfig | Mapping[str, FeedConfig], users: DataFrame | None = None, keys: tuple[str, ...] = ("user_id",), whole: bool = True) -> DataFrame:
     """(keys, picks, reader): picks is an array of id, total, topics, source in rank order.
     With several configs, by the column policy, which is then a key as well.  ``users`` are
     the profiles (user_id, weights) that were scored; with them weights need not go with
-    every candidate."""
+    every candidate.  Where ``scored`` are not whole candidates but contenders already
+    (candidates.contenders), they are not looked for again."""
     many = not isinstance(config, FeedConfig)
     configs = dict(config) if many else {"": config}
     keys = (*keys, "policy") if many else keys
     item = F.struct("total", "id", "topics", "source")
     needed = scored.select(*keys, "total", "id", "topics", "source", *(["weights"] if users is None else []))
-    pools = contenders(needed, configs, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("pool"), *([F.first("weights").alias("weights")] if users is None else []))
+    pools = (contenders(needed, configs, keys) if whole else needed).groupBy(*keys).agg(F.sort_array(F.collect_list(item), asc=False).alias("pool"), *([F.first("weights").alias("weights")] if users is None else []))
     if users is not None:
         pools = pools.join(users.select("user_id", "weights"), "user_id")
     pool = F.transform("pool", lambda x: F.struct(x["id"].alias("id"), x["total"].alias("total"), x["topics"].alias("topics"), x["source"].alias("source")))
@@ -135,7 +136,7 @@ def build(scored: DataFrame, config: FeedConfig | Mapping[str, FeedConfig], user
     return rows.mapInArrow(_picker(configs, len(keys)), schema)
 
 
-def feeds(scored: DataFrame, config: FeedConfig, users: DataFrame | None = None, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+def feeds(scored: DataFrame, config: FeedConfig, users: DataFrame | None = None, keys: tuple[str, ...] = ("user_id",), whole: bool = True) -> DataFrame:
     """A row for each place of each slate: keys, rank, article_id, score, topics, source."""
-    made = build(scored, config, users, keys)
+    made = build(scored, config, users, keys, whole)
     return made.select(*keys, F.posexplode("picks").alias("pos", "p")).select(*keys, (F.col("pos") + 1).alias("rank"), F.col("p.id").alias("article_id"), F.col("p.total").alias("score"), F.col("p.topics").alias("topics"), F.col("p.source").alias("source"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import COMPONENTS, FeedConfig
 from ..functions import scalars as S
-from ..operators import comparisons, impressions, logged, metrics, profiles, scoring, slates, text
+from ..operators import candidates, comparisons, impressions, logged, metrics, profiles, ranks, scoring, slates, text
+from ..tables import settle
 from . import bindings as B
 
 CONFIG = FeedConfig()
@@ -30,6 +31,11 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return scoring.score(_profiles(spark, d), B.catalog(spark, d), CONFIG, AS_OF)
 
 
+def _feeds(spark: SparkSession, d: str, config: FeedConfig) -> DataFrame:
+    users = settle(_profiles(spark, d))
+    return slates.feeds(candidates.contenders(users, B.catalog(spark, d), config, AS_OF), config, users, whole=False)
+
+
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     return metrics.leave_last_out(B.interactions(spark, d), B.catalog(spark, d), CONFIG, AS_OF)
 
@@ -109,7 +115,7 @@ def p06_available(spark, d):
     held, c = _holdouts(spark, d), B.catalog(spark, d)
     day = lambda t: F.floor(F.col(t) / 86_400_000_000).alias("day")
     daily = c.select(day("published_us"), F.lit(1).alias("one")).union(held.select(day("holdout_us"), F.lit(0))).groupBy("day").agg(F.sum("one").alias("n"))
-    before = daily.select("day", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = ranks.running(daily, [], ["day"], {"before": "n"}).select("day", "before")
     own = held.select("user_id", "holdout_us", day("holdout_us"))
     same = own.join(c.select(day("published_us"), "published_us"), "day").where("published_us <= holdout_us").groupBy("user_id").agg(F.count("*").alias("same"))
     return own.join(before, "day").join(same, "user_id", "left").select("user_id", (F.col("before") + F.coalesce("same", F.lit(0))).alias("n"))
@@ -268,13 +274,12 @@ def a10_user_totals(spark, d):
 
 
 def a12_percentiles(spark, d):
-    return B.read(spark, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(p)), 6).alias(n) for n, p in (("low", 0.025), ("mid", 0.5), ("high", 0.975))])
+    found = ranks.percentiles(B.read(spark, d, "events"), ["event_type"], "value", {"low": 0.025, "mid": 0.5, "high": 0.975})
+    return found.select("event_type", *r6("low", "mid", "high"))
 
 
 def a13_order_statistics(spark, d):
-    w = Window.partitionBy("event_type")
-    e = B.read(spark, d, "events").select("event_type", "value").withColumn("i", F.row_number().over(w.orderBy("value")) - 1).withColumn("m", F.count("*").over(w) - 1)
-    return e.groupBy("event_type").agg(F.round(F.max(F.when(F.col("i") == F.floor(F.col("m") * 0.025), F.col("value"))), 6).alias("low"), F.round(F.max(F.when(F.col("i") == F.ceil(F.col("m") * 0.975), F.col("value"))), 6).alias("high"))
+    return ranks.outward(B.read(spark, d, "events"), ["event_type"], "value").select("event_type", *r6("low", "high"))
 
 
 def a14_cohorts(spark, d):
@@ -347,15 +352,11 @@ def w02_rows_history(spark, d):
 
 
 def w03_counts_before(spark, d):
-    w = Window.partitionBy("user_id").orderBy("occurred_us").rangeBetween(Window.unboundedPreceding, -1)
-    return B.interactions(spark, d).select("event_id", F.count("*").over(w).alias("before"))
+    return profiles.counts_before(B.interactions(spark, d), {"before": F.lit(True)}).select("event_id", "before")
 
 
 def w04_prior_clicks(spark, d):
-    w = Window.partitionBy("user_id").orderBy("occurred_us").rangeBetween(Window.unboundedPreceding, -1)
-    e = B.interactions(spark, d)
-    last = F.max(F.when(F.col("kind") == "click", F.struct("occurred_us", "article_id"))).over(w)
-    return e.select("event_id", F.count_if(F.col("kind") == "click").over(w).alias("clicks"), last.alias("l")).select("event_id", "clicks", F.col("l.article_id").alias("last_click"))
+    return profiles.prior_clicks(B.interactions(spark, d), 1).select("event_id", "clicks", F.try_element_at("last", F.lit(1)).alias("last_click"))
 
 
 def w05_ranks(spark, d):
@@ -388,8 +389,8 @@ def o01_order(spark, d):
 
 def o02_top_k(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc("total"), "id")
-    s = _scored(spark, d).select("user_id", "id", F.round("total", 6).alias("total"))
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("user_id", "id", F.col("rank").cast("long").alias("rank"))
+    s = candidates.best(settle(_profiles(spark, d)), B.catalog(spark, d), CONFIG, AS_OF, 5, by_class=False, digits=6)
+    return s.select("user_id", "id", F.row_number().over(w).cast("long").alias("rank"))
 
 
 def o04_best(spark, d):
@@ -399,7 +400,7 @@ def o04_best(spark, d):
 
 def o05_vocabulary(spark, d):
     terms = _terms(spark, d)
-    return _vocabulary(spark, d, terms).select("feature", F.row_number().over(Window.orderBy("feature")).cast("long").alias("position"))
+    return ranks.numbered(_vocabulary(spark, d, terms).select("feature"), [], ["feature"]).select("feature", (F.col("place") + 1).alias("position"))
 
 
 def u01_union(spark, d):
@@ -487,11 +488,11 @@ def r02_candidates(spark, d):
 
 
 def r05_feeds_mmr(spark, d):
-    return slates.feeds(_scored(spark, d), CONFIG, _profiles(spark, d)).select("user_id", F.col("rank").cast("long").alias("rank"), "article_id", *r6("score"))
+    return _feeds(spark, d, CONFIG).select("user_id", F.col("rank").cast("long").alias("rank"), "article_id", *r6("score"))
 
 
 def r04_feeds_calibrated(spark, d):
-    return slates.feeds(_scored(spark, d), CONFIG.with_(rerank_strategy="calibrated"), _profiles(spark, d)).select("user_id", F.col("rank").cast("long").alias("rank"), "article_id", *r6("score"))
+    return _feeds(spark, d, CONFIG.with_(rerank_strategy="calibrated")).select("user_id", F.col("rank").cast("long").alias("rank"), "article_id", *r6("score"))
 
 
 def m06_leave_last_out(spark, d):
