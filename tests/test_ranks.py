@@ -127,8 +127,10 @@ def feed(spark, n_users, n_articles, seed=6):
     return settle(spark.createDataFrame(users, "user_id string, weights map<string,double>, seen array<string>, event_count long")), settle(catalog), 500 * hours
 
 
+@pytest.mark.parametrize("first", [3, 64])
 @pytest.mark.parametrize("config", [FeedConfig(), FeedConfig(exclude_seen=False, max_per_source=3), FeedConfig(minimum_score=0.55), FeedConfig(exploration_weight=1.0), FeedConfig(rerank_strategy="calibrated", size=1)])
-def test_contenders_give_the_slates_of_all_candidates(spark, config):
+def test_contenders_give_the_slates_of_all_candidates(spark, monkeypatch, config, first):
+    monkeypatch.setattr(candidates, "FIRST", first)
     users, catalog, as_of = feed(spark, 12, 700)
     want = slates.feeds(scoring.score(users, catalog, config, as_of), config, users)
     got = slates.feeds(candidates.contenders(users, catalog, config, as_of), config, users, whole=False)
@@ -136,7 +138,9 @@ def test_contenders_give_the_slates_of_all_candidates(spark, config):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
 
 
-def test_best_of_all_classes(spark):
+@pytest.mark.parametrize("first", [1, 64])
+def test_best_of_all_classes(spark, monkeypatch, first):
+    monkeypatch.setattr(candidates, "FIRST", first)
     users, catalog, as_of = feed(spark, 10, 500)
     config = FeedConfig()
     scored = [(r["user_id"], r["id"], round(r["total"], 6)) for r in scoring.score(users, catalog, config, as_of).collect()]
