@@ -7,6 +7,9 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import settle
+from . import resampling
+
 MIN_USERS = 3
 #: Users times resamples that the driver draws.
 MOST_UNITS = 8_000_000
@@ -110,3 +113,15 @@ def resampled(spark: SparkSession, totals: DataFrame, samples: int, seed: int) -
         steps = steps + F.when(F.col("u") >= acc, 1).otherwise(0)
     made = totals.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("u", u).withColumn("times", steps)
     return made.groupBy("draw").agg((F.sum(F.col("rewarded") * F.col("times")) / F.sum(F.col("weight") * F.col("times"))).alias("estimate"))
+
+
+def interval_plan(obs: DataFrame, *, confidence: float = 0.95, resamples: int = 1000, seed: int = 0) -> DataFrame:
+    """``interval`` as a plan, of one row, for any number of users: users, estimate, lower,
+    upper, reason.  Its draws are multinomial like those of interval(), from another generator."""
+    totals = settle(user_totals(obs))
+    made = resampling.sums(totals, resamples, seed).select("draw", F.when(F.col("weight") > 0, F.col("rewarded") / F.col("weight")).otherwise(0.0).alias("estimate"))
+    ends = resampling.interval(made, "estimate", confidence).agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"))
+    few = F.col("users") < MIN_USERS
+    why = F.when(F.col("users") == 0, "no logged event carried a propensity").when(few, F.concat(F.col("users").cast("string"), F.lit(f" users are fewer than the {MIN_USERS} that a clustered bootstrap needs"))).otherwise("clustered bootstrap over users")
+    one = summary(obs).select("users", "estimate").join(F.broadcast(ends))  # a row each
+    return one.select("users", "estimate", *[F.when(~few, F.col(c)).alias(c) for c in ("lower", "upper")], why.alias("reason"))

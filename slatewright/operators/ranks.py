@@ -36,6 +36,22 @@ def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dic
     return dealt.join(carried, same).select(*df.columns, *[(F.col(f"__c{n}") + F.coalesce(F.sum(f"__{n}").over(here), F.lit(0))).alias(n) for n in sums], *(totals or {}))
 
 
+def running_max(df: DataFrame, keys: list[str], order: list[str | Column], value: str, name: str) -> DataFrame:
+    """``df`` with the greatest value of the earlier rows of the row's group; null before the
+    first.  An order should be total."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.asc(o) if isinstance(o, str) else o for o in order]
+    dealt = settle(df.repartitionByRange(parts, *keys, *by).withColumn("__part", F.spark_partition_id()))
+    own = dealt.groupBy(*keys, "__part").agg(F.max(value).alias("__m"))
+    behind = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = own.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.max("__m").over(behind).alias("__c"))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    here = Window.partitionBy("__part", *keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(carried, same).select(*df.columns, F.greatest("__c", F.max(value).over(here)).alias(name))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "place") -> DataFrame:
     """``df`` with each row's place in its group, from 0."""
     return running(df, keys, order, {name: F.lit(1).cast("long")})

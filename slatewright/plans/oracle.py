@@ -166,6 +166,13 @@ def _policy_sql(configs: dict[str, FeedConfig]) -> str:
     return body
 
 
+def _policy_samples(configs: dict[str, FeedConfig]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS policy, user_id, ndcg FROM ({q('SELECT user_id, ndcg FROM samples', CATALOG, EVENTS, loo_views(c), recursive=True)}) s_{n}" for n, c in configs.items())
+
+
+ARRIVED = "arrived AS (SELECT user_id || ':' || article_id AS event_id, user_id, occurred_us, kind AS content, event_id * 7919 % 1000003 AS arrival FROM interactions)"
+DELTA_SQL = f"""SELECT b.policy, count(*) AS users, round(avg(a.ndcg - b.ndcg), 6) AS delta FROM ({_policy_samples({"full": policies(C, 10)["full"]})}) a JOIN ({_policy_samples({n: c for n, c in policies(C, 10).items() if n != "full"})}) b ON b.user_id = a.user_id GROUP BY b.policy"""
+
 ORACLE_SQL: dict[str, str] = {
     "s03_articles": q("SELECT id, list_aggregate(topics, 'string_agg', ',') AS topics, source, published_us, round(quality, 6) AS quality, round(popularity, 6) AS popularity FROM catalog", CATALOG),
     "s03_duplicate_ids": q("SELECT id, count(*) AS n FROM catalog GROUP BY id HAVING count(*) > 1", CATALOG),
@@ -187,10 +194,13 @@ ORACLE_SQL: dict[str, str] = {
     "p13_mixed": q("SELECT DISTINCT impression_id FROM mixed", IMPRESSIONS, MIXED),
     "p14_prefix": q("SELECT 'train-' || CAST(impression_id AS VARCHAR) AS id, n FROM (SELECT impression_id, occurred_us, count(*) AS n FROM impressions GROUP BY impression_id, occurred_us HAVING count(*) <= 256) x ORDER BY occurred_us, impression_id LIMIT 100", IMPRESSIONS),
     "p15_scores": q("SELECT user_id, id, " + ", ".join(f"round({c}, 6) AS {c}" for c in (*COMPONENTS, "total")) + " FROM scored", *FEED),
+    # What is joined is made once, and topics are matched in lists: nothing is inlined twice.
     "p16_reasons": q(
-        "SELECT p.user_id, p.id, concat_ws('; ', CASE WHEN m.matched IS NOT NULL THEN 'positive interests: ' || m.matched END, CASE WHEN p.freshness >= 0.75 THEN 'recently published' END, CASE WHEN p.quality >= 0.75 THEN 'high quality signal' END, 'not previously seen') AS reasons"
-        " FROM parts p LEFT JOIN (SELECT t.user_id, t.id, string_agg(t.topic, ', ' ORDER BY t.topic) AS matched FROM (SELECT user_id, id, unnest(topics) AS topic FROM pairs) t JOIN readers r ON r.user_id = t.user_id AND r.topic = t.topic AND r.weight > 0 GROUP BY t.user_id, t.id) m ON m.user_id = p.user_id AND m.id = p.id",
-        *FEED,
+        "SELECT user_id, id, concat_ws('; ', CASE WHEN len(m) > 0 THEN 'positive interests: ' || array_to_string(m, ', ') END, CASE WHEN freshness >= 0.75 THEN 'recently published' END, CASE WHEN quality >= 0.75 THEN 'high quality signal' END, 'not previously seen') AS reasons"
+        " FROM (SELECT p.*, list_sort(list_filter(p.topics, lambda t: coalesce(k.rw[list_position(k.rt, t)], CAST(0 AS DOUBLE)) > 0)) AS m"
+        f", exp(-(ln(CAST(2 AS DOUBLE)) * (({AS_OF} - p.published_us) / CAST(3600000000 AS DOUBLE)) / CAST(72 AS DOUBLE))) AS freshness FROM pairs p LEFT JOIN known k ON k.user_id = p.user_id) x",
+        *[v.replace("readers AS (", "readers AS MATERIALIZED (").replace("visible AS (", "visible AS MATERIALIZED (") for v in (CATALOG.replace("catalog AS (", "catalog AS MATERIALIZED ("), EVENTS, profile_views())],
+        score_views().split(",\ntopical AS")[0].replace("pairs AS (", "pairs AS MATERIALIZED (").replace("known AS (", "known AS MATERIALIZED (").replace("seen AS (", "seen AS MATERIALIZED ("),
     ),
     "p17_features": q("SELECT user_id, id, CAST(7 AS BIGINT) AS n, round(1 + interest + freshness + quality + novelty + popularity + exploration, 6) AS sum FROM parts", *FEED),
     "j01_events_with_topics": q("SELECT c.topics[1] AS topic, e.kind, count(*) AS n FROM interactions e JOIN catalog c ON c.id = e.article_id GROUP BY c.topics[1], e.kind", CATALOG, EVENTS),
@@ -272,6 +282,8 @@ ORACLE_SQL: dict[str, str] = {
     "m06_leave_last_out": q("SELECT user_id, holdout_id, array_to_string(ids, ',') AS ranked_ids, " + ", ".join(f"round({m}, 6) AS {m}" for m in MEANS) + " FROM samples", *LOO, recursive=True),
     "m06_macro": q(f"SELECT count(*) AS users, {AVERAGES} FROM samples", *LOO, recursive=True),
     "m09_policies": _policy_sql(policies(C, 10)),
+    "m09_delta_means": DELTA_SQL,
+    "m07_drawn": q("SELECT CAST(d AS INTEGER) AS draw, n AS drawn, n AS ones FROM range(50) r(d), (SELECT count(DISTINCT user_id) AS n FROM interactions WHERE propensity IS NOT NULL) u", EVENTS),
     "m13_frontier": _frontier_sql(policies(C, 10)),
     "m11_ablations": _policy_sql({"base": C, "freshness": ablation(C, "freshness"), "slate_diversity": ablation(C, "slate_diversity")}),
     "m17_impressions": q("SELECT count(*) AS impressions, CAST(sum(candidates) AS BIGINT) AS candidates, round(avg(auc), 6) AS auc, round(avg(mrr), 6) AS mrr, round(avg(ndcg_5), 6) AS ndcg_5, round(avg(ndcg_10), 6) AS ndcg_10 FROM per", *IMP),
@@ -281,9 +293,9 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT p.user_id, p.id, round(CASE WHEN d.dot IS NULL OR n.norm = 0 THEN CAST(0 AS DOUBLE) ELSE greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE), d.dot / n.norm)) END, 6) AS affinity FROM (SELECT DISTINCT user_id, article_id AS id FROM visible) p LEFT JOIN (SELECT q.user_id, q.id, sum(v.weight * h.weight) AS dot FROM (SELECT DISTINCT user_id, article_id AS id FROM visible) q JOIN named v ON v.id = q.id JOIN history h ON h.user_id = q.user_id AND h.feature = v.feature GROUP BY q.user_id, q.id) d ON d.user_id = p.user_id AND d.id = p.id LEFT JOIN (SELECT user_id, sqrt(sum(weight * weight)) AS norm FROM history GROUP BY user_id) n ON n.user_id = p.user_id",
         CATALOG, EVENTS, profile_views(), *TEXT, VECTORS, "named AS (SELECT 'd' || lpad(CAST(id AS VARCHAR), 12, '0') AS id, feature, weight FROM vectors)", f"history AS (SELECT e.user_id, v.feature, sum(({SIGNAL}) * e.weight * v.weight) AS weight FROM visible e JOIN named v ON v.id = e.article_id GROUP BY e.user_id, v.feature)",
     ),
-    "t02_dedup": q("SELECT event_id % 997 AS event_key, min(event_id) AS event_id FROM interactions GROUP BY event_id % 997", EVENTS),
-    "t03_conflicts": q("SELECT event_id % 997 AS event_key, count(DISTINCT user_id) AS versions FROM interactions GROUP BY event_id % 997 HAVING count(DISTINCT user_id) > 1", EVENTS),
-    "t04_late": q("SELECT e.user_id, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM interactions h WHERE h.user_id = e.user_id AND h.event_id < e.event_id AND h.occurred_us - 86400000000 > e.occurred_us)) AS late FROM interactions e GROUP BY e.user_id", EVENTS),
+    "t02_dedup": q("SELECT event_id, min(arrival) AS arrival FROM arrived GROUP BY event_id", EVENTS, ARRIVED),
+    "t03_conflicts": q("SELECT a.event_id, count(*) FILTER (WHERE a.arrival <> f.arrival AND a.content = f.content) AS duplicates, count(*) FILTER (WHERE a.content <> f.content) AS conflicts FROM arrived a JOIN (SELECT event_id, min(arrival) AS arrival, min_by(content, arrival) AS content FROM arrived GROUP BY event_id) f ON f.event_id = a.event_id GROUP BY a.event_id HAVING count(*) FILTER (WHERE a.content <> f.content) > 0", EVENTS, ARRIVED),
+    "t04_late": q("SELECT e.user_id, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM arrived h WHERE h.user_id = e.user_id AND h.arrival < e.arrival AND h.occurred_us - 259200000000 > e.occurred_us)) AS late FROM arrived e GROUP BY e.user_id", EVENTS, ARRIVED),
     "t09_profile_at": q("SELECT user_id, topic, round(weight, 6) AS weight FROM readers", CATALOG, EVENTS, profile_views(str(AS_OF + 5 * 86_400_000_000))),
     "x_hourly_windows": "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY date_trunc('hour', ts), event_type",
     "a23_row_digests": q("SELECT impression_id, article_id, sha256(CAST(impression_id AS VARCHAR) || ':' || CAST(article_id AS VARCHAR) || ':' || CAST(clicked AS VARCHAR)) AS digest FROM impressions", IMPRESSIONS),

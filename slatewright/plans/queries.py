@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import COMPONENTS, FeedConfig
 from ..functions import scalars as S
-from ..operators import candidates, comparisons, impressions, logged, metrics, profiles, ranks, scoring, slates, text
+from ..operators import candidates, comparisons, impressions, logged, metrics, profiles, ranks, resampling, scoring, slates, text
+from ..streaming import admission
 from ..tables import settle
 from . import bindings as B
 
@@ -364,9 +365,9 @@ def w05_ranks(spark, d):
 
 
 def w06_watermark(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = B.interactions(spark, d).withColumn("mark", F.max("occurred_us").over(w) - F.lit(3_600_000_000))
-    return e.select("event_id", F.coalesce("mark", F.lit(0)).alias("mark"), F.coalesce(F.col("occurred_us") < F.col("mark"), F.lit(False)).alias("late"))
+    e = B.interactions(spark, d).select("event_id", "user_id", "occurred_us")
+    made = ranks.running_max(e, ["user_id"], ["event_id"], "occurred_us", "seen").withColumn("mark", F.col("seen") - F.lit(3_600_000_000))
+    return made.select("event_id", F.coalesce("mark", F.lit(0)).alias("mark"), F.coalesce(F.col("occurred_us") < F.col("mark"), F.lit(False)).alias("late"))
 
 
 def w10_sortedness(spark, d):
@@ -546,21 +547,25 @@ def l07_affinity(spark, d):
 # ------------------------------------------------------------------ streams, as of batch
 
 
+def _arrived(spark: SparkSession, d: str) -> DataFrame:
+    """A record for each user and article that met; its content is how, and records of one
+    name with other content conflict.  They arrive out of order."""
+    e = B.interactions(spark, d)
+    return e.select(F.concat_ws(":", "user_id", "article_id").alias("event_id"), "user_id", "occurred_us", F.col("kind").alias("content"), (F.col("event_id") * 7919 % 1_000_003).alias("arrival"))
+
+
 def t02_dedup(spark, d):
-    e = B.interactions(spark, d).withColumn("event_key", F.col("event_id") % 997)
-    w = Window.partitionBy("event_key").orderBy("event_id")
-    return e.withColumn("n", F.row_number().over(w)).where("n = 1").select("event_key", "event_id")
+    return admission.once(_arrived(spark, d)).where("verdict = 'accepted'").select("event_id", "arrival")
 
 
 def t03_conflicts(spark, d):
-    e = B.interactions(spark, d).select((F.col("event_id") % 997).alias("event_key"), "user_id")
-    return e.groupBy("event_key").agg(F.count_distinct("user_id").alias("versions")).where("versions > 1")
+    made = admission.once(_arrived(spark, d)).groupBy("event_id").agg(F.count_if(F.col("verdict") == "duplicate").alias("duplicates"), F.count_if(F.col("verdict") == "conflict").alias("conflicts"))
+    return made.where("conflicts > 0")
 
 
 def t04_late(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = B.interactions(spark, d).withColumn("mark", F.max("occurred_us").over(w) - F.lit(86_400_000_000))
-    return e.groupBy("user_id").agg(F.count_if(F.expr("occurred_us < mark")).alias("late"))
+    made = admission.late(_arrived(spark, d), 3 * 86_400_000_000)
+    return made.groupBy("user_id").agg(F.count_if("late").alias("late"))
 
 
 def t09_profile_at(spark, d):
@@ -631,13 +636,31 @@ def l08_text_history(spark, d):
 
 
 def m07_interval(spark, d):
-    r = logged.interval(spark, logged.observations(B.interactions(spark, d)), resamples=200)
-    return spark.createDataFrame([(r["users"], r["estimate"], r["lower"], r["upper"], r["reason"])], "users long, estimate double, lower double, upper double, reason string")
+    return logged.interval_plan(logged.observations(B.interactions(spark, d)), resamples=200)
+
+
+def m07_drawn(spark, d):
+    """Every draw takes as many users as there are; SQL can say how many that are."""
+    totals = logged.user_totals(logged.observations(B.interactions(spark, d)))
+    made = resampling.sums(totals.select("user_id", F.lit(1.0).alias("ones")), 50, 7)
+    return made.select("draw", "drawn", F.col("ones").cast("long").alias("ones"))
 
 
 def m10_resampled(spark, d):
-    made = logged.resampled(spark, logged.user_totals(logged.observations(B.interactions(spark, d))), 50, 7)
-    return made.select("draw", *r6("estimate"))
+    samples = _samples(spark, d).withColumn("policy", F.lit("full"))
+    return comparisons.redrawn(samples, B.catalog(spark, d), draws=50, seed=7).select("policy", "draw", *r6(*metrics.MEANS, "catalog_coverage", "exposure_gini"))
+
+
+def m09_deltas(spark, d):
+    """What the full policy gains over each baseline; the same users in each draw."""
+    samples = comparisons.benchmark(B.interactions(spark, d), B.catalog(spark, d), CONFIG, AS_OF, 10)
+    return comparisons.delta_intervals(samples, "full", "ndcg", draws=200).select("policy", "users", *r6("delta", "lower", "upper"))
+
+
+def m09_delta_means(spark, d):
+    samples = comparisons.benchmark(B.interactions(spark, d), B.catalog(spark, d), CONFIG, AS_OF, 10)
+    made = comparisons.paired_deltas(samples, "full", "ndcg")
+    return made.groupBy("policy").agg(F.count("*").alias("users"), F.round(F.avg("delta"), 6).alias("delta"))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and not n.startswith("_") and n[0] in "spjawoufrmltx" and "_" in n and getattr(f, "__module__", "") == __name__}

@@ -38,6 +38,16 @@ def parsed(lines: DataFrame) -> DataFrame:
     return lines.select("value").mapInPandas(run, records.SCHEMA)
 
 
+#: Names of a batch that are sent to every task; more are shuffled.
+FEW = 1_000_000
+
+
+def _named(known: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The part of the log whose key occurs in a batch."""
+    names = rows.select(key).distinct()
+    return known.join(F.broadcast(names) if rows.count() <= FEW else names, key, "left_semi")
+
+
 class EventLog:
     """batches under ``path``: log/batch=N/*.parquet and manifest/N.json."""
 
@@ -98,17 +108,18 @@ class EventLog:
             raise StreamError("another writer committed this batch")
 
     def _plan(self, rows: DataFrame, known: DataFrame, catalog: DataFrame | None) -> tuple[dict[str, int], DataFrame]:
-        both = rows.select("event_id", "sha256").union(known.select("event_id", "sha256"))
-        clash = both.groupBy("event_id").agg(F.count_distinct("sha256").alias("n")).where("n > 1").orderBy("event_id").take(1)
+        # Of the log only what the batch names is looked at: it is read, not shuffled.
+        twins = _named(known.select("event_id", "sha256"), rows, "event_id")
+        clash = rows.select("event_id", "sha256").union(twins).groupBy("event_id").agg(F.count_distinct("sha256").alias("n")).where("n > 1").orderBy("event_id").take(1)
         if clash:
             raise StreamError(f"event {clash[0]['event_id']} is there with other content")
         first = Window.partitionBy("event_id").orderBy("arrival")
-        fresh = rows.join(known.select("event_id"), "event_id", "left_anti").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+        fresh = rows.join(twins.select("event_id"), "event_id", "left_anti").withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
         if catalog is not None:
             lost = fresh.join(catalog.select(F.col("id").alias("item_id")), "item_id", "left_anti").orderBy("item_id").take(1)
             if lost:
                 raise StreamError(f"unknown item {lost[0]['item_id']}")
-        before = known.groupBy("user_id").agg(F.max("occurred_us").alias("seen"))
+        before = _named(known.select("user_id", "occurred_us"), rows, "user_id").groupBy("user_id").agg(F.max("occurred_us").alias("seen"))
         upto = Window.partitionBy("user_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
         marked = fresh.join(before, "user_id", "left").withColumn("mark", F.greatest("seen", F.max("occurred_us").over(upto)) - self.lateness_us)
         late = marked.where("occurred_us < mark")
