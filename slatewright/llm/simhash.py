@@ -32,10 +32,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, components, free, mark, need, pick_rows, release, split_join, table, utf8
+from .common import FEW, arrow_map, components, free, is_empty, mark, need, pick_rows, release, split_join, table, utf8
 
 BITS, DISTANCE = 64, 3
 #: Words of a shingle of the contract's query; near-duplicate operators elsewhere take 5.
@@ -43,8 +43,8 @@ WORDS = 3
 SEED = 42
 #: Members of a bucket that one task joins; a larger bucket is split.
 BUCKET = 4096
-#: Similarity of near copies; index rows of a bucket up to which all its pairs are compared.
-SIMILAR, EVERY = 0.8, 64
+#: Similarity of near copies; pairs of two groups that are measured before all others are.
+SIMILAR, CLOSEST = 0.8, 4
 #: Keys of a set of shingles, and smallest hashes that a key stands for.
 KEYS, HASHES = 16, 4
 
@@ -72,10 +72,10 @@ def fingerprints(texts: list[bytes], words: int = WORDS) -> np.ndarray:
     return majority([hashes(t, words) for t in texts])
 
 
-def majority(each: list[list[int]]) -> np.ndarray:
+def majority(each: list) -> np.ndarray:
     """Unsigned fingerprints of lists of hashes."""
     counts = np.array([len(x) for x in each], np.int64)
-    flat = np.fromiter((x for one in each for x in one), np.uint64, int(counts.sum()))
+    flat = np.concatenate([np.asarray(x, np.uint64) for x in each]) if len(each) else np.zeros(0, np.uint64)
     ones = np.zeros((len(each), BITS), np.int64)
     doc = np.repeat(np.arange(len(each)), counts)
     lanes = flat.view(np.uint8).reshape(-1, 8)
@@ -353,8 +353,10 @@ def links(spark: SparkSession, nodes: DataFrame, *, distance: int = DISTANCE, ch
     hot = table(spark, hot, "hot")
     zero, one = F.lit(0), F.lit(1)
     cols = ["node", "fp", "check"]
-    if hot.take(1):
-        lone = lambda df: df.join(hot, ["g", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    if many := hot.count():
+        # One of a bucket's worth of rows at most, so few; sent to the rows, whose keys are hot.
+        named = F.broadcast(hot) if many <= FEW else hot
+        lone = lambda df: df.join(named, ["g", "key"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         dealt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
         every_salt = F.sequence(zero, F.col("salts") - 1)
         # Tile i * salts + p: index rows of part i, lookups of part p.
@@ -389,33 +391,103 @@ def components_of(spark: SparkSession, df: DataFrame, *, words: int = WORDS, buc
     return split_join(prints, groups(spark, prints, bucket=bucket), ["fp"], "copies").select("doc_id", hexed, "component_id")
 
 
-def similar(spark: SparkSession, edges: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Of ``edges(a, b, apart)`` as many as connect what all do whose ``texts(row, text)``
-    have a Jaccard similarity of at least ``least`` on the sets of their shingles.
+def across(spark: SparkSession, nodes: DataFrame, keys: DataFrame, within: int, bucket: int = BUCKET) -> DataFrame | None:
+    """All pairs (a, b, apart, x, y) of ``nodes(node, check, root)`` with different roots, x and
+    y, that share one of ``keys(key, node)`` and differ in at most ``within`` bits; None if no
+    key has two roots.  Keys whose rows have one root, which groups of copies have once they
+    are connected, are left out before any pair is made.  A large bucket is a grid of tiles."""
+    rows = keys.join(nodes, "node")
+    open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    open_ = table(spark, open_.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("salts"), "n"), "open-keys")
+    if is_empty(open_):
+        return None
+    met = split_join(rows, open_, ["key"], "n").withColumn("part", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    side = lambda k, first, last, tile: met.select("key", F.explode(F.transform(F.sequence(first, last), tile)).alias("tile"), F.lit(k).alias("side"), "node", "check", "root")
+    # Tile i * salts + p: held rows of part i, rows of part p from i on stream by.
+    held = side(0, F.col("part"), F.col("salts") - 1, lambda p: F.col("part") * F.col("salts") + p)
+    by = side(1, F.lit(0), F.col("part"), lambda i: i * F.col("salts") + F.col("part"))
 
-    Each row's closest edge is measured first; of the others only those between rows that
-    these do not connect."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts_, index = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+            bounds = np.concatenate([[0], np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1)) + 1, [len(block)]])
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                key, rows_ = tuple(block[i, :2].tolist()), block[i:j, 3:]
+                if key != now:
+                    now, parts_, index = key, [], None
+                if block[i, 2] == 0:
+                    parts_.append(rows_)
+                    continue
+                if index is None:
+                    index = np.concatenate(parts_) if parts_ else rows_[:0]
+                check = index[:, 1].copy().view(np.uint64)
+                step = max(1, (1 << 20) // max(1, len(index)))
+                for at in range(0, len(rows_), step):
+                    part = rows_[at : at + step]
+                    apart = np.bitwise_count(part[:, 1].copy().view(np.uint64)[:, None] ^ check)
+                    r, c = np.nonzero((apart <= within) & (part[:, 2][:, None] != index[:, 2]))
+                    # In a tile of one part each pair is met from both ends.
+                    a, b = part[r], index[c]
+                    swap = a[:, 0] < b[:, 0]
+                    a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+                    for s in range(0, len(r), 1 << 16):
+                        e = slice(s, s + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([pa.array(a[e, 0]), pa.array(b[e, 0]), pa.array(apart[r[e], c[e]].astype(np.int32)), pa.array(a[e, 2]), pa.array(b[e, 2])], names=["a", "b", "apart", "x", "y"])
+
+    dealt = held.unionByName(by).repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "node")
+    return dealt.mapInArrow(run, "a long, b long, apart int, x long, y long").dropDuplicates(["a", "b"])
+
+
+def similar(spark: SparkSession, edges: DataFrame, nodes: DataFrame, keys: DataFrame, texts: DataFrame, words: int, least: float, within: int) -> DataFrame:
+    """Edges that connect what all pairs do whose ``texts(row, text)`` have a Jaccard similarity
+    of at least ``least`` on the sets of their shingles; pairs are those of ``edges(a, b, apart)``
+    and all that share one of ``keys(key, node)`` within ``within`` bits.
+
+    Each row's closest edge is measured first, which connects most groups.  Then pairs
+    between groups are: of each two groups the CLOSEST, and of groups that are still apart
+    all.  So no pair is left out but those within a group."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(np.array(hashes(t, words), np.uint64)).view(np.int64) for t in utf8(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "set"])
 
-    edges = table(spark, edges.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("apart").alias("apart")), "candidates")
-    some = table(spark, edges.select(F.col("a").alias("row")).union(edges.select("b")).distinct(), "measured-rows")
-    sets = table(spark, arrow_map(pick_rows(texts, some, "row", "left_semi").select("row", "text"), work, "row long, set array<long>"), "sets")
+    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
+        some = table(spark, pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "measured-rows")
+        return table(spark, arrow_map(pick_rows(texts, some, "row", "left_semi").select("row", "text"), work, "row long, set array<long>"), name)
 
-    def measured(pairs: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
         shared = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
         return shared.where(F.col("shared") >= F.lit(least) * (F.col("m") + F.col("n") - F.col("shared")) - 1e-9).select("a", "b")
 
+    def rooted(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Pairs with the roots x and y of their ends, of those with different ones."""
+        for end, name in (("a", "x"), ("b", "y")):
+            pairs = pairs.drop(name).join(roots.select(F.col("node").alias(end), F.col("root").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+        return pairs.where("x <> y").select("a", "b", "apart", "x", "y")
+
+    edges = table(spark, edges.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("apart").alias("apart")), "candidates")
+    sets = sets_of(edges, "sets")
     closest = edges.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    first = table(spark, measured(closest), "measured")
-    roots = components(spark, first)
-    rest = edges.join(closest, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    return first.union(measured(rest.where("root_a <> root_b").select("a", "b")))
+    found = table(spark, measured(closest, sets), "measured")
+    roots = table(spark, components(spark, found), "roots")
+    own = nodes.select("node", "check").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = rooted(roots, edges.join(closest, ["a", "b"], "left_anti"))
+    met = across(spark, own, keys, within)
+    if met is not None:
+        rest = rest.unionByName(met.join(closest, ["a", "b"], "left_anti").select(*rest.columns)).dropDuplicates(["a", "b"])
+    rest = table(spark, rest, "between")
+    if is_empty(rest):
+        return found
+    sets = sets_of(rest, "more-sets")
+    order = Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy("apart", "a", "b")
+    tried = table(spark, rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CLOSEST).drop("r"), "tried")
+    found = table(spark, found.union(measured(tried.select("a", "b"), sets)), "measured")
+    left = table(spark, rooted(components(spark, found), rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "left")
+    return found if is_empty(left) else found.union(measured(left.select("a", "b"), sets))
 
 
 def shared_keys(sets: list[np.ndarray], keys: int = KEYS, of: int = HASHES) -> np.ndarray:
@@ -441,22 +513,23 @@ def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int =
     Near copies have a Jaccard similarity of ``least`` or more on the sets of their shingles
     of ``words`` words, which is measured exactly for every candidate.  Candidates meet in
     a bucket of the pigeonhole search at ``distance`` bits, or share one of KEYS keys
-    (``shared_keys``), which are further buckets of the same search.  Of these, pairs within
-    ``within`` bits by both fingerprints (of WORDS and of ``words`` words) are measured: a
-    similarity of 0.8 is an angle of about 27 degrees and moves 10 of 64 bits on average,
-    with a deviation of 3.  A bucket of over EVERY rows gives the closest pairs that connect
-    it, at each of several levels, not all.
-    Rows with equal sets of shingles are one group whatever their doc_id: null and empty
-    texts are one, repeated rows are one.  An empty table stays empty; columns of any name
-    are kept; texts are read whole."""
+    (``shared_keys``).  Fingerprints are those of the sets, so repeats inside a text move no
+    bit, and pairs that share a key are measured within ``within`` bits: a similarity of 0.8
+    is an angle of about 27 degrees and moves 10 of 64 bits on average, with a deviation of 3,
+    so ``within`` lies five deviations above.  The search gives the closest pairs that connect
+    its buckets; what these leave apart is measured pair by pair (``similar``), whatever the
+    size of a bucket.
+    Rows with equal sets of shingles are one group whatever their doc_id and however often
+    a shingle occurs: null and empty texts are one, repeated rows are one; of tied doc_ids the
+    first row stays.  An empty table stays empty; columns of any name are kept; texts are read
+    whole."""
     names = df.columns
     row = free(df, "row")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch.column(2))
-        long = [hashes(t, words) for t in texts]
-        made = [pa.array(x.view(np.int64)) for x in (fingerprints(texts, WORDS), majority(long))]
-        sets = [np.unique(np.array(x, np.uint64)) for x in long]
+        short, sets = ([np.unique(np.array(hashes(t, w), np.uint64)) for t in texts] for w in (WORDS, words))
+        made = [pa.array(majority(x).view(np.int64)) for x in (short, sets)]
         same = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64)
         some = [i for i, x in enumerate(sets) if len(x)]
         keys = shared_keys([sets[i] for i in some]).view(np.int64) if some else np.zeros((0, KEYS), np.int64)
@@ -468,13 +541,13 @@ def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int =
     tagged = table(spark, df.withColumn(row, F.monotonically_increasing_id()), "rows")
     texts = tagged.select(F.col(row).alias("row"), "text")
     prints = table(spark, arrow_map(tagged.select(F.col(row).alias("row"), "doc_id", "text"), work, f"row long, doc_id {df.schema['doc_id'].dataType.simpleString()}, fp long, check long, same long, keys array<long>"), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    nodes = prints.groupBy("fp", "check", "same").agg(first, F.first("keys").alias("keys")).withColumn("node", F.col("first.row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "fp", "check")).alias("first")
+    nodes = prints.groupBy("same").agg(first, F.first("keys").alias("keys")).select("first", "keys", "first.fp", "first.check", F.col("first.row").alias("node"))
     nodes = table(spark, nodes, "fingerprints")
     shared = nodes.select(F.lit(-1).alias("g"), F.explode("keys").alias("key"), "node", "fp", "check")
     since = mark()
-    found = links(spark, nodes, distance=distance, check_distance=within, step=4, every=EVERY, more=shared, within=within)
-    found = table(spark, components(spark, similar(spark, found, texts, words, least)), "near-groups")
+    found = links(spark, nodes, distance=distance, check_distance=within, step=4, more=shared, within=within)
+    found = table(spark, components(spark, similar(spark, found, nodes, shared.select("key", "node"), texts, words, least, within)), "near-groups")
     release(spark, since, found)
     best = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     # The rows that go are fewer than those that stay.
