@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of a shard (mean), islands of a shard, rounds with migration after each,
 #: individuals of an island, and children per round at least and at most.
-SHARD, ISLANDS, ROUNDS, POPULATION, LEAST, CHILDREN = 4096, 2, 2, 5, 3, 60
+SHARD, ISLANDS, ROUNDS, POPULATION, LEAST, CHILDREN = 4096, 3, 3, 6, 4, 60
 #: Of the bins of a shard one in this many, the emptiest, is packed again with others.
 AGAIN = 8
 
@@ -76,43 +77,44 @@ def pieces(df: DataFrame, *, path: str | None = None, end_id: int = END_ID, capa
     return arrow_map(need(df, "doc_id", "text"), work, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-class Bins:
-    """Bins by free room, with a bit set of the rooms that occur: the tightest bin for a
-    piece is found by one shift."""
-
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-        self.by_room: list[list[list[int]]] = [[] for _ in range(capacity + 1)]
-        self.rooms = 0
-
-    def add(self, items: list[int], room: int) -> None:
-        self.by_room[room].append(items)
-        self.rooms |= 1 << room
-
-    def fit(self, item: int, length: int) -> None:
-        high = self.rooms >> length
-        if not high:
-            self.add([item], self.capacity - length)
-            return
-        room = length + (high & -high).bit_length() - 1
-        bins = self.by_room[room]
-        items = bins.pop()
-        if not bins:
-            self.rooms ^= 1 << room
-        items.append(item)
-        self.add(items, room - length)
-
-    def all(self) -> list[list[int]]:
-        return [items for bins in self.by_room for items in bins]
+@lru_cache(maxsize=4)
+def _powers(capacity: int) -> list[int]:
+    return [1 << k for k in range(capacity + 1)]
 
 
 def best_fit(order: list[int], lengths: list[int], capacity: int, start: list[list[int]] = ()) -> list[list[int]]:
-    bins = Bins(capacity)
+    """Each piece into the tightest bin that takes it, after the bins there are.  Bins are
+    kept by free room, with a bit set of the rooms that occur: the tightest is found by one
+    shift."""
+    by_room: dict[int, list[list[int]]] = {}
+    rooms, power = 0, _powers(capacity)
     for items in start:
-        bins.add(list(items), capacity - sum([lengths[i] for i in items]))
+        room = capacity - sum([lengths[i] for i in items])
+        by_room.setdefault(room, []).append(list(items))
+        rooms |= power[room]
     for i in order:
-        bins.fit(i, lengths[i])
-    return bins.all()
+        length = lengths[i]
+        high = rooms >> length
+        if high:
+            room = length + (high & -high).bit_length() - 1
+            bins = by_room[room]
+            items = bins.pop()
+            if not bins:
+                rooms ^= power[room]
+            items.append(i)
+            room -= length
+        else:
+            items, room = [i], capacity - length
+        bins = by_room.get(room)
+        if bins:
+            bins.append(items)
+        else:
+            if bins is None:
+                by_room[room] = [items]
+            else:
+                bins.append(items)
+            rooms |= power[room]
+    return [items for room in sorted(by_room) for items in by_room[room]]
 
 
 def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
