@@ -91,9 +91,28 @@ def normalize_topics(topics: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(topics, lambda t: casefold(strip(t))), lambda t: t != ""))
 
 
+@lru_cache(maxsize=1)
+def _runs() -> str:
+    """Letters, digits, and what is neither but folds to one."""
+    odd = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if not c.isalnum() and c.casefold() != c and any(x.isalpha() for x in c.casefold()))
+    return rf"[\p{{L}}\p{{N}}{re.escape(odd)}]+"
+
+
+def runs(text: Column) -> Column:
+    """Runs that tokens are made of, as they stand: what lies between does not fold to a
+    letter or digit, so each can be folded by itself."""
+    return F.regexp_extract_all(text, F.lit(_runs()), F.lit(0))
+
+
+def folded(run: Column) -> Column:
+    """Tokens of one run: itself, unless folding makes a mark of a letter's part."""
+    return F.when(~run.rlike(r"[^\x00-\x7F]"), F.array(F.lower(run))).otherwise(F.regexp_extract_all(casefold(run), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, case-folded."""
-    return F.regexp_extract_all(casefold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, case-folded.  Runs are folded, not texts: few need more
+    than lower case."""
+    return F.flatten(F.transform(runs(text), folded))
 
 
 def term_weight(count: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import inverse_frequency, term_weight, tokens
+from ..functions.scalars import folded, inverse_frequency, runs, term_weight
 
 
 def counts(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    return docs.select(F.col(id_).alias("id"), F.explode(tokens(F.col(text))).alias("feature")).groupBy("id", "feature").agg(F.count("*").alias("n"))
+    """(id, feature, n).  Runs are counted as they stand, and only then folded."""
+    raw = docs.select(F.col(id_).alias("id"), F.explode(runs(F.col(text))).alias("run")).groupBy("id", "run").agg(F.count("*").alias("n"))
+    return raw.withColumn("feature", F.explode(folded(F.col("run")))).groupBy("id", "feature").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(terms: DataFrame, n_docs: DataFrame, size: int, min_df: int = 1) -> DataFrame:

@@ -46,7 +46,8 @@ def _holdouts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
-    return text.counts(B.read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    """Read by the vocabulary and by vectors, so counted once."""
+    return settle(text.counts(B.read(spark, d, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def _vocabulary(spark: SparkSession, d: str, terms: DataFrame) -> DataFrame:
@@ -526,6 +527,15 @@ def m14_per_impression(spark, d):
     return impressions.metrics(impressions.mixed(B.impressions(spark, d))).select("impression_id", *r6("auc", "mrr", "ndcg_5", "ndcg_10"))
 
 
+def l01_fit(spark, d):
+    """Coefficients of the click model over all events, by full-batch Newton steps."""
+    from ..operators import newton, rankers
+
+    model = newton.fit(rankers.point_features(B.interactions(spark, d), B.catalog(spark, d), CONFIG, AS_OF), "pointwise")
+    rows = [(n, round(x, 6), model.examples) for n, x in zip(rankers.FEATURES, model.weights, strict=True)]
+    return spark.createDataFrame(rows, "feature string, weight double, examples long")
+
+
 def l02_predict(spark, d):
     """Click probabilities under declared coefficients, top five of each user."""
     coef = F.array(*[F.lit(x) for x in (-1.0, 1.2, 0.3, 0.8, 0.1, 0.6, 0.0)])
