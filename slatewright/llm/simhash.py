@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import FEW, arrow_map, components, free, is_empty, mark, need, pick_rows, release, split_join, table, utf8
@@ -43,8 +43,8 @@ WORDS = 3
 SEED = 42
 #: Members of a bucket that one task joins; a larger bucket is split.
 BUCKET = 4096
-#: Similarity of near copies; pairs of two groups that are measured before all others are.
-SIMILAR, CLOSEST = 0.8, 4
+#: Similarity of near copies; bytes of sets that a task holds to compare others with.
+SIMILAR, HELD_BYTES = 0.8, 16 << 20
 #: Keys of a set of shingles, and smallest hashes that a key stands for.
 KEYS, HASHES = 16, 4
 
@@ -391,103 +391,136 @@ def components_of(spark: SparkSession, df: DataFrame, *, words: int = WORDS, buc
     return split_join(prints, groups(spark, prints, bucket=bucket), ["fp"], "copies").select("doc_id", hexed, "component_id")
 
 
-def across(spark: SparkSession, nodes: DataFrame, keys: DataFrame, within: int, bucket: int = BUCKET) -> DataFrame | None:
-    """All pairs (a, b, apart, x, y) of ``nodes(node, check, root)`` with different roots, x and
-    y, that share one of ``keys(key, node)`` and differ in at most ``within`` bits; None if no
-    key has two roots.  Keys whose rows have one root, which groups of copies have once they
-    are connected, are left out before any pair is made.  A large bucket is a grid of tiles."""
-    rows = keys.join(nodes, "node")
-    open_ = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    open_ = table(spark, open_.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("salts"), "n"), "open-keys")
-    if is_empty(open_):
-        return None
-    met = split_join(rows, open_, ["key"], "n").withColumn("part", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    side = lambda k, first, last, tile: met.select("key", F.explode(F.transform(F.sequence(first, last), tile)).alias("tile"), F.lit(k).alias("side"), "node", "check", "root")
+class Held:
+    """Sets of hashes that others are compared with: rows of (node, root, set).  Labels are
+    roots until a link joins two."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        self.node = np.array([r[0] for r in rows], np.int64)
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        self.words, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(self.words), np.int32)
+        self.number: dict[int, int] = {}
+        self.root = np.array([self.number.setdefault(r[1], len(self.number)) for r in rows], np.int64)
+        self.label = list(range(len(self.number)))
+
+    def links(self, node: int, root: int, held: bytes, least: float) -> list[tuple[int, int]]:
+        """One link to each group that this row is not in yet; it then is."""
+        if root not in self.number:
+            self.number[root] = len(self.label)
+            self.label.append(len(self.label))
+        label = np.array(self.label, np.int64)
+        mine, own = label[self.number[root]], label[self.root]
+        others = np.flatnonzero(own != mine)
+        if not len(others):
+            return []
+        x = np.frombuffer(held, np.uint64)
+        places = np.minimum(np.searchsorted(self.words, x), len(self.words) - 1)
+        places = places[self.words[places] == x]
+        self.mark[places] = 1
+        if 8 * len(others) < len(own):
+            shared = np.array([self.mark[self.at[self.start[r] : self.start[r + 1]]].sum() for r in others.tolist()], np.int64)
+        else:
+            shared = np.add.reduceat(self.mark[self.at], self.start[:-1])[others]
+        self.mark[places] = 0
+        close = shared >= least * (self.size[others] + len(x) - shared) - 1e-9
+        if not close.any():
+            return []
+        hit = others[close]
+        found, first = np.unique(own[hit], return_index=True)
+        gone = set(found.tolist())
+        self.label = [int(mine) if v in gone else v for v in self.label]
+        return [(node, int(self.node[k])) for k in hit[first].tolist()]
+
+
+def across(spark: SparkSession, rows: DataFrame, least: float, *, bucket: int = BUCKET, held_bytes: int = HELD_BYTES) -> DataFrame:
+    """rows(key, node, root, set), sets as binary -> links (a, b) of a similarity of ``least`` or
+    more between rows of one key and different roots, as many as connect what all such links
+    do.  Every row is compared with every one of its key that it is not connected with, inside
+    a task, which leaves links and never pairs.  A key of many rows, or of much text, is a grid
+    of tiles, each of a bounded part of its rows by another."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("set")).alias("bytes"))
+    salts = F.greatest(F.ceil(F.col("n") / bucket), F.ceil(F.col("bytes") / held_bytes)).cast("int").alias("salts")
+    met = split_join(rows, table(spark, sizes.select("key", salts, "n"), "bucket-sizes"), ["key"], "n").withColumn("part", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    side = lambda k, first, last, tile: met.select("key", F.explode(F.transform(F.sequence(first, last), tile)).alias("tile"), F.lit(k).alias("side"), "node", "root", "set")
     # Tile i * salts + p: held rows of part i, rows of part p from i on stream by.
     held = side(0, F.col("part"), F.col("salts") - 1, lambda p: F.col("part") * F.col("salts") + p)
     by = side(1, F.lit(0), F.col("part"), lambda i: i * F.col("salts") + F.col("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts_, index = None, [], None
+        now, waiting, known = None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
-            bounds = np.concatenate([[0], np.flatnonzero((block[1:, :3] != block[:-1, :3]).any(axis=1)) + 1, [len(block)]])
-            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                key, rows_ = tuple(block[i, :2].tolist()), block[i:j, 3:]
-                if key != now:
-                    now, parts_, index = key, [], None
-                if block[i, 2] == 0:
-                    parts_.append(rows_)
-                    continue
-                if index is None:
-                    index = np.concatenate(parts_) if parts_ else rows_[:0]
-                check = index[:, 1].copy().view(np.uint64)
-                step = max(1, (1 << 20) // max(1, len(index)))
-                for at in range(0, len(rows_), step):
-                    part = rows_[at : at + step]
-                    apart = np.bitwise_count(part[:, 1].copy().view(np.uint64)[:, None] ^ check)
-                    r, c = np.nonzero((apart <= within) & (part[:, 2][:, None] != index[:, 2]))
-                    # In a tile of one part each pair is met from both ends.
-                    a, b = part[r], index[c]
-                    swap = a[:, 0] < b[:, 0]
-                    a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-                    for s in range(0, len(r), 1 << 16):
-                        e = slice(s, s + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([pa.array(a[e, 0]), pa.array(b[e, 0]), pa.array(apart[r[e], c[e]].astype(np.int32)), pa.array(a[e, 2]), pa.array(b[e, 2])], names=["a", "b", "apart", "x", "y"])
+            out: list[tuple[int, int]] = []
+            for key, tile, side_, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, tile) != now:
+                    now, waiting, known = (key, tile), [], None
+                if side_ == 0:
+                    waiting.append(row)
+                elif waiting or known is not None:
+                    if known is None:
+                        known, waiting = Held(waiting), []
+                    out += known.links(*row, least)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     dealt = held.unionByName(by).repartition("key", "tile").sortWithinPartitions("key", "tile", "side", "node")
-    return dealt.mapInArrow(run, "a long, b long, apart int, x long, y long").dropDuplicates(["a", "b"])
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar(spark: SparkSession, edges: DataFrame, nodes: DataFrame, keys: DataFrame, texts: DataFrame, words: int, least: float, within: int) -> DataFrame:
+def similar(spark: SparkSession, edges: DataFrame, keys: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """Edges that connect what all pairs do whose ``texts(row, text)`` have a Jaccard similarity
     of at least ``least`` on the sets of their shingles; pairs are those of ``edges(a, b, apart)``
-    and all that share one of ``keys(key, node)`` within ``within`` bits.
+    and all that share one of ``keys(key, node)``.
 
-    Each row's closest edge is measured first, which connects most groups.  Then pairs
-    between groups are: of each two groups the CLOSEST, and of groups that are still apart
-    all.  So no pair is left out but those within a group."""
+    Each row's closest edge is measured first, which connects most groups, and then edges
+    between groups.  Keys whose rows are in one group by then are done with; the rows of the
+    others are compared, whatever number they are (``across``)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(np.array(hashes(t, words), np.uint64)).view(np.int64) for t in utf8(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row", "set"])
+        sets = [np.unique(np.array(hashes(t, words), np.uint64)).tobytes() for t in utf8(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["row", "set"])
 
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        some = table(spark, pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "measured-rows")
-        return table(spark, arrow_map(pick_rows(texts, some, "row", "left_semi").select("row", "text"), work, "row long, set array<long>"), name)
+    def sets_of(some: DataFrame, name: str) -> DataFrame:
+        some = table(spark, some.select(F.col("row").cast("long")).distinct(), "measured-rows")
+        return table(spark, arrow_map(pick_rows(texts, some, "row", "left_semi").select("row", "text"), work, "row long, set binary"), name)
 
-    def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= least * (len(x) + len(y) - shared) - 1e-9:
+                    keep.append(k)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    def measured(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
-        shared = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("shared"))
-        return shared.where(F.col("shared") >= F.lit(least) * (F.col("m") + F.col("n") - F.col("shared")) - 1e-9).select("a", "b")
+        return both.select("a", "b", "x", "y").mapInArrow(count, "a long, b long")
 
-    def rooted(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Pairs with the roots x and y of their ends, of those with different ones."""
-        for end, name in (("a", "x"), ("b", "y")):
-            pairs = pairs.drop(name).join(roots.select(F.col("node").alias(end), F.col("root").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
-        return pairs.where("x <> y").select("a", "b", "apart", "x", "y")
+    def rooted(pairs: DataFrame, *ends: str) -> DataFrame:
+        for end in ends:
+            pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        return pairs
 
     edges = table(spark, edges.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("apart").alias("apart")), "candidates")
-    sets = sets_of(edges, "sets")
+    sets = sets_of(edges.select(F.col("a").alias("row")).union(edges.select("b")), "sets")
     closest = edges.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    found = table(spark, measured(closest, sets), "measured")
+    found = table(spark, measured(closest), "measured")
     roots = table(spark, components(spark, found), "roots")
-    own = nodes.select("node", "check").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = rooted(roots, edges.join(closest, ["a", "b"], "left_anti"))
-    met = across(spark, own, keys, within)
-    if met is not None:
-        rest = rest.unionByName(met.join(closest, ["a", "b"], "left_anti").select(*rest.columns)).dropDuplicates(["a", "b"])
-    rest = table(spark, rest, "between")
-    if is_empty(rest):
+    between = rooted(edges.join(closest, ["a", "b"], "left_anti"), "a", "b").where("root_a <> root_b").select("a", "b")
+    found = table(spark, found.union(measured(between)), "measured")
+    roots = table(spark, components(spark, found), "roots")
+    own = rooted(keys, "node").withColumnRenamed("root_node", "root")
+    open_ = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    open_ = table(spark, open_.select("key", "n"), "open-keys")
+    if is_empty(open_):
         return found
-    sets = sets_of(rest, "more-sets")
-    order = Window.partitionBy(F.least("x", "y"), F.greatest("x", "y")).orderBy("apart", "a", "b")
-    tried = table(spark, rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CLOSEST).drop("r"), "tried")
-    found = table(spark, found.union(measured(tried.select("a", "b"), sets)), "measured")
-    left = table(spark, rooted(components(spark, found), rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")), "left")
-    return found if is_empty(left) else found.union(measured(left.select("a", "b"), sets))
+    apart = table(spark, split_join(own, open_, ["key"], "n"), "apart")
+    rows = apart.join(sets_of(apart.select(F.col("node").alias("row")), "more-sets").withColumnRenamed("row", "node"), "node")
+    return found.union(across(spark, rows, least))
 
 
 def shared_keys(sets: list[np.ndarray], keys: int = KEYS, of: int = HASHES) -> np.ndarray:
@@ -514,11 +547,9 @@ def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int =
     of ``words`` words, which is measured exactly for every candidate.  Candidates meet in
     a bucket of the pigeonhole search at ``distance`` bits, or share one of KEYS keys
     (``shared_keys``).  Fingerprints are those of the sets, so repeats inside a text move no
-    bit, and pairs that share a key are measured within ``within`` bits: a similarity of 0.8
-    is an angle of about 27 degrees and moves 10 of 64 bits on average, with a deviation of 3,
-    so ``within`` lies five deviations above.  The search gives the closest pairs that connect
-    its buckets; what these leave apart is measured pair by pair (``similar``), whatever the
-    size of a bucket.
+    bit.  The search gives the closest pairs that connect its buckets, within ``within`` bits;
+    rows of one key that these leave apart are compared all with all, whatever their bits and
+    their number (``similar``).
     Rows with equal sets of shingles are one group whatever their doc_id and however often
     a shingle occurs: null and empty texts are one, repeated rows are one; of tied doc_ids the
     first row stays.  An empty table stays empty; columns of any name are kept; texts are read
@@ -547,7 +578,7 @@ def kept(spark: SparkSession, df: DataFrame, *, words: int = 5, distance: int =
     shared = nodes.select(F.lit(-1).alias("g"), F.explode("keys").alias("key"), "node", "fp", "check")
     since = mark()
     found = links(spark, nodes, distance=distance, check_distance=within, step=4, more=shared, within=within)
-    found = table(spark, components(spark, similar(spark, found, nodes, shared.select("key", "node"), texts, words, least, within)), "near-groups")
+    found = table(spark, components(spark, similar(spark, found, shared.select("key", "node"), texts, words, least)), "near-groups")
     release(spark, since, found)
     best = nodes.join(found, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     # The rows that go are fewer than those that stay.

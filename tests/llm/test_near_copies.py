@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from slatewright.llm import simhash
@@ -60,18 +61,28 @@ def test_twins_in_a_large_family(spark):
     assert kept(spark, texts) == {i for i in range(0, 200, 2)}
 
 
-def test_tiles_of_a_large_bucket_give_the_same(spark, monkeypatch):
-    """Pairs between groups, from buckets of one task and from a grid of tiles."""
+def test_tiles_of_a_large_bucket_connect_the_same(spark):
+    """What is connected within each key, by one task and by grids of tiles."""
     rng = random.Random(4)
-    rows = [(i, rng.getrandbits(20), i % 17) for i in range(300)]
-    keys = [(k, i) for i in range(300) for k in {0, i % 5 + 1}] + [(9, 0), (9, 17)]
-    nodes, of = spark.createDataFrame(rows, "node long, check long, root long"), spark.createDataFrame(keys, "key long, node long")
-    want = {(a[0], b[0], (a[1] ^ b[1]).bit_count()) for a in rows for b in rows if a[0] > b[0] and a[2] != b[2] and (a[1] ^ b[1]).bit_count() <= 8}
-    for bucket in (4096, 40):
-        got = simhash.across(spark, nodes, of, 8, bucket).collect()
-        assert {(r["a"], r["b"], r["apart"]) for r in got} == want and len(got) == len(want)
-        assert all(r["x"] == r["a"] % 17 and r["y"] == r["b"] % 17 for r in got)
-    assert simhash.across(spark, nodes.withColumn("root", simhash.F.lit(1).cast("long")), of, 8) is None
+    sets = []
+    for k in range(240):
+        near = sets[k - 1] if k % 3 else set(rng.sample(range(10**6), 40))
+        sets.append({*list(near)[1 if k % 3 == 2 else 9 :], *rng.sample(range(10**6), 1 if k % 3 == 2 else 5)})
+    rows = [(key, i, i % 50, np.sort(np.array(list(sets[i]), np.uint64)).tobytes()) for i in range(240) for key in {0, i % 7 + 1}]
+
+    def groups(links):
+        root = {i: ("root", i % 50) for i in range(240)}  # what shares a root is connected
+        for a, b in links:
+            x, y = root[a], root[b]
+            root = {i: y if r == x else r for i, r in root.items()}
+        return sorted(sorted(i for i in root if root[i] == r) for r in set(root.values()))
+
+    want = groups([(i, j) for i in range(240) for j in range(i) if i % 50 != j % 50 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    df = spark.createDataFrame(rows, "key long, node long, root long, set binary")
+    for how in ({}, {"bucket": 30}, {"held_bytes": 6000}):
+        links = [(r["a"], r["b"]) for r in simhash.across(spark, df, 0.8, **how).collect()]
+        assert groups(links) == want and len(want) < 50 and all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in links)
+    assert len(simhash.across(spark, df, 0.8).collect()) < len(rows)
 
 
 @pytest.mark.parametrize("seed", [5, 6])
