@@ -77,19 +77,23 @@ def pieces(df: DataFrame, *, path: str | None = None, end_id: int = END_ID, capa
     return arrow_map(need(df, "doc_id", "text"), work, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
+#: Bins, and how much each holds.
+Packing = tuple[list[list[int]], list[int]]
+
+
 @lru_cache(maxsize=4)
 def _powers(capacity: int) -> list[int]:
     return [1 << k for k in range(capacity + 1)]
 
 
-def best_fit(order: list[int], lengths: list[int], capacity: int, start: list[list[int]] = ()) -> list[list[int]]:
-    """Each piece into the tightest bin that takes it, after the bins there are.  Bins are
-    kept by free room, with a bit set of the rooms that occur: the tightest is found by one
-    shift."""
+def fitted(order: list[int], lengths: list[int], capacity: int, start: Packing = ((), ())) -> Packing:
+    """Each piece into the tightest bin that takes it, after the bins there are: the bins and
+    what they hold, fullest first.  Bins are kept by free room, with a bit set of the rooms
+    that occur: the tightest is found by one shift."""
     by_room: dict[int, list[list[int]]] = {}
     rooms, power = 0, _powers(capacity)
-    for items in start:
-        room = capacity - sum([lengths[i] for i in items])
+    for items, fill in zip(*start, strict=True):
+        room = capacity - fill
         by_room.setdefault(room, []).append(list(items))
         rooms |= power[room]
     for i in order:
@@ -114,12 +118,25 @@ def best_fit(order: list[int], lengths: list[int], capacity: int, start: list[li
             else:
                 bins.append(items)
             rooms |= power[room]
-    return [items for room in sorted(by_room) for items in by_room[room]]
+    places = sorted(by_room)
+    return [items for room in places for items in by_room[room]], [capacity - room for room in places for _ in by_room[room]]
 
 
-def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
+def best_fit(order: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
+    return fitted(order, lengths, capacity)[0]
+
+
+def fills_of(bins: list[list[int]], lengths: list[int]) -> list[int]:
+    return [sum([lengths[i] for i in b]) for b in bins]
+
+
+def rated(fills: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones (sum of squared fill); greater is better."""
-    return -len(bins), sum([(sum([lengths[i] for i in b]) / capacity) ** 2 for b in bins])
+    return -len(fills), sum([(f / capacity) ** 2 for f in fills])
+
+
+def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
+    return rated(fills_of(bins, lengths), capacity)
 
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
@@ -138,32 +155,36 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     return int((len(x) - half + own).max())
 
 
-def crossover(giver: list[list[int]], taker: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def crossover(giver: Packing, taker: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
     """Whole bins of ``giver``, better filled than its mean, go into ``taker``."""
-    fill = [sum([lengths[i] for i in b]) for b in giver]
-    mean = sum(fill) / max(1, len(fill))
+    mean = sum(giver[1]) / max(1, len(giver[1]))
     share = rng.uniform(0.3, 0.9)
-    injected = [b for b, f in zip(giver, fill, strict=True) if f >= mean and rng.random() < share]
-    inside = {i for b in injected for i in b}
-    kept, displaced = [], []
-    for b in taker:
+    bins, fills = [], []
+    for b, f in zip(*giver, strict=True):
+        if f >= mean and rng.random() < share:
+            bins.append(b)
+            fills.append(f)
+    inside = {i for b in bins for i in b}
+    displaced = []
+    for b, f in zip(*taker, strict=True):
         if inside.isdisjoint(b):
-            kept.append(b)
+            bins.append(b)
+            fills.append(f)
         else:
             displaced += [i for i in b if i not in inside]
     displaced.sort(key=lambda i: (-lengths[i], i))
-    return best_fit(displaced, lengths, capacity, [*injected, *kept])
+    return fitted(displaced, lengths, capacity, (bins, fills))
 
 
-def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def mutate(packing: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
     """Dissolve the emptiest bins and a few others, and best-fit their pieces."""
-    order = sorted(bins, key=lambda b: sum([lengths[i] for i in b]))
+    order = sorted(zip(*packing, strict=True), key=lambda x: x[1])
     cut = max(1, len(order) // 10)
     out, kept = order[:cut], []
-    for b in order[cut:]:
-        (out if rng.random() < 0.05 else kept).append(b)
-    loose = sorted([i for b in out for i in b], key=lambda i: (-lengths[i], i))
-    return best_fit(loose, lengths, capacity, kept)
+    for x in order[cut:]:
+        (out if rng.random() < 0.05 else kept).append(x)
+    loose = sorted([i for b, _ in out for i in b], key=lambda i: (-lengths[i], i))
+    return fitted(loose, lengths, capacity, ([b for b, _ in kept], [f for _, f in kept]))
 
 
 def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int, children: int, least: int = LEAST) -> tuple[list[list[list[int]]], int]:
@@ -171,23 +192,23 @@ def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[
     made.  It ends early, after ``least`` of them, at a bound that no packing can beat."""
     rng = random.Random(seed)
     bound = lower_bound(lengths, capacity)
-    people = [e for e in elites if e]
+    people = [(e, fills_of(e, lengths)) for e in elites if e]
     everything = list(range(len(lengths)))
     while len(people) < population:
         rng.shuffle(everything)
-        people.append(best_fit(everything, lengths, capacity))
-    rated = sorted(((fitness(p, lengths, capacity), k, p) for k, p in enumerate(people)), key=lambda x: (x[0], -x[1]), reverse=True)
+        people.append(fitted(everything, lengths, capacity))
+    ranked = sorted(((rated(p[1], capacity), k, p) for k, p in enumerate(people)), key=lambda x: (x[0], -x[1]), reverse=True)
     born = 0
-    while born < children and (born < least or -rated[0][0][0] > bound):
+    while born < children and (born < least or -ranked[0][0][0] > bound):
         # Two parents, the better of two each, that need not be the best.
-        one, two = (min(rng.randrange(len(rated)), rng.randrange(len(rated))) for _ in range(2))
+        one, two = (min(rng.randrange(len(ranked)), rng.randrange(len(ranked))) for _ in range(2))
         two += one == two
-        child = mutate(crossover(rated[one][2], rated[two % len(rated)][2], lengths, capacity, rng), lengths, capacity, rng)
+        child = mutate(crossover(ranked[one][2], ranked[two % len(ranked)][2], lengths, capacity, rng), lengths, capacity, rng)
         born += 1
-        rated.append((fitness(child, lengths, capacity), population + born, child))
-        rated.sort(key=lambda x: (x[0], -x[1]), reverse=True)
-        del rated[population:]
-    return [p for *_, p in rated], born
+        ranked.append((rated(child[1], capacity), population + born, child))
+        ranked.sort(key=lambda x: (x[0], -x[1]), reverse=True)
+        del ranked[population:]
+    return [p[0] for *_, p in ranked], born
 
 
 def _labels(bins: list[list[int]], n: int) -> np.ndarray:
