@@ -8,7 +8,10 @@ context, and combined by one logistic unit.  Pooling takes a candidate of any le
 The network is trained here on labelled findings that are made by rule from a seed; scores
 are calibrated by Platt's method on findings kept apart, and each kind has the highest
 threshold whose recall is at least RECALL, measured on the spans that the search for
-candidates gives for them; a finding that it does not give counts as lost.
+candidates gives for them; a finding that it does not give counts as lost.  Look-alikes are
+of named forms (words, identifiers, calls, paths, UUIDs, data in URIs, public keys and more);
+where one of them is reported more often than FALSE, the threshold is raised until it is
+not, at a recall of RECALL_LEAST or more.
 
 Pattern findings always stay.  Another candidate is added when its score reaches the
 threshold of its kind, no added one before it reaches into it, and pattern findings cover
@@ -39,9 +42,11 @@ KINDS = ("assign", "access", "hex", "token", "url", "pem")
 BASE = KINDS[:3]
 #: Share of the labelled secrets of the calibration set that each threshold must keep.
 RECALL = 0.98
-TRAINING_ROWS = 6000
+#: Share of each form of look-alike that may be reported, and the recall that holds whatever it is.
+FALSE, RECALL_LEAST = 0.02, 0.96
+TRAINING_ROWS = 10000
 CONTEXT = 24
-WIDTH, EMBED, FILTERS = 5, 8, 16
+WIDTH, EMBED, FILTERS = 5, 8, 24
 #: Characters that inference convolves at a time.
 STEP = 1 << 16
 
@@ -53,6 +58,8 @@ PEM_END = re.compile(rb"-----END [A-Z0-9 ]*PRIVATE KEY-----")
 PEM_BODY = re.compile(rb"[A-Za-z0-9+/=\s:,.-]*\Z")
 #: Lines of a key whose end is not there.
 PEM_LINES = re.compile(rb"(?:\s+[A-Za-z0-9+/=]{32,})*(?:\s+[A-Za-z0-9+/]+={1,2})?")
+#: A name and an equals sign before more of a run.
+NAMED = re.compile(rb"[A-Za-z_][A-Za-z0-9_-]*=(?=[^=])")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 6, 20, 24, 16
 
@@ -138,8 +145,11 @@ def candidates(texts: list[bytes]) -> tuple[bytes, np.ndarray, list[tuple[int, i
     found += [(s, e, 1) for s, e in _leftmost(data, _all(data, b"AKIA"), ACCESS, lambda m: len(m[0]) >= MIN_ACCESS)]
     found += [(int(s), int(e), 2) for s, e in _runs(_HEX[raw], MIN_HEX)]
     # Two of: small letters, capitals after the first character, digits; a word has one.
+    # A name and the sign after it are context, not a part of the candidate.
     for s, e in _runs(_TOKEN[raw], MIN_TOKEN).tolist():
-        if bool(_LOWER[raw[s:e]].any()) + bool(_UPPER[raw[s + 1 : e]].any()) + bool(_DIGIT[raw[s:e]].any()) > 1:
+        while m := NAMED.match(data, s, e):
+            s = m.end()
+        if e - s >= MIN_TOKEN and bool(_LOWER[raw[s:e]].any()) + bool(_UPPER[raw[s + 1 : e]].any()) + bool(_DIGIT[raw[s:e]].any()) > 1:
             found.append((s, e, 3))
     found += [(s, e, 4) for s, e in _logins(data)]
     found += [(s, e, 5) for s, e in _keys(data)]
@@ -202,11 +212,11 @@ class Network:
         padded = np.pad(x, ((0, 0), (WIDTH // 2, WIDTH // 2)))
         index = np.lib.stride_tricks.sliding_window_view(padded, WIDTH, axis=1)
         columns = self.embedding[index].reshape(n, length, WIDTH * EMBED)
-        act = np.maximum(columns @ self.kernel + self.shift, 0)
-        place, cut = np.arange(length), CONTEXT + body[:, None]
-        inside = [place < CONTEXT + np.zeros_like(cut), (place >= CONTEXT) & (place < cut), (place >= cut) & (place < cut + CONTEXT)]
-        at = [np.where(m[:, :, None], act, np.float32(-1)).argmax(axis=1) for m in inside]
-        pooled = np.concatenate([np.take_along_axis(act, a[:, None, :], axis=1)[:, 0] for a in at], axis=1)
+        act = np.ascontiguousarray(np.maximum(columns @ self.kernel + self.shift, 0).transpose(0, 2, 1))
+        place, cut = np.arange(length - CONTEXT), body[:, None]
+        inside = [place < cut, (place >= cut) & (place < cut + CONTEXT)]
+        at = [act[:, :, :CONTEXT].argmax(axis=2)] + [CONTEXT + np.where(m[:, None], act[:, :, CONTEXT:], np.float32(-1)).argmax(axis=2) for m in inside]
+        pooled = np.concatenate([np.take_along_axis(act, a[:, :, None], axis=2)[:, :, 0] for a in at], axis=1)
         return pooled @ self.weight + self.bias, pooled, at, columns, index
 
     def logits(self, spans: Spans) -> np.ndarray:
@@ -242,17 +252,18 @@ class Network:
         dz = ((1 / (1 + np.exp(-z)) - y) / n).astype(np.float32)
         d_weight, d_bias = pooled.T @ dz, dz.sum(keepdims=True)
         d_pooled = dz[:, None] * self.weight * (pooled > 0)
-        d_kernel, d_embedding = np.zeros_like(self.kernel), np.zeros_like(self.embedding)
-        d_shift = np.zeros_like(self.shift)
+        d_kernel, d_embedding, d_shift = (np.zeros_like(p) for p in (self.kernel, self.embedding, self.shift))
         rows = np.arange(n)
+        chars, back = [], []
         for k, a in enumerate(at):
             d = d_pooled[:, k * FILTERS : (k + 1) * FILTERS]
             d_shift += d.sum(axis=0)
-            for f in range(FILTERS):
-                cols = columns[rows, a[:, f]]
-                d_kernel[:, f] += cols.T @ d[:, f]
-                back = (d[:, f, None] * self.kernel[:, f]).reshape(n, WIDTH, EMBED)
-                np.add.at(d_embedding, index[rows, a[:, f]], back)
+            d_kernel += np.einsum("nfc,nf->cf", columns[rows[:, None], a], d)
+            chars.append(index[rows[:, None], a].ravel())
+            back.append((d[:, :, None] * self.kernel.T).reshape(-1, EMBED))
+        chars, back = np.concatenate(chars), np.concatenate(back)
+        for j in range(EMBED):
+            d_embedding[:, j] = np.bincount(chars, back[:, j], 256)
         d_embedding[0] = 0
         return [d_embedding, d_kernel, d_shift, d_weight, d_bias]
 
@@ -264,7 +275,7 @@ class Network:
         for _ in range(epochs):
             # Long candidates share batches of their own; batches come in any order.
             order = rng.permutation(len(y))
-            order = order[np.argsort(spans.body[order] > 96, kind="stable")]
+            order = order[np.argsort(np.digitize(spans.body[order], (40, 96)), kind="stable")]
             for i in rng.permutation(np.arange(0, len(y), 128)):
                 at, t = order[i : i + 128], t + 1
                 for p, g, a, b in zip(params, self.gradients(*spans.matrix(at), y[at]), m, v, strict=True):
@@ -287,25 +298,57 @@ class Network:
                 break
         self.slope, self.offset = float(w[0]), float(w[1])
 
-    def choose(self, kind: int, good: np.ndarray, recall: float, lost: int) -> None:
+    def choose(self, kind: int, good: np.ndarray, recall: float, lost: int, bad: dict[str, np.ndarray]) -> None:
         """The highest threshold of a kind that keeps the recall over its secrets' scores
-        and ``lost`` more that have none."""
-        if len(good):
-            good = np.sort(good)
-            self.thresholds[kind] = float(good[min(max(int(np.floor((1 - recall) * (len(good) + lost))) - lost, 0), len(good) - 1)])
-
-
-def made(rows: int, seed: int) -> list[tuple[bytes, int, int, int]]:
-    """(text, start, end, label) of findings by rule: secrets of many forms in the places where they stand,
-    and look-alikes (card numbers, identifiers, file names, versions, dates, sums of
-    files, words) where those stand."""
+        and ``lost`` more that have none; raised where a form of look-alike (``bad``: its
+        scores) is above it more often than FALSE, as far as RECALL_LEAST allows."""
+        if not len(good):
+            return
+        good = np.sort(good)
+        keeping = lambda share: float(good[min(max(int(np.floor((1 - share) * (len(good) + lost))) - lost, 0), len(good) - 1)])
+        # The least value that leaves FALSE of a form at or above it.
+        wanted = [float(np.nextafter(np.sort(v)[::-1][int(FALSE * len(v))], 2)) for v in bad.values() if len(v)]
+        first = keeping(recall)
+        self.thresholds[kind] = max(first, min(max([first, *wanted]), keeping(min(recall, RECALL_LEAST))))
+
+
+#: Words that identifiers, paths and look-alikes of training are made of, beside invented ones.
+WORDS = tuple(
+    """about access account action active address agent allow alpha apply array assert async attribute average back backend balance base batch before billing binary block
+    body boolean border bottom branch buffer build bundle button cache call cancel canvas card case category center change channel char check child class clear click client
+    clone close cluster code collection color column command comment common complete config connect constant container content context control copy core count create current
+    custom data database date debug decode default delete demo depth detail device dialog directory disable display document domain download driver dynamic edit element empty
+    enable encode engine entry error event example execute export factory field file filter find first flag float flush font format frame function general global graph group
+    handle handler hash header height helper hidden history home host icon image import index info init input insert instance integer invoice item job join key kind label
+    language layer layout length level library line link list listen load local lock login main manager map mask memory menu message""".split()
+)
+COMMON = tuple("the a of and to in is for with on at by from as this that it be are was or not use used see value note here some other please set more quick".split())
+#: First characters of files that stand in data URIs, base64: PNG, JPEG, GIF, WOFF2, SVG.
+MAGIC = ("iVBORw0KGgoAAAANSUhEUgAA", "/9j/4AAQSkZJRgABAQ", "R0lGODlh", "d09GMgABAAAAA", "PHN2ZyB4bWxucz0i")
+
+
+def made(rows: int, seed: int) -> list[tuple[bytes, int, int, int, str]]:
+    """(text, start, end, label, form) of findings by rule: secrets of many forms in the
+    places where they stand, and look-alikes where those stand.  Words of look-alikes are
+    real ones (WORDS) or invented, spelt by random letters or by syllables."""
     rng = np.random.default_rng(seed)
     pick = lambda chars, n: "".join(rng.choice(list(chars), int(n)))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    word = lambda: pick(low, rng.integers(2, 9))
-    words = lambda a, b: " ".join(word() for _ in range(rng.integers(a, b)))
+    heads, vowels, tails = ("b", "c", "d", "f", "g", "h", "l", "m", "n", "p", "r", "s", "t", "v", "w", "st", "tr", "ch", "sh", "pl", "gr", "qu", "j", "k"), "aeiou", ("", "", "n", "r", "s", "t", "l", "ng", "st", "ck", "x", "y", "m")
+    random_word = lambda: pick(low, rng.integers(2, 9))
+    syllables = lambda: "".join(rng.choice(heads) + pick(vowels, rng.integers(1, 3)) + rng.choice(tails) for _ in range(rng.integers(1, 4)))
+    real = lambda: str(rng.choice(WORDS)) if rng.random() < 0.6 else syllables()
+    word = lambda: real() if rng.random() < 0.7 else random_word()
+    near = lambda: [lambda: str(rng.choice(COMMON)), word, lambda: pick(dig, rng.integers(1, 6)), lambda: word() + pick(dig, rng.integers(1, 4)) + pick(",.;", 1), lambda: f"{word()}://{word()}", lambda: f"{word()} {pick('=:', 1)} {word()}"][np.searchsorted((0.38, 0.85, 0.9, 0.95, 0.97), rng.random())]()
+    words = lambda a, b: " ".join(near() for _ in range(rng.integers(a, b)))
     name = lambda: rng.choice(["secret", "token", "api_key", "auth", "access_key", "private_key", "credential", "bearer", "client_secret", "passphrase", "pwd", "signing_key"])
     plain = lambda: rng.choice(["id", "order", "page", "ref", "invoice", "card", "phone", "file", "version", "build", "commit", "checksum", "isbn", "date", "track"])
+    initials = lambda: pick(up, rng.integers(2, 5))
+    piece = lambda: [initials, lambda: real()[: rng.integers(2, 5)].capitalize(), real, lambda: real().capitalize()][np.searchsorted((0.1, 0.22, 0.28), rng.random())]()
+    titled = lambda a, b: "".join(piece() for _ in range(rng.integers(a, b)))
+    filled = lambda x: x if len(x) >= MIN_TOKEN else x + "".join(real().capitalize() for _ in range(4))
+    number = lambda share: pick(dig, rng.integers(1, 4)) if rng.random() < share else ""
+    part = lambda: rng.choice([real, real, lambda: real() + pick("-_", 1) + real(), lambda: titled(1, 4), lambda: real() + number(1)])()
 
     def secret() -> str:
         return [
@@ -313,47 +356,68 @@ def made(rows: int, seed: int) -> list[tuple[bytes, int, int, int]]:
             lambda: pick(low + up + dig, rng.integers(20, 44)),
             lambda: pick(low + up + dig + "+/", rng.integers(24, 60)) + "=" * int(rng.integers(0, 3)),
             lambda: "AKIA" + pick(up + dig, 16),
-            lambda: rng.choice(["sk", "pk", "key", "tok", "pat"]) + rng.choice(["_", "-"]) + pick(low + up + dig, rng.integers(18, 40)),
+            lambda: rng.choice(["sk", "pk", "key", "tok", "pat", real(), real()[:3]]) + rng.choice(["_", "-"]) + (real()[:5] + rng.choice(["_", "-"]) if rng.random() < 0.3 else "") + pick(low + up + dig, rng.integers(18, 40)),
+            lambda: pick(low, rng.integers(3, 6)) + "".join("-" + pick(dig, rng.integers(9, 14)) for _ in range(rng.integers(1, 3))) + "-" + pick(low + up + dig, rng.integers(20, 36)),
+            lambda: pick(low + up + dig + "_-", rng.integers(24, 44)),
             lambda: "eyJ" + pick(low + up + dig + "_-", rng.integers(24, 60)),
             lambda: pick(low + up, rng.integers(20, 44)),
-        ][rng.integers(7)]()
-
-    def harmless() -> str:
-        return [
-            lambda: pick(dig, rng.integers(16, 20)),
-            lambda: "-".join(pick(dig, 4) for _ in range(4)),
-            lambda: "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
-            lambda: "_".join(word() for _ in range(3)) + "_" + pick(dig, rng.integers(3, 6)),
-            lambda: "/".join(word() for _ in range(3)) + "/" + pick(dig, 4),
-            lambda: f"20{pick(dig, 2)}-{pick('01', 2)}-{pick('012', 2)}T{pick('012', 2)}-{pick('012345', 2)}-00",
-            lambda: "-".join(word() for _ in range(4)) + "-" + pick(dig, 3),
-            lambda: word() + pick("=-_", 1) * int(rng.integers(8, 20)) + pick(dig, 4),
-            lambda: pick(low, rng.integers(14, 24)) + pick(dig, rng.integers(3, 5)),
-            lambda: pick(low, rng.integers(16, 30)),
-            lambda: pick(up, rng.integers(16, 30)),
-            lambda: "".join(word().capitalize() for _ in range(rng.integers(3, 6))).ljust(16, "e"),
-            lambda: pick("-_/", 1).join(word() for _ in range(rng.integers(3, 6))).ljust(16, "e"),
-            lambda: pick("=-_", 1) * int(rng.integers(16, 60)),
-        ][rng.integers(14)]()
+            lambda: pick(up + dig, rng.integers(24, 40)),
+        ][rng.integers(10)]()
+
+    scheme = lambda: rng.choice(["http", "https", "ftp", "ssh", "postgres", "mysql", "redis", "amqp", "mongodb", "smtp", real()])
+    host = lambda: real() + rng.choice([".example", ".internal", "", ":" + pick(dig, 4), ".org/" + real()]) + rng.choice([" ", "/", "\n"]) + words(0, 3)
+    forms = {
+        "digits": lambda: pick(dig, rng.integers(16, 20)),
+        "card": lambda: "-".join(pick(dig, 4) for _ in range(4)),
+        "uuid": lambda: "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+        "upper_uuid": lambda: "-".join(pick("0123456789ABCDEF", n) for n in (8, 4, 4, 4, 12)),
+        "numbered": lambda: "_".join(word() for _ in range(3)) + "_" + pick(dig, rng.integers(3, 6)),
+        "short_path": lambda: "/".join(word() for _ in range(3)) + "/" + pick(dig, 4),
+        "time": lambda: f"20{pick(dig, 2)}-{pick('01', 2)}-{pick('012', 2)}T{pick('012', 2)}-{pick('012345', 2)}-00",
+        "slug": lambda: "-".join(word() for _ in range(rng.integers(4, 9))) + "-" + pick(dig, rng.integers(1, 4)),
+        "leader": lambda: word() + pick("=-_", 1) * int(rng.integers(8, 20)) + pick(dig, 4),
+        "word_and_number": lambda: pick(low, rng.integers(14, 24)) + pick(dig, rng.integers(3, 5)),
+        "small_letters": lambda: pick(low, rng.integers(16, 30)),
+        "capitals": lambda: pick(up, rng.integers(16, 30)),
+        "title": lambda: filled("".join(word().capitalize() for _ in range(rng.integers(3, 6)))),
+        "joined": lambda: pick("-_/", 1).join(word() for _ in range(rng.integers(3, 6))).ljust(16, "e"),
+        "rule": lambda: pick("=-_", 1) * int(rng.integers(16, 60)),
+        "class_name": lambda: filled(titled(2, 6) + number(0.1)),
+        "call": lambda: filled(real() + titled(1, 5) + number(0.1)),
+        "snake": lambda: filled(pick("_", rng.integers(0, 3)) + "_".join(real() + number(0.1) for _ in range(rng.integers(3, 7))) + number(0.3)),
+        "constant": lambda: "_".join(real().upper() for _ in range(rng.integers(3, 6))) + "_" + pick(dig, rng.integers(1, 4)),
+        "path": lambda: filled(rng.choice(["", "/", "src/", "com/"]) + "/".join(part() for _ in range(rng.integers(2, 9)))),
+        "module": lambda: filled("/".join(real() for _ in range(rng.integers(2, 7))) + "/" + titled(1, 5)),
+    }
 
     out = []
     for k in range(rows):
         kind, good = rng.integers(8), k % 2
+        form = "url" if kind == 7 else "pem"
         if kind == 7 and good:
-            left, body, right = words(1, 5) + " ", f"{word()}://{word()}:{pick(low + up + dig, rng.integers(6, 16))}@", word() + ".example"
+            value = [lambda: pick(low + up + dig, rng.integers(6, 20)), lambda: pick(low + dig, rng.integers(6, 16)), lambda: real() + pick(dig + "!$_-", rng.integers(2, 6)), lambda: real().capitalize() + pick("-_!.", 1) + real() + pick(dig, 2)][rng.integers(4)]()
+            left, body, right = words(1, 5) + " ", f"{scheme()}://{real()}:{value}@", host()
         elif kind == 7 and rng.random() < 0.3:
-            left, body, right = words(1, 5) + " ", f"{word()}://{word()}:{rng.choice(['port', 'xx', '0', 'user'])}@", word()
+            left, body, right = words(1, 5) + " ", f"{scheme()}://{real()}:{rng.choice(['port', 'xx', 'xxxx', '0', 'user', 'pass', 'password', '****', '$PASSWORD', '<password>', '{password}', '...', 'PASSWORD'])}@", host()
         elif kind == 6 and good:
             of = rng.choice(["", "RSA ", "EC "])
             lines = "\n".join(pick(low + up + dig + "+/", 64) for _ in range(rng.integers(1, 4)))
             left, body, right = words(1, 4) + "\n", f"-----BEGIN {of}PRIVATE KEY-----\n{lines}" + f"\n-----END {of}PRIVATE KEY-----" * int(rng.random() < 0.7), "\n" + words(1, 4)
         else:
-            body = secret() if good else harmless()
-            key = name() if good else plain()
+            form = "token" if good else str(rng.choice([*forms, "uuid", "upper_uuid", "uuid", "class_name", "class_name", "call", "snake"]))
+            body = secret() if good else forms[form]()
+            key = name() if rng.random() < (0.5 if good else 0.15) else plain() if rng.random() < 0.4 else real()
             left = words(2, 6) + [lambda: f" {key} = \"", lambda: f" {key}: ", lambda: f" {key}=", lambda: f" {key} ", lambda: " "][rng.integers(5)]()
             right = rng.choice(["\" ", " ", "\n", ", ", ". "]) + words(1, 5)
+            if not good and (form := form if rng.random() < 0.8 else str(rng.choice(["data_uri", "public_key", "integrity", "url_path"]))) in ("data_uri", "public_key", "integrity", "url_path"):
+                data = pick(low + up + dig + "+/", rng.integers(24, 140))
+                left, body = left + {"data_uri": f"{rng.choice(['src=', 'url(', ''])}data:{rng.choice(['image/png', 'image/jpeg', 'image/gif', 'font/woff2', 'image/svg+xml', 'application/pdf'])};base64,", "public_key": "ssh-" + rng.choice(["rsa", "ed25519"]) + " ", "integrity": rng.choice(["integrity=\"", "integrity: ", ""]), "url_path": f"{rng.choice(['http', 'https'])}://{rng.choice(['www.', ''])}{real()}."}[form], {"data_uri": (str(rng.choice(MAGIC)) if rng.random() < 0.7 else "") + data + "=" * int(rng.integers(0, 3)), "public_key": "AAAA" + rng.choice(["B3NzaC1yc2EAAAADAQABAAAB", "C3NzaC1lZDI1NTE5AAAAI"]) + data, "integrity": rng.choice(["sha256-", "sha384-", "sha512-"]) + pick(low + up + dig + "+/", rng.choice([43, 64, 86])) + "=" * int(rng.integers(0, 3)), "url_path": filled(rng.choice(["com/", "org/", "net/", "de/"]) + "/".join(part() for _ in range(rng.integers(1, 7))))}[form]
+            elif not good:
+                left, right = left + rng.choice(["", "", "", "", "", "org.example.", "new ", "self.", "("]), rng.choice([right, right, right, right, "() " + words(1, 3), "(" + words(1, 3) + ") ", "." + rng.choice(["java", "py", "md", "json", "html"]) + " " + words(1, 3), ";\n" + words(1, 3), "." + real() + "() "])
+        if rng.random() < 0.15:  # at the start or the end of a text
+            left, right = (left.lstrip()[len(left.lstrip().rsplit(" ", 1)[0]) :].lstrip(), right) if rng.random() < 0.6 else (left, "")
         start = len(left.encode())
-        out.append(((left + body + right).encode(), start, start + len(body.encode()), int(good)))
+        out.append(((left + body + right).encode(), start, start + len(body.encode()), int(good), form))
     return out
 
 
@@ -361,15 +425,15 @@ def labelled(rows: int, seed: int) -> tuple[Spans, np.ndarray]:
     """Spans and labels of findings by rule."""
     some = made(rows, seed)
     begin = np.cumsum([0] + [len(t) for t, *_ in some]).tolist()
-    spans = [(b + s, b + e) for b, (_, s, e, _) in zip(begin, some, strict=False)]
-    return Spans(b"".join(t for t, *_ in some), spans, list(zip(begin, begin[1:], strict=False))), np.array([y for *_, y in some], np.float32)
+    spans = [(b + s, b + e) for b, (_, s, e, *_) in zip(begin, some, strict=False)]
+    return Spans(b"".join(t for t, *_ in some), spans, list(zip(begin, begin[1:], strict=False))), np.array([r[3] for r in some], np.float32)
 
 
-def spotted(some: list[tuple[bytes, int, int, int]]) -> list[tuple[int, int, int] | None]:
+def spotted(some: list[tuple[bytes, int, int, int, str]]) -> list[tuple[int, int, int] | None]:
     """For each finding the candidate beyond the base that overlaps it most, and by half
     at least, as (start, end, kind); (0, 0, 0) where a pattern finds it; None else."""
     out: list[tuple[int, int, int] | None] = []
-    for t, s, e, _ in some:
+    for t, s, e, *_ in some:
         _, _, found = candidates([t])
         share = lambda f: min(f[1], e) - max(f[0], s)  # noqa: B023, E731
         near = [f for f in found if share(f) > 0]
@@ -378,7 +442,7 @@ def spotted(some: list[tuple[bytes, int, int, int]]) -> list[tuple[int, int, int
     return out
 
 
-def _joined(some: list[tuple[bytes, int, int, int]], spans: list[tuple[int, int]]) -> Spans:
+def _joined(some: list[tuple[bytes, int, int, int, str]], spans: list[tuple[int, int]]) -> Spans:
     begin = np.cumsum([0] + [len(t) for t, *_ in some]).tolist()
     return Spans(b"".join(t for t, *_ in some), [(b + s, b + e) for b, (s, e) in zip(begin, spans, strict=False)], list(zip(begin, begin[1:], strict=False)))
 
@@ -393,14 +457,15 @@ def trained(rows: int = TRAINING_ROWS, seed: int = 17, recall: float = RECALL) -
     fit = [k for k in range(kept) if seen[k] and seen[k][2]]
     out = Network(seed)
     both = [*some[:kept], *[some[k] for k in fit]]
-    out.fit(_joined(both, [r[1:3] for r in some[:kept]] + [seen[k][:2] for k in fit]), np.array([r[3] for r in both], np.float32), 9, seed)
+    out.fit(_joined(both, [r[1:3] for r in some[:kept]] + [seen[k][:2] for k in fit]), np.array([r[3] for r in both], np.float32), 8, seed)
     apart = [k for k in range(kept, rows) if seen[k] and seen[k][2]]
     spans, label, kind = _joined([some[k] for k in apart], [seen[k][:2] for k in apart]), np.array([some[k][3] for k in apart], np.float32), np.array([seen[k][2] for k in apart])
     out.calibrate(spans, label)
-    score = out.score(spans)
-    lost = sum(1 for k in range(kept, rows) if seen[k] is None and some[k][3])
+    score, form = out.score(spans), np.array([some[k][4] for k in apart])
     for k in range(len(BASE), len(KINDS)):
-        out.choose(k, score[(kind == k) & (label > 0)], recall, lost if KINDS[k] == "token" else 0)
+        lost = sum(1 for i in range(kept, rows) if seen[i] is None and some[i][3] and some[i][4] == KINDS[k])
+        of = (kind == k) & (label == 0)
+        out.choose(k, score[(kind == k) & (label > 0)], recall, lost, {str(f): score[of & (form == f)] for f in np.unique(form[of])})
     return out
 
 
