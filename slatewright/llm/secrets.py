@@ -46,7 +46,7 @@ RECALL = 0.98
 FALSE, RECALL_LEAST = 0.02, 0.96
 TRAINING_ROWS = 10000
 CONTEXT = 24
-WIDTH, EMBED, FILTERS = 5, 8, 24
+WIDTH, EMBED, FILTERS = 7, 8, 24
 #: Characters that inference convolves at a time.
 STEP = 1 << 16
 
@@ -404,7 +404,7 @@ def made(rows: int, seed: int) -> list[tuple[bytes, int, int, int, str]]:
             lines = "\n".join(pick(low + up + dig + "+/", 64) for _ in range(rng.integers(1, 4)))
             left, body, right = words(1, 4) + "\n", f"-----BEGIN {of}PRIVATE KEY-----\n{lines}" + f"\n-----END {of}PRIVATE KEY-----" * int(rng.random() < 0.7), "\n" + words(1, 4)
         else:
-            form = "token" if good else str(rng.choice([*forms, "uuid", "upper_uuid", "uuid", "class_name", "class_name", "call", "snake"]))
+            form = "token" if good else str(rng.choice([*forms, *["uuid", "class_name"] * 4, *["upper_uuid", "call", "snake"] * 2]))
             body = secret() if good else forms[form]()
             key = name() if rng.random() < (0.5 if good else 0.15) else plain() if rng.random() < 0.4 else real()
             left = words(2, 6) + [lambda: f" {key} = \"", lambda: f" {key}: ", lambda: f" {key}=", lambda: f" {key} ", lambda: " "][rng.integers(5)]()
