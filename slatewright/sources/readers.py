@@ -160,8 +160,8 @@ def cohorts(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(sorted(value.items()), "user_id string, cohort string")
 
 
-def news_tsv(spark: SparkSession, path: str, published_us: int) -> DataFrame:
-    """Eight tab-separated columns without quoting."""
+def news_tsv(spark: SparkSession, path: str | DataFrame, published_us: int) -> DataFrame:
+    """Eight tab-separated columns without quoting, of a file or of lines (column value)."""
     names = ["id", "category", "subcategory", "title", "abstract", "url", "title_entities", "abstract_entities"]
     rows = _tsv(spark, path, names)
     topic = lambda c: casefold(strip(c))
@@ -177,7 +177,7 @@ def news_tsv(spark: SparkSession, path: str, published_us: int) -> DataFrame:
     )
 
 
-def behaviors_tsv(spark: SparkSession, path: str, offset: str = "+00:00") -> DataFrame:
+def behaviors_tsv(spark: SparkSession, path: str | DataFrame, offset: str = "+00:00") -> DataFrame:
     """Five columns -> a row for each candidate, with pos in source order."""
     rows = _tsv(spark, path, ["impression_id", "user_id", "time", "history", "impressions"])
     tokens = rows.select("impression_id", "user_id", F.unix_micros(behavior_timestamp(F.col("time"), offset)).alias("occurred_us"), F.posexplode(F.split(F.trim("impressions"), " +")).alias("pos", "token"))
@@ -186,8 +186,8 @@ def behaviors_tsv(spark: SparkSession, path: str, offset: str = "+00:00") -> Dat
     return tokens.select("impression_id", "user_id", "occurred_us", (F.col("pos") + 1).alias("pos"), checked.alias("article_id"), clicked.cast("int").alias("clicked"))
 
 
-def _tsv(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value")).where(F.trim("value") != "")
+def _tsv(spark: SparkSession, path: str | DataFrame, names: list[str]) -> DataFrame:
+    lines = (path if isinstance(path, DataFrame) else spark.read.text(path)).select(F.regexp_replace("value", "\r$", "").alias("value")).where(F.trim("value") != "")
     cells = lines.select(F.split("value", "\t", -1).alias("c"))
     good = F.when(F.size("c") != len(names), F.raise_error(F.concat(F.lit(f"a line does not have {len(names)} columns: "), F.size("c").cast("string"))).cast("string"))
     return cells.select(*[F.coalesce(good, F.element_at("c", i + 1)).alias(n) for i, n in enumerate(names)])
