@@ -1,20 +1,23 @@
-"""Commands over files: validate, recommend, evaluate, benchmark, audit-cohorts, compare-cohort-policies, simulate, import-mind, evaluate-mind,
+"""Commands over files: validate, recommend, evaluate, benchmark, audit-cohorts, compare-cohort-policies, simulate, import-mind, import-archive, evaluate-mind,
 train and rank click models, stream ingestion.  An input error ends with status 2."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from contextlib import nullcontext
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import FeedConfig
+from .deadlines import deadline
 from .operators import comparisons, impressions, logged, metrics, profiles, rankers, scoring, slates
 from .serve import Snapshot, server
 from .session import session
-from .sources import readers, sinks, synthetic
+from .sources import archives, readers, sinks, synthetic
+from .sources.ceilings import Ceilings, published
 from .streaming.store import EventLog, parsed
 
 
@@ -116,6 +119,18 @@ def import_mind(a, spark):
     return {"articles": news.count(), "candidates": shown.count()}
 
 
+def import_archive(a, spark):
+    """All four members, or nothing where one is refused."""
+    published_us, limit = readers.micros(a.published_at, "published_at"), Ceilings(rows=a.max_rows)
+    options = {"max_candidates": a.max_candidates, "max_line_bytes": a.max_line_bytes, "max_bytes": a.max_bytes}
+    lines, rows = archives.archive(spark, a.archive, **options), {}
+    with published(spark, a.out) as staged:
+        for part in ("train", "dev"):
+            rows[f"{part}/articles"] = limit.write(archives.articles(spark, lines, f"{part}/news.tsv", published_us), f"{staged}/{part}/articles")["rows"]
+            rows[f"{part}/impressions"] = limit.write(archives.impressions(spark, lines, f"{part}/behaviors.tsv", a.offset), f"{staged}/{part}/impressions")["rows"]
+    return {"members": _rows(archives.summary(spark, a.archive, **options).orderBy("member")), "rows": rows}
+
+
 def evaluate_mind(a, spark):
     shown, scores = readers.impressions(spark, a.impressions), readers.scores(spark, a.scores)
     gaps = impressions.coverage_gaps(shown, scores).first()
@@ -200,6 +215,7 @@ def stream_replay(a, spark):
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="slatewright")
+    top.add_argument("--deadline", type=float, help="seconds after which the command's jobs are cancelled")
     sub = top.add_subparsers(dest="command", required=True)
 
     def command(name, run, *needed, **optional):
@@ -220,6 +236,7 @@ def parser() -> argparse.ArgumentParser:
     command("compare-cohort-policies", compare_cohort_policies, *both, "cohorts", "as_of", config=None, k=None)
     command("simulate", simulate, "out", "as_of", items=100, users=20, each=15, seed=17)
     command("import-mind", import_mind, "news", "behaviors", "out", "published_at", offset="+00:00")
+    command("import-archive", import_archive, "archive", "out", "published_at", offset="+00:00", max_rows=50_000_000, max_candidates=1000, max_line_bytes=1 << 20, max_bytes=1 << 40)
     command("evaluate-mind", evaluate_mind, "impressions", "scores")
     command("train-click-model", train_click_model, *both, "as_of", "model", config=None)
     command("rank-click-model", rank_click_model, *both, "user", "as_of", "model", k=None)
@@ -237,7 +254,10 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     try:
-        sys.stdout.write(sinks.dump(a.run(a, spark or session())))
+        spark = spark or session()
+        with deadline(spark, a.deadline, a.command) if a.deadline is not None else nullcontext():
+            found = a.run(a, spark)
+        sys.stdout.write(sinks.dump(found))
     except (OSError, ValueError, PySparkException) as error:
         sys.stderr.write(f"{error}\n")
         return 2

@@ -202,6 +202,10 @@ ORACLE_SQL: dict[str, str] = {
         *[v.replace("readers AS (", "readers AS MATERIALIZED (").replace("visible AS (", "visible AS MATERIALIZED (") for v in (CATALOG.replace("catalog AS (", "catalog AS MATERIALIZED ("), EVENTS, profile_views())],
         score_views().split(",\ntopical AS")[0].replace("pairs AS (", "pairs AS MATERIALIZED (").replace("known AS (", "known AS MATERIALIZED (").replace("seen AS (", "seen AS MATERIALIZED ("),
     ),
+    "p20_ceilings": q(
+        "SELECT name, CAST(value AS DOUBLE) AS value, CAST(most AS DOUBLE) AS most, value <= most AS ok FROM (SELECT 'rows' AS name, count(*) AS value, 1000000000 AS most FROM interactions UNION ALL SELECT 'kind_chars', CAST(sum(length(kind)) AS BIGINT), 1000000000000 FROM interactions UNION ALL SELECT 'clicks', count(*) FILTER (WHERE kind = 'click'), 10 FROM interactions) x",
+        EVENTS,
+    ),
     "p17_features": q("SELECT user_id, id, CAST(7 AS BIGINT) AS n, round(1 + interest + freshness + quality + novelty + popularity + exploration, 6) AS sum FROM parts", *FEED),
     "j01_events_with_topics": q("SELECT c.topics[1] AS topic, e.kind, count(*) AS n FROM interactions e JOIN catalog c ON c.id = e.article_id GROUP BY c.topics[1], e.kind", CATALOG, EVENTS),
     "j02_unseen": q("SELECT user_id, id FROM pairs", *FEED),
@@ -303,6 +307,8 @@ ORACLE_SQL: dict[str, str] = {
     "f01_decay": q(f"SELECT event_id, round(pow(CAST(0.5 AS DOUBLE), ({AS_OF} - occurred_us) / CAST(86400000000 AS DOUBLE) / 30), 9) AS decay FROM interactions WHERE occurred_us <= {AS_OF}", EVENTS),
     "f04_jaccard": "SELECT doc_id, round(CASE WHEN doc_id % 7 = doc_id % 5 THEN 2 / CAST(3 AS DOUBLE) ELSE 1 / CAST(4 AS DOUBLE) END, 9) AS similarity FROM documents",
     "f16_utc_text": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 <> 0 THEN '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') ELSE '' END || '+00:00' AS text FROM events",
+    "f17_offsets": "SELECT event_id, o.at_offset, epoch_us(date_trunc('second', ts)) - o.seconds * 1000000 AS at_us FROM events, (VALUES ('+05:30', CAST(19800 AS BIGINT)), ('-03:30', -12600), ('+14:00', 50400), ('-12:00', -43200), ('+01:02:03', 3723)) o(at_offset, seconds)",
+    "f22_cohort_check": "SELECT count(*) FILTER (WHERE m.n IS NULL) AS missing, count(*) FILTER (WHERE c.c_custkey IS NULL) AS extra, count(*) FILTER (WHERE m.n > 1) AS twice FROM customer c FULL JOIN (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY o_custkey) m ON m.o_custkey = c.c_custkey",
     "f18_us_times": "SELECT event_id, epoch_us(date_trunc('second', ts)) + 28800000000 AS at_us FROM events",
     "f25_maps": q("SELECT user_id, kind, CASE WHEN kind = 'hide' THEN count(*) ELSE 2 * count(*) END AS n FROM interactions GROUP BY user_id, kind", EVENTS),
     "l04_slate_features": q(

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..config import COMPONENTS, FeedConfig
 from ..functions import scalars as S
 from ..operators import candidates, comparisons, impressions, logged, metrics, profiles, ranks, resampling, scoring, slates, text
+from ..sources.ceilings import Ceilings
 from ..streaming import admission
 from ..tables import settle
 from . import bindings as B
 
 CONFIG = FeedConfig()
 AS_OF = B.AS_OF
+OFFSETS = ("+05:30", "-03:30", "+14:00", "-12:00", "+01:02:03")
 
 
 def r6(*names: str) -> list:
@@ -178,6 +180,12 @@ def p18_constraints(spark, d):
 # ------------------------------------------------------------------ joins
 
 
+def p20_ceilings(spark, d):
+    """Totals of the events against ceilings; the last is passed."""
+    limits = Ceilings(rows=1_000_000_000, total={"kind_chars": (F.length("kind"), 1_000_000_000_000), "clicks": ((F.col("kind") == "click").cast("long"), 10)})
+    return limits.totals(B.interactions(spark, d))
+
+
 def j01_events_with_topics(spark, d):
     return B.interactions(spark, d).join(B.catalog(spark, d).select(F.col("id").alias("article_id"), "topics"), "article_id").groupBy(F.element_at("topics", 1).alias("topic"), "kind").agg(F.count("*").alias("n"))
 
@@ -615,11 +623,24 @@ def f16_utc_text(spark, d):
     return B.read(spark, d, "events").select("event_id", S.utc_text(F.timestamp_micros(S.instant_us(F.col("ts"), "timestamp_ntz", spark.conf.get("spark.sql.session.timeZone")))).alias("text"))
 
 
+def f17_offsets(spark, d):
+    """Local times at several fixed offsets, half hours and seconds among them."""
+    text = F.date_format(F.col("ts").cast("timestamp"), "M/d/yyyy h:mm:ss a")
+    each = [F.struct(F.lit(o).alias("at_offset"), F.unix_micros(S.behavior_timestamp(text, o)).alias("at_us")) for o in OFFSETS]
+    return B.read(spark, d, "events").select("event_id", F.inline(F.array(*each)))
+
+
 def f18_us_times(spark, d):
     text = F.date_format(F.col("ts").cast("timestamp"), "M/d/yyyy h:mm:ss a")
     return B.read(spark, d, "events").select("event_id", F.unix_micros(S.behavior_timestamp(text, "-08:00")).alias("at_us"))
 
 
+def f22_cohort_check(spark, d):
+    """Customers against a mapping by the priorities of their orders: most have several."""
+    mapping = B.read(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), "o_orderpriority").distinct()
+    return comparisons.check_cohorts(B.read(spark, d, "customer").select(F.col("c_custkey").alias("user_id")), mapping)
+
+
 def f25_maps(spark, d):
     """Merge-add of two maps, as a long-form sum."""
     e = B.interactions(spark, d).groupBy("user_id", "kind").agg(F.count("*").alias("n"))

@@ -8,9 +8,11 @@ total is within its bound, so what is refused leaves nothing, and nothing is cou
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,20 +55,32 @@ class Ceilings:
     def write(self, df: DataFrame, path: str) -> dict:
         """Writes Parquet to a path that is not there yet, in one job, and returns the
         totals; raises and leaves nothing where a ceiling is passed."""
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        files = place.getFileSystem(conf)
-        if files.exists(place):
-            raise FileExistsError(path)
-        staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-        beside = jvm.org.apache.hadoop.fs.Path(staged)
         seen = Observation()
-        try:
+        with published(df.sparkSession, path) as staged:
             self.guarded(df).observe(seen, *self.metrics()).write.parquet(staged)
-            found = self.check(dict(seen.get))
-            if not files.rename(beside, place):
-                raise OSError(f"{path} could not be put in its place")
-            return found
-        finally:
-            files.delete(beside, True)
+            return self.check(dict(seen.get))
+
+    def totals(self, df: DataFrame) -> DataFrame:
+        """(name, value, most, ok) of the rows and each total, in one aggregation."""
+        bounds = {"rows": self.rows, **{name: most for name, (_, most) in self.total.items()}}
+        one = lambda name, most: F.struct(F.lit(name).alias("name"), F.col(name).cast("double").alias("value"), F.lit(most).cast("double").alias("most"), F.coalesce(F.col(name) <= F.lit(most), F.lit(True)).alias("ok"))
+        return df.agg(*self.metrics()).select(F.inline(F.array(*[one(name, most) for name, most in bounds.items()])))
+
+
+@contextmanager
+def published(spark: SparkSession, path: str) -> Iterator[str]:
+    """A folder beside a path that is not there yet, which becomes the path when the block
+    ends well and goes when it does not."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(conf)
+    if files.exists(place):
+        raise FileExistsError(path)
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    beside = jvm.org.apache.hadoop.fs.Path(staged)
+    try:
+        yield staged
+        if not files.rename(beside, place):
+            raise OSError(f"{path} could not be put in its place")
+    finally:
+        files.delete(beside, True)

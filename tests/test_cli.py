@@ -72,3 +72,17 @@ def test_stream(spark, capsys, files):
     assert run(spark, capsys, "stream-ingest", "--events", files["stream"], *log)[1]["duplicates"] == 20
     assert run(spark, capsys, "stream-checkpoint", *log, "--out", f"{files['dir']}/cp.json")[1]["events"] == 20
     assert run(spark, capsys, "stream-replay", *log, "--articles", files["articles"], "--as-of", AS_OF, "--checkpoint", f"{files['dir']}/cp.json")[1]["weights"]
+
+
+def test_archives_and_deadlines(spark, capsys, files, tmp_path):
+    from tests.test_archives import content, made
+
+    path, out = made(tmp_path, "stored", content(20)), tmp_path / "out"
+    code, said = run(spark, capsys, "--deadline", 600, "import-archive", "--archive", path, "--out", out, "--published-at", AS_OF)
+    assert code == 0 and said["rows"] == {"train/articles": 20, "train/impressions": 40, "dev/articles": len(content(20)["dev/news.tsv"].splitlines()), "dev/impressions": 10}
+    assert {m["member"]: m["ignored_history"] for m in said["members"]}["train/behaviors.tsv"] == sum(i % 5 for i in range(20))
+    assert spark.read.parquet(str(out / "train/articles")).count() == 20
+    code, said = run(spark, capsys, "import-archive", "--archive", path, "--out", tmp_path / "less", "--published-at", AS_OF, "--max-rows", 30)
+    assert code == 2 and "over the limit of 30" in said and sorted(p.name for p in tmp_path.iterdir() if "less" in p.name) == []
+    code, said = run(spark, capsys, "--deadline", 0.01, "validate", *tables(files))
+    assert code == 2 and "validate was not done in 0.01 s" in said
