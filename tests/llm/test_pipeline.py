@@ -60,7 +60,7 @@ def test_language_without_labels(spark, corpus):
 
 
 def test_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_components(spark):
