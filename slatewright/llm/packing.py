@@ -3,8 +3,8 @@
 A document is its token ids and an end id; only documents longer than a sequence are
 cut.  Full pieces are sequences of their own.  The rest is dealt evenly, by a hash, to
 shards of a bounded number of pieces; in each shard several islands (a Spark task each)
-evolve packings.  An individual is a list of bins; those an island begins with best-fit
-the pieces in random orders.  Crossover injects well-filled bins of one parent whole into
+evolve packings.  An individual is the bin of each piece; those an island begins with
+best-fit the pieces in random orders.  Crossover injects well-filled bins of one parent whole into
 the other, removes from it the bins that now hold duplicates and best-fits the displaced
 pieces; mutation dissolves the emptiest bins and some others.  Fewer bins are fitter, then
 fuller ones.  Between rounds each island's elite migrates to the next island of its shard.
@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import random
 import zlib
-from functools import lru_cache
+from bisect import bisect_right, insort
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -77,66 +78,69 @@ def pieces(df: DataFrame, *, path: str | None = None, end_id: int = END_ID, capa
     return arrow_map(need(df, "doc_id", "text"), work, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-#: Bins, and how much each holds.
-Packing = tuple[list[list[int]], list[int]]
-
-
-@lru_cache(maxsize=4)
-def _powers(capacity: int) -> list[int]:
-    return [1 << k for k in range(capacity + 1)]
-
-
-def fitted(order: list[int], lengths: list[int], capacity: int, start: Packing = ((), ())) -> Packing:
-    """Each piece into the tightest bin that takes it, after the bins there are: the bins and
-    what they hold, fullest first.  Bins are kept by free room, with a bit set of the rooms
-    that occur: the tightest is found by one shift."""
-    by_room: dict[int, list[list[int]]] = {}
-    rooms, power = 0, _powers(capacity)
-    for items, fill in zip(*start, strict=True):
-        room = capacity - fill
-        by_room.setdefault(room, []).append(list(items))
-        rooms |= power[room]
-    for i in order:
-        length = lengths[i]
-        high = rooms >> length
-        if high:
-            room = length + (high & -high).bit_length() - 1
-            bins = by_room[room]
-            items = bins.pop()
+#: The bin of each piece, and how much each bin holds.
+Packing = tuple[np.ndarray, np.ndarray]
+
+
+def fitted(order: np.ndarray, lengths: np.ndarray, capacity: int, start: Packing | None = None) -> Packing:
+    """Each piece into the tightest bin that takes it, after the bins there are; bins come
+    out fullest first.  Bins are kept by fill, with a sorted list of the fills that occur:
+    the tightest is found by bisection.  Bins that take none of the pieces are left out."""
+    labels, fills = start or (np.zeros(len(lengths), np.int64), np.zeros(0, np.int64))
+    wanted, old = lengths[order], len(fills)
+    most = capacity - int(wanted.min()) if len(order) else -1
+    usable = np.flatnonzero(fills <= most)
+    by_fill: dict[int, list[int]] = defaultdict(list)
+    for b, fill in zip(usable.tolist(), fills[usable].tolist(), strict=True):
+        by_fill[fill].append(b)
+    occur, top, into = sorted(by_fill), old, []
+    for length in wanted.tolist():
+        at = bisect_right(occur, capacity - length)
+        if at:
+            fill = occur[at - 1]
+            bins = by_fill[fill]
+            b = bins.pop()
             if not bins:
-                rooms ^= power[room]
-            items.append(i)
-            room -= length
+                del occur[at - 1]
+            fill += length
         else:
-            items, room = [i], capacity - length
-        bins = by_room.get(room)
-        if bins:
-            bins.append(items)
-        else:
-            if bins is None:
-                by_room[room] = [items]
-            else:
-                bins.append(items)
-            rooms |= power[room]
-    places = sorted(by_room)
-    return [items for room in places for items in by_room[room]], [capacity - room for room in places for _ in by_room[room]]
+            b, fill = top, length
+            top += 1
+        into.append(b)
+        if fill <= most:
+            bins = by_fill[fill]
+            if not bins:
+                insort(occur, fill)
+            bins.append(b)
+    placed = np.array(into, np.int64)
+    held = np.bincount(placed, wanted, top).astype(np.int64)
+    held[:old] += fills
+    # Of equally full bins the one that was touched last comes last.
+    touched = np.arange(top)
+    touched[placed] = old + np.arange(len(placed))
+    ranks = np.lexsort((touched, -held))
+    rank = np.empty(top, np.int64)
+    rank[ranks] = np.arange(top)
+    labels = labels.copy()
+    labels[order] = placed
+    return rank[labels], held[ranks]
 
 
 def best_fit(order: list[int], lengths: list[int], capacity: int) -> list[list[int]]:
-    return fitted(order, lengths, capacity)[0]
+    return _grouped(fitted(np.asarray(order, np.int64), np.asarray(lengths, np.int64), capacity)[0])
 
 
-def fills_of(bins: list[list[int]], lengths: list[int]) -> list[int]:
-    return [sum([lengths[i] for i in b]) for b in bins]
+def falling(lengths: np.ndarray) -> np.ndarray:
+    return np.argsort(-lengths, kind="stable")
 
 
-def rated(fills: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then fuller ones (sum of squared fill); greater is better."""
-    return -len(fills), sum([(f / capacity) ** 2 for f in fills])
+def rated(fills: np.ndarray) -> tuple[int, int]:
+    """Fewer bins first, then fuller ones (sum of squares); greater is better."""
+    return -len(fills), int((fills * fills).sum())
 
 
 def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
-    return rated(fills_of(bins, lengths), capacity)
+    return rated(_packing(bins, np.asarray(lengths, np.int64))[1])
 
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
@@ -155,74 +159,84 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     return int((len(x) - half + own).max())
 
 
-def crossover(giver: Packing, taker: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Whole bins of ``giver``, better filled than its mean, go into ``taker``."""
-    mean = sum(giver[1]) / max(1, len(giver[1]))
+def crossover(giver: Packing, taker: Packing, lengths: np.ndarray, falling: np.ndarray, capacity: int, rng: random.Random) -> Packing:
+    """Whole bins of ``giver``, as full as its mean at least, go into ``taker``."""
+    (of_giver, fills), (of_taker, others) = giver, taker
     share = rng.uniform(0.3, 0.9)
-    bins, fills = [], []
-    for b, f in zip(*giver, strict=True):
-        if f >= mean and rng.random() < share:
-            bins.append(b)
-            fills.append(f)
-    inside = {i for b in bins for i in b}
-    displaced = []
-    for b, f in zip(*taker, strict=True):
-        if inside.isdisjoint(b):
-            bins.append(b)
-            fills.append(f)
-        else:
-            displaced += [i for i in b if i not in inside]
-    displaced.sort(key=lambda i: (-lengths[i], i))
-    return fitted(displaced, lengths, capacity, (bins, fills))
+    given = fills >= int(fills.sum()) / max(1, len(fills))
+    given[given] = _draws(rng, int(given.sum())) < share
+    inside = given[of_giver]
+    broken = np.zeros(len(others), bool)
+    broken[of_taker[inside]] = True
+    displaced = broken[of_taker] & ~inside
+    labels = np.where(inside, (np.cumsum(given) - 1)[of_giver], (int(given.sum()) + np.cumsum(~broken) - 1)[of_taker])
+    return fitted(falling[displaced[falling]], lengths, capacity, (labels, np.concatenate([fills[given], others[~broken]])))
 
 
-def mutate(packing: Packing, lengths: list[int], capacity: int, rng: random.Random) -> Packing:
+def mutate(packing: Packing, lengths: np.ndarray, falling: np.ndarray, capacity: int, rng: random.Random) -> Packing:
     """Dissolve the emptiest bins and a few others, and best-fit their pieces."""
-    order = sorted(zip(*packing, strict=True), key=lambda x: x[1])
-    cut = max(1, len(order) // 10)
-    out, kept = order[:cut], []
-    for x in order[cut:]:
-        (out if rng.random() < 0.05 else kept).append(x)
-    loose = sorted([i for b, _ in out for i in b], key=lambda i: (-lengths[i], i))
-    return fitted(loose, lengths, capacity, ([b for b, _ in kept], [f for _, f in kept]))
+    labels, fills = packing
+    order = np.argsort(fills, kind="stable")
+    rest = order[max(1, len(order) // 10) :]
+    kept = rest[_draws(rng, len(rest)) >= 0.05]
+    moved = np.full(len(fills), -1)
+    moved[kept] = np.arange(len(kept))
+    labels = moved[labels]
+    return fitted(falling[(labels < 0)[falling]], lengths, capacity, (labels, fills[kept]))
 
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int, children: int, least: int = LEAST) -> tuple[list[list[list[int]]], int]:
+def bred(lengths: np.ndarray, capacity: int, seed: int, elites: list[Packing], population: int, children: int, least: int = LEAST) -> tuple[list[Packing], int]:
     """One round of an island: its individuals, best first, and how many children were
     made.  It ends early, after ``least`` of them, at a bound that no packing can beat."""
     rng = random.Random(seed)
     bound = lower_bound(lengths, capacity)
-    people = [(e, fills_of(e, lengths)) for e in elites if e]
+    order = falling(lengths)
+    people = list(elites)
     everything = list(range(len(lengths)))
     while len(people) < population:
         rng.shuffle(everything)
-        people.append(fitted(everything, lengths, capacity))
-    ranked = sorted(((rated(p[1], capacity), k, p) for k, p in enumerate(people)), key=lambda x: (x[0], -x[1]), reverse=True)
+        people.append(fitted(np.array(everything, np.int64), lengths, capacity))
+    ranked = sorted(((rated(p[1]), -k, p) for k, p in enumerate(people)), key=lambda x: x[:2], reverse=True)
     born = 0
     while born < children and (born < least or -ranked[0][0][0] > bound):
         # Two parents, the better of two each, that need not be the best.
         one, two = (min(rng.randrange(len(ranked)), rng.randrange(len(ranked))) for _ in range(2))
         two += one == two
-        child = mutate(crossover(ranked[one][2], ranked[two % len(ranked)][2], lengths, capacity, rng), lengths, capacity, rng)
+        child = crossover(ranked[one][2], ranked[two % len(ranked)][2], lengths, order, capacity, rng)
+        child = mutate(child, lengths, order, capacity, rng)
         born += 1
-        ranked.append((rated(child[1], capacity), population + born, child))
-        ranked.sort(key=lambda x: (x[0], -x[1]), reverse=True)
+        ranked.append((rated(child[1]), -population - born, child))
+        ranked.sort(key=lambda x: x[:2], reverse=True)
         del ranked[population:]
-    return [p[0] for *_, p in ranked], born
+    return [p for *_, p in ranked], born
 
 
-def _labels(bins: list[list[int]], n: int) -> np.ndarray:
-    out = np.empty(n, np.int32)
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[list[int]]], population: int, children: int, least: int = LEAST) -> tuple[list[list[list[int]]], int]:
+    """``bred`` on packings that are lists of bins."""
+    sizes = np.asarray(lengths, np.int64)
+    people, born = bred(sizes, capacity, seed, [_packing(e, sizes) for e in elites if e], population, children, least)
+    return [_grouped(labels) for labels, _ in people], born
+
+
+def _draws(rng: random.Random, n: int) -> np.ndarray:
+    return np.array([rng.random() for _ in range(n)], float)
+
+
+def _packing(bins: list[list[int]], lengths: np.ndarray) -> Packing:
+    labels = np.empty(len(lengths), np.int64)
     for k, b in enumerate(bins):
-        out[b] = k
-    return out
+        labels[b] = k
+    return labels, _fills(labels, lengths)
+
+
+def _fills(labels: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.bincount(labels, lengths).astype(np.int64)
 
 
-def _grouped(labels) -> list[list[int]]:
-    bins: dict[int, list[int]] = {}
-    for i, k in enumerate(labels):
-        bins.setdefault(k, []).append(i)
-    return list(bins.values())
+def _grouped(labels: np.ndarray) -> list[list[int]]:
+    """The pieces of each bin, in order of the bins, none of which is empty."""
+    ends = np.cumsum(np.bincount(labels))[:-1] if len(labels) else []
+    return [x.tolist() for x in np.split(np.argsort(labels, kind="stable"), ends)] if len(labels) else []
 
 
 def _islands(spark: SparkSession, items: DataFrame, capacity: int, islands: int, rounds: int, population: int, children: int) -> DataFrame:
@@ -235,16 +249,16 @@ def _islands(spark: SparkSession, items: DataFrame, capacity: int, islands: int,
             shard, island, last = int(pdf["shard"].iat[0]), int(pdf["island"].iat[0]), int(pdf["round"].iat[0])
             elites = [g for _, g in pdf.groupby("origin")]
             own = elites[0]
-            lengths = own["length"].tolist()
-            people = [_grouped(g["bin"].tolist()) for g in elites if g["bin"].iat[0] >= 0]
+            lengths = own["length"].to_numpy(np.int64)
+            people = [(labels, _fills(labels, lengths)) for g in elites if (labels := g["bin"].to_numpy(np.int64))[0] >= 0]
             # An island knows its own count; the last step has every island's.
             born = sum(int(g["born"].iat[0]) for g in elites) if final else sum(int(g["born"].iat[0]) for g in elites if int(g["origin"].iat[0]) == island)
             if final:
-                best = max(people, key=lambda p: fitness(p, lengths, capacity))
+                best = max(people, key=lambda p: rated(p[1]))
             else:
-                made, more = evolve(lengths, capacity, (shard * 8191 + island) * 127 + last, people, population, children)
+                made, more = bred(lengths, capacity, (shard * 8191 + island) * 127 + last, people, population, children)
                 best, born = made[0], born + more
-            return pd.DataFrame({"shard": own["shard"].to_numpy(), "island": island, "round": last + 1, "origin": island, "key": own["key"].to_numpy(), "length": own["length"].to_numpy(), "bin": _labels(best, len(lengths)), "born": born})
+            return pd.DataFrame({"shard": own["shard"].to_numpy(), "island": island, "round": last + 1, "origin": island, "key": own["key"].to_numpy(), "length": own["length"].to_numpy(), "bin": best[0].astype(np.int32), "born": born})
 
         return run
 

@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -792,6 +793,94 @@ def test_packing_beats_best_fit_falling(spark):
     assert packing.lower_bound(lengths, 4096) <= len({r["sequence_id"] for r in rows}) < plain
 
 
+def plain_search(lengths, capacity, seed, population, children):
+    """packing.evolve's search on lists of bins, piece by piece."""
+    rng = random.Random(seed)
+
+    def fitted(order, bins=()):
+        by_room = defaultdict(list)
+        for b in bins:
+            by_room[capacity - sum(lengths[i] for i in b)].append(b)
+        rooms = sum(1 << r for r in by_room)
+        for i in order:
+            high = rooms >> lengths[i]
+            room = lengths[i] + (high & -high).bit_length() - 1 if high else capacity
+            b = by_room[room].pop() if high else []
+            if high and not by_room[room]:
+                rooms ^= 1 << room
+            by_room[room - lengths[i]].append([*b, i])
+            rooms |= 1 << room - lengths[i]
+        return [b for room in sorted(by_room) for b in by_room[room]]
+
+    def filled(bins):
+        return [sum(lengths[i] for i in b) for b in bins]
+
+    def by_length(bins):
+        return sorted((i for b in bins for i in b), key=lambda i: (-lengths[i], i))
+
+    def child(giver, taker):
+        fills, share = filled(giver), rng.uniform(0.3, 0.9)
+        bins = [b for b, f in zip(giver, fills, strict=True) if f >= sum(fills) / len(fills) and rng.random() < share]
+        inside = {i for b in bins for i in b}
+        broken = [b for b in taker if not inside.isdisjoint(b)]
+        bins += [b for b in taker if inside.isdisjoint(b)]
+        made = fitted([i for i in by_length(broken) if i not in inside], bins)
+        order = [b for _, b in sorted(zip(filled(made), made, strict=True), key=lambda x: x[0])]
+        cut = max(1, len(order) // 10)
+        out, kept = order[:cut], []
+        for b in order[cut:]:
+            (out if rng.random() < 0.05 else kept).append(b)
+        return fitted(by_length(out), kept)
+
+    def rated(bins, k):
+        return -len(bins), sum(f * f for f in filled(bins)), -k
+
+    ranked, everything = [], list(range(len(lengths)))
+    for k in range(population):
+        rng.shuffle(everything)
+        bins = fitted(everything)
+        ranked.append((rated(bins, k), bins))
+    ranked.sort(reverse=True)
+    born, bound = 0, packing.lower_bound(lengths, capacity)
+    while born < children and (born < packing.LEAST or -ranked[0][0][0] > bound):
+        one, two = (min(rng.randrange(population), rng.randrange(population)) for _ in range(2))
+        bins = child(ranked[one][1], ranked[(two + (one == two)) % population][1])
+        born += 1
+        ranked = sorted([*ranked, (rated(bins, population + born), bins)], reverse=True)[:population]
+    return [[sorted(b) for b in bins] for _, bins in ranked], born
+
+
+@pytest.mark.parametrize("capacity, n", [(10, 1), (10, 40), (64, 150), (4096, 300)])
+def test_packing_equals_a_plain_search(capacity, n):
+    rng = random.Random(n)
+    for seed in range(4):
+        lengths = [rng.randint(1, capacity - 1 if rng.random() < 0.5 else capacity // 4) for _ in range(n)]
+        people, born = packing.evolve(lengths, capacity, seed, [], 6, 30)
+        assert ([[sorted(b) for b in p] for p in people], born) == plain_search(lengths, capacity, seed, 6, 30)
+
+
+def test_packing_marks_without_the_tokenizer():
+    """Marks after letters are a match of their own: each word goes to the library's model,
+    each run of marks once to the whole tokenizer."""
+    real = tokens.from_json(tokens.vocabulary(packing.FILE))
+
+    class Counting:
+        model, calls = real.model, 0
+
+        def encode(self, *args, **how):
+            self.calls += 1
+            return real.encode(*args, **how)
+
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("aeinrstäé") for _ in range(8)) + rng.choice(["###", "!!", "$$$", ".***", ",", "", "|-_<>"]) for _ in range(500))
+    counting = Counting()
+    ids, at = tokens.encode_words(pa.array([text, "a'###'s b#'s c'll d''# '", "#'t e\u0301# <\u0338 x<\u0338"]), tokens.Chunks(counting, drops_blanks=True))
+    assert ids[: at[1]].tolist() == real.encode(text, add_special_tokens=False).ids
+    assert ids[at[1] : at[2]].tolist() == real.encode("a'###'s b#'s c'll d''# '", add_special_tokens=False).ids
+    assert ids[at[2] :].tolist() == real.encode("#'t e\u0301# <\u0338 x<\u0338", add_special_tokens=False).ids
+    assert counting.calls < 25
+
+
 # ------------------------------------------------------------------ 10
 
 
