@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_map, need
+from .common import arrow_map, keeps, need
 
 FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -35,6 +35,7 @@ def _pattern() -> str:
 
 
 _caches: dict[str, tokens.Chunks] = {}
+keeps(__name__, _caches.clear)
 
 
 def _cache(path: str, pattern: str) -> tokens.Chunks:

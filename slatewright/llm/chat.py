@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import need, parts
+from .common import enter, keeps, need, parts
 
 FILE = "byte_bpe_50k.json"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -56,6 +56,7 @@ def unescape(text: str) -> str:
 
 
 _caches: dict[str, tokens.Chunks] = {}
+keeps(__name__, _caches.clear)
 
 
 def _encode(texts: list[str], path: str) -> list[bytes]:
@@ -106,6 +107,7 @@ def format_turns(df: DataFrame, *, path: str | None = None) -> DataFrame:
     schema = f"conv_id {df.schema['conv_id'].dataType.simpleString()}, position long, offset long, ids binary, mask binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(__name__)
         now, position, offset = object(), 0, 0
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dom
-from .common import arrow_map, need, pick_rows, split_join, table
+from .common import arrow_map, keeps, need, pick_rows, split_join, table
 
 #: Pages of a host that its template is folded from; different pages at least, and share of
 #: them, that make a text constant; characters from which an article's constant text stays,
@@ -46,6 +46,7 @@ SENT = 64 << 20
 HOST = r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 _templates: dict[str, dom.Slot] = {}
+keeps(__name__, _templates.clear)
 
 
 def _template(text: str | None) -> dom.Slot | None:

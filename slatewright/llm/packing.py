@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_map, need, table
+from .common import arrow_map, keeps, need, table
 
 FILE = "word_bpe_49k.json"
 CAPACITY = 4096
@@ -46,6 +46,7 @@ SHARD, ISLANDS, ROUNDS, POPULATION, LEAST, CHILDREN = 4096, 3, 3, 6, 4, 60
 AGAIN = 8
 
 _caches: dict[str, tokens.Chunks] = {}
+keeps(__name__, _caches.clear)
 
 
 def encode_texts(texts: pa.Array, path: str | None = None, end_id: int = END_ID) -> list[bytes]:

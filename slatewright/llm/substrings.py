@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, discard, free, need, slices, split_join, table, utf8
+from .common import arrow_map, discard, enter, free, keeps, need, slices, split_join, table, utf8
 
 WINDOW = 35
 #: Bytes of text worked on at a time; arrays of a few hundred bytes a word go with it.
@@ -70,6 +70,7 @@ class _Names(dict):
 
 
 _names = _Names()
+keeps(__name__, _names.clear)
 
 
 def powers(r: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +238,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, text, shared) -> windows to compare: (k1, k2, rid, pos, known), known if an
     equal one is in the same stretch; and (null, null, rid, pos, true) for the others that
     are known."""
+    enter(__name__)
     for batch in slices(batches, "text", 2 * CHUNK_BYTES):
         rids = batch.column(0).to_numpy(zero_copy_only=False)
         shared = batch.column(2)
@@ -270,6 +272,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows by key -> (rid, pos) of those that another one equals.  Only the row
     before is kept from batch to batch."""
+    enter(__name__)
     held = None
     for batch in batches:
         if not batch.num_rows:
@@ -312,6 +315,7 @@ def without(text: bytes, starts: np.ndarray) -> tuple[int, str, bytes]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, text, positions) -> what is left of the text."""
+    enter(__name__)
     for batch in slices(batches, "text", CHUNK_BYTES):
         rows = [without(text, starts.values.to_numpy(zero_copy_only=False)) for text, starts in zip(utf8(batch.column(1)), batch.column(2), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2].decode() for r in rows], pa.string())], names=["rid", "n_removed", "kept_sha256", "kept"])
