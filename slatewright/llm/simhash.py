@@ -505,22 +505,25 @@ def similar(spark: SparkSession, edges: DataFrame, keys: DataFrame, texts: DataF
             pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
         return pairs
 
+    # What is connected so far, as stars: they settle in one round, the edges took several.
+    stars = lambda roots: roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
     edges = table(spark, edges.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("apart").alias("apart")), "candidates")
     sets = sets_of(edges.select(F.col("a").alias("row")).union(edges.select("b")), "sets")
     closest = edges.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     found = table(spark, measured(closest), "measured")
     roots = table(spark, components(spark, found), "roots")
     between = rooted(edges.join(closest, ["a", "b"], "left_anti"), "a", "b").where("root_a <> root_b").select("a", "b")
-    found = table(spark, found.union(measured(between)), "measured")
+    found = table(spark, stars(roots).union(measured(between)), "measured")
     roots = table(spark, components(spark, found), "roots")
     own = rooted(keys, "node").withColumnRenamed("root_node", "root")
     open_ = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
     open_ = table(spark, open_.select("key", "n"), "open-keys")
     if is_empty(open_):
-        return found
+        return stars(roots)
     apart = table(spark, split_join(own, open_, ["key"], "n"), "apart")
     rows = apart.join(sets_of(apart.select(F.col("node").alias("row")), "more-sets").withColumnRenamed("row", "node"), "node")
-    return found.union(across(spark, rows, least))
+    return stars(roots).union(across(spark, rows, least))
 
 
 def shared_keys(sets: list[np.ndarray], keys: int = KEYS, of: int = HASHES) -> np.ndarray:

@@ -7,8 +7,8 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from slatewright.llm import packing, queries, tokens
-from slatewright.llm.common import arrow_map, components, need
+from slatewright.llm import common, packing, queries, tokens
+from slatewright.llm.common import arrow_map, components, need, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -105,3 +105,31 @@ def test_workers_keep_nothing_of_other_stages(spark, corpus):
     after = {r["pid"]: r["kept"] for r in arrow_map(source, later, "pid long, kept long").collect()}
     assert set(seen.values()) == {2} and set(seen) & set(after)
     assert set(after.values()) == {0}
+
+
+def test_grown_heap_is_collected(spark, monkeypatch):
+    """The driver's heap, where it has grown, is collected in full when a table is written."""
+    monkeypatch.setattr(common, "_left", [0], raising=False)
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    full = lambda: sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    held = [jvm.java.util.ArrayList() for _ in range(20)]
+    try:
+        for x in held:
+            x.ensureCapacity(int(0.03 * heap.maxMemory() / 4))
+        assert heap.totalMemory() > 0.5 * heap.maxMemory()
+        before = full()
+        assert table(spark, spark.range(10), "small").count() == 10
+        assert full() > before
+    finally:
+        for x in held:
+            x.trimToSize()
+
+
+def test_stars_settle_in_one_round(spark, monkeypatch):
+    """What is connected already costs the driver the queries of one round."""
+    written, write = [], common.table
+    monkeypatch.setattr(common, "table", lambda spark, df, name: written.append(name) or write(spark, df, name))
+    edges = [(i, i % 7) for i in range(7, 200)]
+    got = {r["node"]: r["root"] for r in components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: i % 7 for i in range(200)} and written.count("stars") == 1
