@@ -5,7 +5,7 @@ Records are (event_id, user_id, occurred_us, content, arrival): arrival is their
 source, content a digest of all that a record says.  Of one event_id the first to arrive is
 accepted; later ones are duplicates if they say the same and conflicts if not.  A record is late
 if it occurred more than the allowed lateness before the latest one of its user that arrived
-before it.
+before it; records of one arrival (in a stream: of one micro-batch) are not before each other.
 
 In a stream both are state by key, with an event-time timer that forgets a key when the
 watermark has passed its last record by the declared horizon.  A micro-batch touches the keys
@@ -38,8 +38,10 @@ def once(records: DataFrame) -> DataFrame:
 
 
 def late(records: DataFrame, lateness_us: int) -> DataFrame:
-    """records with ``late``."""
-    made = ranks.running_max(records.select(*COLUMNS), ["user_id"], ["arrival"], "occurred_us", "seen")
+    """records with ``late``.  Of those of one arrival none is before the other."""
+    each = records.groupBy("user_id", "arrival").agg(F.max("occurred_us").alias("latest"))
+    seen = ranks.running_max(each, ["user_id"], ["arrival"], "latest", "seen").select("user_id", "arrival", "seen")
+    made = records.select(*COLUMNS).join(seen, (records["user_id"].eqNullSafe(seen["user_id"])) & (records["arrival"] == seen["arrival"])).drop(seen["user_id"]).drop(seen["arrival"])
     return made.select(*COLUMNS, F.coalesce(F.col("occurred_us") < F.col("seen") - lateness_us, F.lit(False)).alias("late"))
 
 
@@ -103,9 +105,9 @@ class _Mark(_Keyed):
         held = self.state.get() if self.state.exists() else None
         seen, was = (held[0], held[1]) if held else (None, None)
         flags = []
-        for at in new["occurred_us"].tolist():
-            flags.append(seen is not None and at < seen - self.lateness_us)
-            seen = at if seen is None else max(seen, at)
+        for _, same in new.groupby("arrival", sort=False)["occurred_us"]:  # sorted already
+            flags += [seen is not None and at < seen - self.lateness_us for at in same.tolist()]
+            seen = int(same.max()) if seen is None else max(seen, int(same.max()))
         self.remember((seen,), was, seen)
         yield new[list(COLUMNS)].assign(late=flags)
 

@@ -80,3 +80,11 @@ def test_a_key_is_forgotten_after_the_horizon(spark, tmp_path):
 def test_the_horizon_holds_the_lateness(spark):
     with pytest.raises(ValueError, match="horizon"):
         admission.late_stream(spark.createDataFrame([], admission.SCHEMA), 2, 1)
+
+
+def test_records_of_one_arrival_are_not_before_each_other(spark):
+    """Arrival repeats where numbers run out: the record of two days later makes none of its own arrival late."""
+    rows = [(f"e{k}", user, at * DAY, "x", 7 if k < 40 else 8) for k, (user, at) in enumerate([("u", 9), ("u", 1), ("v", 1), ("v", 9)] * 10 + [("u", 1), ("v", 9)])]
+    for order in (rows, rows[::-1]):
+        got = {r["event_id"]: r["late"] for r in admission.late(spark.createDataFrame(order, admission.SCHEMA).repartition(3), 3 * DAY).collect()}
+        assert {k for k, late in got.items() if late} == {"e40"} and len(got) == len(rows)
